@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lodeframe.llm import decontaminate, mixing, sharding, url_rules
+from lodeframe.llm import decontaminate, jaccard_join, mixing, quality_rules, sharding, toxicity, url_rules
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op5_shards": sharding.op5_shards,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_url_rules": url_rules.op7_url_rules,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 
 ORACLE_SQL = {"op2_decontaminate": decontaminate.OP2_SQL}
