@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodeframe.llm import decontaminate, jaccard_join, mixing, quality_rules, sharding, toxicity, url_rules
+from lodeframe.llm import decontaminate, jaccard_join, lm_scoring, mixing, quality_rules, secrets, sharding, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
@@ -12,6 +13,8 @@ QUERIES = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_url_rules": url_rules.op7_url_rules,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 ORACLE_SQL = {"op2_decontaminate": decontaminate.OP2_SQL}
