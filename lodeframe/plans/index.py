@@ -153,7 +153,7 @@ class Index:
                 tables[name] = tables[name].join(had, F.substring_index(owner_col, "->", 1) == F.col("_class"), "left_anti")
             self.write({name: self._added(name, into, df) for name, df in tables.items()})
             return into, False
-        self.write({name: materialize(df, name) for name, df in tables.items()})
+        self.write(tables)
         for name in schema.TABLES:
             if force and tables[name].limit(1).count() == 0:
                 self.delete(f"{name}/session_id={session}")

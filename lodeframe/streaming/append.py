@@ -29,7 +29,7 @@ def append_batch(index: Index, files: DataFrame, source: str = "app") -> None:
     if index.exists("facts"):
         new = new.join(index.table("facts").select("session_id").distinct(), "session_id", "left_anti")
     parsed = materialize(ingest.parse_files(new), "stream-parsed")
-    index.write({name: materialize(df, name) for name, df in ingest.normalise(parsed.where("entity <> 'error'")).items()})
+    index.write(ingest.normalise(parsed.where("entity <> 'error'")))
 
 
 def watch(index: Index, folder: str, checkpoint: str, pattern: str = "*.apk", source: str = "app") -> StreamingQuery:
