@@ -20,7 +20,7 @@ def clamp_limit(limit: int | str | None, default: int = DEFAULT_LIMIT, most: int
 
 def top_k(df: DataFrame, part: list[str], order: list, k: int, rank_col: str = "rn") -> DataFrame:
     """The first k rows of each part. Spark stops a part's sort early (WindowGroupLimit) before and after the shuffle."""
-    return df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col(rank_col) <= k)
+    return df.withColumn(rank_col, F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col(rank_col) <= k).withColumn(rank_col, F.col(rank_col).cast("long"))
 
 
 def first_wins(df: DataFrame, key: list[str], order: list) -> DataFrame:
