@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 from lodeframe.tables import materialize, shared_dir  # noqa: F401
 
 #: Text handled at once inside a Python worker; numpy needs about 60 bytes of memory for each byte of it.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
@@ -41,10 +43,34 @@ def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Rec
                 made = fn(batch)
                 kept = [n for n in batch.schema.names if n not in new]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + [made[f.name] for f in fields], names=kept + [f.name for f in fields])
+                del batch, made
+                release()
 
     return df.mapInArrow(run, schema)
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+
+def release() -> None:
+    """Give freed memory back to the system: idle workers stay beside the ones that later stages start."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run: Callable, n: int = 1) -> Callable:
+    """run, a function of n arguments that gives a table, with a release() after it. Spark looks at the number of arguments."""
+
+    def wrapped(*args):
+        out = run(*args)
+        del args
+        release()
+        return out
+
+    return {1: lambda a: wrapped(a), 2: lambda a, b: wrapped(a, b), 3: lambda a, b, c: wrapped(a, b, c)}[n]
+
+
 # ---------------------------------------------------------------- bytes of a text column
 
 
@@ -77,7 +103,7 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64, and of its inverse."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES * 2)
+        size = max(n, CHUNK_BYTES * 5 // 4)
         for name, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
             steps = np.full(size, np.uint64(base))
             steps[0] = 1

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import LOWER, SPACES, load, materialize, mix, prefix_hash, rows_of, shuffle_parts, split_words, substring_hash, text_chunks, windows
+from lodeframe.llm.common import LOWER, SPACES, load, materialize, mix, prefix_hash, release, releasing, rows_of, shuffle_parts, split_words, substring_hash, text_chunks, windows
 from lodeframe.llm.components import components
 
 NGRAM = 5
@@ -87,7 +87,7 @@ def _pack(block: int, shards: int, rows: np.ndarray, grams: np.ndarray, n_rows:
 def _requests_of_texts(batches: Iterator[pa.RecordBatch], shards: int, n: int) -> Iterator[pa.RecordBatch]:
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for a, b, data, at in text_chunks(batch.column("text"), 4 << 20):
+        for a, b, data, at in text_chunks(batch.column("text"), 2 << 20):
             rows, grams = shingles(data, at, n)
             counts = np.bincount(rows, minlength=b - a)
             ends = np.cumsum(counts)
@@ -98,6 +98,8 @@ def _requests_of_texts(batches: Iterator[pa.RecordBatch], shards: int, n: int) -
             ids = pa.record_batch({"id": batch.column("doc_id")[a:b]}).serialize().to_pybytes()
             yield _pack(block, shards, rows, grams, b - a, ids, np.stack([counts.astype(np.uint64), *sums]).tobytes())
             block += 1
+        del batch
+        release()
 
 
 def _requests_of_classes(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -177,9 +179,14 @@ def _assemble(table: pa.Table, percent: int, all_rows: bool, schema: pa.Schema)
 _LIVE = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("live", pa.bool_()), ("grams", pa.list_(pa.int64())), ("dfs", pa.list_(pa.int32()))])
 
 
+def _serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _shared(batches)
+    release()
+
+
 def _exchange(requests: DataFrame, percent: int, all_rows: bool) -> DataFrame:
-    answers = requests.groupBy("shard").applyInArrow(_shared, _ANSWER)
-    return answers.groupBy("block").applyInArrow(lambda table: _assemble(table, percent, all_rows, _LIVE), "id long, n long, h1 long, h2 long, live boolean, grams array<long>, dfs array<int>")
+    answers = requests.groupBy("shard").applyInArrow(_serve, _ANSWER)
+    return answers.groupBy("block").applyInArrow(releasing(lambda table: _assemble(table, percent, all_rows, _LIVE)), "id long, n long, h1 long, h2 long, live boolean, grams array<long>, dfs array<int>")
 
 
 def _fragments(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:

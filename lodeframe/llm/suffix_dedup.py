@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import load, mix, prefix_hash, powers, shuffle_parts, spans, substring_hash
+from lodeframe.llm.common import load, mix, powers, prefix_hash, releasing, shuffle_parts, spans, substring_hash
 
 LENGTH = 100
 GRAM = 32
@@ -285,10 +285,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks, shards = max(1, math.ceil(total / block_bytes)), 4 * shuffle_parts(docs.sparkSession)
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(id_col, F.substring(text, 1, 200), F.octet_length(text)), F.lit(blocks)).alias("block"))
     grouped = dealt.groupBy("block")
-    segments = grouped.applyInArrow(lambda key, table: _ask_segments(key, table, shards), _REQUEST).groupBy("shard").applyInArrow(_serve, _ANSWER)
-    strings = grouped.cogroup(segments.groupBy("block")).applyInArrow(lambda key, table, answers: _ask_strings(key, table, answers, shards), _REQUEST).groupBy("shard").applyInArrow(_serve, _ANSWER)
+    segments = grouped.applyInArrow(releasing(lambda key, table: _ask_segments(key, table, shards), 2), _REQUEST).groupBy("shard").applyInArrow(releasing(_serve, 1), _ANSWER)
+    strings = grouped.cogroup(segments.groupBy("block")).applyInArrow(releasing(lambda key, table, answers: _ask_strings(key, table, answers, shards), 3), _REQUEST).groupBy("shard").applyInArrow(releasing(_serve, 1), _ANSWER)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc_id long, n_bytes long, removed_from array<long>, removed_to array<long>, kept binary"
-    return grouped.cogroup(strings.groupBy("block")).applyInArrow(lambda table, answers: _finish(table, answers, shards, digest), kind)
+    return grouped.cogroup(strings.groupBy("block")).applyInArrow(releasing(lambda table, answers: _finish(table, answers, shards, digest), 2), kind)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
