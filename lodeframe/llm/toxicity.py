@@ -111,7 +111,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     order = F.xxhash64(F.lit(3), "_id")
     sample = seen.where("label = 1").orderBy(order, "_id").limit(per_class).unionByName(seen.where("label = 0").orderBy(order, "_id").limit(per_class))
     # At most 2 * per_class rows: small enough to broadcast.
-    chosen = known.join(F.broadcast(sample), "_id").withColumn("order", order).select("_text", "label", "order")
+    chosen = known.join(F.broadcast(sample), "_id").withColumn("order", F.xxhash64(F.lit(5), "_id")).select("_text", "label", "order")
+    # Examples are learnt in another order than they were chosen in, else those of the rarer label would come last.
     made = add_columns(chosen, [T.StructField("features", T.BinaryType())], lambda b: _blobs(b, "_text", bits)).select("order", "label", "features")
     fitted = made.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: _fit(t, 1 << bits), "ids binary, weights binary").first()
     if fitted is None:
