@@ -88,7 +88,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Counts, (2, 2**WORD_BITS + 2**PAIR_BITS): row 0 of the target, row 1 of the background. wanted: ids in a column of that name."""
     ids = wanted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("wanted", F.lit(True))
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids, "_id", "left").select("text", "wanted")
+    # Joined by sorting at every size, as labels grow with the corpus.
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "_id", "left").select("text", "wanted")
     salts = max(1, shuffle_parts(docs.sparkSession) // 8)
     packed = known.mapInArrow(lambda x: _count(x, salts), _COUNTS)
     sums = packed.groupBy("range", "salt").applyInArrow(_sum, _COUNTS).groupBy("range").applyInArrow(_sum, _COUNTS)
