@@ -189,9 +189,9 @@ def _split(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def _ask(block: int, kind: int, keys: np.ndarray, grams: np.ndarray, docs: np.ndarray, by: np.ndarray, shards: int) -> list[tuple]:
+def _ask(block: int, kind: int, keys: np.ndarray, grams: np.ndarray | None, docs: np.ndarray, by: np.ndarray, shards: int) -> list[tuple]:
     order, cuts = _split(by, shards)
-    return [(int(s), block, kind, *(x[order[cuts[s] : cuts[s + 1]]].tobytes() for x in (keys, grams, docs))) for s in np.flatnonzero(np.diff(cuts))]
+    return [(int(s), block, kind, *(x if x is None else x[order[cuts[s] : cuts[s + 1]]].tobytes() for x in (keys, grams, docs))) for s in np.flatnonzero(np.diff(cuts))]
 
 
 def _states(answers: pa.Table, kind: int, by: np.ndarray, shards: int) -> np.ndarray:
@@ -217,8 +217,9 @@ def _serve(table: pa.Table) -> pa.Table:
         rows = sorted((k for k in range(table.num_rows) if table.column("kind")[k].as_py() == kind), key=lambda k: table.column("block")[k].as_py())
         family = Family()
         for k in rows:
-            keys, grams, docs = (np.frombuffer(table.column(c)[k].as_py(), t) for c, t in (("keys", np.uint64), ("grams", np.uint64), ("docs", np.int64)))
-            family.add(keys, grams, docs, table.column("block")[k].as_py())
+            keys, docs = np.frombuffer(table.column("keys")[k].as_py(), np.uint64), np.frombuffer(table.column("docs")[k].as_py(), np.int64)
+            grams = table.column("grams")[k].as_py()
+            family.add(keys, keys if grams is None else np.frombuffer(grams, np.uint64), docs, table.column("block")[k].as_py())
         if kind == SEGMENTS:
             family.mark_mixed()
         out += [(table.column("block")[k].as_py(), table.column("shard")[k].as_py(), kind, s.tobytes()) for k, s in zip(rows, family.states, strict=True)]
@@ -235,7 +236,7 @@ def _ask_strings(key, table: pa.Table, answers: pa.Table, shards: int) -> pa.Tab
     block = Block(table)
     starts, prints = block.strings(_states(answers, SEGMENTS, block.grams[block.heads], shards))
     known, first = np.unique(prints, return_index=True)
-    out = _ask(number, STRINGS, known, known, block.docs_at(starts[first]), known, shards)
+    out = _ask(number, STRINGS, known, None, block.docs_at(starts[first]), known, shards)
     # The answers about segments go the same way, so that the last step gets everything from one place.
     out += [(answers.column("shard")[k].as_py(), number, -SEGMENTS, answers.column("states")[k].as_py(), answers.column("shard")[k].as_py().to_bytes(4, "little"), None) for k in range(answers.num_rows)]
     return _table(out, _REQUESTS)
