@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.common import LOWER, SPACES, load, materialize, mix, prefix_hash, release, releasing, rows_of, shuffle_parts, split_words, substring_hash, text_chunks, windows
 from lodeframe.llm.components import components
+from lodeframe.tables import discard
 
 NGRAM = 5
 PERCENT = 75
@@ -252,14 +253,19 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
     # Classes of equal sets. The number is given once, as the table is written.
     groups = told.where("live").groupBy("h1", "h2").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("grams").alias("grams"))
-    classes = materialize(groups.withColumn("class", F.monotonically_increasing_id()), "jaccard-classes")
-    live = materialize(_exchange(classes.select("class", "n", "grams").mapInArrow(lambda x: _requests_of_classes(x, shards), _REQUEST), percent, False).select(F.col("id").alias("class"), "n", "grams", "dfs"), "jaccard-live")
+    numbered = materialize(groups.withColumn("class", F.monotonically_increasing_id()), "jaccard-numbered")
+    whole, told = told, materialize(told.select("id", "n", "h1", "h2"), "jaccard-rows")
+    discard(whole)
+    live = materialize(_exchange(numbered.select("class", "n", "grams").mapInArrow(lambda x: _requests_of_classes(x, shards), _REQUEST), percent, False).select(F.col("id").alias("class"), "n", "grams", "dfs"), "jaccard-live")
+    classes = materialize(numbered.select("class", "h1", "h2", "least_id"), "jaccard-classes")
+    discard(numbered)
 
     pivots = live.mapInArrow(_keys, "key long").agg(F.percentile_approx("key", [k / fragments for k in range(1, fragments)])).first()[0]
     cuts = np.unique(np.array(pivots or [0], np.int64))
     pieces = materialize(live.select("class", "grams", "dfs").mapInArrow(lambda x: _fragments(x, cuts), "class long, fragment int, grams array<long>"), "jaccard-fragments")
     postings = materialize(live.select("class", "n", "grams").mapInArrow(lambda x: _prefixes(x, percent), "gram long, class long, n long, place long, alone long"), "jaccard-prefixes")
-    sizes = live.select("class", "n")
+    sizes = materialize(live.select("class", "n"), "jaccard-sizes")
+    discard(live)
 
     # A star for each list: its class with the fewest n-grams of its own is the hub; each class is compared with the hub it meets most.
     hubs = postings.groupBy("gram").agg(F.min(F.struct("alone", "class", "n", "place")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -287,3 +293,17 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: The same over the whole table, for DuckDB.
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r AS (SELECT a AS doc_id, b AS m FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.m = l.a),
+k AS (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id)
+SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(documents.doc_id, coalesce(m, documents.doc_id)) AS component_id
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN k ON k.doc_id = documents.doc_id
+"""
