@@ -17,4 +17,4 @@ QUERIES = {
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
-ORACLE_SQL = {"op2_decontaminate": decontaminate.OP2_SQL}
+ORACLE_SQL = {"op2_decontaminate": decontaminate.OP2_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL}
