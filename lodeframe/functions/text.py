@@ -17,14 +17,13 @@ def jaccard(a: Column, b: Column) -> Column:
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, base 2; 0 for an empty text, null for a null.
 
-    Characters are sorted, so equal ones stand together, and the runs are folded up in one pass.
+    A text has few distinct characters: each is counted by how much shorter the text is without it, which needs no array of all.
     """
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    n = F.length(text).cast("double")
-    term = lambda k: F.when(k > 0, -(k / n) * F.log2(k / n)).otherwise(F.lit(0.0))
-    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("h"))
-    step = lambda s, c: F.struct(c.alias("c"), F.when(s["c"] == c, s["k"] + 1).otherwise(F.lit(1.0)).alias("k"), F.when(s["c"] == c, s["h"]).otherwise(s["h"] + term(s["k"])).alias("h"))
-    return F.when(F.length(text) == 0, F.lit(0.0)).when(text.isNotNull(), F.aggregate(chars, start, step, lambda s: s["h"] + term(s["k"])))
+    n = F.length(text)
+    chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
+    terms = F.transform(F.transform(chars, share), lambda p: -p * F.log2(p))
+    return F.when(n == 0, F.lit(0.0)).when(text.isNotNull(), F.aggregate(terms, F.lit(0.0), lambda s, t: s + t))
 
 
 def combined_sha(digests: Column) -> Column:
