@@ -5,7 +5,9 @@ source can't take is shared again by weight until no target is above its cap (th
 pass over the sources). Weights and schedules repeat over the sources in code-point order, a null source last.
 
 Inside a source the documents stand in hash order. A target of r times the source is floor(r) passes over all of it and a last pass
-that ends where the target is reached, so taken words add up to the rounded target; the document at the end is taken in part.
+that ends where the target is reached. Documents are copied whole: the plan counts the document at that end in part, so that planned
+words add up to the rounded target, and the mix has it once more if at least half of it is planned. Words that the mix takes so miss a
+target by at most half of that one document; `taken` of the mix counts the copies that are really in it.
 A word's place in this sequence, divided by the target, is the source's cumulative demand; the integral of the source's weight
 schedule over training time is inverted at that demand, which gives the training position, and documents are range-sorted by it.
 
@@ -13,7 +15,8 @@ Running sums never gather a source in one task: sizes are first added up by (sou
 inside a bucket of a few thousand rows do rows follow each other.
 
 Defined cases: a null text or one without words has size 0 and takes no words; a source without words has target 0; an empty table
-gives an empty result; repeated rows follow each other and are taken one by one. Columns named `mix` or `position` are replaced.
+gives an empty result; repeated rows follow each other and are taken one by one. Columns named `mix`, `copy` or
+`position` are replaced.
 """
 
 from __future__ import annotations
@@ -95,24 +98,29 @@ def plan_mix(docs: DataFrame, source_col: str = "source", text_col: str = "text"
     return out.select(*names, mix.alias("mix"))
 
 
-def mix_documents(docs: DataFrame, schedules=SCHEDULES, parts: int | None = None, **options) -> DataFrame:
-    """The documents of the mix in training order, as often as they are taken, with their `position` in training time (0 to 1). The one
-    document at the end of a source's last pass is there if at least half of it is taken. Partitions are ranges of positions, sorted."""
-    planned = plan_mix(docs, **options)
+def mix_documents(docs: DataFrame, schedules=SCHEDULES, parts: int | None = None, rest: bool = False, **options) -> DataFrame:
+    """The documents of the mix in training order, as often as they are taken, with their `position` in training time (0 to 1), the number
+    of the `copy` (from 0) and `mix` of the plan, where `taken` is added up from the copies. The one document at the end of a source's last
+    pass is there if at least half of it is planned. Partitions are ranges of positions, sorted. rest: documents that the mix doesn't take
+    are there too, with null copy and position, before the others."""
+    planned = plan_mix(docs.drop("copy"), **options)
     names = [c for c in planned.columns if c != "mix"]
     m = F.col("mix")
-    last = m["open"] & (m["extra"] * 2 >= m["size"])
-    copies = planned.withColumn("_copy", F.explode(F.sequence(F.lit(0), m["passes"] + F.when(last, 1).otherwise(0)))).where(F.col("_copy") < m["passes"] + F.when(last, 1).otherwise(0))
-    at = F.col("_copy") * m["source_size"] + m["start"] + F.when(F.col("_copy") < m["passes"], m["size"]).otherwise(m["extra"]) / 2
+    times = m["passes"] + F.when(m["open"] & (m["extra"] * 2 >= m["size"]), 1).otherwise(0)
+    explode = F.explode_outer if rest else F.explode
+    copies = planned.withColumn("copy", explode(F.when(times > 0, F.sequence(F.lit(0), times - 1))))
+    at = F.col("copy") * m["source_size"] + m["start"] + F.when(F.col("copy") < m["passes"], m["size"]).otherwise(m["extra"]) / 2
     demand = F.least(F.lit(1.0), F.when(m["target"] > 0, at / m["target"]).otherwise(F.lit(0.0)))
     place = F.lit(None).cast("double")
     for k, knots in enumerate(schedules):
         place = F.when(m["rank"] % len(schedules) == k, invert_demand(knots, demand)).otherwise(place)
-    placed = copies.withColumn("position", place)
-    order = ["position", *(c for c in ("doc_id",) if c in names)]
-    return placed.repartitionByRange(parts or shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order).select(*names, "position")
+    placed = copies.withColumn("position", F.when(F.col("copy").isNotNull(), place)).withColumn("mix", m.withField("taken", times * m["size"]))
+    order = ["position", *(c for c in ("doc_id",) if c in names), "mix.rank", "mix.start"]
+    return placed.repartitionByRange(parts or shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order).select(*names, "mix", "copy", "position")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix in training order, a row for each copy, and a row with null copy and position for each document that it doesn't take.
+    taken: words of all copies of the document's row."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return plan_mix(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return mix_documents(docs, rest=True).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "copy", "position")

@@ -82,6 +82,20 @@ def test_mixing_order_follows_the_schedule(spark):
             assert sum(map(w, at)) * t / steps / area == pytest.approx(u, abs=1e-3)
 
 
+def test_op4_is_the_mix_itself(spark, tmp_path, monkeypatch):
+    rows_ = [(i, f"s{i % 3}", "w " * 10) for i in range(300)] + [(1000, "s1", "w " * 900), (1001, "s2", "w " * 901), (None, None, None)]
+    spark.createDataFrame(rows_, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op4_mixing(spark, str(tmp_path)).collect()
+    held = [r for r in got if r.position is not None]
+    assert [r.position for r in held] == sorted(r.position for r in held) and all(0 <= r.position <= 1 for r in held)
+    assert Counter(r.doc_id for r in held) == Counter(r.doc_id for r in mixing.mix_documents(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect())
+    assert {r.doc_id for r in got} == {d for d, *_ in rows_} and all((r.copy is None) == (r.position is None) for r in got)
+    copies = Counter(r.doc_id for r in held)
+    assert all(r.taken == copies[r.doc_id] * r["size"] for r in got)
+    monkeypatch.setattr(mixing.mix_documents, "__defaults__", ((((0.0, 1.0), (1.0, 1.0)),), *mixing.mix_documents.__defaults__[1:]))
+    assert [r.position for r in mixing.op4_mixing(spark, str(tmp_path)).collect()] != [r.position for r in got]
+
+
 def test_sharding(spark):
     rows_ = [(i, f"text {i % 50} " * (i % 50)) for i in range(400)] + [(1000 + i, "copy" * 40) for i in range(300)] + [(2, None), (2, None), (None, ""), (3, "")]
     docs = spark.createDataFrame([(*r, 1) for r in rows_], "doc_id long, text string, shard int")
