@@ -1,14 +1,16 @@
 """LM scoring by cross-entropy difference of two matched n-gram models.
 
 The target model is trained on the documents labelled as wanted, the background model on all documents. Both are interpolated word
-bigram models of the same form: p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU) and p(w) = (c(w) + ADD) / (N + ADD * V). They share one
-vocabulary: words (digits, letters and bytes beyond ASCII, A-Z lower-cased) are hashed into V = 2**WORD_BITS classes, pairs into
-2**PAIR_BITS classes, so every word of every text counts in both models and none is out of vocabulary. A document's score is the mean
-over its tokens of target loss minus background loss, in nats: below 0 the target model fits it better.
+bigram models of the same form: p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU) and p(w) = (c(w) + ADD) / (N + ADD * V). Words (digits,
+letters and bytes beyond ASCII, A-Z lower-cased) and pairs are known by 64-bit hashes; every word and pair of every text has a count of
+its own, so the model grows with the corpus. V is the number of distinct words of the corpus, 2**WORD_BITS at least. A document's score is
+the mean over its tokens of target loss minus background loss, in nats: below 0 the target model fits it better.
 
-Counts cover whole texts of all documents. Each task adds up its counts and sends the classes that it has met, packed by range of
-classes; ranges are summed in two steps. What is gathered so grows with the corpus, while the model has a fixed number of classes:
-8 * (2**PAIR_BITS + 2**WORD_BITS) bytes are collected and broadcast whatever the input is.
+No task holds the model. A token's loss is log(c(v) + MU) - log(c(v, w) + MU * p(w)): the second part needs counts of w and of pairs that
+end in w, the first of v alone. So each block of texts sends its tokens, packed, to the shard of their word; the shard counts words and
+pairs over all blocks, and answers each block with sums of losses for each document. Shards follow the number of tokens
+(SHARD_TOKENS each). Words of more tokens than a quarter of a shard are counted before, their table is broadcast (at most four times as
+many words as there are shards), and their tokens are dealt by pair instead.
 
 Defined cases: null, empty and word-less texts have 0 tokens, losses 0 and score 0; null labels are passed over; without a wanted
 document the target model is the even one; a document labelled twice counts once; a null doc_id is in the background alone; repeated
@@ -18,120 +20,196 @@ rows count each time and are scored alike; columns of docs named like a result a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodeframe.llm.common import WORD_BYTES, add_columns, load, mix, prefix_hash, rows_of, shuffle_parts, split_words, substring_hash, text_chunks
+from lodeframe.llm.common import WORD_BYTES, load, materialize, mix, prefix_hash, release, releasing, rows_of, shuffle_parts, split_words, substring_hash, text_chunks
+from lodeframe.tables import discard
 
-WORD_BITS, PAIR_BITS = 18, 21
+WORD_BITS = 18
 MU, ADD = 4.0, 0.1
-RANGE = 1 << 15
-_PACKED = pa.schema([("range", pa.int32()), ("salt", pa.int32()), ("at", pa.binary()), ("target", pa.binary()), ("background", pa.binary())])
-_COUNTS = "range int, salt int, at binary, target binary, background binary"
+SHARD_TOKENS = 1 << 23
+#: Distinct words that a task gathers before it sends their counts on.
+_GATHERED = 1 << 21
+_REQUEST = "shard int, block long, width int, head binary, words binary, pairs binary, tokens binary"
+_ANSWER = "block long, head binary, rows binary, losses binary"
+_COUNTS = pa.schema([("word", pa.int64()), ("target", pa.int64()), ("background", pa.int64())])
+_REQUESTED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("width", pa.int32()), *((c, pa.binary()) for c in ("head", "words", "pairs", "tokens"))])
+_ANSWERED = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("head", "rows", "losses"))])
+_SCORED = pa.schema([("_row", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64())])
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token its row, word class and pair class, and whether a token of the same row stands before it."""
+    """For each token its row, word and pair (0 if no token of the same row stands before it), and whether one stands after it."""
     low = WORD_BYTES[data]
     starts, ends, first = split_words(data, at, low > 0)
     words, row = substring_hash(prefix_hash(low), starts, ends), rows_of(first)
-    follows = np.zeros(len(words), bool)
-    follows[1:] = row[1:] == row[:-1]
+    follows = np.zeros(len(words) + 1, bool)
+    follows[1:-1] = row[1:] == row[:-1]
     before = np.concatenate([words[:1], words[:-1]])
     pairs = mix(before * np.uint64(0x9FB21C651E98DF25) + words)
-    return row, (words >> np.uint64(64 - WORD_BITS)).astype(np.int64), (pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64), follows
+    pairs = np.where(follows[:-1], np.maximum(pairs, np.uint64(1)), np.uint64(0))
+    return row, words, pairs, follows[1:]
 
 
-def _count(batches: Iterator[pa.RecordBatch], salts: int) -> Iterator[pa.RecordBatch]:
-    """Classes 0 to 2**WORD_BITS are words, those after them pairs."""
-    size = (1 << WORD_BITS) + (1 << PAIR_BITS)
-    counts = {True: np.zeros(size, np.int64), False: np.zeros(size, np.int64)}
+def _wanted(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("wanted").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([p[k] for p in parts]), len(words)).astype(np.int64) for k in (1, 2)]
+    return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *map(pa.array, sums)], schema=_COUNTS)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts, size = [], 0
+    for batch in batches:
+        wanted = _wanted(batch)
+        for a, b, data, at in text_chunks(batch.column("text")):
+            row, words, _, _ = tokens(data, at)
+            words, place = np.unique(words, return_inverse=True)
+            parts.append((words, np.bincount(place, wanted[a:b][row], len(words)), np.bincount(place, minlength=len(words))))
+            size += len(words)
+            if size > _GATHERED:
+                yield _summed(parts)
+                parts, size = [], 0
+    if parts:
+        yield _summed(parts)
+    parts.clear()
+    release()
+
+
+def _of_table(table: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the words are in the broadcast table, and their places in it."""
+    at = np.minimum(np.searchsorted(table[0], words), max(len(table[0]) - 1, 0))
+    return (table[0][at] == words if len(table[0]) else np.zeros(len(words), bool)), at
+
+
+def _requests(batches: Iterator[pa.RecordBatch], shards: int, handle) -> Iterator[pa.RecordBatch]:
+    """A row for each (shard, block of texts): bytes of a token, words, pairs and, in order of both, each token: 16 * row + 8 * (first
+    of its word) + 4 * (first of its pair) + 2 * (a token stands after it) + (its document is wanted). One more with the block's rows
+    and their tokens."""
+    block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        wanted = batch.column("wanted").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+        wanted, ids = _wanted(batch), batch.column("_row").to_numpy()
         for a, b, data, at in text_chunks(batch.column("text")):
-            row, word, pair, follows = tokens(data, at)
-            for kind in (True, False):
-                own = wanted[a:b][row] if kind else np.ones(len(row), bool)
-                if own.any():
-                    counts[kind][: 1 << WORD_BITS] += np.bincount(word[own], minlength=1 << WORD_BITS)
-                    counts[kind][1 << WORD_BITS :] += np.bincount(pair[own & follows], minlength=1 << PAIR_BITS)
-    salt = TaskContext.get().partitionId() % salts
-    for k in range(size // RANGE):
-        own = slice(k * RANGE, (k + 1) * RANGE)
-        at = np.flatnonzero(counts[False][own])
-        if len(at):
-            yield _packed(k, salt, at, counts[True][own][at], counts[False][own][at])
-
-
-def _packed(k: int, salt: int, at: np.ndarray, target: np.ndarray, background: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((k, salt, at.astype(np.uint16).tobytes(), target.astype(np.int64).tobytes(), background.astype(np.int64).tobytes()), _PACKED, strict=True)], schema=_PACKED)
-
-
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums, k = np.zeros((2, RANGE), np.int64), 0
+            row, words, pairs, more = tokens(data, at)
+            common, _ = _of_table(handle.value, words)
+            shard = (np.where(common, pairs ^ words, words) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((pairs, words, shard))
+            shard, words, pairs = shard[order], words[order], pairs[order]
+            new_word = np.ones(len(words), bool)
+            new_word[1:] = (words[1:] != words[:-1]) | (shard[1:] != shard[:-1])
+            new_pair = new_word.copy()
+            new_pair[1:] |= pairs[1:] != pairs[:-1]
+            word_at, pair_at = np.flatnonzero(new_word), np.flatnonzero(new_pair)
+            own = ((row * 16 + more * 2 + wanted[a:b][row])[order] + new_word * 8 + new_pair * 4).astype(np.uint16 if b - a <= 1 << 12 else np.uint32)
+            head = np.stack([ids[a:b], np.bincount(row, minlength=b - a)]).astype(np.int64)
+            out = [(block % shards, block, own.itemsize, head.tobytes(), None, None, None)]
+            cuts = np.searchsorted(shard, np.arange(shards + 1))
+            word_cuts, pair_cuts = np.searchsorted(word_at, cuts), np.searchsorted(pair_at, cuts)
+            word, pair = words[word_at], pairs[pair_at]
+            for s in np.flatnonzero(np.diff(cuts)):
+                own_words, own_pairs = word[word_cuts[s] : word_cuts[s + 1]], pair[pair_cuts[s] : pair_cuts[s + 1]]
+                out.append((int(s), block, own.itemsize, None, own_words.tobytes(), own_pairs.tobytes(), own[cuts[s] : cuts[s + 1]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _REQUESTED, strict=True)], schema=_REQUESTED)
+            block += 1
+        del batch
+        release()
+
+
+def _answer(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANSWERED, strict=True)], schema=_ANSWERED)
+
+
+def _serve(batches: Iterator[pa.RecordBatch], handle, spaces: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+    """A shard: counts of its words and pairs over all blocks, and from them the losses of each block's documents. spaces: N + ADD * V."""
+    parts = []
     for batch in batches:
-        for i in range(batch.num_rows):
-            k = batch.column("range")[i].as_py()
-            at = np.frombuffer(batch.column("at")[i].as_py(), np.uint16).astype(np.int64)
-            for j, name in enumerate(("target", "background")):
-                sums[j][at] += np.frombuffer(batch.column(name)[i].as_py(), np.int64)
-    at = np.flatnonzero(sums[1])
-    yield _packed(k, 0, at, sums[0][at], sums[1][at])
-
-
-def train(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Counts, (2, 2**WORD_BITS + 2**PAIR_BITS): row 0 of the target, row 1 of the background. wanted: ids in a column of that name."""
-    ids = wanted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("wanted", F.lit(True))
-    # Joined by sorting at every size, as labels grow with the corpus.
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "_id", "left").select("text", "wanted")
-    salts = max(1, shuffle_parts(docs.sparkSession) // 8)
-    packed = known.mapInArrow(lambda x: _count(x, salts), _COUNTS)
-    sums = packed.groupBy("range", "salt").applyInArrow(_sum, _COUNTS).groupBy("range").applyInArrow(_sum, _COUNTS)
-    out = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)), np.float32)
-    for r in sums.toLocalIterator():
-        at = np.frombuffer(r.at, np.uint16).astype(np.int64) + r.range * RANGE
-        out[0, at], out[1, at] = np.frombuffer(r.target, np.int64), np.frombuffer(r.background, np.int64)
-    return out
-
-
-@lru_cache(maxsize=1)
-def _opened(handle) -> tuple[np.ndarray, np.ndarray]:
-    counts = handle.value
-    words = counts[:, : 1 << WORD_BITS].astype(np.float64)
-    single = (words + ADD) / (words.sum(1, keepdims=True) + ADD * (1 << WORD_BITS))
-    return counts, single.astype(np.float32)
-
-
-def _losses(batch: pa.RecordBatch, text_col: str, handle) -> dict[str, pa.Array]:
-    counts, single = _opened(handle)
-    n, loss = [], ([], [])
-    for _, _, data, at in text_chunks(batch.column(text_col)):
-        row, word, pair, follows = tokens(data, at)
-        size = np.bincount(row, minlength=len(at) - 1)
-        n.append(size)
-        before = np.concatenate([word[:1], word[:-1]])
-        for k in (0, 1):
-            p = single[k][word].astype(np.float64)
-            context = np.where(follows, counts[k][before], 0.0)
-            both = np.where(follows, np.minimum(counts[k][(1 << WORD_BITS) + pair], context), 0.0)
-            p = (both + MU * p) / (context + MU)
-            loss[k].append(np.bincount(row, -np.log(p), len(at) - 1) / np.maximum(size, 1))
-    flat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-    return {"n_tokens": flat(n, pa.int64()), "loss_target": flat(loss[0], pa.float64()), "loss_background": flat(loss[1], pa.float64())}
-
-
-def score_documents(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, loss_target, loss_background, score and selected (score below 0)."""
-    handle = docs.sparkSession.sparkContext.broadcast(train(docs, wanted, id_col, text_col))
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("loss_target", T.DoubleType()), T.StructField("loss_background", T.DoubleType())]
-    scored = add_columns(docs.drop("score", "selected"), fields, lambda b: _losses(b, text_col, handle))
-    return scored.withColumn("score", F.col("loss_target") - F.col("loss_background")).withColumn("selected", F.col("score") < 0)
+        for k in range(batch.num_rows):
+            block, width, head, words, pairs, own = (batch.column(f.name)[k].as_py() for f in _REQUESTED if f.name != "shard")
+            if head is not None:
+                yield _answer([(block, head, None, None)])
+                continue
+            parts.append((block, np.frombuffer(words, np.uint64), np.frombuffer(pairs, np.uint64), np.frombuffer(own, np.uint16 if width == 2 else np.uint32)))
+    if not parts:
+        return
+    flags = np.concatenate([(p[3] & 15).astype(np.uint8) for p in parts])
+    pair_at = np.flatnonzero(flags & 4)
+    words, word_of = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+    word_of = word_of[np.cumsum((flags[pair_at] & 8) > 0) - 1]
+    pairs, pair_of = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+    some, wanted = np.diff(np.append(pair_at, len(flags))), np.add.reduceat(flags & 1, pair_at, dtype=np.int64)
+    known, at = _of_table(handle.value, words)
+    loss, after = [], []
+    for k, own in enumerate((wanted, some)):
+        count = np.bincount(word_of, own, len(words))
+        count[known] = handle.value[1][k][at[known]]
+        single = (count + ADD) / spaces[k]
+        both = np.bincount(pair_of, own, len(pairs))
+        # A token without one before it has no context: p(w) alone.
+        loss.append(-np.log(np.where(pairs[pair_of] > 0, both[pair_of] + MU * single[word_of], single[word_of])))
+        after.append(np.log(count + MU)[word_of])
+    del words, pairs, pair_of, word_of, wanted, some, pair_at, flags
+    first, out = 0, []
+    for block, _, own, mine in parts:
+        pair = first + np.cumsum((mine & 4) > 0) - 1
+        first += len(own)
+        row, more = (mine >> 4).astype(np.int64), (mine & 2) > 0
+        rows = np.flatnonzero(np.bincount(row))
+        sums = np.stack([np.bincount(row, loss[k][pair] + more * after[k][pair])[rows] for k in (0, 1)])
+        out.append((block, None, rows.astype(np.uint32).tobytes(), sums.astype(np.float32).tobytes()))
+        if len(out) == 64:
+            yield _answer(out)
+            out = []
+    if out:
+        yield _answer(out)
+    del parts, loss, after
+    release()
+
+
+def _assemble(table: pa.Table) -> pa.Table:
+    """Rows of one block, from the answers of all shards."""
+    head = next(x for x in table.column("head").to_pylist() if x is not None)
+    ids, n = np.frombuffer(head, np.int64).reshape(2, -1)
+    sums = np.zeros((2, len(n)))
+    for rows, losses in zip(table.column("rows").to_pylist(), table.column("losses").to_pylist(), strict=True):
+        if rows is not None:
+            sums[:, np.frombuffer(rows, np.uint32)] += np.frombuffer(losses, np.float32).reshape(2, -1)
+    return pa.Table.from_arrays([pa.array(ids), pa.array(n), *(pa.array(x / np.maximum(n, 1)) for x in sums)], schema=_SCORED)
+
+
+def score_documents(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """docs with n_tokens, loss_target, loss_background, score and selected (score below 0). wanted: ids in a column of id_col's name."""
+    spark = docs.sparkSession
+    docs = docs.drop("n_tokens", "loss_target", "loss_background", "score", "selected")
+    ids = wanted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_wanted", F.lit(True))
+    # Joined by sorting at every size, as labels grow with the corpus. Rows get their numbers once, as the table is written.
+    numbered = materialize(docs.join(ids.hint("merge"), F.col(id_col) == F.col("_id"), "left").drop("_id").withColumn("_row", F.monotonically_increasing_id()), "lm-rows")
+    texts = numbered.select("_row", F.col(text_col).alias("text"), F.col("_wanted").alias("wanted"))
+
+    counted = texts.select("text", "wanted").mapInArrow(_count_words, "word long, target long, background long")
+    words = materialize(counted.groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "lm-words")
+    v, *n = words.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("target", "background"))).first()
+    spaces = tuple(x + ADD * max(v, 1 << WORD_BITS) for x in n)
+    shards = max(shuffle_parts(spark), -(-n[1] // shard_tokens))
+    common = sorted((r.word % (1 << 64), r.target, r.background) for r in words.where(F.col("background") > n[1] / shards / 4).collect())
+    discard(words)
+    table = (np.array([c[0] for c in common], np.uint64), np.array([c[1:] for c in common], np.float64).reshape(-1, 2).T)
+    handle = spark.sparkContext.broadcast(table)
+
+    def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _serve(batches, handle, spaces)
+
+    answers = texts.mapInArrow(lambda x: _requests(x, shards, handle), _REQUEST).groupBy("shard").applyInArrow(serve, _ANSWER)
+    scored = answers.groupBy("block").applyInArrow(releasing(_assemble), "_row long, n_tokens long, loss_target double, loss_background double")
+    out = numbered.drop("_wanted").join(scored, "_row").drop("_row")
+    return out.withColumn("score", F.col("loss_target") - F.col("loss_background")).withColumn("selected", F.col("score") < 0)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,28 @@ def test_losses_equal_a_dictionary_model(spark):
     assert lm_scoring.score_documents(docs.limit(0), labels.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_tokens", [1 << 23, 5000])
+def test_every_word_and_pair_has_its_own_count(spark, shard_tokens):
+    """More distinct words than 2**WORD_BITS, and as many pairs; some common words. Held against exact counts."""
+    rnd = random.Random(6)
+    lists = [[f"x{(i * 1200 + j) // 2}" if j % 4 else rnd.choice(("the", "of")) for j in range(1200)] for i in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lists)], "doc_id long, text string").repartition(4)
+    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    for i, w in enumerate(lists):
+        for k in ([0] if i % 3 == 0 else []) + [1]:
+            uni[k].update(w)
+            bi[k].update(zip(w, w[1:]))
+    v = max(len(uni[1]), 2**lm_scoring.WORD_BITS)
+    assert v > 2**lm_scoring.WORD_BITS
+    p1 = lambda k, w: (uni[k][w] + lm_scoring.ADD) / (uni[k].total() + lm_scoring.ADD * v)
+    got = {r.doc_id: r for r in lm_scoring.score_documents(docs, spark.range(0, 600, 3).withColumnRenamed("id", "doc_id"), shard_tokens=shard_tokens).collect()}
+    assert len(got) == 600
+    for i in range(0, 600, 37):
+        w = lists[i]
+        want = [-math.log(p1(k, w[0])) - sum(math.log((bi[k][a, b] + lm_scoring.MU * p1(k, b)) / (uni[k][a] + lm_scoring.MU)) for a, b in zip(w, w[1:])) for k in (0, 1)]
+        assert got[i].n_tokens == 1200 and (got[i].loss_target, got[i].loss_background) == pytest.approx([x / 1200 for x in want], rel=1e-6)
+
+
 def test_target_like_documents_score_lower(spark):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choices([f"{'a' if i % 2 else 'b'}{k}" for k in range(60)], k=40))) for i in range(400)]
