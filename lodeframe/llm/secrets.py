@@ -1,7 +1,9 @@
 """Secret scans: candidates from the texts, and a random forest that takes the false positives out.
 
 A candidate is a maximal run of at least `MIN_LENGTH` of the characters A-Z a-z 0-9 + / = _ - that has a digit, or is of 20 and more and
-mixes cases inside. Whole texts are scanned, without a limit on candidates. Features of a candidate: length, shares of character
+mixes cases inside. A second form, of any length and alphabet, is the value assigned (= : := => ==) to a name with one of the words FOR in
+it: up to the closing quote of the same line, or to the next space or quote. A value of the second form that is also one of the first is one
+candidate. Whole texts are scanned, without a limit on candidates. Features of a candidate: length, shares of character
 classes, entropy, changes of class from one character to the next, how usual its character transitions are (the corpus' own table of
 byte pairs, counted over all texts), how much of it known words cover, whether it is in a path or URL, what stands around it (quotes,
 assignment) and which words stand before it.
@@ -58,7 +60,7 @@ def _features(before: bytes, found: bytes, after: bytes, table: np.ndarray) -> l
     kinds = np.select([_DIGITS[raw], _UPPER[raw], _LOWER[raw]], [0, 1, 2], 3)
     counts = np.bincount(raw)
     p = counts[counts > 0] / n
-    low = found.decode("ascii").lower()
+    low = found.decode("latin-1").lower()  # a character for each byte
     covered = bytearray(n)
     for w in KNOWN:
         at = low.find(w)
@@ -74,8 +76,8 @@ def _features(before: bytes, found: bytes, after: bytes, table: np.ndarray) -> l
         float(n),
         *(float(np.mean(kinds == k)) for k in range(4)),
         float(-(p * np.log2(p)).sum()),
-        float(np.mean(kinds[1:] != kinds[:-1])),
-        float(table[raw[:-1], raw[1:]].mean()),
+        float(np.mean(kinds[1:] != kinds[:-1])) if n > 1 else 0.0,
+        float(table[raw[:-1], raw[1:]].mean()) if n > 1 else 0.0,
         sum(covered) / n,
         float(low.count("/")),
         float("://" in stem or stem.endswith("/") or "\\" in stem or re.match(rb"\.[a-z]{2,4}\b", after) is not None),
@@ -85,14 +87,14 @@ def _features(before: bytes, found: bytes, after: bytes, table: np.ndarray) -> l
         float(any(w in AGAINST for w in near)),
         float(min(reach, default=20)),
         float(re.fullmatch(r"[0-9a-f-]+", low) is not None),
-        float(low.isdigit()),
+        float(found.isdigit()),
         len(set(low)) / n,
         float(max((len(x) for x in re.findall(r"\d+", low)), default=0)),
     ]
 
 
 def _runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(row, start, end) of each candidate."""
+    """(row, start, end) of each candidate of the first form."""
     starts, ends, first = split_words(data, at, _CHARS[data])
     row = np.repeat(np.arange(len(at) - 1), np.diff(first))
     some = ends - starts >= MIN_LENGTH
@@ -105,12 +107,44 @@ def _runs(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(row[ok].tolist(), starts[ok].tolist(), ends[ok].tolist(), strict=True)
 
 
+_ASSIGN = re.compile(rb":=|=>|={1,3}|:")
+_VALUE = re.compile(rb"[ \t]*(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|`([^`\r\n]+)`|[\"'`]?([^\s\"'`]+))")
+_NAME_BYTES = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+
+
+def _assigned(text: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of each value that is assigned to a name with a word of FOR, from left to right; none begins inside another."""
+    at = 0
+    while m := _ASSIGN.search(text, at):
+        at, end = m.end(), m.start()
+        while end and text[end - 1] in b" \t":
+            end -= 1
+        if end and text[end - 1] in b"\"'`":
+            end -= 1
+        start = end
+        while start and text[start - 1] in _NAME_BYTES:
+            start -= 1
+        name = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text[start:end].decode("ascii")).lower()
+        if any(w in FOR for w in re.findall(r"[a-z0-9]+", name)) and (v := _VALUE.match(text, m.end())):
+            yield v.span(v.lastindex)
+            at = v.end()
+
+
+def _candidates(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, start, end) of each candidate of either form."""
+    found = set(_runs(data, at))
+    for row in range(len(at) - 1):
+        first = int(at[row])
+        found.update((row, first + a, first + b) for a, b in _assigned(data[first : at[row + 1]].tobytes()))
+    yield from sorted(found)
+
+
 def _scan(batches: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
     table = handle.value
     for batch in batches:
         out = []
         for first, _, data, at in text_chunks(batch.column("text")):
-            for row, a, b in _runs(data, at):
+            for row, a, b in _candidates(data, at):
                 lo, hi = max(at[row], a - AROUND), min(at[row + 1], b + AROUND)
                 found = data[a:b].tobytes()
                 out.append((batch.column("doc_id")[first + row].as_py(), a - at[row], b - at[row], hashlib.sha256(found).hexdigest(), _features(data[lo:a].tobytes(), found, data[b:hi].tobytes(), table)))
@@ -138,7 +172,7 @@ def transitions(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 0) -> list[tuple[str, str, str, int]]:
-    """n findings (before, candidate, after, label), half of them secrets."""
+    """n findings (before, candidate, after, label), half of them secrets, and n // 4 more of assigned values in any alphabet and length."""
     rnd = random.Random(seed)
     pick = lambda chars, k: "".join(rnd.choices(chars, k=k))
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
@@ -179,11 +213,18 @@ def labelled_findings(n: int = FINDINGS, seed: int = 0) -> list[tuple[str, str,
             quote = rnd.choice(('"', "'", ""))
             name = rnd.choice((*FOR, "api_key", "client_secret", "AUTH_TOKEN", "access_key"))
             out.append((f"{filler()} {name}{rnd.choice((' = ', '=', ': ', ' '))}{quote}", secret(), quote + " " + filler(), 1))
+    symbols = "@!#$%.:^&*?"
+    passwords = (lambda: pick(string.ascii_lowercase, rnd.randint(5, 24)), lambda: pick(string.ascii_letters, rnd.randint(6, 19)), lambda: pick(alnum, rnd.randint(5, 11)), lambda: pick(alnum + symbols, rnd.randint(6, 24)), lambda: word().capitalize() + pick(symbols, 1) + pick(string.digits, rnd.randint(2, 4)), lambda: f"{pick(alnum, 3)}{rnd.choice(symbols)}{pick(alnum, rnd.randint(3, 9))}!{pick(string.digits, 4)}")
+    fixed = ("true", "false", "null", "None", "required", "string", "str", "your_password", "yourpassword", "changeme", "example", "password", "passwords", "value", "token", "undefined", "optional", "placeholder", "********", "xxxxxxxx", "<password>", "<your-token>", "${PASSWORD}", "$TOKEN", "{{ secret }}", "%s", "...", "config.password", "settings.api_key,", "os.environ['TOKEN']", "process.env.SECRET", "getpass.getpass()", "request.token", "user", "id", "name", "a", "the", "is", "to")
+    for k in range(n // 4):
+        quote = rnd.choice(('"', "'", ""))
+        name = rnd.choice((*FOR, "api_key", "client_secret", "AUTH_TOKEN", "db_password"))
+        out.append((f"{filler()} {name}{rnd.choice((' = ', '=', ': ', ':', ' => '))}{quote}", rnd.choice(passwords)() if k % 2 == 0 else rnd.choice(fixed), quote + " " + filler(), 1 - k % 2))
     return out
 
 
 def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, int]], table: np.ndarray, seed: int = 7):
-    rows = [(*_features(b.encode()[-AROUND:], c.encode(), a.encode()[:AROUND], table), float(y)) for b, c, a, y in findings if len(c) >= MIN_LENGTH]
+    rows = [(*_features(b.encode()[-AROUND:], c.encode(), a.encode()[:AROUND], table), float(y)) for b, c, a, y in findings]
     # One partition, so that the samples of the trees are the same on any cluster.
     frame = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in (*NAMES, "label"))).coalesce(1)
     vectors = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(frame).select("features", "label")

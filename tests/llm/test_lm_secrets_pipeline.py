@@ -104,6 +104,21 @@ def test_held_out_findings(spark):
     assert np.mean([r.label == r.prediction for r in got]) > 0.97
 
 
+def test_assigned_values_of_any_length_and_alphabet(spark):
+    values = ["P@ssw0rd!2024", "qzkvjwxp", "TrQvbnZkLpWx", "a#7", "kvzq$wpx%é", "vqkzjxwpbnmtrgfdsqwz"]
+    forms = ['password = "{}" x', "client_secret: '{}'", "x AUTH_TOKEN={} y", '{{"apiKey": "{}"}}', "userPassword => `{}`"]
+    rows = [(i, f.format(v), v) for i, (f, v) in enumerate((f, v) for f in forms for v in values)] + [(900, 'monkey = "abc" note: short', None), (901, 'token = "', None), (902, "key=" * 30_000, None)]
+    got = {}
+    for r in secrets.scan_secrets(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.start, r.end] = r.is_secret
+    for i, t, v in rows[:-3]:
+        a = t.encode().index(v.encode())
+        assert (a, a + len(v.encode())) in got[i], (t, got.get(i))
+    assert 900 not in got and 901 not in got and len(got[902]) <= 2
+    sure = [got[i][t.index(v), t.index(v) + len(v)] for i, t, v in rows[:-3] if v == "P@ssw0rd!2024"]
+    assert sum(sure) >= 4, sure
+
+
 def test_planted_tokens_are_secrets_and_numbers_are_not(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
