@@ -1,7 +1,7 @@
 """URL filters: association rules over URL tokens, mined by FP-growth from labelled pages, beside a fixed list of host and path rules.
 
 Tokens of a URL are its scheme, each suffix of its host, its path segments (digits folded) and the names of its query parameters.
-FP-growth mines combinations that occur with the label; a rule needs support, confidence and lift, and is dropped if a rule of
+FP-growth mines combinations that occur with the label; a rule of any length needs support and confidence, and is dropped if a rule of
 fewer tokens inside it is at least as confident. Rules are matched by an inverted index: each rule stands under its rarest token
 alone, a page looks up its own tokens, and the remaining tokens of a found rule are then compared.
 
@@ -22,8 +22,6 @@ from lodeframe.llm.common import load
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
-MIN_LIFT = 1.5
-MAX_TOKENS = 4
 #: The token that stands for the label among the items.
 BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,7 +52,7 @@ def url_tokens(url: Column) -> Column:
     return F.when(host != "", tokens).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """labelled: (tokens array<string>, bad boolean). Returns tokens, confidence, support, lift of the pruned rules tokens -> bad."""
     spark = labelled.sparkSession
     items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
@@ -62,10 +60,10 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     if not items.where(F.array_contains("items", BAD)).take(1):
         return empty
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= max_tokens) & (F.col("lift") >= min_lift))
+    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift")
-    inner = rules.select(F.col("tokens").alias("_t"), F.col("confidence").alias("_c"), F.explode("tokens").alias("_token"))
-    # A rule loses to any rule of which the tokens are a proper part of its own: they share a token, so an equi-join finds them.
+    inner = rules.select(F.col("tokens").alias("_t"), F.col("confidence").alias("_c"), F.col("tokens")[0].alias("_token"))
+    # A rule loses to any rule of which the tokens are a proper part of its own: it has the first of them, so an equi-join finds them.
     lost = rules.withColumn("_token", F.explode("tokens")).join(inner, "_token").where((F.size("_t") < F.size("tokens")) & (F.size(F.array_except("_t", "tokens")) == 0) & (F.col("_c") >= F.col("confidence"))).select("tokens").distinct()
     return rules.join(lost, "tokens", "left_anti")
 

@@ -145,3 +145,13 @@ def test_mined_rules_block_and_agree_with_a_scan(spark):
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)] + [(999, "http://zz.org/bad/1")], "page_id long, url string")
     got = {r.url: r.verdict for r in url_rules.judge_urls(pages, rules).collect()}
     assert all((got[u] == "block") == b for u, b in urls) and got["http://zz.org/bad/1"] == "block"
+
+
+def test_long_rules_and_rules_of_mostly_bad_labels_are_kept(spark):
+    five = ("bad", "a", "b", "x", "y")
+    url = lambda h, a, b, x, y: f"http://{h}.org/{a}/{b}?{x}=1&{y}=2"
+    # Only all five tokens together are bad: with any four of them, half of the pages are not.
+    urls = [(url(*five), True)] * 20 + [(url(*[f"no{k}" if k == j else t for k, t in enumerate(five)]), False) for j in range(5)] * 20
+    for labelled, bad in ((urls, url(*five)), ([("http://h.org/bad", True)] * 40 + [("http://h.org/ok", False)] * 10, "http://z.org/bad")):
+        rules = url_rules.mine_rules(spark.createDataFrame(labelled, "url string, bad boolean").select(url_rules.url_tokens(url_rules.F.col("url")).alias("tokens"), "bad"))
+        assert [r.verdict for r in url_rules.judge_urls(spark.createDataFrame([(1, bad)], "page_id long, url string"), rules).collect()] == ["block"]
