@@ -25,10 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the group's smallest id. Documents without a word stay."""
-    leaders = join_near(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(leaders, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    return kept.select(*docs.columns)
+    """One row of each group of near copies stays: the one of the smallest id, nulls last, then the first row. Rows without a word stay.
+    Rows are numbered where they are read, so docs has to be a table that every read gives in one order, as stored tables are."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    near = join_near(numbered, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    ranked = numbered.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("_rank")).join(near, "_row")
+    leaders = ranked.groupBy("component_id").agg(F.min("_rank").alias("_rank")).select("_rank._row")
+    return numbered.join(leaders, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

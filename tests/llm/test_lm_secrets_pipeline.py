@@ -164,3 +164,11 @@ def test_stages_take_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, frame, "/root/testdata/sf0.001").collect()
     assert find_contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 6
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b, c = ("".join(f"{x}{k} " for k in range(40)) for x in "abc")
+    rows = [(None, a), (None, a), (None, a + "end"), (7, b), (7, b), (7, c), (None, b), (9, c), (None, None), (None, ""), (7, "")]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter((r.doc_id, r.text) for r in got if r.text) == {(None, a): 1, (7, b): 1, (7, c): 1}
+    assert sum(not r.text for r in got) == 3
