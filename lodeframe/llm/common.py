@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeframe.tables import materialize, shared_dir  # noqa: F401
@@ -32,6 +33,66 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters are in it."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def packed(df: DataFrame, keep: list[str] | None = None) -> Column:
+    """The columns of a row (all, or those of `keep`) as one struct `_doc`, so that no name of theirs meets one of an operator's."""
+    return F.struct(*[named(c) for c in (df.columns if keep is None else keep)]).alias("_doc")
+
+
+def unpacked(keep: list[str], new: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of `_doc` again. Those that have the name of a new column are left out."""
+    taken = {n.lower() for n in new}
+    return [F.col("_doc")[c].alias(c) for c in keep if c.lower() not in taken]
+
+
+def aliased(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with plain numbered column names, and the new name of each column: no name of df's meets one of an operator's."""
+    names = [f"_c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
+#: A key is heavy if more than this share of all rows has it: at most HEAVY keys are.
+HEAVY = 8192
+ROWS_PER_BUCKET = 2048
+
+
+def join_heavy(left: DataFrame, right: DataFrame, key: str, rows: int, count: str) -> DataFrame:
+    """left joined (inner) with right, which has one row for each key and the number of left's rows with it in `count`. Rows of heavy keys
+    meet a broadcast table of at most HEAVY rows where they stand; all others are joined by key."""
+    heavy = F.broadcast(right.where(F.col(count) * HEAVY > rows))
+    light = right.where(F.col(count) * HEAVY <= rows)
+    return left.join(heavy, key).unionByName(left.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
+def range_shift(rows: int, bits: int = 63) -> int:
+    """By how many bits to shift an evenly spread key of `bits` bits so that a bucket holds about ROWS_PER_BUCKET of the rows."""
+    return bits - min(bits - 1, max(0, (max(rows, 1) // ROWS_PER_BUCKET).bit_length()))
+
+
+def running_sum(df: DataFrame, part: list[str], order: str, weight: str, out: str, shift: int) -> DataFrame:
+    """df with the sum of `weight` over the rows before each row, inside its `part`, in order of the long column `order`.
+
+    No part is sorted in one task: weights are added up by (part, order, `_part`), where `_part` is a number that df's rows got where they
+    were read and that bounds how many equal rows share it; those sums are run through inside buckets (order >> shift), and bucket sums
+    inside a part. Rows of equal order are interchangeable: they get the same set of sums whatever their `_part` is. df is a stored table.
+    """
+    key = [*part, order, "_part"]
+    units = df.groupBy(*key).agg(F.sum(weight).alias("_w")).withColumn("_bucket", F.shiftright(order, shift))
+    totals = units.groupBy(*part, "_bucket").agg(F.sum("_w").alias("_sum"))
+    earlier = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*part, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*part, "_bucket").orderBy(order, "_part").rowsBetween(Window.unboundedPreceding, -1)
+    units = units.join(totals, [*part, "_bucket"])
+    units = units.select(*key, (F.col("_before") + F.coalesce(F.sum("_w").over(inside), F.lit(0))).alias("_before"))
+    equals = Window.partitionBy(*key).orderBy(weight).rowsBetween(Window.unboundedPreceding, -1)
+    joined = df.join(units, key).withColumn(out, F.col("_before") + F.coalesce(F.sum(weight).over(equals), F.lit(0)))
+    return joined.drop("_before")
+
+
 def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], dict[str, pa.Array]]) -> DataFrame:
     """df with columns that fn computes from each Arrow batch. Columns of df that have the name of a new one are replaced."""
     new = {f.name for f in fields}
@@ -103,7 +164,7 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64, and of its inverse."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES * 5 // 4)
+        size = max(n, CHUNK_BYTES * 9 // 4)
         for name, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
             steps = np.full(size, np.uint64(base))
             steps[0] = 1
@@ -133,6 +194,32 @@ def substring_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """substring_hash() of the whole of data, piece by piece."""
+    up, total = powers(CHUNK_BYTES)[0], 0
+    for a in range(0, len(data), CHUNK_BYTES):
+        piece = data[a : a + CHUNK_BYTES].astype(np.uint64) + np.uint64(1)
+        total += pow(int(_BASE), a, 1 << 64) * int((piece * up[: len(piece)]).sum(dtype=np.uint64))
+    return mix(np.array([(total + len(data)) % (1 << 64)], np.uint64))[0]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """substring_hash() of words in order of place. A text of any length needs 60 bytes of memory for each byte of one chunk, and a few
+    for each of the others; a word longer than a chunk is added up in pieces."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = int(np.searchsorted(ends, starts[i] + 2 * CHUNK_BYTES, "right"))
+        if j == i:
+            out[i] = _long_hash(data[starts[i] : ends[i]])
+            i += 1
+        else:
+            base = starts[i]
+            out[i:j] = substring_hash(prefix_hash(data[base : ends[j - 1]]), starts[i:j] - base, ends[i:j] - base)
+            i = j
+    return out
+
+
 # ---------------------------------------------------------------- words
 
 

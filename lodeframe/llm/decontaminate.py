@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import WORD_BYTES, add_columns, load, materialize, prefix_hash, rows_of, spans, split_words, substring_hash, text_chunks, windows
+from lodeframe.llm.common import WORD_BYTES, add_columns, aliased, load, materialize, rows_of, spans, split_words, text_chunks, windows, word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
@@ -41,7 +41,7 @@ FIELDS = [
 def _words(data: np.ndarray, at: np.ndarray):
     low = WORD_BYTES[data]
     starts, ends, first = split_words(data, at, low > 0)
-    return low, starts, ends, first, substring_hash(prefix_hash(low), starts, ends)
+    return low, starts, ends, first, word_hashes(low, starts, ends)
 
 
 class WindowIndex:
@@ -156,11 +156,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     stands between words of one run) out of the texts."""
     if remove not in ("document", "span"):
         raise ValueError(f"remove must be document or span, not {remove!r}")
-    found = find_contamination(docs, benchmark, text_col, **options)
+    plain, known = aliased(docs)
+    text = known[text_col]
+    found = find_contamination(plain, benchmark, text, **options)
     if remove == "document":
-        return found.where("n_hit = 0").select(*docs.columns)
-    return add_columns(found, [T.StructField(text_col, T.StringType())], lambda batch: _cut(batch, text_col)).select(*docs.columns)
-
+        return found.where("n_hit = 0").select(*plain.columns).toDF(*docs.columns)
+    cut = add_columns(found, [T.StructField(text, T.StringType())], lambda batch: _cut(batch, text))
+    return cut.select(*plain.columns).toDF(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

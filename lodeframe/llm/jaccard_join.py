@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import LOWER, SPACES, load, materialize, mix, prefix_hash, release, releasing, rows_of, shuffle_parts, split_words, substring_hash, text_chunks, windows
+from lodeframe.llm.common import LOWER, SPACES, load, materialize, mix, release, releasing, rows_of, shuffle_parts, split_words, text_chunks, windows, word_hashes
 from lodeframe.llm.components import components
 from lodeframe.tables import discard
 
@@ -52,7 +52,7 @@ def shingles(data: np.ndarray, at: np.ndarray, n: int = NGRAM) -> tuple[np.ndarr
     """(row, hash) of each distinct n-gram, sorted by both."""
     low = LOWER[data]
     starts, ends, first = split_words(low, at, ~SPACES[low])
-    words, row = substring_hash(prefix_hash(low), starts, ends), rows_of(first)
+    words, row = word_hashes(low, starts, ends), rows_of(first)
     grams = windows(words, n)
     inside = row[: len(grams)] == row[n - 1 :] if len(grams) else np.zeros(0, bool)
     rows, hashes = [row[: len(grams)][inside]], [grams[inside]]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import WORD_BYTES, load, materialize, mix, prefix_hash, release, releasing, rows_of, shuffle_parts, split_words, substring_hash, text_chunks
+from lodeframe.llm.common import WORD_BYTES, load, materialize, mix, release, releasing, rows_of, shuffle_parts, split_words, text_chunks, word_hashes
 from lodeframe.tables import discard
 
 WORD_BITS = 18
@@ -47,7 +47,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """For each token its row, word and pair (0 if no token of the same row stands before it), and whether one stands after it."""
     low = WORD_BYTES[data]
     starts, ends, first = split_words(data, at, low > 0)
-    words, row = substring_hash(prefix_hash(low), starts, ends), rows_of(first)
+    words, row = word_hashes(low, starts, ends), rows_of(first)
     follows = np.zeros(len(words) + 1, bool)
     follows[1:-1] = row[1:] == row[:-1]
     before = np.concatenate([words[:1], words[:-1]])

@@ -4,37 +4,42 @@ Every source gets a target number of words: `share` times all words, by weight,
 source can't take is shared again by weight until no target is above its cap (the water level is found in closed form from one sorted
 pass over the sources). Weights and schedules repeat over the sources in code-point order, a null source last.
 
-Inside a source the documents stand in hash order. A target of r times the source is floor(r) passes over all of it and a last pass
-that ends where the target is reached. Documents are copied whole: the plan counts the document at that end in part, so that planned
-words add up to the rounded target, and the mix has it once more if at least half of it is planned. Words that the mix takes so miss a
-target by at most half of that one document; `taken` of the mix counts the copies that are really in it.
+Inside a source the documents stand in order of a hash of their id and text, which depends on nothing else. A target of r times the
+source is floor(r) passes over all of it and a last pass that ends where the target is reached. Documents are copied whole: the plan
+counts the document at that end in part, so that planned words add up to the rounded target, and the mix has it once more if at least
+half of it is planned. Words that the mix takes so miss a target by at most half of that one document; `taken` of the mix counts the
+copies that are really in it.
+
 A word's place in this sequence, divided by the target, is the source's cumulative demand; the integral of the source's weight
 schedule over training time is inverted at that demand, which gives the training position, and documents are range-sorted by it.
 
-Running sums never gather a source in one task: sizes are first added up by (source, bucket), those sums are run through, and only
-inside a bucket of a few thousand rows do rows follow each other.
+Sizes are counted once, as the table is written to the shared folder. Running sums never gather a source, or the copies of one
+document, in one task (common.running_sum).
 
 Defined cases: a null text or one without words has size 0 and takes no words; a source without words has target 0; an empty table
-gives an empty result; repeated rows follow each other and are taken one by one. Columns named `mix`, `copy` or
-`position` are replaced.
+gives an empty result; repeated rows follow each other and are taken one by one; equal positions are in order of source, place and
+hash; a text of any length is one document, and counted where it stands. The input row travels as one struct, so no column of it is
+mistaken for one of the operator's; input columns that are named like a column of the result (mix, copy, position) are left out.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import load, materialize, shuffle_parts
+from lodeframe.llm.common import load, materialize, named, packed, range_shift, running_sum, shuffle_parts, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 #: Weight over training time, as (time, weight) knots with straight lines between them: early, even, late.
-SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)))
-ROWS_PER_BUCKET = 2000
+SCHEDULES = (
+    ((0.0, 1.5), (1.0, 0.5)),
+    ((0.0, 1.0), (1.0, 1.0)),
+    ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)),
+)
 WORD = r"[^\x20\x09-\x0D]+"
+NEW = ("mix", "copy", "position")
 
 
 def _areas(knots) -> list[float]:
@@ -58,53 +63,81 @@ def invert_demand(knots, demand: Column) -> Column:
         slope = (w1 - w0) / (2 * (t1 - t0))
         own = F.greatest(c - F.lit(areas[k]), F.lit(0.0))
         root = F.lit(float(w0)) + F.sqrt(F.greatest(F.lit(float(w0 * w0)) + own * F.lit(4 * slope), F.lit(0.0)))
-        out = F.when(c <= F.lit(areas[k + 1]), F.lit(float(t0)) + F.when(root > 0, 2 * own / root).otherwise(F.lit(0.0))).otherwise(out)
+        time = F.lit(float(t0)) + F.when(root > 0, 2 * own / root).otherwise(F.lit(0.0))
+        out = F.when(c <= F.lit(areas[k + 1]), time).otherwise(out)
     return out
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """sizes: (_source, source, source_size), a row for each source. Adds target and rank (from 0)."""
+    """sizes: (_source, source, source_size), a row for each source. Returns _source, source_size, rank (from 0) and target."""
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     # One row for each source: the only windows over a whole table are over these rows.
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    ranked = ranked.withColumn("_w", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("_most", F.col("source_size") * F.lit(float(cap))).withColumn("_level", F.col("_most") / F.col("_w"))
+    ranked = ranked.withColumn("_w", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")))
+    ranked = ranked.withColumn("_most", F.col("source_size") * F.lit(float(cap))).withColumn("_level", F.col("_most") / F.col("_w"))
     before = Window.orderBy("_level", "rank").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    ranked = ranked.withColumn("_rest", F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("_most").over(before), F.lit(0.0))).withColumn("_open", F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    ranked = ranked.withColumn("_lambda", F.when(F.col("_rest") / F.col("_open") <= F.col("_level"), F.col("_rest") / F.col("_open")))
-    ranked = ranked.withColumn("_lambda", F.max("_lambda").over(every))
-    return ranked.select("_source", "source_size", "rank", F.when(F.col("_lambda").isNull(), F.col("_most")).otherwise(F.least("_most", F.col("_lambda") * F.col("_w"))).alias("target"))
+    rest = F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("_most").over(before), F.lit(0.0))
+    open_ = F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
+    ranked = ranked.withColumn("_rest", rest).withColumn("_open", open_)
+    level = F.when(F.col("_rest") / F.col("_open") <= F.col("_level"), F.col("_rest") / F.col("_open"))
+    ranked = ranked.withColumn("_lambda", level).withColumn("_lambda", F.max("_lambda").over(every))
+    target = F.when(F.col("_lambda").isNull(), F.col("_most")).otherwise(F.least("_most", F.col("_lambda") * F.col("_w")))
+    return ranked.select("_source", "source_size", "rank", target.alias("target"))
+
+
+def _planned(docs: DataFrame, keep: list[str], source_col: str, text_col: str, id_col: str, weights, share: float, cap: float) -> DataFrame:
+    """_doc, mix and _order of each row."""
+    text, source = named(text_col), named(source_col).cast("string")
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(17), named(id_col), text), 1)
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select(
+        packed(docs, keep),
+        size.alias("_size"),
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("_source"),
+        order.alias("_order"),
+        F.spark_partition_id().alias("_part"),
+    )
+    stored = materialize(sized, "mixing-sized")
+    totals = stored.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    name = F.when(F.col("_source") != "n", F.substring("_source", 2, 1 << 30))
+    totals = materialize(totals.withColumn("source", name), "mixing-sources")
+    rows = totals.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    placed = running_sum(stored, ["_source"], "_order", "_size", "_start", range_shift(rows))
+    # A row for each source, joined by key: AQE broadcasts it while it is small.
+    out = placed.join(source_targets(totals, weights, share, cap), "_source")
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    out = out.withColumn("_passes", passes)
+    out = out.withColumn("_want", F.round(F.col("target") - F.col("_passes") * F.col("source_size")).cast("long"))
+    out = out.withColumn("_extra", F.least("_size", F.greatest(F.lit(0), F.col("_want") - F.col("_start"))))
+    mix = F.struct(
+        F.col("_size").alias("size"),
+        "source_size",
+        "target",
+        (F.col("_passes") * F.col("_size") + F.col("_extra")).alias("taken"),
+        "rank",
+        F.col("_passes").alias("passes"),
+        F.col("_start").alias("start"),
+        F.col("_extra").alias("extra"),
+        (F.col("_start") < F.col("_want")).alias("open"),
+    )
+    return out.select("_doc", mix.alias("mix"), "_order")
 
 
 def plan_mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """docs with a struct column mix: size, source_size, target, taken, rank, passes (whole passes over the source), start (words of
-    the source before this document) and extra (words taken of it in the last pass)."""
-    base = docs.drop("mix", "position")
-    names = base.columns
-    sized = base.select(*names, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("_source"))
-    totals = materialize(sized.groupBy("_source", F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("rows")), "mixing-sources")
-    buckets = max(1, math.ceil((totals.agg(F.sum("rows")).first()[0] or 0) / ROWS_PER_BUCKET))
-    order = F.xxhash64(F.lit(17), F.col(id_col))
-    sized = sized.withColumn("_order", order).withColumn("_bucket", F.pmod("_order", F.lit(buckets)))
-    sums = sized.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_sum")).drop("_sum")
-    offsets = before.join(source_targets(totals.drop("rows"), weights, share, cap), "_source")
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_order", F.col(id_col), "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = sized.join(offsets, ["_source", "_bucket"]).withColumn("_start", F.col("_before") + F.sum("_size").over(inside) - F.col("_size"))
-    out = out.withColumn("_passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    want = F.round(F.col("target") - F.col("_passes") * F.col("source_size")).cast("long")
-    out = out.withColumn("_want", want).withColumn("_extra", F.least("_size", F.greatest(F.lit(0), F.col("_want") - F.col("_start"))))
-    mix = F.struct(F.col("_size").alias("size"), "source_size", "target", (F.col("_passes") * F.col("_size") + F.col("_extra")).alias("taken"), "rank", F.col("_passes").alias("passes"), F.col("_start").alias("start"), F.col("_extra").alias("extra"), (F.col("_start") < F.col("_want")).alias("open"))
-    return out.select(*names, mix.alias("mix"))
-
-
-def mix_documents(docs: DataFrame, schedules=SCHEDULES, parts: int | None = None, rest: bool = False, **options) -> DataFrame:
+    the source before this document), extra (words taken of it in the last pass) and open (whether the last pass reaches it)."""
+    planned = _planned(docs, docs.columns, source_col, text_col, id_col, weights, share, cap)
+    return planned.select(*unpacked(docs.columns, ("mix",)), "mix")
+
+
+def mix_documents(docs: DataFrame, schedules=SCHEDULES, parts: int | None = None, rest: bool = False, keep: list[str] | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The documents of the mix in training order, as often as they are taken, with their `position` in training time (0 to 1), the number
     of the `copy` (from 0) and `mix` of the plan, where `taken` is added up from the copies. The one document at the end of a source's last
     pass is there if at least half of it is planned. Partitions are ranges of positions, sorted. rest: documents that the mix doesn't take
-    are there too, with null copy and position, before the others."""
-    planned = plan_mix(docs.drop("copy"), **options)
-    names = [c for c in planned.columns if c != "mix"]
+    are there too, with null copy and position, before the others. keep: the columns of docs that are returned, all if not given."""
+    keep = docs.columns if keep is None else keep
+    planned = _planned(docs, keep, source_col, text_col, id_col, weights, share, cap)
     m = F.col("mix")
     times = m["passes"] + F.when(m["open"] & (m["extra"] * 2 >= m["size"]), 1).otherwise(0)
     explode = F.explode_outer if rest else F.explode
@@ -115,12 +148,14 @@ def mix_documents(docs: DataFrame, schedules=SCHEDULES, parts: int | None = None
     for k, knots in enumerate(schedules):
         place = F.when(m["rank"] % len(schedules) == k, invert_demand(knots, demand)).otherwise(place)
     placed = copies.withColumn("position", F.when(F.col("copy").isNotNull(), place)).withColumn("mix", m.withField("taken", times * m["size"]))
-    order = ["position", *(c for c in ("doc_id",) if c in names), "mix.rank", "mix.start"]
-    return placed.repartitionByRange(parts or shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order).select(*names, "mix", "copy", "position")
+    order = ["position", "mix.rank", "mix.start", "_order"]
+    ranged = placed.repartitionByRange(parts or shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return ranged.select(*unpacked(keep, NEW), "mix", "copy", "position")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix in training order, a row for each copy, and a row with null copy and position for each document that it doesn't take.
     taken: words of all copies of the document's row."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_documents(docs, rest=True).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "copy", "position")
+    mixed = mix_documents(docs, rest=True, keep=["doc_id"])
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "copy", "position")

@@ -157,15 +157,41 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.shard) for r in whole) == sorted((r.doc_id, r.shard) for r in after)
 
 
-def test_stages_take_odd_rows(spark):
+CLASHES = "position target rank source_size _size score held_out predicted n_words n_hit items hit_from hit_to shard slot size copy mix _row _id _text _doc h1 label component_id".split()
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
     odd = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c", "en", "s", 5), (None, "a b c", "en", "s", 5), (3, "word " * 20_000, "en", None, 1), (3, "other words", "en", "t", 2)]
-    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").withColumn("position", F.lit("clash"))
-    for frame in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, frame, "/root/testdata/sf0.001").collect()
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.lit(f"own {k}"))
+    docs.write.parquet(str(tmp_path / "stored"))
+    for frame in (docs, docs.limit(0), spark.read.parquet(str(tmp_path / "stored"))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, "/root/testdata/sf0.001")
+            got = out.collect()
+            if name != "sharding":
+                assert out.columns == docs.columns
+                assert all(r[c] == f"own {k}" for r in got for k, c in enumerate(CLASHES)), name
     assert find_contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 6
 
 
+def test_slots_are_in_training_order(spark, tmp_path):
+    """The order of the mix, through files, into the slots of a shard."""
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 9), f"s{i % 4}") for i in range(800)], "doc_id long, text string, source string")
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    place, _ = corpus_pipeline.training_order(mixed)
+    order = [r.doc_id for r in mixed.select("doc_id", place.alias("p")).orderBy("p").collect()]
+    want = [r.doc_id for r in sorted(corpus_pipeline.mix_documents(docs).collect(), key=lambda r: (r.position, r.mix["rank"], r.mix.start))]
+    assert order == want
+    shards = {}
+    for r in sorted(corpus_pipeline.deal_shards(spark, mixed, "").collect(), key=lambda r: r.slot):
+        shards.setdefault(r.shard, []).append(r.doc_id)
+    where = {d: k for k, ds in shards.items() for d in ds}
+    assert all(ds == [d for d in order if where[d] == k] for k, ds in shards.items())
+
+
 def test_one_row_of_each_group_stays_whatever_its_id(spark):
     a, b, c = ("".join(f"{x}{k} " for k in range(40)) for x in "abc")
     rows = [(None, a), (None, a), (None, a + "end"), (7, b), (7, b), (7, c), (None, b), (9, c), (None, None), (None, ""), (7, "")]

@@ -1,5 +1,6 @@
 """Decontamination, mixing, sharding and URL rules against plain versions, with the awkward rows."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -82,6 +83,58 @@ def test_mixing_order_follows_the_schedule(spark):
             assert sum(map(w, at)) * t / steps / area == pytest.approx(u, abs=1e-3)
 
 
+def plain_mix(spark, rows):
+    """(doc_id, text) -> times, and (position, doc_id) of every copy, by running through each source in hash order."""
+    sizes, members = defaultdict(int), defaultdict(list)
+    hashes = spark.createDataFrame([(k, d, t) for k, (d, _, t) in enumerate(rows)], "k int, d long, t string").select("k", mixing.F.shiftrightunsigned(mixing.F.xxhash64(mixing.F.lit(17), "d", "t"), 1).alias("h")).collect()
+    for r in hashes:
+        d, s, t = rows[r.k]
+        sizes[s] += len((t or "").split())
+        members[s].append((r.h, len((t or "").split()), d))
+    times, placed = Counter(), []
+    want = brute.targets(dict(sizes))
+    for rank, s in enumerate(sorted(sizes, key=lambda x: (x is None, (x or "").encode()))):
+        whole = int(want[s] // sizes[s]) if sizes[s] else 0
+        last, start = round(want[s] - whole * sizes[s]), 0
+        knots = mixing.SCHEDULES[rank % len(mixing.SCHEDULES)]
+        for _, n, d in sorted(members[s]):
+            extra = min(n, max(0, last - start))
+            for copy in range(whole + (start < last and 2 * extra >= n)):
+                u = min(1.0, (copy * sizes[s] + start + (n if copy < whole else extra) / 2) / want[s]) if want[s] else 0.0
+                placed.append((time_of(knots, u), d))
+                times[d] += 1
+            start += n
+    return times, placed
+
+
+def time_of(knots, u):
+    area, least, most = mixing._areas(knots)[-1], 0.0, 1.0
+    def reached(t):
+        out = 0.0
+        for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
+            end = min(t, t1)
+            if end > t0:
+                out += (w0 + w0 + (w1 - w0) * (end - t0) / (t1 - t0)) / 2 * (end - t0)
+        return out
+    for _ in range(60):
+        mid = (least + most) / 2
+        least, most = (mid, most) if reached(mid) < u * area else (least, mid)
+    return least
+
+
+@pytest.mark.parametrize("per_bucket", [2048, 3])
+def test_every_copy_and_position_equals_a_plain_mix(spark, monkeypatch, per_bucket):
+    """Whatever the number of rows is, the order inside a source is the same."""
+    monkeypatch.setattr("lodeframe.llm.common.ROWS_PER_BUCKET", per_bucket)
+    rows_ = [(i, f"s{i % 5}" if i % 7 else None, "w " * (i % 11 + 1)) for i in range(300)] + [(900, "s0", None)] * 3 + [(901, "s1", "a b c")] * 40 + [(None, "s2", "x y")] * 30 + [(902, "s9", "w " * 500), (903, "empty", "")]
+    docs = spark.createDataFrame([(*r, "t", 1, 2) for r in rows_], "doc_id long, source string, text string, target string, _size int, rank int")
+    got = mixing.mix_documents(docs).collect()
+    times, placed = plain_mix(spark, rows_)
+    assert Counter(r.doc_id for r in got) == times
+    assert sorted((round(r.position, 6), r.doc_id or -1) for r in got) == sorted((round(p, 6), d or -1) for p, d in placed)
+    assert all((r.target, r._size, r["rank"]) == ("t", 1, 2) for r in got)
+
+
 def test_op4_is_the_mix_itself(spark, tmp_path, monkeypatch):
     rows_ = [(i, f"s{i % 3}", "w " * 10) for i in range(300)] + [(1000, "s1", "w " * 900), (1001, "s2", "w " * 901), (None, None, None)]
     spark.createDataFrame(rows_, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -96,15 +149,26 @@ def test_op4_is_the_mix_itself(spark, tmp_path, monkeypatch):
     assert [r.position for r in mixing.op4_mixing(spark, str(tmp_path)).collect()] != [r.position for r in got]
 
 
-def test_sharding(spark):
-    rows_ = [(i, f"text {i % 50} " * (i % 50)) for i in range(400)] + [(1000 + i, "copy" * 40) for i in range(300)] + [(2, None), (2, None), (None, ""), (3, "")]
-    docs = spark.createDataFrame([(*r, 1) for r in rows_], "doc_id long, text string, shard int")
-    got = sharding.assign_shards(docs, shards=4, units=64).collect()
-    assert len(got) == len(rows_)
-    where, slots, loads = defaultdict(set), defaultdict(list), Counter()
-    texts = defaultdict(set)
-    for d, t in rows_:
+def plain_shards(sizes, shards):
+    """Loads after every group, one by one, has gone to the least-loaded shard (of equals, the first)."""
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += size
+    return loads
+
+
+SHARDED = [(i, f"text {i % 50} " * (i % 50)) for i in range(400)] + [(1000 + i, "copy" * 40) for i in range(300)]
+SHARDED += [(2, None), (2, None), (None, ""), (3, ""), (5000, "long " * 40_000)] + [(6000 + i, f"{i:06}") for i in range(700)] + [(None, "null id")] * 90
+
+
+def test_sharding_equals_the_plain_schedule(spark):
+    docs = spark.createDataFrame([(*r, 1) for r in SHARDED], "doc_id long, text string, shard int")
+    got = sharding.assign_shards(docs, shards=4).collect()
+    assert len(got) == len(SHARDED)
+    where, slots, loads, texts, groups = defaultdict(set), defaultdict(list), [0] * 4, defaultdict(set), Counter()
+    for d, t in SHARDED:
         texts[d].add(t)
+        groups[t] += len((t or "").encode()) + 1
     for r in got:
         slots[r.shard].append(r.slot)
         loads[r.shard] += r["size"]
@@ -112,18 +176,33 @@ def test_sharding(spark):
             where[next(iter(texts[r.doc_id]))].add(r.shard)
     assert all(len(x) == 1 for x in where.values())
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
-    assert sum(loads.values()) == sum(len((t or "").encode()) + 1 for _, t in rows_)
+    assert loads == plain_shards(groups.values(), 4)
+    again = sharding.assign_shards(docs.repartition(3), shards=4).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     assert sharding.assign_shards(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         sharding.assign_shards(docs, shards=0)
 
 
-def test_longest_first_is_near_equal():
-    placed = sharding.longest_first([(s, f"u{s}") for s in range(1, 200)], 7)
-    loads = Counter()
-    for u, k in placed.items():
-        loads[k] += int(u[1:])
-    assert max(loads.values()) - min(loads.values()) <= 3
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_op5_loads_equal_the_plain_schedule(spark, sf):
+    texts = Counter()
+    for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text").collect():
+        texts[r.text] += len((r.text or "").encode()) + 1
+    got = {r.shard: r.b for r in sharding.op5_shards(spark, f"/root/testdata/{sf}").groupBy("shard").agg(sharding.F.sum("size").alias("b")).collect()}
+    assert [got[k] for k in range(16)] == plain_shards(texts.values(), 16)
+
+
+def test_long_runs_of_equal_groups_are_cut_as_the_heap_would():
+    rnd = random.Random(3)
+    for trial in range(60):
+        shards = rnd.randint(1, 7)
+        sizes = [(s, rnd.choice((1, 3, 20, 200))) for s in rnd.sample(range(1, 400), 12)]
+        loads = [0] * shards
+        for size, ks, upto in sharding.longest_first(sizes, shards):
+            for k, a, b in zip(ks, [0, *upto], upto):
+                loads[k] += (b - a) * size
+        assert loads == plain_shards([s for s, n in sizes for _ in range(n)], shards)
 
 
 URLS = {"https://A.com/x": ("a.com", "/x", "com/", "allow"), "http://m.example.com/en/1?q=1#z": ("m.example.com", "/en/1", "example.com/en/", "block"), "http://www.EXAMPLE.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"), "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"), "ftp://x.net/es/a": ("x.net", "/es/a", "net/es/", "block"), "http://net/fr/": ("net", "/fr/", "net/fr/", "block"), "http://a.com": ("a.com", "", None, "allow"), "http://a.com?x=/": ("a.com", "", None, "allow"), "no scheme": ("", "", None, "allow"), "": ("", "", None, "allow"), None: ("", "", None, "allow")}
