@@ -1,37 +1,46 @@
 """A corpus pipeline: each stage works on all that the stage before it kept, and the last deals the corpus into shards.
 
-Documents keep their columns up to the last stage, which returns doc_id, size, text_crc32, law, shard, slot and grown_shard of every row (a
-document that the mix takes twice is there twice, in the same shard).
+Documents keep their columns, whatever their names, up to the last stage, which returns doc_id, size, text_crc32, law, shard, slot and
+grown_shard of every row (a document that the mix takes twice is there twice, in the same shard). Training order is the order in which
+the mixing stage writes its rows; the last stage reads it back from the files, so slots of a shard are in training order.
+
+Defined cases: rows with null or empty texts are neither toxic nor contaminated nor copies of each other, and take part in the mix
+without words; rows with null ids are judged by their texts; of repeated rows one stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import load, shared_dir
+from lodeframe.llm.common import aliased, load, named, shared_dir
 from lodeframe.llm.decontaminate import decontaminate
 from lodeframe.llm.jaccard_join import join_near
 from lodeframe.llm.mixing import mix_documents
-from lodeframe.llm.sharding import assign_shards
-from lodeframe.llm.toxicity import score_toxicity
+from lodeframe.llm.sharding import as_rows, assign_shards
+from lodeframe.llm.toxicity import drop_toxic as without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return score_toxicity(docs, load(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    return without_toxic(docs, load(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: the one of the smallest id, nulls last, then the first row. Rows without a word stay.
     Rows are numbered where they are read, so docs has to be a table that every read gives in one order, as stored tables are."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    near = join_near(numbered, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    ranked = numbered.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("_rank")).join(near, "_row")
-    leaders = ranked.groupBy("component_id").agg(F.min("_rank").alias("_rank")).select("_rank._row")
-    return numbered.join(leaders, "_row", "left_semi").select(*docs.columns)
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    near = join_near(numbered, id_col=row).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = numbered.select(F.col(row).alias("_row"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("_rank"))
+    leaders = ids.join(near, "_row").groupBy("component_id").agg(F.min("_rank").alias("_rank"))
+    kept = leaders.select(F.col("_rank")[row].alias(row))
+    return numbered.join(kept, row, "left_semi").select(*map(named, docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +49,37 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights, in training order."""
-    return mix_documents(docs).select(*docs.columns)
+    """Sources at their target weights, in training order. Columns of docs that are named like those of the mix are kept in its place."""
+    plain, known = aliased(docs)
+    mixed = mix_documents(plain, source_col=known["source"], text_col=known["text"], id_col=known["doc_id"])
+    return mixed.select(*plain.columns).toDF(*docs.columns)
+
+
+def training_order(docs: DataFrame) -> tuple[Column, int] | None:
+    """The place of a row in the files that docs was read from (number of the file, number of its part, row), and how many bits of it tell
+    rows of one bucket apart; None if docs doesn't come from files."""
+    try:
+        docs.select("_metadata.row_index", "_metadata.file_name")
+    except AnalysisException:
+        return None
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.coalesce(F.expr(f"try_cast(regexp_extract(_metadata.file_name, '{pattern}', 1) AS BIGINT)"), F.xxhash64(name) % 128 + 128)
+    place = F.shiftleft(number("part-([0-9]{1,6})"), 43) + F.shiftleft(number("-c([0-9]{1,2})"), 35) + F.col("_metadata.row_index")
+    return place, 11
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return assign_shards(docs).select("doc_id", "size", F.coalesce("text_crc32", F.lit(0)).cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    """Equal texts into one shard, shards of nearly equal bytes, slots in training order."""
+    return as_rows(assign_shards(docs, order=training_order(docs)))
 
 
-STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix_sources), ("sharding", deal_shards)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", deal_shards),
+]
 
 #: A learnt classifier decides in the first stage, which SQL can't express; tests hold the stages against plain versions.
 ORACLE_SQL = None
