@@ -6,11 +6,16 @@ good documents is at most `alpha` with the needed confidence, by the exact binom
 at most delta / (strata * rules) for k rejections among n good documents. Dividing delta corrects for the number of strata and rules
 (Bonferroni); along the grid the first failure ends the test, which needs no more correction (fixed-sequence testing). So, with
 confidence 1 - delta, no rule rejects more than `alpha` of the good documents of any stratum. A rule without enough labelled documents
-gets no cutoff and rejects nothing.
+gets no cutoff and rejects nothing: with k = 0 a cutoff needs least_labelled() good documents in its stratum (1,151 for four languages
+and rules). Strata are not pooled to reach that number, as a cutoff of the whole would promise nothing for a stratum;
+`threshold_report` gives the number, the cutoff and its rejections for each stratum and rule, and each judged row has the number of good
+labelled documents of its stratum (n_labelled).
 
 Defined cases: a null text is an empty one; texts without words have all counts 0 and fail the base rule; a null stratum is a stratum;
 null labels are passed over and a document that is labelled good twice counts once per row of it; without labels only the base rule
-rejects; repeated rows are judged alike.
+rejects; an empty table gives an empty result; repeated rows are judged alike; a rate equal to a cutoff is not above it; a text of any
+length is one row, of which one array of words is held at a time; columns of docs that are not in `keep` are left out, and those in it
+must not be named like a result.
 """
 
 from __future__ import annotations
@@ -73,19 +78,34 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n, F.lit(1.0)).when(k <= 0, F.exp(first)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), k), start, step, lambda s: s["t"]))
 
 
-def fit_thresholds(good: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA, grid: dict = GRID) -> DataFrame:
-    """good: the stratum and base counts of good documents. A row (stratum, cuts map rule -> cutoff) for each stratum with documents."""
+def least_labelled(strata: int, alpha: float = ALPHA, delta: float = DELTA, rules: int = len(GRID)) -> int:
+    """Good documents without which no cutoff of a stratum can hold."""
+    return math.ceil(math.log(delta / (strata * rules)) / math.log1p(-alpha))
+
+
+def threshold_report(good: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA, grid: dict = GRID) -> DataFrame:
+    """good: the stratum and base counts of good documents. A row (stratum, rule, n, strata, cut, rejected) for each stratum with documents
+    and each rule; cut and rejected (how many of the n good documents it rejects) are null if no cutoff holds."""
     counts = good.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(RATES[r]) > c).alias(f"{r}_{i}") for r, cuts in grid.items() for i, c in enumerate(cuts)])
     each = [F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cut"), F.col(f"{r}_{i}").alias("k")) for r, cuts in grid.items() for i, c in enumerate(cuts)]
-    # A row for each stratum: the window over all of them only counts strata.
-    tests = counts.select(stratum, "n", F.count(F.lit(1)).over(Window.partitionBy()).alias("strata"), F.explode(F.array(*each)).alias("t")).select(stratum, "n", "strata", "t.*")
+    # A row for each stratum: the window over all of them only counts strata, before each becomes a row for each cutoff.
+    counts = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
+    tests = counts.select(stratum, "n", "strata", F.explode(F.array(*each)).alias("t")).select(stratum, "n", "strata", "t.*")
     level = F.lit(float(delta)) / (F.col("strata") * len(grid))
     holds = F.when(F.col("k") < F.col("n") * F.lit(alpha), binomial_tail(F.col("n"), F.col("k"), alpha) <= level).otherwise(F.lit(False))
     tried = tests.withColumn("holds", holds)
     before = Window.partitionBy(stratum, "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    passed = tried.withColumn("all_hold", F.min("holds").over(before)).where("all_hold")
-    best = passed.groupBy(stratum, "rule").agg(F.max_by("cut", "step").alias("cut"))
-    return best.groupBy(stratum).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts"))
+    passed = tried.withColumn("all_hold", F.min("holds").over(before))
+    pick = lambda c: F.max_by(c, F.when(F.col("all_hold"), F.col("step"))).alias
+    held = F.max("all_hold")
+    best = passed.groupBy(stratum, "rule", "n", "strata").agg(held.alias("_held"), pick("cut")("cut"), pick("k")("rejected"))
+    return best.select(stratum, "rule", "n", "strata", *[F.when(F.col("_held"), F.col(c)).alias(c) for c in ("cut", "rejected")])
+
+
+def fit_thresholds(good: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA, grid: dict = GRID) -> DataFrame:
+    """A row (stratum, n, cuts map rule -> cutoff, without the rules that have none) for each stratum with good documents."""
+    cuts = F.filter(F.collect_list(F.struct("rule", "cut")), lambda x: x["cut"].isNotNull())
+    return threshold_report(good, stratum, alpha, delta, grid).groupBy(stratum, "n").agg(F.map_from_entries(cuts).alias("cuts"))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", stratum_col: str = "lang", text_col: str = "text", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA, grid: dict = GRID) -> DataFrame:
@@ -102,9 +122,11 @@ def judge_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = N
     judged = counts.join(cuts, "_stratum", "left")
     broken = F.filter(F.array(*[F.when(F.expr(f"n_words > 0 AND {RATES[r]} > cuts['{r}']"), F.lit(r)) for r in grid]), lambda x: x.isNotNull())
     judged = judged.withColumn("failed_rules", broken)
-    return judged.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], *BASE, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
+    kept = (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept")
+    labelled = F.coalesce("n", F.lit(0)).cast("long").alias("n_labelled")
+    return judged.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], *BASE, "base_failed", kept, "failed_rules", labelled)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *BASE, "base_failed", "kept")
+    return judged.select("doc_id", *BASE, "base_failed", "kept", "failed_rules", "n_labelled")

@@ -1,14 +1,22 @@
 """URL filters: association rules over URL tokens, mined by FP-growth from labelled pages, beside a fixed list of host and path rules.
 
 Tokens of a URL are its scheme, each suffix of its host, its path segments (digits folded) and the names of its query parameters.
-FP-growth mines combinations that occur with the label; a rule of any length needs support and confidence, and is dropped if a rule of
-fewer tokens inside it is at least as confident. Rules are matched by an inverted index: each rule stands under its rarest token
-alone, a page looks up its own tokens, and the remaining tokens of a found rule are then compared.
+Tokens that stand in exactly the same labelled pages are one item, so long combinations that always go together are not mined subset by
+subset, and tokens of too few bad pages for any rule are left out; neither changes which rules hold. FP-growth mines combinations of
+items that occur with the label on a part of the labelled pages. A rule of any length needs MIN_PAGES bad pages, support and confidence,
+and is dropped if a rule of fewer items inside it is at least as confident. What is left is tried on the labelled pages that mining has
+not seen: a rule stays if its bad pages there are more than chance gives, by the exact binomial tail at LEVEL divided by the number of
+rules. Where labels say nothing about URLs, no rule stays.
+
+Rules are matched by an inverted index: each rule stands under the tokens of its rarest item alone, a page looks up its own tokens, and
+the remaining items of a found rule are then compared. Each distinct token set is matched once.
 
 Fixed rules come first: the longest rule that fits a URL's host (or a domain above it) and the start of its path decides.
 
-Defined cases: a null URL, or one without "://", has empty host and path, no tokens, and is allowed; without labelled pages nothing is
-mined and the fixed rules alone decide; repeated pages are judged alike; a page with both labels counts under both.
+Defined cases: a null URL, or one without "://", has empty host and path, no tokens, and is allowed; without labelled pages, or without
+a bad one, nothing is mined and the fixed rules alone decide; an empty table gives an empty result; repeated pages are judged alike; a
+page with both labels counts under both; of rules that fit, the most confident gives the confidence; of equal tokens the first by length
+and code point names an item; a very long URL is one row like any other; columns of pages that are named like a result are left out.
 """
 
 from __future__ import annotations
@@ -17,11 +25,18 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import load
+from lodeframe.llm.common import join_heavy, load, materialize, named, packed, unpacked
+from lodeframe.llm.quality_rules import binomial_tail
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-MIN_SUPPORT = 0.002
+MIN_SUPPORT = 0.0005
 MIN_CONFIDENCE = 0.6
+#: Bad pages that a rule needs, whatever the number of labelled pages is.
+MIN_PAGES = 8
+#: A page is used to try rules, not to mine them, if the hash of its id is 0 modulo TRY_FOLDS.
+TRY_FOLDS = 3
+LEVEL = 0.01
+NEW = ("host", "path", "rule", "verdict", "confidence")
 #: The token that stands for the label among the items.
 BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,30 +67,77 @@ def url_tokens(url: Column) -> Column:
     return F.when(host != "", tokens).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled: (tokens array<string>, bad boolean). Returns tokens, confidence, support, lift of the pruned rules tokens -> bad."""
+RULE = "tokens array<string>, items array<array<string>>, confidence double, support double, lift double"
+
+
+def _items(labelled: DataFrame) -> DataFrame:
+    """(token, item, alternatives): tokens of the same pages are one item, named by one of them. Tokens of fewer than MIN_PAGES bad pages
+    are left out, as no rule can have one."""
+    pages = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "id", "bad"))
+    each = labelled.select("id", "bad", F.explode("tokens").alias("token"))
+    told = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("k"), pages(1).alias("x"), pages(2).alias("y"))
+    same = told.where(F.col("k") >= MIN_PAGES).groupBy("n", "k", "x", "y").agg(F.sort_array(F.collect_list(F.struct(F.length("token"), "token")))["token"].alias("alternatives"))
+    return same.select(F.explode("alternatives").alias("token"), F.col("alternatives")[0].alias("item"), "alternatives")
+
+
+def candidate_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """labelled: (id, tokens array<string>, bad boolean), a row for each page and label. The pruned rules items -> bad, as RULE: tokens
+    (one for each item), items (all tokens of each), confidence, support, lift."""
     spark = labelled.sparkSession
-    items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    empty = spark.createDataFrame([], "tokens array<string>, confidence double, support double, lift double")
-    if not items.where(F.array_contains("items", BAD)).take(1):
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    total = labelled.count()
+    items = materialize(_items(labelled), "url-items")
+    if not total or not items.take(1):
+        return spark.createDataFrame([], RULE)
+    each = labelled.select("id", "bad", F.explode("tokens").alias("token")).join(items, "token").groupBy("id", "bad").agg(F.collect_set("item").alias("items"))
+    sets = labelled.select("id", "bad").distinct().join(each, ["id", "bad"], "left")
+    own = F.coalesce("items", F.array().cast("array<string>"))
+    sets = sets.select(F.when(F.col("bad"), F.concat(own, F.array(F.lit(BAD)))).otherwise(own).alias("items")).where(F.size("items") > 0)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_PAGES / total), minConfidence=min_confidence).fit(sets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift")
+    rules = materialize(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift"), "url-rules")
     inner = rules.select(F.col("tokens").alias("_t"), F.col("confidence").alias("_c"), F.col("tokens")[0].alias("_token"))
-    # A rule loses to any rule of which the tokens are a proper part of its own: it has the first of them, so an equi-join finds them.
-    lost = rules.withColumn("_token", F.explode("tokens")).join(inner, "_token").where((F.size("_t") < F.size("tokens")) & (F.size(F.array_except("_t", "tokens")) == 0) & (F.col("_c") >= F.col("confidence"))).select("tokens").distinct()
-    return rules.join(lost, "tokens", "left_anti")
+    # A rule loses to any rule of which the items are a proper part of its own: it has the first of them, so an equi-join finds them.
+    lost = rules.withColumn("_token", F.explode("tokens")).join(inner, "_token")
+    lost = lost.where((F.size("_t") < F.size("tokens")) & (F.size(F.array_except("_t", "tokens")) == 0) & (F.col("_c") >= F.col("confidence")))
+    kept = rules.join(lost.select("tokens").distinct(), "tokens", "left_anti")
+    names = items.select("item", "alternatives").distinct()
+    full = kept.withColumn("item", F.explode("tokens")).join(names, "item").groupBy("tokens", "confidence", "support", "lift")
+    return full.agg(F.sort_array(F.collect_list("alternatives")).alias("items")).select("tokens", "items", "confidence", "support", "lift")
+
+
+def try_rules(rules: DataFrame, labelled: DataFrame, level: float = LEVEL) -> DataFrame:
+    """The rules that hold on labelled pages which mining has not seen, with tried (pages that fit) and tried_bad."""
+    told = labelled.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("k")).first()
+    number = rules.count()
+    if not number or not told.k:
+        return rules.limit(0).withColumn("tried", F.lit(0).cast("long")).withColumn("tried_bad", F.lit(0).cast("long"))
+    share = min(told.k / told.n, 1 - 1e-9)
+    sets = labelled.groupBy(F.array_sort("tokens").alias("_set")).agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("k"))
+    seen = fitting(sets, rules).join(sets, "_set").groupBy("tokens").agg(F.sum("n").alias("tried"), F.sum("k").alias("tried_bad"))
+    # P(Bin(tried, share) >= tried_bad), as the lower tail of what is not bad.
+    chance = binomial_tail(F.col("tried"), F.col("tried") - F.col("tried_bad"), 1 - share)
+    return rules.join(seen.where((F.col("tried_bad") > 0) & (chance <= level / number)), "tokens")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """labelled: (id, tokens array<string>, bad boolean). The rules that mining finds on one part of it and that hold on the other."""
+    labelled = materialize(labelled.select("id", "tokens", "bad").distinct(), "url-labelled")
+    tried = F.pmod(F.xxhash64(F.lit(41), "id"), F.lit(TRY_FOLDS)) == 0
+    rules = materialize(candidate_rules(labelled.where(~tried), min_support, min_confidence), "url-candidates")
+    return materialize(try_rules(rules, labelled.where(tried)), "url-held")
 
 
-def match_rules(pages: DataFrame, rules: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """A row (url tokens, confidence of the best rule) for each distinct token set that some rule fits."""
-    sets = pages.select(F.array_sort(tokens_col).alias("_set")).distinct()
+def fitting(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(_set, tokens, confidence) of each rule that fits a token set. sets: a row for each distinct `_set`."""
     counts = sets.select(F.explode("_set").alias("token")).groupBy("token").count()
-    under = rules.withColumn("token", F.explode("tokens")).join(counts, "token", "left")
-    index = under.groupBy("tokens", "confidence").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("rarest")).select("tokens", "confidence", F.col("rarest.token").alias("token"))
-    found = sets.withColumn("token", F.explode("_set")).join(index, "token").where(F.size(F.array_except("tokens", "_set")) == 0)
-    return found.groupBy("_set").agg(F.max("confidence").alias("confidence"))
+    parts = rules.select("tokens", "items", "confidence", F.posexplode("items").alias("at", "alternatives"))
+    each = parts.select("tokens", "items", "confidence", "at", F.explode("alternatives").alias("token")).join(counts, "token", "left")
+    sums = each.groupBy("tokens", "items", "confidence", "at").agg(F.sum(F.coalesce("count", F.lit(0))).alias("n"))
+    rarest = sums.groupBy("tokens", "items", "confidence").agg(F.min(F.struct("n", "at"))["at"].alias("at"))
+    index = rarest.select("tokens", "items", "confidence", F.explode(F.expr("items[at]")).alias("token"))
+    found = sets.select("_set", F.explode("_set").alias("token")).join(index, "token")
+    fits = found.where(F.forall("items", lambda alternatives: F.arrays_overlap(alternatives, "_set")))
+    return fits.select("_set", "tokens", "confidence").distinct()
 
 
 def fixed_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -89,19 +151,23 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 def judge_urls(pages: DataFrame, mined: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict and confidence (of the best mined rule that fits)."""
-    url = F.col(url_col)
-    pages = pages.drop("host", "path", "rule", "verdict", "confidence")
-    names = pages.columns
-    told = pages.select(*names, host_of(url).alias("host"), path_of(url).alias("path"), F.array_sort(url_tokens(url)).alias("_set"))
-    told = told.join(match_rules(told, mined, "_set"), "_set", "left")
-    fixed = fixed_rule(F.col("host"), F.col("path"), rules)
-    told = told.withColumn("_fixed", fixed)
-    return told.select(*names, "host", "path", F.col("_fixed.rule").alias("rule"), F.coalesce(F.col("_fixed.verdict"), F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "confidence")
+    url = named(url_col)
+    told = pages.select(packed(pages), host_of(url).alias("host"), path_of(url).alias("path"), F.array_sort(url_tokens(url)).alias("_set"))
+    told = materialize(told, "url-pages")
+    sets = told.groupBy("_set").agg(F.count(F.lit(1)).alias("_pages"))
+    best = fitting(sets, mined).groupBy("_set").agg(F.max("confidence").alias("confidence"))
+    known = materialize(sets.join(best, "_set", "left"), "url-sets")
+    number = known.agg(F.coalesce(F.sum("_pages"), F.lit(0))).first()[0]
+    # A token set that many pages share meets its verdict where the pages stand.
+    judged = join_heavy(told, known, "_set", number, "_pages").withColumn("_fixed", fixed_rule(F.col("host"), F.col("path"), rules))
+    own = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    verdict = F.coalesce(F.col("_fixed.verdict"), own).alias("verdict")
+    return judged.select(*unpacked(pages.columns, NEW), "host", "path", F.col("_fixed.rule").alias("rule"), verdict, "confidence")
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels reach pages by number (a page is the raw form of the document of that id); quality 0 is bad."""
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     labels = load(spark, sf_dir, "labels").where("quality IS NOT NULL").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad")).distinct()
-    labelled = pages.join(labels, "page_id").select(url_tokens(F.col("url")).alias("tokens"), "bad")
+    labelled = pages.join(labels, "page_id").select(F.col("page_id").alias("id"), url_tokens(F.col("url")).alias("tokens"), "bad")
     return judge_urls(pages, mine_rules(labelled)).select("page_id", "host", "path", "rule", "verdict", "confidence")

@@ -1,6 +1,8 @@
 """Decontamination, mixing, sharding and URL rules against plain versions, with the awkward rows."""
 
+import itertools
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -208,20 +210,29 @@ def test_long_runs_of_equal_groups_are_cut_as_the_heap_would():
 URLS = {"https://A.com/x": ("a.com", "/x", "com/", "allow"), "http://m.example.com/en/1?q=1#z": ("m.example.com", "/en/1", "example.com/en/", "block"), "http://www.EXAMPLE.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"), "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"), "ftp://x.net/es/a": ("x.net", "/es/a", "net/es/", "block"), "http://net/fr/": ("net", "/fr/", "net/fr/", "block"), "http://a.com": ("a.com", "", None, "allow"), "http://a.com?x=/": ("a.com", "", None, "allow"), "no scheme": ("", "", None, "allow"), "": ("", "", None, "allow"), None: ("", "", None, "allow")}
 
 
+def tokens_of(spark, labelled):
+    """labelled: (url, bad) pairs."""
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(labelled)], "id long, url string, bad boolean")
+    return frame.select("id", url_rules.url_tokens(url_rules.F.col("url")).alias("tokens"), "bad")
+
+
 def test_fixed_rules(spark):
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
-    none = spark.createDataFrame([], "tokens array<string>, bad boolean")
-    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge_urls(pages, url_rules.mine_rules(none)).collect()}
+    none = url_rules.mine_rules(tokens_of(spark, []))
+    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge_urls(pages, none).collect()}
     assert got == URLS
+    assert url_rules.judge_urls(pages.limit(0), none).count() == 0
+    assert url_rules.mine_rules(tokens_of(spark, [("http://a.org/x", False)] * 50)).count() == 0
+    clash = pages.withColumns({c: url_rules.F.lit(c) for c in ("_set", "tokens", "items", "_pages", "_doc", "_fixed", "token")})
+    assert all(r["_set"] == "_set" and r.token == "token" for r in url_rules.judge_urls(clash, none).collect())
 
 
 def test_mined_rules_block_and_agree_with_a_scan(spark):
     urls = [(f"http://h{i % 5}.org/{'bad' if i % 3 == 0 else 'ok'}/{i}?ref={i}", i % 3 == 0) for i in range(300)]
-    labelled = spark.createDataFrame(urls, "url string, bad boolean")
-    rules = url_rules.mine_rules(labelled.select(url_rules.url_tokens(url_rules.F.col("url")).alias("tokens"), "bad"))
+    rules = url_rules.mine_rules(tokens_of(spark, urls))
     found = [(set(r.tokens), r.confidence) for r in rules.collect()]
     assert ({"path=bad"}, 1.0) in found and len(found) == 1
-    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)] + [(999, "http://zz.org/bad/1")], "page_id long, url string")
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)] + [(999, "http://zz.org/bad/1")] * 9, "page_id long, url string")
     got = {r.url: r.verdict for r in url_rules.judge_urls(pages, rules).collect()}
     assert all((got[u] == "block") == b for u, b in urls) and got["http://zz.org/bad/1"] == "block"
 
@@ -230,7 +241,62 @@ def test_long_rules_and_rules_of_mostly_bad_labels_are_kept(spark):
     five = ("bad", "a", "b", "x", "y")
     url = lambda h, a, b, x, y: f"http://{h}.org/{a}/{b}?{x}=1&{y}=2"
     # Only all five tokens together are bad: with any four of them, half of the pages are not.
-    urls = [(url(*five), True)] * 20 + [(url(*[f"no{k}" if k == j else t for k, t in enumerate(five)]), False) for j in range(5)] * 20
-    for labelled, bad in ((urls, url(*five)), ([("http://h.org/bad", True)] * 40 + [("http://h.org/ok", False)] * 10, "http://z.org/bad")):
-        rules = url_rules.mine_rules(spark.createDataFrame(labelled, "url string, bad boolean").select(url_rules.url_tokens(url_rules.F.col("url")).alias("tokens"), "bad"))
+    urls = [(url(*five), True)] * 60 + [(url(*[f"no{k}" if k == j else t for k, t in enumerate(five)]), False) for j in range(5)] * 60
+    for labelled, bad in ((urls, url(*five)), ([("http://h.org/bad", True)] * 160 + [("http://h.org/ok", False)] * 40, "http://z.org/bad")):
+        rules = url_rules.mine_rules(tokens_of(spark, labelled))
         assert [r.verdict for r in url_rules.judge_urls(spark.createDataFrame([(1, bad)], "page_id long, url string"), rules).collect()] == ["block"]
+
+
+def test_rules_equal_a_scan_of_all_combinations(spark):
+    """Mining with equal tokens as one item finds what every combination of tokens would."""
+    rnd = random.Random(8)
+    names = ("a", "b", "c", "d", "e")
+    urls = []
+    for i in range(240):
+        some = [n for n in names if rnd.random() < 0.5]
+        bad = ("a" in some and "c" in some) != (rnd.random() < 0.1)
+        urls.append(("http://x.org/" + "/".join([*some, *(["twin"] if "a" in some else [])]), bad))
+    labelled = tokens_of(spark, urls)
+    rows_ = [(set(r.tokens), r.bad) for r in labelled.collect()]
+    tokens = sorted({t for s, _ in rows_ for t in s})
+    held = {}
+    for size in range(1, len(tokens) + 1):
+        for combo in itertools.combinations(tokens, size):
+            n = [b for s, b in rows_ if set(combo) <= s]
+            if sum(n) >= url_rules.MIN_PAGES and sum(n) / len(n) >= 0.6:
+                held[frozenset(combo)] = sum(n) / len(n)
+    minimal = {c: p for c, p in held.items() if not any(d < c and q >= p for d, q in held.items())}
+    got = {}
+    for r in url_rules.candidate_rules(labelled).collect():
+        for combo in itertools.product(*r["items"]):
+            got[frozenset(combo)] = r.confidence
+    assert got == pytest.approx(minimal)
+
+
+def test_combinations_that_go_together_are_one_item(spark):
+    """Thirty tokens of the same pages have 2**30 subsets."""
+    long = "http://long.org/" + "/".join(f"p{'x' * k}" for k in range(30))
+    rules = url_rules.mine_rules(tokens_of(spark, [(long, True)] * 60 + [(f"http://h{i}.org/ok", False) for i in range(200)]))
+    assert [r.verdict for r in url_rules.judge_urls(spark.createDataFrame([(1, long)], "page_id long, url string"), rules).collect()] == ["block"]
+
+
+def test_labels_without_a_signal_give_no_rule(spark):
+    rnd = random.Random(5)
+    urls = [(f"http://h{rnd.randint(0, 20)}.org/{rnd.choice('abcdef')}/{rnd.choice('uvwxyz')}?{rnd.choice('mn')}=1", rnd.random() < 0.15) for _ in range(900)]
+    assert url_rules.mine_rules(tokens_of(spark, urls)).count() == 0
+
+
+def test_op7_table(spark):
+    got = url_rules.op7_url_rules(spark, SF).collect()
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()}
+    assert sorted(r.page_id for r in got) == sorted(pages) and {r.verdict for r in got} <= {"allow", "block"}
+    for r in got:
+        rest = pages[r.page_id].partition("://")[2]
+        host = re.match("[^/?#]*", rest)[0]
+        assert (r.host, r.path) == (host.lower(), re.match("[^?#]*", rest[len(host):])[0])
+        fits = [(v, h, p) for v, h, p in url_rules.RULES if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        if fits:
+            v, h, p = max(fits, key=lambda x: len(x[1] + x[2]))
+            assert (r.rule, r.verdict) == (h + p, v)
+        else:
+            assert r.rule is None and (r.verdict == "block") == (r.confidence is not None)

@@ -77,5 +77,77 @@ def test_thresholds_keep_the_promised_share(spark):
     junk = [(10_000 + i, "ab", " ".join(f"w{rnd.randint(0, 10**6)}##" for _ in range(20))) for i in range(100)]
     docs = spark.createDataFrame(rows + junk, "doc_id long, lang string, text string")
     labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
-    got = {r.doc_id: r.kept for r in quality_rules.judge_quality(docs, labels).collect()}
+    judged = quality_rules.judge_quality(docs, labels).collect()
+    assert {r.n_labelled for r in judged} == {sum(not r.base_failed for r in judged if r.doc_id < 8000 and r.doc_id % 2 == k) for k in (0, 1)}
+    got = {r.doc_id: r.kept for r in judged}
     assert sum(not got[r[0]] for r in rows) / len(rows) <= 0.02 and not any(got[r[0]] for r in junk)
+
+
+def plain_cuts(good, alpha=quality_rules.ALPHA, delta=quality_rules.DELTA):
+    """(stratum, rule) -> (n, cut, rejected). good: (stratum, base counts) of good documents."""
+    out, strata = {}, sorted({s for s, _ in good})
+    for s in strata:
+        rows = [dict(zip(quality_rules.BASE, c)) for t, c in good if t == s]
+        n = len(rows)
+        for rule, cuts in quality_rules.GRID.items():
+            out[s, rule] = (n, None, None)
+            for cut in cuts:
+                top, _, below = quality_rules.RATES[rule].partition(" / ")
+                k = sum(r[top] / r[below] > cut for r in rows)
+                tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(alpha) + (n - j) * math.log1p(-alpha)) for j in range(k + 1))
+                if tail > delta / len(strata) / len(quality_rules.GRID):
+                    break
+                out[s, rule] = (n, cut, k)
+    return out
+
+
+def test_cutoffs_equal_plain_ones(spark):
+    """Rules decide here: each cutoff, its rejections and the verdicts against a plain version."""
+    rnd = random.Random(9)
+    good = [(s, (50, 50 * rnd.randint(3, 9), int(rnd.expovariate(0.2)), 5 * int(rnd.random() < 0.0007), rnd.choice((0, 0, 0, 6)))) for s, n in (("a", 4500), ("b", 1400), ("c", 300), ("d", 1290)) for _ in range(n)]
+    frame = spark.createDataFrame([(s, *c) for s, c in good], "lang string, " + ", ".join(f"{c} long" for c in quality_rules.BASE))
+    want = plain_cuts(good)
+    got = {(r.lang, r.rule): (r.n, r.cut, r.rejected) for r in quality_rules.threshold_report(frame, "lang").collect()}
+    assert got == want
+    assert any(v[1] is not None and v[2] for v in want.values()) and all(v[1] is None for k, v in want.items() if k[0] == "c")
+    cuts = {r.lang: r.cuts for r in quality_rules.fit_thresholds(frame, "lang").collect()}
+    assert all(cuts[s].get(rule) == v[1] for (s, rule), v in want.items())
+    assert quality_rules.least_labelled(4) == 1151
+
+
+def test_quality_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, lang string, text string")
+    assert quality_rules.judge_quality(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_ftrl_equals_a_plain_version(spark):
+    """Weights and scores against dictionaries and single numbers."""
+    rnd = random.Random(3)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(rnd.choices(words, k=6)) + (" vile thing" if i % 5 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(7, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs.where("text <> 'other text'"), labels).collect()}
+    order = {r.doc_id: r.o for r in docs.select("doc_id", F.xxhash64(F.lit(5), "doc_id").alias("o")).collect()}
+
+    def feats(text):
+        w = text.split()
+        return {("1", x) for x in w} | {("2", *p) for p in zip(w, w[1:])} | {("3", *p) for p in zip(w, w[2:])} | {"bias"}
+
+    z, n = {}, {}
+    def weight(f):
+        pay = 0.0 if f == "bias" else toxicity.L1
+        v = z.get(f, 0.0)
+        return 0.0 if abs(v) <= pay else -(v - math.copysign(pay, v)) / ((toxicity.BETA + math.sqrt(n.get(f, 0.0))) / toxicity.ALPHA)
+
+    train = sorted((order[i], int(i % 5 == 0), t) for i, t in rows if brute.crc(str(i)) % 5)
+    for _ in range(toxicity.EPOCHS):
+        for _, y, text in train:
+            w = {f: weight(f) for f in feats(text)}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for f in w:
+                old = math.sqrt(n.get(f, 0.0))
+                n[f] = n.get(f, 0.0) + g * g
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(n[f]) - old) / toxicity.ALPHA * w[f]
+    for i, t in rows:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(weight(f) for f in feats(t)))), abs=1e-5)
