@@ -116,7 +116,7 @@ def method_flag_names(flags: Column, name: Column) -> Column:
 
 def class_kind(flags: Column) -> Column:
     bit = lambda b: flags.bitwiseAND(b) != 0
-    return F.when(bit(0x2000), "annotation").when(bit(0x200), "interface").when(bit(0x4000), "enum").when(bit(0x400), "abstract").otherwise("class")
+    return F.when(bit(0x200), "interface").when(bit(0x2000), "annotation").when(bit(0x4000), "enum").when(bit(0x400), "abstract").otherwise("class")
 
 
 def simple_name(desc: Column) -> Column:

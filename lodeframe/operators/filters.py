@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,12 @@ def prefix(col: Column, text: str) -> Column:
 
 
 def checked_regex(pattern: str) -> str:
+    """The pattern, if the engine that will run it (java.util.regex) takes it."""
     try:
-        re.compile(pattern)
-    except re.error as e:
-        raise bad_argument(f"bad pattern {pattern!r}: {e}", "use classes, groups, alternation, anchors and quantifiers") from e
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError as e:
+        reason = e.java_exception.getMessage().splitlines()[0]
+        raise bad_argument(f"bad pattern {pattern!r}: {reason}", "use classes, groups, alternation, anchors and quantifiers") from e
     return pattern
 
 
@@ -51,11 +55,11 @@ def all_of(conditions: list[Column]) -> Column:
     return out
 
 
-def name_filter(df: DataFrame, query: str, kind: str, cols: list[str], package_col: str | None = None, package: str = "") -> DataFrame:
-    """kind exact: any column equals query. prefix: any starts with it (with `package`, only package_col is tested, by that prefix).
+def name_filter(df: DataFrame, query: str, kind: str, cols: list[str], package_col: str | None = None, package: str = "", also: Column | None = None) -> DataFrame:
+    """kind exact: any column equals query, or `also` holds. prefix: any starts with it (with `package`, only package_col is tested, by that prefix).
     regex: any has a match."""
     if kind == "exact":
-        return df.where(any_of([F.col(c) == query for c in cols]))
+        return df.where(any_of([F.col(c) == query for c in cols] + ([] if also is None else [also])))
     if kind == "prefix":
         if package and package_col:
             return df.where(package_prefix(F.col(package_col), package))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +28,17 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, source: str = "src", ta
     return out
 
 
-def closure(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent", most: int = 100) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """Everything below the roots, with its least depth. Ends on cycles: what has been met is not followed again. Each round's
     frontier is written to the shared folder, so plans stay short however deep the hierarchy is."""
     keep = lambda df: materialize(df, "closure")
     frontier = keep(roots.select(F.col(parent).alias("node")).distinct().withColumn("depth", F.lit(0)))
     out = frontier
-    for level in range(1, most + 1):
+    for level in count(1):
         below = edges.join(frontier.select(F.col("node").alias(parent)), parent).select(F.col(child).alias("node")).distinct()
         frontier = keep(below.join(out.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
         if not frontier.take(1):
             break
-        out = out.unionByName(frontier)
+        # The union of all rounds is read again in each: folded into one table from time to time, its plan stays short.
+        out = out.unionByName(frontier) if level % 16 else keep(out.unionByName(frontier))
     return out.where("depth > 0")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import glob
-import hashlib
 import os
+import re
+import time
+import uuid
+from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe import schema
 from lodeframe.errors import EngineError, bad_argument
+from lodeframe.functions.text import combined_sha
 from lodeframe.operators.ranking import first_wins, latest
 from lodeframe.sources import ingest
 from lodeframe.tables import materialize
@@ -21,24 +26,58 @@ MOST_BYTES = 200 << 20
 
 
 class Index:
+    """root, allowed folders and artifacts are paths of any file system that the cluster's Hadoop configuration knows."""
+
     def __init__(self, spark: SparkSession, root: str, allowed: list[str] | None = None):
-        self.spark, self.root, self.allowed = spark, root.rstrip("/"), [os.path.realpath(a) for a in allowed] if allowed else None
+        self.spark, self.root = spark, root.rstrip("/")
+        self.allowed = [self._qualified(a) for a in allowed] if allowed else None
 
-    # -------------------------------------------------------------- tables
+    # -------------------------------------------------------------- files
+
+    def _hadoop(self, path: str):
+        """(file system, path) of a path."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def _qualified(self, path: str) -> str:
+        """The whole path with its scheme. Links of local files are followed."""
+        fs, found = self._hadoop(path)
+        full = fs.makeQualified(found).toString()
+        return "file:" + os.path.realpath(full.removeprefix("file:")) if full.startswith("file:") else full
 
-    def _fs(self, path):
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _list(self, path: str, recursive: bool) -> list[str]:
+        fs, found = self._hadoop(path)
+        files, out = fs.listFiles(found, recursive), []
+        while files.hasNext():
+            out.append(files.next().getPath().toString())
+        return sorted(out)
+
+    # -------------------------------------------------------------- tables
 
     def exists(self, name: str) -> bool:
-        path = self._path(name)
-        return self._fs(path).exists(path)
+        fs, path = self._hadoop(f"{self.root}/{name}")
+        return fs.exists(path)
 
     def delete(self, name: str) -> None:
-        path = self._path(name)
-        self._fs(path).delete(path, True)
+        fs, path = self._hadoop(f"{self.root}/{name}")
+        fs.delete(path, True)
+
+    def size(self, session_id: str | None = None) -> int:
+        """Bytes of all tables, or of those of one session."""
+        part = "" if session_id is None else f"/session_id={session_id}"
+        paths = [self._hadoop(f"{self.root}/{n}{part}") for n in schema.TABLES if self.exists(n + part)]
+        return sum(fs.getContentSummary(path).getLength() for fs, path in paths)
+
+    def unreadable(self, session_id: str) -> list[str]:
+        """Tables of a session that can't be read to the end."""
+        bad = []
+        for name in schema.TABLES:
+            if self.exists(f"{name}/session_id={session_id}"):
+                try:
+                    self.table(name, session_id).write.format("noop").mode("overwrite").save()
+                except (Py4JJavaError, CapturedException):
+                    bad.append(name)
+        return bad
 
     def table(self, name: str, session_id: str | None = None) -> DataFrame:
         """A table, or its part for one session: Spark then lists and reads that partition alone."""
@@ -50,35 +89,49 @@ class Index:
         for name, df in tables.items():
             columns = self.spark.createDataFrame([], schema.COLUMNS[name]).schema
             df = df.select(*[F.col(f.name).cast(f.dataType) for f in columns], "session_id")
-            df.repartition("session_id").sortWithinPartitions("session_id", *schema.TABLES[name]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{self.root}/{name}")
+            key = [c for c in schema.TABLES[name]] or ["session_id"]
+            # A large session is spread over its natural key; AQE puts small ones together again.
+            df.repartition("session_id", *key).sortWithinPartitions("session_id", *schema.TABLES[name]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{self.root}/{name}")
 
     # -------------------------------------------------------------- catalogue
 
-    def _small(self, name: str, kind: str) -> DataFrame:
-        return self.spark.read.schema(kind).parquet(f"{self.root}/{name}") if self.exists(name) else self.spark.createDataFrame([], kind)
+    # Catalogue tables are logs: each change is one row in a folder of its own, and the newest row of a key counts. Nothing is written
+    # over, so loaders that run at the same time keep each other's sessions.
 
-    def sessions(self) -> DataFrame:
-        return self._small("sessions", SESSIONS)
+    def _log(self, name: str, kind: str, key: list[str]) -> DataFrame:
+        kind = f"{kind}, seq long, gone boolean, entry string"
+        log = self.spark.read.schema(kind).parquet(f"{self.root}/{name}") if self.exists(name) else self.spark.createDataFrame([], kind)
+        return latest(log, key, ["seq", "entry"]).where("NOT gone").drop("seq", "gone", "entry")
 
-    def owners(self) -> DataFrame:
-        return self._small("owners", OWNERS)
+    def _append(self, name: str, kind: str, row: tuple, gone: bool = False) -> None:
+        change = self.spark.createDataFrame([row], kind).withColumn("seq", F.lit(time.time_ns())).withColumn("gone", F.lit(gone))
+        change.coalesce(1).write.parquet(f"{self.root}/{name}/entry={uuid.uuid4().hex}")
 
-    def _replace(self, name: str, df: DataFrame) -> None:
-        materialize(df.coalesce(1), name).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}")
+    def sessions(self) -> DataFrame:
+        return self._log("sessions", SESSIONS, ["session_id"])
 
-    def upsert(self, row: DataFrame, owner: str) -> None:
-        old, row = self.sessions(), self.spark.createDataFrame(row.collect(), SESSIONS)
-        kept = row.join(old.select("session_id", F.col("created_at").alias("_was")), "session_id", "left").withColumn("created_at", F.coalesce("_was", "created_at")).drop("_was")
-        self._replace("sessions", latest(old.withColumn("_new", F.lit(0)).unionByName(kept.withColumn("_new", F.lit(1))), ["session_id"], ["_new"]).drop("_new"))
-        held = row.select("session_id", F.lit(owner).alias("owner"), F.current_timestamp().alias("created_at"))
-        self._replace("owners", first_wins(self.owners().unionByName(held), ["session_id", "owner"], ["created_at"]))
+    def owners(self) -> DataFrame:
+        return self._log("owners", OWNERS, ["session_id", "owner"])
+
+    def upsert(self, row: tuple, owner: str) -> None:
+        """row: as SESSIONS, with the time of now. A session that is there keeps its time."""
+        names = [f.split()[0] for f in SESSIONS.split(", ")]
+        at = names.index("created_at")
+        old = self.sessions().where(F.col("session_id") == row[0]).first()
+        kept = row if old is None else (*row[:at], old.created_at, *row[at + 1 :])
+        if old is None or tuple(old[n] for n in names) != kept:
+            self._append("sessions", SESSIONS, kept)
+        if not self.owners().where((F.col("session_id") == row[0]) & (F.col("owner") == owner)).take(1):
+            self._append("owners", OWNERS, (row[0], owner, row[at]))
 
     def release(self, session_id: str, owner: str, keep_files: bool = False) -> int:
         """Owners left. With the last one the session's tables go."""
-        self._replace("owners", self.owners().where((F.col("session_id") != session_id) | (F.col("owner") != owner)))
+        now = datetime.now()
+        self._append("owners", OWNERS, (session_id, owner, now), gone=True)
         left = self.owners().where(F.col("session_id") == session_id).count()
         if not left:
-            self._replace("sessions", self.sessions().where(F.col("session_id") != session_id))
+            empty = [None] * (len(SESSIONS.split(", ")) - 1)
+            self._append("sessions", SESSIONS, (session_id, *empty), gone=True)
             if not keep_files:
                 for name in schema.TABLES:
                     self.delete(f"{name}/session_id={session_id}")
@@ -87,27 +140,33 @@ class Index:
     # -------------------------------------------------------------- loading
 
     def resolve(self, path: str) -> str:
-        real = os.path.realpath(path)
-        if not os.path.exists(real):
-            raise EngineError("INVALID_PATH", f"no file {path}", "give a path on this machine")
-        if self.allowed is not None and not any(real == a or real.startswith(a + os.sep) for a in self.allowed):
+        real = self._qualified(path)
+        fs, found = self._hadoop(real)
+        if not fs.exists(found):
+            raise EngineError("INVALID_PATH", f"no file {path}", "give a path that the cluster can read")
+        if self.allowed is not None and not any(real == a or real.startswith(a.rstrip("/") + "/") for a in self.allowed):
             raise EngineError("INVALID_PATH", f"{path} is outside the allowed folders", f"put it below one of {', '.join(self.allowed)}")
         return real
 
     def expand(self, path: str, splits: bool = True) -> list[str]:
-        """A file, a folder, or a list with commas or colons; base packages first. A base.apk brings the splits beside it."""
-        parts = [self.resolve(p) for p in ([path] if os.path.exists(path) else [p for p in path.replace(":", ",").split(",") if p])]
+        """A file, a folder, or a list with commas (for local files also colons); base packages first. A base.apk brings the splits beside
+        it."""
+        fs, found = self._hadoop(path) if "," not in path else (None, None)
+        whole = fs is not None and ("://" in path or fs.exists(found))
+        parts = [self.resolve(p) for p in ([path] if whole else [p for p in re.split(r",|:(?!//)", path) if p])]
         if not parts:
-            raise EngineError("INVALID_PATH", f"no file in {path!r}", "give a path on this machine")
+            raise EngineError("INVALID_PATH", f"no file in {path!r}", "give a path that the cluster can read")
+        base = lambda p: p.rpartition("/")[2]
+        is_split = lambda p: base(p).startswith(("split_", "config."))
         out: list[str] = []
         for p in parts:
-            if os.path.isdir(p):
-                out += sorted(glob.glob(f"{glob.escape(p)}/**/*.apk", recursive=True))
+            fs, found = self._hadoop(p)
+            if fs.getFileStatus(found).isDirectory():
+                out += [x for x in self._list(p, True) if x.endswith(".apk")]
             else:
                 out.append(p)
-                if splits and os.path.basename(p) == "base.apk":
-                    out += sorted(glob.glob(f"{glob.escape(os.path.dirname(p))}/split_*.apk") + glob.glob(f"{glob.escape(os.path.dirname(p))}/config.*.apk"))
-        is_split = lambda p: os.path.basename(p).startswith(("split_", "config."))
+                if splits and base(p) == "base.apk":
+                    out += [x for x in self._list(p.rpartition("/")[0], False) if is_split(x) and x.endswith(".apk")]
         out = sorted(dict.fromkeys(out), key=lambda p: (is_split(p), p))
         if not splits:
             out = [p for p in out if not is_split(p)]
@@ -118,17 +177,17 @@ class Index:
     def files(self, paths: list[str], source: str, most: int | None, force: bool) -> tuple[DataFrame, str, str]:
         """(files for the parser, session id, digest). most: None for the default, 0 for no limit."""
         most = MOST_BYTES if most is None else most
-        sizes = {p: os.path.getsize(p) for p in paths}
-        if most and not force and sum(sizes.values()) > most:
-            raise EngineError("APK_TOO_LARGE", f"{sum(sizes.values())} bytes, at most {most}", "raise maxApkBytes, or use force")
-        order = self.spark.createDataFrame([(f"file:{p}", k, os.path.basename(p)) for k, p in enumerate(paths)], "path string, file_ord int, name string")
+        size = sum(fs.getFileStatus(found).getLen() for fs, found in map(self._hadoop, paths))
+        if most and not force and size > most:
+            raise EngineError("APK_TOO_LARGE", f"{size} bytes, at most {most}", "raise maxApkBytes, or use force")
+        plain = lambda p: re.sub("^file:/+", "file:/", p)
+        order = self.spark.createDataFrame([(plain(p), k, p.rpartition("/")[2]) for k, p in enumerate(paths)], "path string, file_ord int, name string")
         raw = self.spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content").join(F.broadcast(order), "path")
-        told = sorted((r["name"], r.sha) for r in raw.select("name", F.sha2("content", 256).alias("sha")).collect())
-        digest = told[0][1] if len(told) == 1 else hashlib.sha256("\n".join(f"{n}:{s}" for n, s in told).encode()).hexdigest()
-        session = "ses_" + digest[:12]
-        return raw.select(F.lit(session).alias("session_id"), "file_ord", "name", F.lit(source).alias("source"), "content"), session, digest
+        told = raw.agg(combined_sha(F.collect_list(F.struct("name", F.sha2("content", 256).alias("sha")))).alias("digest")).first()
+        session = "ses_" + told.digest[:12]
+        return raw.select(F.lit(session).alias("session_id"), "file_ord", "name", F.lit(source).alias("source"), "content"), session, told.digest
 
-    def load(self, paths: list[str], kind: str, owner: str, source: str = "app", into: str = "", parser: str = "", most: int | None = None, force: bool = False) -> tuple[str, bool]:
+    def load(self, paths: list[str], kind: str, owner: str, source: str = "app", into: str = "", parser: str = "", most: int | None = None, force: bool = False, form: str = "auto") -> tuple[str, bool]:
         """(session, whether it was there already). into: a session that the new rows are added to; what it has wins."""
         ingest.backend(parser)
         files, session, digest = self.files(paths, source, most, force)
@@ -139,9 +198,9 @@ class Index:
             if known is not None:
                 if known.schema_version != schema.SCHEMA_VERSION:
                     raise EngineError("INDEX_STALE", f"{session} has schema {known.schema_version}", "load it again with force")
-                self.upsert(self.sessions().where(F.col("session_id") == session), owner)
+                self.upsert(tuple(known), owner)
                 return session, True
-        parsed = materialize(ingest.parse_files(files, parser), "parsed")
+        parsed = materialize(ingest.parse_files(files, parser, form), "parsed")
         error = parsed.where("entity = 'error'").select(F.from_json("payload", "code string, message string, suggestion string").alias("e")).select("e.*").first()
         if error is not None:
             raise EngineError(error.code, error.message, error.suggestion)
@@ -158,8 +217,8 @@ class Index:
             if force and tables[name].limit(1).count() == 0:
                 self.delete(f"{name}/session_id={session}")
         m = tables["manifest"].first()
-        row = [(session, digest, kind, os.path.basename(paths[0]), *((m["package"], m["version_name"], m["version_code"]) if m else (None, None, None)), None, schema.SCHEMA_VERSION, paths)]
-        self.upsert(self.spark.createDataFrame(row, SESSIONS).withColumn("created_at", F.current_timestamp()), owner)
+        told = (m["package"], m["version_name"], m["version_code"]) if m else (None, None, None)
+        self.upsert((session, digest, kind, paths[0].rpartition("/")[2], *told, datetime.now(), schema.SCHEMA_VERSION, paths), owner)
         return session, False
 
     def _added(self, name: str, session: str, new: DataFrame) -> DataFrame:

@@ -34,13 +34,52 @@ def as_list(value) -> list[str]:
     return [str(v).strip() for v in (value if isinstance(value, (list, tuple)) else re.split(r"[,;|]", str(value))) if str(v).strip()]
 
 
+def as_texts(value) -> list[str]:
+    """A list as it is (texts may hold commas), else the parts of a text."""
+    return [str(s) for s in value] if isinstance(value, (list, tuple)) else as_list(value)
+
+
+def callee(parsed: tuple) -> Column:
+    """Edges to a member: (owner or None, name, and parameters, a type or None). A simple owner stands for a class of any package."""
+    owner, name, rest = parsed
+    out = F.col("callee_name") == name
+    if owner:
+        own = F.col("callee_owner") == owner
+        out = out & (own if "/" in owner else own | F.col("callee_owner").endswith("/" + owner[1:]))
+    if isinstance(rest, list):
+        return out & (F.col("callee_params") == f"({''.join(rest)})")
+    return out & (F.col("callee_ret") == rest) if rest else out
+
+
+def checked(name: str, value, parameter: inspect.Parameter):
+    """The value as the parameter's annotation wants it: text that stands for a number or a truth value is read as one."""
+    kind = str(parameter.annotation)
+    if value is None or kind == str(inspect.Parameter.empty):
+        return value
+    if kind.startswith("bool"):
+        spelled = {"true": True, "false": False, "1": True, "0": False, "yes": True, "no": False}.get(str(value).strip().lower())
+        if spelled is None:
+            raise bad_argument(f"{name} must be true or false, not {value!r}")
+        return spelled
+    if kind.startswith(("int", "float")):
+        number = float if kind.startswith("float") else int
+        try:
+            return number(value)
+        except (TypeError, ValueError) as e:
+            raise bad_argument(f"{name} must be a number, not {value!r}") from e
+    if kind.startswith("str") and not isinstance(value, str):
+        raise bad_argument(f"{name} must be a text, not {value!r}")
+    return value
+
+
 def rows(df: DataFrame, limit: int) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, allowed: list[str] | None = None, owner: str = "default"):
-        self.spark, self.index, self.owner = spark, Index(spark, root, allowed), owner
+    def __init__(self, spark: SparkSession, root: str = "", allowed: list[str] | None = None, owner: str = "default", index=None):
+        """index: anything with the table(), exists() and session() of an Index, instead of the one stored in root."""
+        self.spark, self.index, self.owner = spark, index or Index(spark, root, allowed), owner
         self.tools = {"loadApk": self.load_apk, "loadAar": self.load_aar, "loadDex": self.load_dex, "sessionList": self.session_list, "unload": self.unload, "stats": self.stats, "checkPacker": self.check_packer, "searchClasses": self.search_classes, "listMembers": self.list_members, "getSignature": self.get_signature, "searchByString": self.search_by_string, "findImplementations": self.find_implementations, "xref": self.xref, "decompile": self.decompile, "matchSignature": self.match_signature, "diffSessions": self.diff_sessions, "probe": self.probe, "listManifest": self.list_manifest, "findComponent": self.find_component, "searchResources": self.search_resources, "resourceRefs": self.resource_refs, "resourceSecurity": self.resource_security, "doctor": self.doctor}
 
     def call(self, tool: str, **args) -> dict:
@@ -55,7 +94,10 @@ class Engine:
                 key = name.replace("_", "").lower()
                 if key not in known:
                     raise bad_argument(f"unknown argument {name!r}", f"one of {', '.join(inspect.signature(fn).parameters)}")
-                bound[known[key]] = value
+                bound[known[key]] = checked(name, value, inspect.signature(fn).parameters[known[key]])
+            missing = [n for n, p in inspect.signature(fn).parameters.items() if p.default is p.empty and n not in bound]
+            if missing:
+                raise bad_argument(f"missing argument {', '.join(missing)}", f"give {', '.join(missing)}")
             return fn(**bound)
         except EngineError as e:
             return envelope.fail(e)
@@ -74,8 +116,8 @@ class Engine:
         into = self.index.session(merge_into) if merge_into else ""
         session, known = self.index.load([self.index.resolve(path)], "aar", self.owner, "library", into, backend, max_apk_bytes, force)
         facts = self.index.table("facts", session)
-        rules = facts.select(F.explode("keep").alias("rule"))
-        names = self.spark.createDataFrame([(n,) for n in containers.kept_names([r.rule for r in rules.limit(5000).collect()])], "name string")
+        named = F.regexp_extract_all("rule", F.lit(containers.KEPT_NAME), 1)
+        names = facts.select(F.explode("keep").alias("rule")).select(F.explode(named).alias("name")).distinct()
         kept = names.withColumn("descriptor", d.normalize_desc(F.col("name"))).join(self.index.table("classes", session).select("descriptor"), "descriptor", "left_semi")
         return self._fingerprint(session, known, hardcodableKeep=sorted(r["name"] for r in kept.collect()), rCount=facts.agg(F.coalesce(F.sum("r_count"), F.lit(0))).first()[0])
 
@@ -83,7 +125,7 @@ class Engine:
         if format not in ("auto", "apk", "aar", "jar", "dex", "odex", "vdex"):
             raise bad_argument(f"unknown format {format!r}")
         into = self.index.session(session_id) if session_id else ""
-        session, known = self.index.load([self.index.resolve(path)], "dex", self.owner, source, into, backend, max_apk_bytes, force)
+        session, known = self.index.load([self.index.resolve(path)], "dex", self.owner, source, into, backend, max_apk_bytes, force, format)
         return self._fingerprint(session, known)
 
     def _fingerprint(self, session: str, known: bool, **more) -> dict:
@@ -201,23 +243,28 @@ class Engine:
 
     # -------------------------------------------------------------- searches
 
-    def search_classes(self, session_id: str, query: str = "", kind: str = "prefix", scope: str = "all", limit: int = 50, package_filter: str = "", annotated_with: str = "") -> dict:
-        session, limit = self.index.session(session_id), ranking.clamp_limit(limit)
+    def found_classes(self, session: str, query: str = "", kind: str = "prefix", scope: str = "all", package_filter: str = "", annotated_with: str = "") -> DataFrame:
         found = self.scoped(session, scope).withColumn("binary", d.binary_name(F.col("descriptor")))
         if kind == "exact":
-            found = found.where((F.col("descriptor") == d.to_desc(query)) | (F.col("simple_name") == query))
+            found = filters.name_filter(found, query, "exact", ["simple_name"], also=F.col("descriptor") == d.to_desc(query))
         elif kind == "prefix":
             text = query.replace(".", "/")
             if package_filter:
-                found = found.where(filters.package_prefix(F.col("package"), package_filter))
+                found = filters.name_filter(found, query, "prefix", ["simple_name"], "package", package_filter)
             elif query:
-                found = found.where(filters.prefix(F.col("descriptor"), "L" + text.removeprefix("L") if "/" in text else "L" + text) | filters.prefix(F.col("package"), text) | filters.prefix(F.col("simple_name"), query))
+                full = "L" + text.removeprefix("L") if "/" in text else "L" + text
+                found = found.where(filters.prefix(F.col("descriptor"), full) | filters.prefix(F.col("package"), text) | filters.prefix(F.col("simple_name"), query))
         elif kind == "regex":
             found = filters.name_filter(found, query, "regex", ["binary", "simple_name"])
         else:
             raise bad_argument(f"unknown kind {kind!r}", "exact, prefix or regex")
         if annotated_with:
             found = found.join(self.annotated(session, annotated_with).select(F.col("class_descriptor").alias("descriptor")), "descriptor", "left_semi")
+        return found
+
+    def search_classes(self, session_id: str, query: str = "", kind: str = "prefix", scope: str = "all", limit: int = 50, package_filter: str = "", annotated_with: str = "") -> dict:
+        session, limit = self.index.session(session_id), ranking.clamp_limit(limit)
+        found = self.found_classes(session, query, kind, scope, package_filter, annotated_with)
         items = rows(self.class_items(session, found).orderBy(F.length("descriptor"), "descriptor"), limit)
         return envelope.ok(items, found.count(), session)
 
@@ -284,17 +331,17 @@ class Engine:
         items = [{"string": r["value"], "length": r["len"], "methodCount": r["method_count"], "methods": r["methods"], "moreMethods": r["method_count"] - len(r["methods"])} for r in found]
         return envelope.ok(items, hits.count(), session, poolMatches=pool.count())
 
-    def find_implementations(self, session_id: str, interface: str = "", super_class: str = "", method: str = "", scope: str = "all", limit: int = 50, transitive: bool = True, include_abstract: bool = True) -> dict:
-        session, limit = self.index.session(session_id), ranking.clamp_limit(limit)
+    def implementations(self, session: str, interface: str = "", super_class: str = "", method: str = "", scope: str = "all", transitive: bool = True, include_abstract: bool = True) -> DataFrame:
+        """Classes below an interface or a class, or with a method; every condition that is given has to hold."""
         every, found = self.index.table("classes", session), self.scoped(session, scope)
         if not (interface or super_class or method):
             raise bad_argument("give an interface, a superClass or a method")
         up = every.select(F.col("descriptor").alias("child"), F.col("super_descriptor").alias("parent")).where("parent IS NOT NULL")
         faces = every.select(F.col("descriptor").alias("child"), F.explode("interfaces").alias("parent"))
-        for name, edges in ((interface, up.unionByName(faces)), (super_class, up)):
+        for name, edges, first in ((interface, up.unionByName(faces), faces), (super_class, up, up)):
             if name:
                 roots = self.spark.createDataFrame([(d.to_desc(name),)], "parent string")
-                near = (faces if name == interface else up).join(roots, "parent", "left_semi").select(F.col("child").alias("node"))
+                near = first.join(roots, "parent", "left_semi").select(F.col("child").alias("node"))
                 below = graph.closure(edges, roots) if transitive else near
                 found = found.join(below.select(F.col("node").alias("descriptor")), "descriptor", "left_semi")
         if method:
@@ -302,40 +349,61 @@ class Engine:
             own = self.index.table("methods", session).where(F.col("name") == name)
             own = own.where(F.col("params_descriptor") == f"({''.join(args)})") if args is not None else own
             found = found.join(own.select(F.col("class_descriptor").alias("descriptor")), "descriptor", "left_semi")
-        if not include_abstract:
-            found = found.where(filters.flags_clear(F.col("access_flags"), 0x600))
-        sample = ranking.top_k(self.index.table("methods", session).select("class_descriptor", "name", "method_key"), ["class_descriptor"], ["name", "method_key"], 6).groupBy(F.col("class_descriptor").alias("descriptor")).agg(F.sort_array(F.collect_list("method_key")).alias("sampleMembers"))
-        items = rows(self.class_items(session, found).join(sample, "descriptor", "left").orderBy(F.col("source").desc(), "descriptor"), limit)
-        return envelope.ok(items, found.count(), session)
+        return found if include_abstract else found.where(filters.flags_clear(F.col("access_flags"), 0x600))
+
+    def sample_members(self, session: str, most: int = 6) -> DataFrame:
+        """(descriptor, sampleMembers): the first methods of each class by name."""
+        own = self.index.table("methods", session).select("class_descriptor", "name", "method_key")
+        first = ranking.top_k(own, ["class_descriptor"], ["name", "method_key"], most)
+        return first.groupBy(F.col("class_descriptor").alias("descriptor")).agg(F.sort_array(F.collect_list("method_key")).alias("sampleMembers"))
+
+    def find_implementations(self, session_id: str, interface: str = "", super_class: str = "", method: str = "", scope: str = "all", limit: int = 50, transitive: bool = True, include_abstract: bool = True) -> dict:
+        session, limit = self.index.session(session_id), ranking.clamp_limit(limit)
+        found = self.implementations(session, interface, super_class, method, scope, transitive, include_abstract)
+        shown = self.class_items(session, found).join(self.sample_members(session), "descriptor", "left")
+        return envelope.ok(rows(shown.orderBy(F.col("source").desc(), "descriptor"), limit), found.count(), session)
+
+    def invocations(self, session: str) -> DataFrame:
+        edges = self.index.table("xref_edges", session).where(F.col("kind").isin(*INVOKES))
+        return edges.select("caller_key", "callee_descriptor", "kind", "hits")
+
+    def edges_met(self, session: str, seeds: DataFrame, direction: str, depth: int, scope: str = "all") -> DataFrame:
+        """(depth, kind, hits, caller_key, callee_descriptor) of the calls met from the methods (method_key) in seeds."""
+        edges = self.invocations(session)
+        source, target = ("callee_descriptor", "caller_key") if direction == "callers" else ("caller_key", "callee_descriptor")
+        met = materialize(graph.walk(edges, seeds.select(F.col("method_key").alias(source)), depth, source, target), "xref")
+        full = met.join(edges, ["caller_key", "callee_descriptor"])
+        if scope != "all":
+            kept = self.scoped(session, scope).select(F.col("descriptor").alias("_class"))
+            full = full.join(kept, F.substring_index("caller_key", "->", 1) == F.col("_class"), "left_semi")
+        return full.select(F.col("hop").alias("depth"), match.decode(F.col("kind"), KINDS).alias("kind"), "hits", "caller_key", "callee_descriptor")
+
+    def method_seeds(self, session: str, method: str, clazz: str = "") -> DataFrame:
+        """(method_key) of the methods that a reference, or a class, stands for."""
+        known, edges = self.index.table("methods", session), self.invocations(session)
+        if not method:
+            return known.where(F.col("class_descriptor") == self.one_class(session, clazz).descriptor).select("method_key")
+        owner, name, args, ret = d.parse_method_ref(method)
+        if clazz or (owner and not edges.where(F.col("callee_descriptor").startswith(owner + "->")).limit(1).count()):
+            owner = self.one_class(session, clazz or owner).descriptor
+        keys = known.select("method_key").unionByName(edges.select(F.col("callee_descriptor").alias("method_key"))).distinct()
+        start = (owner or "") + "->" + name + ("(" if args is None else f"({''.join(args)})" + (ret or ""))
+        return keys.where(F.col("method_key").startswith(start) if owner else F.col("method_key").contains(start))
 
     def xref(self, session_id: str, method: str = "", clazz: str = "", direction: str = "callers", depth: int = 1, limit: int = 50, scope: str = "all") -> dict:
         if direction not in ("callers", "callees"):
             raise bad_argument(f"unknown direction {direction!r}", "callers or callees")
-        session, limit, depth = self.index.session(session_id), ranking.clamp_limit(limit), min(max(int(depth), 1), 3)
-        known = self.index.table("methods", session)
-        edges = self.index.table("xref_edges", session).where(F.col("kind").isin(*INVOKES)).select("caller_key", "callee_descriptor", "kind", "hits")
-        if method:
-            owner, name, args, ret = d.parse_method_ref(method)
-            owner = self.one_class(session, clazz or owner).descriptor if clazz or (owner and not edges.where(F.col("callee_descriptor").startswith(owner + "->")).limit(1).count()) else owner
-            like = F.lit(True) if owner is None else None
-            keys = known.select("method_key").unionByName(edges.select(F.col("callee_descriptor").alias("method_key"))).distinct()
-            start = (owner or "") + "->" + name + ("(" if args is None else f"({''.join(args)})" + (ret or ""))
-            seeds = keys.where(F.col("method_key").startswith(start) if like is None else F.col("method_key").contains(start))
-        elif clazz:
-            seeds = known.where(F.col("class_descriptor") == self.one_class(session, clazz).descriptor).select("method_key")
-        else:
+        if not (method or clazz):
             raise bad_argument("give a method or a clazz")
+        session, limit, depth = self.index.session(session_id), ranking.clamp_limit(limit), min(max(int(depth), 1), 3)
+        seeds = self.method_seeds(session, method, clazz)
         if not seeds.limit(1).count():
             raise EngineError("NOT_FOUND", f"no method {method or clazz!r}", "search for it by string or by class")
-        source, target = ("callee_descriptor", "caller_key") if direction == "callers" else ("caller_key", "callee_descriptor")
-        met = materialize(graph.walk(edges, seeds.select(F.col("method_key").alias(source)), depth, source, target), "xref")
-        full = met.join(edges, ["caller_key", "callee_descriptor"])
-        kept = self.scoped(session, scope).select(F.col("descriptor").alias("_class"))
-        if scope != "all":
-            full = full.join(kept, F.substring_index("caller_key", "->", 1) == F.col("_class"), "left_semi")
-        found = full.select(F.col("hop").alias("depth"), match.decode(F.col("kind"), KINDS).alias("kind"), "hits", "caller_key", "callee_descriptor").orderBy("depth", F.col("hits").desc(), "caller_key", "callee_descriptor", "kind")
-        items = [{"depth": r.depth, "kind": r.kind, "hits": r.hits, **({"caller": r.caller_key, "to": r.callee_descriptor} if direction == "callers" else {"callee": r.callee_descriptor, "from": r.caller_key})} for r in found.limit(limit).collect()]
-        levels = {r.hop: r.n for r in match.count_by(full, ["hop"]).collect()}
+        found = materialize(self.edges_met(session, seeds, direction, depth, scope), "xref-edges")
+        first, second = ("caller", "to") if direction == "callers" else ("from", "callee")
+        shown = found.orderBy("depth", F.col("hits").desc(), "caller_key", "callee_descriptor", "kind").limit(limit).collect()
+        items = [{"depth": r.depth, "kind": r.kind, "hits": r.hits, first: r.caller_key, second: r.callee_descriptor} for r in shown]
+        levels = {r.depth: r.n for r in match.count_by(found, ["depth"]).collect()}
         return envelope.ok(items, sum(levels.values()), session, levels=[levels.get(k, 0) for k in range(1, depth + 1)])
 
     def decompile(self, session_id: str, target: str = "", format: str = "auto", max_lines: int = 400) -> dict:
@@ -358,8 +426,8 @@ class Engine:
         lines = [f".class {desc}", f".super {row.super_descriptor}", *[f".implements {i}" for i in row.interfaces]] + [r.line for r in body.limit(most).collect()]
         return envelope.ok([{"target": target, "format": "outline", "code": "\n".join(lines[:most]), "lines": min(len(lines), most)}], session_id=session, reason="no decompiler: outline of the index")
 
-    def match_signature(self, session_id: str, params=None, return_type: str = "", modifiers=None, referred_strings=None, accessed_fields=None, invoked_methods=None, name_pattern: str = "", scope: str = "all", package_prefix: str = "", limit: int = 50, require_constructor: bool = False) -> dict:
-        session, limit = self.index.session(session_id), ranking.clamp_limit(limit)
+    def matching_methods(self, session: str, params=None, return_type: str = "", modifiers=None, referred_strings=None, accessed_fields=None, invoked_methods=None, name_pattern: str = "", scope: str = "all", package_prefix: str = "", require_constructor: bool = False) -> DataFrame:
+        """Methods for which every given condition holds."""
         classes = self.scoped(session, scope).select(F.col("descriptor").alias("class_descriptor"), "package")
         found = self.index.table("methods", session).join(classes, "class_descriptor")
         if params is not None:
@@ -384,25 +452,22 @@ class Engine:
             found = found.where(filters.package_prefix(F.col("package"), package_prefix))
         if name_pattern:
             found = found.where(F.col("name").rlike(filters.checked_regex(name_pattern)))
-        strings = [str(s) for s in (referred_strings if isinstance(referred_strings, (list, tuple)) else as_list(referred_strings))]
         fields, calls = as_list(accessed_fields), as_list(invoked_methods)
+        strings = as_texts(referred_strings)
         if max(len(strings), len(fields), len(calls)) > 6:
             raise bad_argument("six strings, fields or calls at most", "use the most telling ones")
-        refs, edges = self.index.table("string_refs", session), self.index.table("xref_edges", session).withColumnRenamed("caller_key", "method_key")
-
-        def callee(parsed: tuple) -> Column:
-            owner, name, rest = parsed[0], parsed[1], parsed[2]
-            out = F.col("callee_name") == name
-            if owner:  # a simple name stands for a class of any package
-                own = F.col("callee_owner") == owner
-                out = out & (own if "/" in owner else own | F.col("callee_owner").endswith("/" + owner[1:]))
-            return out & (F.col("callee_params") == f"({''.join(rest)})") if isinstance(rest, list) else out & (F.col("callee_ret") == rest) if rest else out
-
+        refs = self.index.table("string_refs", session)
+        edges = self.index.table("xref_edges", session).withColumnRenamed("caller_key", "method_key")
         evidences = [refs.where(F.col("value") == s) for s in strings]
         evidences += [edges.where(F.col("kind").isin(*FIELD_KINDS) & callee(d.parse_field_ref(f))) for f in fields]
         evidences += [edges.where(F.col("kind").isin(*INVOKES) & callee(d.parse_method_ref(m)[:3])) for m in calls]
-        found = match.semi_all(found, evidences, ["method_key"]).drop("package")
+        return match.semi_all(found, evidences, ["method_key"]).drop("package")
+
+    def match_signature(self, session_id: str, params=None, return_type: str = "", modifiers=None, referred_strings=None, accessed_fields=None, invoked_methods=None, name_pattern: str = "", scope: str = "all", package_prefix: str = "", limit: int = 50, require_constructor: bool = False) -> dict:
+        session, limit = self.index.session(session_id), ranking.clamp_limit(limit)
+        found = self.matching_methods(session, params, return_type, modifiers, referred_strings, accessed_fields, invoked_methods, name_pattern, scope, package_prefix, require_constructor)
         shown = self.method_items(session, found, 6).drop("method_key").orderBy(F.col("source").desc(), "classDescriptor", "name", "paramsDescriptor").limit(limit).collect()
+        strings = as_texts(referred_strings)
         items = [r.asDict(recursive=True) | {"snippet": snippets.method_snippet(r.classDescriptor, r["name"], re.findall(r"\[*(?:[VZBCSIJFD]|L[^;]+;)", r.paramsDescriptor), r.returnDescriptor, strings)} for r in shown]
         return envelope.ok(items, found.count(), session)
 
@@ -481,8 +546,7 @@ class Engine:
             raise EngineError("NOT_FOUND", f"{session} has no readable resource table", "search its strings instead")
         return self.index.table("resource_entries", session)
 
-    def search_resources(self, session_id: str, query: str = "", match: str = "contains", resource_type: str = "", limit: int = 50) -> dict:
-        session, limit = self.index.session(session_id), ranking.clamp_limit(limit)
+    def found_resources(self, session: str, query: str = "", match: str = "contains", resource_type: str = "") -> DataFrame:
         found = self.resources(session)
         if match == "contains":
             found = found.where(F.lower("name").contains(query.lower()))
@@ -492,45 +556,66 @@ class Engine:
             found = found.where(F.col("name").rlike(filters.checked_regex(query)))
         else:
             raise bad_argument(f"unknown match {match!r}", "contains, prefix or regex")
-        found = found.where(F.col("type") == resource_type) if resource_type else found
-        return envelope.ok(rows(found.drop("session_id").orderBy("type", "name", "id"), limit), found.count(), session)
+        return (found.where(F.col("type") == resource_type) if resource_type else found).drop("session_id")
 
-    def resource_refs(self, session_id: str, resource: str = "", resource_type: str = "", limit: int = 50) -> dict:
-        if not resource:
-            raise bad_argument("resource is missing", "a name such as app_name, or R.string.app_name")
+    def search_resources(self, session_id: str, query: str = "", match: str = "contains", resource_type: str = "", limit: int = 50) -> dict:
         session, limit = self.index.session(session_id), ranking.clamp_limit(limit)
+        found = self.found_resources(session, query, match, resource_type)
+        return envelope.ok(rows(found.orderBy("type", "name", "id"), limit), found.count(), session)
+
+    def resource_uses(self, session: str, resource: str, resource_type: str = "") -> tuple[DataFrame, list[str]]:
+        """((method_key, value, via) of each use, the spellings looked for)."""
         name = resource.rpartition(".")[2]
         kind = resource_type or (resource.split(".")[-2] if resource.count(".") >= 1 and resource.split(".")[-2] != "R" else "")
         spellings = [name, *([f"{kind}.{name}", f"R.{kind}.{name}"] if kind else [f"R.{name}"])]
-        wanted = self.spark.createDataFrame([(s,) for s in spellings], "candidate string")
-        pool = self.index.table("strings", session).select("value")
-        hits = match.contained_in(wanted, pool, "candidate", "value").select("value").distinct()
+        hits = self.index.table("strings", session).where(filters.any_of([F.col("value").contains(s) for s in spellings])).select("value")
         found = self.index.table("string_refs", session).join(hits, "value").select("method_key", "value", F.lit("string").alias("via"))
         if not found.limit(1).count():
             tail = f"/R${kind};" if kind else "/R$"
             by_class = F.col("callee_owner").endswith(tail) if kind else F.col("callee_owner").contains(tail)
             consts = self.index.table("xref_edges", session).where((F.col("kind") == 9) & (by_class | F.col("callee_owner").endswith("/BuildConfig;")))
             found = consts.select(F.col("caller_key").alias("method_key"), F.col("callee_owner").alias("value"), F.lit("const-class").alias("via"))
+        return found, spellings
+
+    def resource_refs(self, session_id: str, resource: str = "", resource_type: str = "", limit: int = 50) -> dict:
+        if not resource:
+            raise bad_argument("resource is missing", "a name such as app_name, or R.string.app_name")
+        session, limit = self.index.session(session_id), ranking.clamp_limit(limit)
+        found, spellings = self.resource_uses(session, resource, resource_type)
         return envelope.ok(rows(found.orderBy("value", "method_key"), limit), found.count(), session, candidates=spellings)
 
     def resource_security(self, session_id: str, limit: int = 50) -> dict:
         session = self.index.session(session_id)
         of = lambda name: self.index.table(name, session)
         manifest = of("manifest").withColumn("dangerous", F.filter("uses_permissions", lambda p: filters.any_keyword(p, DANGEROUS))).first()
-        sets = lambda df, *cols: [r.asDict() for r in df.select(*cols).distinct().orderBy(*cols).limit(80).collect()]
+        limit = ranking.clamp_limit(limit)
+        sets = lambda df, *cols: [r.asDict() for r in df.select(*cols).distinct().orderBy(*cols).limit(limit).collect()]
         exported = sets(filters.three_valued(of("components"), "exported", True), "type", "name", "permission")
         libs = sets(of("native_libs"), "abi", "name")
         there = self.index.exists(f"resource_entries/session_id={session}")
-        item = {"available": there, "manifestPackage": manifest and manifest.package, "minSdk": manifest and manifest.min_sdk, "targetSdk": manifest and manifest.target_sdk, "application": manifest and manifest.application, "usesPermissions": (manifest.uses_permissions if manifest else [])[:80], "dangerousPermissions": (manifest.dangerous if manifest else [])[:50], "exportedComponents": exported, "nativeLibs": libs[:30], "resourceTypes": [r["type"] for r in sets(of("resource_entries"), "type")] if there else []}
+        item = {"available": there, "manifestPackage": manifest and manifest.package, "minSdk": manifest and manifest.min_sdk, "targetSdk": manifest and manifest.target_sdk, "application": manifest and manifest.application, "usesPermissions": (manifest.uses_permissions if manifest else [])[:limit], "dangerousPermissions": (manifest.dangerous if manifest else [])[:limit], "exportedComponents": exported, "nativeLibs": libs, "resourceTypes": [r["type"] for r in sets(of("resource_entries"), "type")] if there else []}
         return envelope.ok([item], session_id=session)
 
     def doctor(self) -> dict:
-        """Sessions without tables, tables without a session, and schemas of another version. Changes nothing."""
-        known = self.index.sessions().select("session_id", "schema_version")
+        """A row for each session: whether its tables are there, their bytes, whether they can be read, schema version, owners and issues;
+        and tables without a session. Changes nothing."""
+        known = self.index.sessions()
+        owners = match.ref_count(self.index.owners(), "session_id", "owner")
         stored = self.index.table("classes").select("session_id").distinct()
         lost = match.orphans(known.select("session_id"), stored, ["session_id"], "missing-tables", "unregistered")
-        old = known.where(F.col("schema_version") != schema.SCHEMA_VERSION).select("session_id", F.lit("stale-schema").alias("kind"))
-        return envelope.ok(rows(lost.unionByName(old).orderBy("kind", "session_id"), 200), sessions=known.count())
+        items, issues = [], [f"{r.session_id}: {r.kind}" for r in lost.orderBy("kind", "session_id").collect()]
+        missing = {i.partition(":")[0] for i in issues if i.endswith("missing-tables")}
+        for r in known.join(owners, "session_id", "left").orderBy("session_id").collect():
+            problems = ["missing-tables"] if r.session_id in missing else []
+            if r.schema_version != schema.SCHEMA_VERSION:
+                problems.append("stale-schema")
+                issues.append(f"{r.session_id}: stale-schema")
+            broken = self.index.unreadable(r.session_id)
+            problems += [f"unreadable {n}" for n in broken]
+            issues += [f"{r.session_id}: unreadable {n}" for n in broken]
+            items.append({"sessionId": r.session_id, "kind": r.kind, "package": r.pkg, "exists": r.session_id not in missing, "sizeBytes": self.index.size(r.session_id), "schemaVersion": r.schema_version, "createdAt": str(r.created_at), "owners": r.owners or 0, "quickCheck": "ok" if not broken else "failed", "issues": problems})
+        items += [{"sessionId": i.partition(":")[0], "kind": "unregistered", "exists": True, "issues": ["unregistered"]} for i in issues if i.endswith("unregistered")]
+        return envelope.ok(items, issues=issues, sessions=known.count(), cacheBytes=self.index.size())
 
     def probe(self, session_id: str, question: str = "", limit: int = 12, target: str = "", max_depth: int = 2) -> dict:
         """Keywords of a question to strings and classes, and a closer look at a target; one part's failure leaves the others."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import re
 import struct
@@ -10,7 +9,6 @@ import zipfile
 
 DEX_NAME = re.compile(r"classes(\d*)\.dex")
 NATIVE = re.compile(r"(?:lib|jni)/([^/]+)/([^/]+\.so)")
-MOST_CLASS_ENTRIES = 20_000
 
 
 def sniff(head: bytes, name: str = "", members: frozenset[str] | set[str] = frozenset()) -> str:
@@ -29,21 +27,31 @@ def dex_members(names: list[str]) -> list[str]:
     return sorted((n for n in names if DEX_NAME.fullmatch(n)), key=lambda n: int(DEX_NAME.fullmatch(n)[1] or 1))
 
 
+#: Fixed values of the DEX header: bytes of one entry of each table (strings, types, prototypes, fields, methods, classes).
+TABLE_WIDTHS = (4, 4, 12, 8, 8, 32)
+DEX_MAGIC = re.compile(rb"dex\n[0-9]{3}\0")
+
+
+def dex_size(data: memoryview) -> int:
+    """Bytes of the whole dex image that data begins with; 0 if the header, or a table that it names, doesn't fit."""
+    if len(data) < 0x70:
+        return 0
+    size, header, order, *words = struct.unpack_from("<20I", data, 32)
+    tables = list(zip(words[3:15:2], words[4:15:2], strict=True))
+    if header != 0x70 or order != 0x12345678 or not 0x70 < size <= len(data):
+        return 0
+    inside = all(not n or (0x70 <= at and at + n * width <= size) for (n, at), width in zip(tables, TABLE_WIDTHS, strict=True))
+    return size if inside else 0
+
+
 def carve(data: bytes) -> list[bytes]:
-    """Whole dex images inside another image, each content once."""
-    out, seen, at = [], set(), data.find(b"dex\n")
-    while at >= 0:
-        step = 4
-        if at + 0x70 <= len(data):
-            size, head, order = struct.unpack_from("<3I", data, at + 32)
-            if head == 0x70 and order == 0x12345678 and 0x70 < size <= len(data) - at:
-                image = data[at : at + size]
-                step = size
-                if (digest := hashlib.sha256(image).digest()) not in seen:
-                    seen.add(digest)
-                    out.append(image)
-        at = data.find(b"dex\n", at + step)
-    return out
+    """Whole dex images inside another image, each content once. An image inside an image belongs to the outer one."""
+    view, images, end = memoryview(data), {}, 0
+    for m in DEX_MAGIC.finditer(data):
+        if m.start() >= end and (size := dex_size(view[m.start() :])):
+            end = m.start() + size
+            images.setdefault(bytes(view[m.start() : end]))
+    return list(images)
 
 
 def zip_facts(archive: zipfile.ZipFile) -> dict:
@@ -64,7 +72,7 @@ def zip_facts(archive: zipfile.ZipFile) -> dict:
 
 
 def class_entries(archive: zipfile.ZipFile) -> list[str]:
-    return [n for n in archive.namelist() if n.endswith(".class") and not n.endswith("module-info.class")][:MOST_CLASS_ENTRIES]
+    return [n for n in archive.namelist() if n.endswith(".class") and not n.endswith("module-info.class")]
 
 
 def open_zip(data: bytes) -> zipfile.ZipFile:
@@ -88,6 +96,5 @@ def keep_rules(text: str) -> list[str]:
     return [re.sub(r"\s+", " ", r) for r in [*out, rule] if r]
 
 
-def kept_names(rules: list[str]) -> list[str]:
-    """Literal class names of keep rules, dotted."""
-    return list(dict.fromkeys(n for r in rules for n in re.findall(r"\b(?:class|interface|enum)\s+([A-Za-z_][\w.$]*)(?=[\s{]|$)", r)))
+#: A literal class name in a keep rule, dotted.
+KEPT_NAME = r"\b(?:class|interface|enum)\s+([A-Za-z_][\w.$]*)(?=[\s{]|$)"

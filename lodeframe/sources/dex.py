@@ -10,6 +10,7 @@ import json
 import re
 import struct
 from collections import Counter
+from itertools import islice
 
 NO_INDEX = 0xFFFFFFFF
 
@@ -64,25 +65,50 @@ class Reader:
             shift += 7
 
 
-def shrink(value, depth: int = 0):
-    """An annotation value within its budget: long or binary strings become digests, containers keep 64 entries, four levels deep."""
-    if isinstance(value, str):
-        odd = sum(ord(c) < 32 for c in value[:64])
-        if len(value) > 200 or (value and odd * 3 >= len(value[:64])):
-            return {"_blob": len(value), "_sha1": hashlib.sha1(value.encode("utf-8", "replace")).hexdigest()[:16]}
-        return clean(value)
-    if isinstance(value, (list, dict)) and depth >= 4:
-        return "..."
-    if isinstance(value, list):
-        return [shrink(v, depth + 1) for v in value[:64]]
-    if isinstance(value, dict):
-        return {clean(str(k)): shrink(v, depth + 1) for k, v in list(value.items())[:64]}
-    return value
+#: What an annotation may hold before it is summed up (bytes of JSON, characters of a text, elements, levels).
+JSON_BYTES, TEXT_CHARS, ELEMENTS, LEVELS = 4096, 200, 64, 4
+
+
+def _digest(text: str) -> dict | None:
+    """What stands for a text that is too long, or of which a third or more of the first characters are control characters."""
+    head = text[:64]
+    binary = bool(head) and 3 * len(re.findall(r"[\x00-\x1f]", head)) >= len(head)
+    if len(text) <= TEXT_CHARS and not binary:
+        return None
+    return {"_blob": len(text), "_sha1": hashlib.sha1(text.encode("utf-8", "replace")).hexdigest()[:16]}
+
+
+def _spelled(value, level: int):
+    """The JSON of an annotation value, token by token."""
+    if isinstance(value, (list, dict)) and level == LEVELS:
+        yield '"..."'
+    elif isinstance(value, dict):
+        comma = "{"
+        for key, inner in islice(sorted(value.items(), key=lambda kv: str(kv[0])), ELEMENTS):
+            yield f"{comma}{json.dumps(clean(str(key)), ensure_ascii=False)}: "
+            yield from _spelled(inner, level + 1)
+            comma = ", "
+        yield "}" if comma != "{" else "{}"
+    elif isinstance(value, list):
+        comma = "["
+        for inner in islice(value, ELEMENTS):
+            yield comma
+            yield from _spelled(inner, level + 1)
+            comma = ", "
+        yield "]" if comma != "[" else "[]"
+    else:
+        yield json.dumps((_digest(value) or clean(value)) if isinstance(value, str) else value, ensure_ascii=False)
 
 
 def args_json(args: dict) -> str:
-    text = json.dumps(shrink(args), ensure_ascii=False, sort_keys=True)
-    return text if len(text.encode()) <= 4096 else json.dumps({"_clipped": True, "keys": sorted(args)[:64]})
+    """The values of an annotation within JSON_BYTES, which are spent while they are spelled; beyond them only the names are kept."""
+    left, out = JSON_BYTES, []
+    for token in _spelled(args, 0):
+        left -= len(token.encode("utf-8", "replace"))
+        if left < 0:
+            return json.dumps({"_clipped": True, "keys": sorted(map(str, args))[:ELEMENTS]})
+        out.append(token)
+    return "".join(out)
 
 
 class Dex:

@@ -54,10 +54,13 @@ class _Out:
             self.dex_idx += 1
 
 
-def builtin(file_ord: int, name: str, data: bytes, source: str) -> list[tuple]:
-    """All rows of one file."""
+def builtin(file_ord: int, name: str, data: bytes, source: str, form: str = "auto") -> list[tuple]:
+    """All rows of one file. form: what the caller says that it is; auto looks at its start, name and members."""
     out, facts = _Out(file_ord, name, source), {"origin": name}
-    kind = containers.sniff(data[:16], name)
+    zipped = data[:4] == b"PK\x03\x04"
+    kind = form if form != "auto" else containers.sniff(data[:16], name, set(containers.open_zip(data).namelist()) if zipped else set())
+    if (kind in ("apk", "aar", "jar")) != zipped and kind != "unknown":
+        raise EngineError("UNSUPPORTED_FORMAT", f"{name} is not of the format {kind}", "leave the format out")
     if kind in ("apk", "aar", "jar"):
         archive = containers.open_zip(data)
         names = archive.namelist()
@@ -104,16 +107,16 @@ def builtin(file_ord: int, name: str, data: bytes, source: str) -> list[tuple]:
 
 
 #: Parsers by name: each gives the rows of one file.
-BACKENDS: dict[str, Callable[[int, str, bytes, str], list[tuple]]] = {"builtin": builtin}
+BACKENDS: dict[str, Callable[[int, str, bytes, str, str], list[tuple]]] = {"builtin": builtin}
 
 
-def backend(name: str = "") -> Callable[[int, str, bytes, str], list[tuple]]:
+def backend(name: str = "") -> Callable[[int, str, bytes, str, str], list[tuple]]:
     if (name or "builtin") not in BACKENDS:
         raise EngineError("BACKEND_UNAVAILABLE", f"no parser {name!r}", f"one of {', '.join(BACKENDS)}")
     return BACKENDS[name or "builtin"]
 
 
-def parse_files(files: DataFrame, parser: str = "") -> DataFrame:
+def parse_files(files: DataFrame, parser: str = "", form: str = "auto") -> DataFrame:
     """files: session_id, file_ord, name, source, content. A row (session_id, PARSED) for each thing found; a file that can't be read is
     a row of entity error. One file is parsed in one task; files spread over the cluster."""
     parse = backend(parser)
@@ -123,7 +126,7 @@ def parse_files(files: DataFrame, parser: str = "") -> DataFrame:
         for batch in batches:
             for session, order, name, source, content in batch[["session_id", "file_ord", "name", "source", "content"]].itertuples(index=False):
                 try:
-                    rows = parse(int(order), name, bytes(content), source)
+                    rows = parse(int(order), name, bytes(content), source, form)
                 except EngineError as e:
                     rows = [("error", int(order), 0, 0, source, json.dumps({"code": e.code, "message": e.message, "suggestion": e.suggestion}))]
                 except _BROKEN as e:

@@ -12,7 +12,6 @@ ANDROID = "http://schemas.android.com/apk/res/android"
 COMPONENTS = {"activity": "activity", "activity-alias": "activity", "service": "service", "receiver": "receiver", "provider": "provider"}
 #: Attribute names by resource id, for manifests of which the names are stripped.
 ATTRIBUTES = {0x01010000: "theme", 0x01010001: "label", 0x01010002: "icon", 0x01010003: "name", 0x01010006: "permission", 0x0101000E: "enabled", 0x01010010: "exported", 0x01010011: "process", 0x01010018: "authorities", 0x01010024: "value", 0x01010025: "resource", 0x0101020C: "minSdkVersion", 0x0101021B: "versionCode", 0x0101021C: "versionName", 0x01010270: "targetSdkVersion"}
-SAMPLED = 512
 
 
 class ChunkError(ValueError):
@@ -135,7 +134,7 @@ def read_manifest(data: bytes) -> dict:
 
 
 def parse_arsc(data: bytes) -> tuple[list[dict], list[str]]:
-    """Up to SAMPLED entries (the first configuration of each type) and notes on what could not be read."""
+    """Entries (of the first configuration of each type) and notes on what could not be read."""
     entries: list[dict] = []
     notes: list[str] = []
     try:
@@ -170,7 +169,7 @@ def _package(data: bytes, start: int, entries: list[dict]) -> None:
             if type_id not in seen and 0 < type_id <= len(types):
                 seen.add(type_id)
                 for k, offset in enumerate(struct.unpack_from(f"<{n}I", data, at + own_head)):
-                    if offset != 0xFFFFFFFF and len(entries) < SAMPLED:
+                    if offset != 0xFFFFFFFF:
                         key = struct.unpack_from("<I", data, at + first + offset + 4)[0]
                         entries.append({"pkg": name, "type": types[type_id - 1], "name": keys[key], "type_id": type_id, "entry_id": k, "id": f"0x{number << 24 | type_id << 16 | k:08x}"})
         at += step

@@ -6,7 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodeframe.plans import catalogue
+from lodeframe.plans import catalogue, code_queries
+
+ALL = catalogue.QUERIES | code_queries.QUERIES
+SQL = catalogue.ORACLE_SQL | code_queries.ORACLE_SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -30,11 +33,11 @@ def sides(request):
     return f"/root/testdata/{request.param}", con
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(ALL))
 def test_query_equals_sql(spark, sides, name):
     sf_dir, con = sides
-    got = catalogue.QUERIES[name](spark, sf_dir)
-    want = con.execute(catalogue.ORACLE_SQL[name])
+    got = ALL[name](spark, sf_dir)
+    want = con.execute(SQL[name])
     names = [d[0] for d in want.description]
     values = want.fetchall()
     assert sorted(got.columns) == sorted(names)
