@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +35,8 @@ def checked_regex(pattern: str) -> str:
     """The pattern, if the engine that will run it (java.util.regex) takes it."""
     try:
         SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError as e:
-        reason = e.java_exception.getMessage().splitlines()[0]
-        raise bad_argument(f"bad pattern {pattern!r}: {reason}", "use classes, groups, alternation, anchors and quantifiers") from e
+    except IllegalArgumentException as e:
+        raise bad_argument(f"bad pattern {pattern!r}: {str(e).splitlines()[0]}", "use classes, groups, alternation, anchors and quantifiers") from e
     return pattern
 
 

@@ -221,7 +221,48 @@ def test_probe_stats_doctor(engine, v1):
     assert out["keywords"] == ["sign_in_clicked", "MainActivity"] and out["candidates"] and out["snippet"] and out["xref"] and "getName" in out["outline"] and not out["xrefErrors"]
     stats = engine.call("stats", sessionId=v1)["items"][0]
     assert stats["counts"]["classes"] == 9 and stats["classesBySource"] == {"app": 9} and len(stats["dex"]) == 3
-    assert engine.call("doctor")["items"] == []
+    health = engine.call("doctor")
+    assert health["issues"] == [] and health["cacheBytes"] > 0
+    assert all(i["exists"] and i["quickCheck"] == "ok" and i["sizeBytes"] > 0 and i["owners"] >= 1 for i in health["items"])
+    assert engine.call("stats", sessionId=3)["code"] == "BAD_ARGUMENT" and engine.call("checkPacker")["code"] == "BAD_ARGUMENT"
+    assert engine.call("searchClasses", sessionId=v1, query="User", limit="many")["code"] == "BAD_ARGUMENT"
+
+
+def test_loaders_side_by_side_and_paths_with_a_scheme(engine, spark, files, tmp_path):
+    one, two = (Engine(spark, f"file://{tmp_path}/index", [f"file://{files['top']}"], f"owner{k}") for k in (1, 2))
+    now = one.index.sessions().count()
+    assert now == 0
+    first = one.call("loadDex", path=f"file://{files['dex']}")["sessionId"]
+    # Both have read the catalogue before either writes.
+    row = tuple(one.index.sessions().first())
+    one.index.upsert(("ses_a", *row[1:]), "owner1")
+    two.index.upsert(("ses_b", *row[1:]), "owner2")
+    assert {r.session_id for r in two.index.sessions().collect()} == {first, "ses_a", "ses_b"}
+    assert two.call("loadDex", path="/etc/hosts")["code"] == "INVALID_PATH"
+    issues = two.call("doctor")["issues"]
+    assert issues == ["ses_a: missing-tables", "ses_b: missing-tables"]
+
+
+def test_format_is_what_the_caller_says(engine, files, tmp_path_factory):
+    from pathlib import Path
+
+    plain = Path(files["top"]) / "no-extension"
+    plain.write_bytes(Path(files["v1"]).read_bytes())
+    assert engine.call("loadDex", path=str(plain))["items"][0]["package"] == "com.example.demo"
+    assert engine.call("loadDex", path=files["dex"], format="jar", force=True)["code"] == "UNSUPPORTED_FORMAT"
+    assert engine.call("loadDex", path=files["dex"], format="odd")["code"] == "BAD_ARGUMENT"
+
+
+def test_nothing_is_cut_beyond_the_old_limits(spark):
+    from lodeframe.operators import graph
+
+    entries, _ = parse_arsc(b.arsc("p", {"string": [f"name{k}" for k in range(700)]}))
+    assert len(entries) == 700
+    jar = b.archive({f"a/C{k}.class": b"x" for k in range(20_100)})
+    assert len(containers.class_entries(containers.open_zip(jar))) == 20_100
+    chain = spark.createDataFrame([(k, k - 1) for k in range(1, 131)], "child long, parent long")
+    below = graph.closure(chain, chain.where("parent = 0").select("parent"))
+    assert below.count() == 130 and below.agg({"depth": "max"}).first()[0] == 130
 
 
 def test_owners(engine, spark, files, v2):
