@@ -17,31 +17,47 @@ from tests.llm import brute
 ALPHABET = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-")
 
 
-def test_losses_equal_a_dictionary_model(spark):
-    rnd = random.Random(4)
-    rows = [(i, " ".join(rnd.choices([f"w{k}" for k in range(40)], k=rnd.randint(0, 60)))) for i in range(80)] + [(100, None), (101, ""), (None, "w1 w2"), (5, "W1 w2, w3"), (102, "...")]
-    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, score string")
-    wanted = [1, 2, 3, 5, 8, 8, 77777]
-    labels = spark.createDataFrame([(w,) for w in wanted] + [(None,)], "doc_id long")
-    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-    for i, t in rows:
-        w = brute.ITEM_WORD.findall((t or "").translate(brute.UPPER))
-        for k in ([0] if i in wanted else []) + [1]:
+def halves(spark, ids):
+    """id -> 0 or 1."""
+    frame = spark.createDataFrame([(i,) for i in ids], "id long")
+    return {r.id: r.h for r in frame.select("id", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(2)).alias("h")).collect()}
+
+
+def plain_losses(lists, half):
+    """lists: (id, words). half: id -> 0 or 1 of wanted documents. (id, n, target loss, background loss) of each."""
+    uni, bi = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    for i, w in lists:
+        for k in ([half[i]] if i in half else []) + [2]:
             uni[k].update(w)
             bi[k].update(zip(w, w[1:]))
-    p1 = lambda k, w: (uni[k][w] + lm_scoring.ADD) / (sum(uni[k].values()) + lm_scoring.ADD * 2**lm_scoring.WORD_BITS)
-    want = []
-    for i, t in rows:
-        w = brute.ITEM_WORD.findall((t or "").translate(brute.UPPER))
+    v = max(len(uni[2]), 2**lm_scoring.WORD_BITS)
+    out = []
+    for i, w in lists:
         losses = []
-        for k in (0, 1):
+        for models in (((1 - half[i],) if i in half else (0, 1)), (2,)):
+            of = lambda counts, x: sum(counts[m][x] for m in models)  # noqa: B023, E731
+            space = sum(uni[m].total() for m in models) + lm_scoring.ADD * v
             total = 0.0
-            for v, x in zip([None, *w], w):
-                c, b = (uni[k][v], min(bi[k][v, x], uni[k][v])) if v is not None else (0, 0)
-                total -= math.log((b + lm_scoring.MU * p1(k, x)) / (c + lm_scoring.MU))
+            for a, b in zip([None, *w], w):
+                p1 = (of(uni, b) + lm_scoring.ADD) / space
+                total -= math.log(p1 if a is None else (of(bi, (a, b)) + lm_scoring.MU * p1) / (of(uni, a) + lm_scoring.MU))
             losses.append(total / max(len(w), 1))
-        want.append((i or -1, len(w), *losses, losses[0] - losses[1]))
-    got = [(r.doc_id or -1, r.n_tokens, r.loss_target, r.loss_background, r.score) for r in lm_scoring.score_documents(docs, labels).collect()]
+        out.append((i, len(w), *losses))
+    return out
+
+
+def test_losses_equal_a_dictionary_model(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices([f"w{k}" for k in range(40)], k=rnd.randint(0, 60)))) for i in range(80)] + [(100, None), (101, ""), (None, "w1 w2"), (5, "W1 w2, w3"), (102, "...")]
+    docs = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "doc_id long, text string, score string, _row int, half int")
+    wanted = [1, 2, 3, 5, 8, 8, 9, 12, 77777]
+    labels = spark.createDataFrame([(w,) for w in wanted] + [(None,)], "doc_id long")
+    half = halves(spark, set(wanted))
+    assert set(half.values()) == {0, 1}
+    want = [(i or -1, n, a, b, a - b) for i, n, a, b in plain_losses([(i, brute.ITEM_WORD.findall((t or "").translate(brute.UPPER))) for i, t in rows], half)]
+    scored = lm_scoring.score_documents(docs, labels)
+    assert {(r._row, r.half) for r in scored.collect()} == {(1, 2)}
+    got = [(r.doc_id or -1, r.n_tokens, r.loss_target, r.loss_background, r.score) for r in scored.collect()]
     for a, b in zip(sorted(got), sorted(want), strict=True):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-4, abs=1e-5)
     assert {r.score for r in lm_scoring.score_documents(docs.where("text = ''"), labels).collect()} == {0.0}
@@ -52,22 +68,14 @@ def test_losses_equal_a_dictionary_model(spark):
 def test_every_word_and_pair_has_its_own_count(spark, shard_tokens):
     """More distinct words than 2**WORD_BITS, and as many pairs; some common words. Held against exact counts."""
     rnd = random.Random(6)
-    lists = [[f"x{(i * 1200 + j) // 2}" if j % 4 else rnd.choice(("the", "of")) for j in range(1200)] for i in range(600)]
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lists)], "doc_id long, text string").repartition(4)
-    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-    for i, w in enumerate(lists):
-        for k in ([0] if i % 3 == 0 else []) + [1]:
-            uni[k].update(w)
-            bi[k].update(zip(w, w[1:]))
-    v = max(len(uni[1]), 2**lm_scoring.WORD_BITS)
-    assert v > 2**lm_scoring.WORD_BITS
-    p1 = lambda k, w: (uni[k][w] + lm_scoring.ADD) / (uni[k].total() + lm_scoring.ADD * v)
+    lists = [(i, [f"x{(i * 1200 + j) // 2}" if j % 4 else rnd.choice(("the", "of")) for j in range(1200)]) for i in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in lists], "doc_id long, text string").repartition(4)
+    want = plain_losses(lists, halves(spark, range(0, 600, 3)))
+    assert len({w for _, ws in lists for w in ws}) > 2**lm_scoring.WORD_BITS
     got = {r.doc_id: r for r in lm_scoring.score_documents(docs, spark.range(0, 600, 3).withColumnRenamed("id", "doc_id"), shard_tokens=shard_tokens).collect()}
     assert len(got) == 600
-    for i in range(0, 600, 37):
-        w = lists[i]
-        want = [-math.log(p1(k, w[0])) - sum(math.log((bi[k][a, b] + lm_scoring.MU * p1(k, b)) / (uni[k][a] + lm_scoring.MU)) for a, b in zip(w, w[1:])) for k in (0, 1)]
-        assert got[i].n_tokens == 1200 and (got[i].loss_target, got[i].loss_background) == pytest.approx([x / 1200 for x in want], rel=1e-6)
+    for i, n, target, background in want[::37]:
+        assert got[i].n_tokens == n and (got[i].loss_target, got[i].loss_background) == pytest.approx((target, background), rel=1e-6)
 
 
 def test_target_like_documents_score_lower(spark):
