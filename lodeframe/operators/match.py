@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from lodeframe.operators.ranking import top_k
 
@@ -43,18 +44,43 @@ def with_arity(df: DataFrame, key: list[str], n: int) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n)
 
 
+SPACE = r"\s+"
+
+
 def contained_in(needles: DataFrame, hay: DataFrame, needle_col: str, hay_col: str) -> DataFrame:
-    """Pairs of which the needle's text stands in the hay's. The needles must be few: their size is checked before they are sent out."""
-    return hay.join(sized_broadcast(needles.where(F.length(needle_col) > 0)), F.col(hay_col).contains(F.col(needle_col)))
+    """Pairs of which the needle's text stands in the hay's.
+
+    What stands between the first and the last space of a needle are whole words of any text that holds it. Each needle is put under the
+    longest of them (an inverted index), a text looks up its own words, and found pairs are compared. Needles without an inner word are
+    compared with each text; they must be few, and their size is checked before they are sent out.
+    """
+    words = F.split(F.col(needle_col), SPACE)
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    told = needles.where(F.length(needle_col) > 0).withColumn("_word", longest)
+    own = F.explode(F.array_distinct(F.split(F.col(hay_col), SPACE))).alias("_word")
+    index = told.where("_word IS NOT NULL")
+    by_word = hay.select(*hay.columns, own).join(index, "_word").where(F.col(hay_col).contains(F.col(needle_col))).drop("_word")
+    short = told.where("_word IS NULL").drop("_word")
+    if not short.take(1):
+        return by_word
+    return by_word.unionByName(hay.join(sized_broadcast(short), F.col(hay_col).contains(F.col(needle_col))))
 
 
 #: Bytes of rows up to which a side is sent to every executor.
 BROADCAST_BYTES = 32 << 20
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts by their length, lists and structs by 64, anything else by 16."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    others = sum(64 if isinstance(f.dataType, (ArrayType, MapType, StructType)) else 16 for f in df.schema)
+    return sum(texts, F.lit(others))
+
+
 def sized_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its rows hold at most `most` bytes, else as it is."""
-    size = df.select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
+    size = df.select(row_bytes(df).alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= most else df
 
 
@@ -62,6 +88,22 @@ def count_by(df: DataFrame, keys: list, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def with_counts(base: DataFrame, key: list[str], tables: dict[str, DataFrame]) -> DataFrame:
+    """base with the number of rows of each table that have its key, 0 if there are none."""
+    counted = reduce(lambda df, kv: df.join(count_by(kv[1], key, kv[0]), key, "left"), tables.items(), base)
+    return counted.fillna(0, list(tables))
+
+
+def with_overloads(df: DataFrame, key: list[str], out: str) -> DataFrame:
+    """df with the number of its rows that share a row's key."""
+    return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*key)))
+
+
+def probe(refs: DataFrame, sides: list[tuple[DataFrame, str]]) -> DataFrame:
+    """References that every side has the key of, with the sides' columns: the probe of an inverted index. Filter the sides before."""
+    return reduce(lambda df, side: df.join(side[0], side[1]), sides, refs)
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, n) of each table; a Parquet table answers from its footers."""
     return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()])

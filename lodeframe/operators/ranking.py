@@ -28,6 +28,11 @@ def first_wins(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return top_k(df, key, order, 1, "_rn").drop("_rn")
 
 
+def content_groups(df: DataFrame, text_col: str, key: str) -> DataFrame:
+    """Rows of equal content as one: its digest (sha), the least key and the number of copies."""
+    return df.groupBy(F.sha2(F.col(text_col).cast("binary"), 256).alias("sha")).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("copies"))
+
+
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return first_wins(df, key, [F.col(c).desc() for c in order])
 

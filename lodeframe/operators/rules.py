@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from lodeframe.operators.match import sized_broadcast
 
 
+#: Up to so many rules become parts of one expression; a larger dictionary is joined.
+INLINE_RULES = 256
+
+
 def scan_rules(df: DataFrame, col: str, rules: DataFrame, kind: str = "regex") -> DataFrame:
-    """Rows of df with each rule (columns pattern and vendor) that fits; kind regex or prefix. Rules are sent out, after a size check."""
-    fits = F.rlike(F.col(col), F.col("pattern")) if kind == "regex" else F.col(col).startswith(F.col("pattern"))
-    return df.join(sized_broadcast(rules), fits)
+    """Rows of df with each rule (columns pattern and vendor, among others) that fits; kind regex or prefix.
+
+    A dictionary of a few rules is written into the plan, so each pattern is compiled once and a row is looked at once; a larger one is
+    joined, and sent out after a size check.
+    """
+    fits = lambda pattern: F.rlike(F.col(col), pattern) if kind == "regex" else F.col(col).startswith(pattern)
+    few = rules.limit(INLINE_RULES + 1).collect()
+    if not few or len(few) > INLINE_RULES:
+        return df.join(sized_broadcast(rules), fits(F.col("pattern")))
+    rule = lambda r: F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rules.schema])
+    found = F.filter(F.array(*[F.when(fits(F.lit(r["pattern"])), rule(r)) for r in few]), lambda r: r.isNotNull())
+    return df.select(*df.columns, F.inline(found))
 
 
 def evidence_rollup(evidence: DataFrame, key: list[str], strong: Column, vendor: str = "vendor") -> DataFrame:

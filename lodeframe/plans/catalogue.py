@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.functions.text import entropy, jaccard, quoted_spans
@@ -42,7 +42,7 @@ def source_breakdown(t):
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_name = 'NATION_7' OR n_name LIKE '%\\_17' ESCAPE '\\'")
 def symbol_exact(t):
-    return t("nation").where((F.col("n_name") == "NATION_7") | F.col("n_name").endswith("_17")).select("n_nationkey", "n_name")
+    return filters.name_filter(t("nation"), "NATION_7", "exact", ["n_name"], also=F.col("n_name").endswith("_17")).select("n_nationkey", "n_name")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 'red%' ORDER BY length(p_name), p_name, p_partkey LIMIT 200")
@@ -260,7 +260,7 @@ def first_wins(t):
 
 @query("SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
 def content_dedupe(t):
-    return t("documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return ranking.content_groups(t("documents"), "text", "doc_id")
 
 
 @query("""SELECT doc_id, unnest(regexp_extract_all(text, '"([^"]{2,80})"', 1)) AS keyword FROM documents""")
@@ -297,13 +297,15 @@ def latest_upsert(t):
 
 @query("SELECT c_custkey, coalesce(n, 0) AS orders, coalesce(open, 0) AS open FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS open FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
 def member_counts(t):
-    counts = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
-    return t("customer").select("c_custkey").join(counts, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"), F.coalesce("open", F.lit(0)).alias("open"))
+    orders = t("orders").withColumnRenamed("o_custkey", "c_custkey")
+    open_orders = orders.where("o_orderstatus = 'O'")
+    return match.with_counts(t("customer").select("c_custkey"), ["c_custkey"], {"orders": orders, "open": open_orders})
 
 
 @query("SELECT o_custkey, o_orderpriority, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS overloads, o_orderkey FROM orders")
 def overload_count(t):
-    return t("orders").select("o_custkey", "o_orderpriority", F.count(F.lit(1)).over(Window.partitionBy("o_custkey", "o_orderpriority")).alias("overloads"), "o_orderkey")
+    counted = match.with_overloads(t("orders"), ["o_custkey", "o_orderpriority"], "overloads")
+    return counted.select("o_custkey", "o_orderpriority", "overloads", "o_orderkey")
 
 
 @query("SELECT l_orderkey AS caller, l_suppkey AS callee, count(*) AS hits FROM lineitem GROUP BY l_orderkey, l_suppkey")
@@ -314,6 +316,7 @@ def edge_hits(t):
 @query("SELECT o_orderkey, l_partkey, p_name, s_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_size = 7 AND o_orderstatus = 'F'")
 def inverted_index_probe(t):
     parts = t("part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(parts, "l_partkey")
     orders = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return lines.join(orders, "l_orderkey").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "p_name", "s_name")
+    suppliers = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    hits = match.probe(t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), [(parts, "l_partkey"), (orders, "l_orderkey"), (suppliers, "l_suppkey")])
+    return hits.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "p_name", "s_name")

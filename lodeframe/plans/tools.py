@@ -183,12 +183,12 @@ class Engine:
     # -------------------------------------------------------------- shapes
 
     def class_items(self, session: str, classes: DataFrame) -> DataFrame:
-        count = lambda name, out: match.count_by(self.index.table(name, session), [F.col("class_descriptor").alias("descriptor")], out)
-        c = classes.join(count("methods", "methods"), "descriptor", "left").join(count("fields", "fields"), "descriptor", "left")
+        own = lambda name: self.index.table(name, session).select(F.col("class_descriptor").alias("descriptor"))
+        c = match.with_counts(classes, ["descriptor"], {"methods": own("methods"), "fields": own("fields")})
         k = F.col("descriptor")
         return c.select(
             k, d.binary_name(k).alias("binaryName"), d.java_type(k).alias("javaName"), F.col("simple_name").alias("simpleName"), F.translate("package", "/", ".").alias("package"), "kind", "source", d.flag_names(F.col("access_flags"), d.CLASS_FLAGS).alias("accessFlags"), d.binary_name(F.col("super_descriptor")).alias("superClass"),
-            F.transform("interfaces", d.binary_name).alias("interfaces"), F.col("origin_file").alias("originFile"), F.col("dex_idx").alias("dexIdx"), d.internal_name(k).alias("reflector"), d.class_for_name(k).alias("classForName"), F.coalesce("methods", F.lit(0)).alias("methods"), F.coalesce("fields", F.lit(0)).alias("fields"),
+            F.transform("interfaces", d.binary_name).alias("interfaces"), F.col("origin_file").alias("originFile"), F.col("dex_idx").alias("dexIdx"), d.internal_name(k).alias("reflector"), d.class_for_name(k).alias("classForName"), "methods", "fields",
         )
 
     def method_items(self, session: str, methods: DataFrame, evidence: int = 0) -> DataFrame:
@@ -307,8 +307,8 @@ class Engine:
         if ret:
             methods = methods.where(F.col("return_descriptor") == ret)
         found = self.method_items(session, methods, 6).drop("method_key").orderBy("name", "paramCount", "smali").limit(50).collect()
-        overloads = own("methods").where(F.col("name") == name).count()
-        items = [r.asDict(recursive=True) | {"overloads": overloads, "snippet": snippets.method_snippet(r.classDescriptor, r["name"], re.findall(r"\[*(?:[VZBCSIJFD]|L[^;]+;)", r.paramsDescriptor), r.returnDescriptor, r.referredStrings or [])} for r in found]
+        overloads = {r.method_key: r.overloads for r in match.with_overloads(own("methods").where(F.col("name") == name), ["class_descriptor", "name"], "overloads").collect()}
+        items = [r.asDict(recursive=True) | {"overloads": overloads[r.smali], "snippet": snippets.method_snippet(r.classDescriptor, r["name"], re.findall(r"\[*(?:[VZBCSIJFD]|L[^;]+;)", r.paramsDescriptor), r.returnDescriptor, r.referredStrings or [])} for r in found]
         if args is None:
             items += [r.asDict(recursive=True) | {"snippet": snippets.field_snippet(r.classDescriptor, r["name"], r.typeDescriptor)} for r in self.field_items(session, own("fields").where(F.col("name") == name)).collect()]
         if not items:
@@ -318,9 +318,9 @@ class Engine:
     def string_hits(self, session: str, text: str, how: str, scope: str, method_limit: int, min_len: int) -> tuple[DataFrame, DataFrame]:
         """(a row for each string that a method in scope refers to, all strings of the pool that fit)."""
         pool = filters.text_filter(self.index.table("strings", session), "value", text, how, min_len, "lc")
-        refs = self.index.table("string_refs", session).join(pool.select("value", "len"), "value")
         methods = self.index.table("methods", session).select("method_key", F.col("class_descriptor").alias("descriptor"))
-        refs = refs.join(methods, "method_key").join(self.scoped(session, scope).select("descriptor"), "descriptor", "left_semi")
+        sides = [(pool.select("value", "len"), "value"), (methods, "method_key"), (self.scoped(session, scope).select("descriptor"), "descriptor")]
+        refs = match.probe(self.index.table("string_refs", session).select("method_key", "value"), sides)
         top = match.reverse_top_k(refs, "value", "method_key", ["len"], method_limit)
         return top.groupBy("value", "len", "method_count").agg(F.sort_array(F.collect_list(F.struct("rn", "method_key")))["method_key"].alias("methods")), pool
 
