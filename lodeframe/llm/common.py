@@ -60,12 +60,14 @@ HEAVY = 8192
 ROWS_PER_BUCKET = 2048
 
 
-def join_heavy(left: DataFrame, right: DataFrame, key: str, rows: int, count: str) -> DataFrame:
-    """left joined (inner) with right, which has one row for each key and the number of left's rows with it in `count`. Rows of heavy keys
-    meet a broadcast table of at most HEAVY rows where they stand; all others are joined by key."""
+def join_heavy(left: DataFrame, right: DataFrame, key: str | list[str], rows: int, count: str, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) with right, which has one row for each key and the number of left's rows with it in `count`; `rows` is
+    the number of left's rows. Rows of heavy keys meet a broadcast table of at most HEAVY rows where they stand; all others are joined by
+    key."""
+    key = [key] if isinstance(key, str) else key
     heavy = F.broadcast(right.where(F.col(count) * HEAVY > rows))
     light = right.where(F.col(count) * HEAVY <= rows)
-    return left.join(heavy, key).unionByName(left.join(heavy.select(key), key, "left_anti").join(light, key))
+    return left.join(heavy, key).unionByName(left.join(heavy.select(*key), key, "left_anti").join(light, key, how))
 
 
 def range_shift(rows: int, bits: int = 63) -> int:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.common import materialize
 
+#: Rows of one label are dealt over so many tasks.
+SALTS = 16
+
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """links: (a long, b long). A row (node, label) for each node of a link; label is the smallest node that links reach.
@@ -19,8 +22,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         closer = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        after = materialize(closer.join(above, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "old"), f"{name}-labels")
+        # A label that most nodes have is one key: its rows are salted, and the few labels that have moved on stand under each salt.
+        moved = labels.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("above"))
+        above = moved.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = closer.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        after = materialize(salted.join(above, ["label", "_salt"], "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "old"), f"{name}-labels")
         changed = after.where("label <> old").take(1)
         labels = after.select("node", "label")
         if not changed:
