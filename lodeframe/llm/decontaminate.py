@@ -4,12 +4,15 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cas
 consecutive words; an item of fewer words is one shorter window. Documents compare 64-bit window hashes against a bitmap, then a
 sorted array, then the words themselves, so that a hit is never a hash collision.
 
-The broadcast is bounded by `block_words`: a larger benchmark is cut into blocks of about that many words, and the documents pass
-over one block after the other, each pass adding to what the earlier ones found. No item is left out.
+The broadcast is bounded by `block_words`: items are cut into pieces of PIECE window starts, a larger benchmark is dealt into blocks of
+about that many words, and the documents pass over one block after the other, each pass adding to what the earlier ones found (and
+writing the table once more). No item, however long, and no window is left out.
 
 Defined cases: a null or empty text has no words and is clean; an item without words is never found; a null item_id still marks
-words but is not counted as an item; items with the same id count once; repeated document rows are judged alike; an empty benchmark
-leaves every document clean. Columns of documents that share a name with a result column are replaced.
+words but is not counted as an item; items with the same id count once; windows that several items share count for each; repeated
+document rows are judged alike; an empty benchmark leaves every document clean, and an empty table gives an empty result; a very long
+text is hashed piece by piece. Columns of documents that share a name with a result column are replaced by find_contamination and
+kept by decontaminate.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import WORD_BYTES, add_columns, aliased, load, materialize, rows_of, spans, split_words, text_chunks, windows, word_hashes
+from lodeframe.llm.common import WORD_BYTES, add_columns, aliased, load, materialize, named, rows_of, spans, split_words, text_chunks, windows, word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
+PIECE = 20_000
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BITS = 22
 
 FIELDS = [
@@ -117,7 +122,11 @@ def _scan(batch: pa.RecordBatch, text_col: str, handle, earlier: bool) -> dict[s
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with n_words, n_hit, items (ids as strings, sorted) and the hit word runs [hit_from, hit_to)."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("string").alias("k"), F.col(item_text).alias("t"))
+    low = F.translate(named(item_text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    told = benchmark.select(named(item_col).cast("string").alias("k"), F.regexp_extract_all(low, F.lit(ITEM_WORD), 0).alias("w")).where(F.size("w") > 0)
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(PIECE)))
+    # A piece has the words of PIECE windows: one window less than a whole one more than their starts.
+    bench = told.select("k", "w", starts.alias("i")).select("k", F.array_join(F.slice("w", F.col("i") + 1, PIECE + window - 1), " ").alias("t"))
     # Half the bytes bound the words of any text, so the size is checked before anything is collected.
     total = bench.agg(F.coalesce(F.sum(F.octet_length("t") / 2 + 1), F.lit(0.0))).first()[0]
     blocks = max(1, math.ceil(total / block_words / 3))

@@ -5,15 +5,21 @@ mixes cases inside. A second form, of any length and alphabet, is the value assi
 it: up to the closing quote of the same line, or to the next space or quote. A value of the second form that is also one of the first is one
 candidate. Whole texts are scanned, without a limit on candidates. Features of a candidate: length, shares of character
 classes, entropy, changes of class from one character to the next, how usual its character transitions are (the corpus' own table of
-byte pairs, counted over all texts), how much of it known words cover, whether it is in a path or URL, what stands around it (quotes,
-assignment) and which words stand before it.
+byte pairs, counted over all texts), how much of it dictionary words cover, whether it is in a path or URL, what stands around it (quotes,
+assignment), and how much the neighbouring words speak for a secret.
+
+The dictionary is the corpus' own: all words of WORD_LETTERS letters and more that stand in one of WORD_SHARE documents or more often,
+known by a bit each. What neighbouring words say is learnt from the labelled findings: the logarithm of how much more often a word stands
+beside secrets than beside others; a list of names of secrets adds how near one of them is.
 
 The forest is trained on labelled findings: a table (before, candidate, after, label). `labelled_findings` makes one of a bounded,
 documented size from a seed: keys, tokens and passwords in their usual forms and places against digests, ids, numbers, paths, names and
 placeholders.
 
 Defined cases: null and empty texts have no candidates; the same candidate at several places is a finding at each; repeated rows and null
-ids give their own findings; an empty table gives an empty result. Positions count bytes of the UTF-8 text.
+ids give their own findings; an empty table gives an empty result; a probability equal to the least one is a secret; a very long text is
+scanned whole, in one task; the result has columns of its own, so names of other columns don't matter. Positions count bytes of the
+UTF-8 text. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,43 +40,77 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import load, split_words, text_chunks
+from lodeframe.llm.common import WORD_BYTES, load, prefix_hash, rows_of, split_words, substring_hash, text_chunks, word_hashes
 
 MIN_LENGTH = 12
 MIXED_LENGTH = 20
 AROUND = 48
 FINDINGS = 6000
 TREES, DEPTH = 40, 8
+WORD_LETTERS, WORD_SHARE, WORD_BITS = 4, 2000, 24
 _CHARS = np.zeros(256, bool)
 _CHARS[[ord(c) for c in string.ascii_letters + string.digits + "+/=_-"]] = True
 _DIGITS = np.array([48 <= c <= 57 for c in range(256)])
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])
 _LOWER = np.array([97 <= c <= 122 for c in range(256)])
 
-#: Fixed words: those before a candidate that speak for and against a secret, and those that a candidate can be made of.
+#: Fixed words: names of secrets; names of other things and parts of names, of which made-up findings are built.
 FOR = ("token", "secret", "password", "passwd", "pwd", "apikey", "api", "key", "auth", "bearer", "credential", "private", "access")
 AGAINST = ("sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "hash", "revision", "uuid", "guid", "isbn", "order", "phone", "card", "tel", "id", "version", "etag", "build", "page", "number")
 KNOWN = ("access", "admin", "application", "change", "client", "config", "content", "default", "dummy", "example", "file", "handler", "here", "index", "insert", "item", "list", "manager", "name", "number", "page", "password", "placeholder", "replace", "sample", "server", "service", "session", "test", "this", "token", "user", "value", "version", "with", "your")
 
-NAMES = ("length", "digits", "upper", "lower", "symbols", "entropy", "changes", "usual", "covered", "slashes", "in_path", "quoted", "assigned", "word_for", "word_against", "distance_for", "hex", "numeric", "distinct", "longest_digits")
+NAMES = ("length", "digits", "upper", "lower", "symbols", "entropy", "changes", "usual", "covered", "slashes", "in_path", "quoted", "assigned", "neighbours", "best_neighbour", "distance_for", "hex", "numeric", "distinct", "longest_digits")
+
+
+_SUBWORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_WORD = re.compile(r"[a-z0-9]+")
+_LETTERS = np.array([97 <= (c | 32) <= 122 and c < 128 for c in range(256)])
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
+def _hash_of(word: str) -> np.uint64:
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return substring_hash(prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0]
+
+
+class Model:
+    """What features are measured by: byte transitions and dictionary of the corpus, odds of neighbouring words."""
+
+    def __init__(self, table: np.ndarray, dictionary: np.ndarray, odds: dict[str, float]):
+        self.table, self.dictionary, self.odds = table, dictionary, odds
+        self._known: dict[str, bool] = {}
 
+    def knows(self, word: str) -> bool:
+        if word not in self._known:
+            if len(self._known) > 1 << 16:
+                self._known.clear()
+            bit = int(_bits(np.array([_hash_of(word)]))[0])
+            self._known[word] = bool(self.dictionary[bit >> 3] >> (bit & 7) & 1)
+        return self._known[word]
 
-def _features(before: bytes, found: bytes, after: bytes, table: np.ndarray) -> list[float]:
+
+def neighbours(before: bytes, after: bytes) -> tuple[list[str], list[str]]:
+    """(words before, those right beside): the last four before and the first two after."""
+    left = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", before.decode("utf-8", "replace")).lower())
+    right = _WORD.findall(after.decode("utf-8", "replace").lower())
+    return left, left[-4:] + right[:2]
+
+
+def _features(before: bytes, found: bytes, after: bytes, model: Model) -> list[float]:
     raw = np.frombuffer(found, np.uint8)
     n = len(raw)
     kinds = np.select([_DIGITS[raw], _UPPER[raw], _LOWER[raw]], [0, 1, 2], 3)
     counts = np.bincount(raw)
     p = counts[counts > 0] / n
-    low = found.decode("latin-1").lower()  # a character for each byte
-    covered = bytearray(n)
-    for w in KNOWN:
-        at = low.find(w)
-        while at >= 0:
-            covered[at : at + len(w)] = b"\x01" * len(w)
-            at = low.find(w, at + 1)
+    plain = found.decode("latin-1")  # a character for each byte
+    low = plain.lower()
+    covered = sum(len(w) for w in _SUBWORD.findall(plain) if len(w) >= WORD_LETTERS and model.knows(w.lower()))
     left = before.decode("utf-8", "replace")
-    words = re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", left).lower())
-    near = words[-4:]
+    words, near = neighbours(before, after)
+    said = [model.odds.get(w, 0.0) for w in near]
     reach = [len(words) - k for k, w in enumerate(words) if w in FOR]
     stem = left.split()[-1] if left and not left[-1].isspace() else ""
     return [
@@ -77,14 +118,14 @@ def _features(before: bytes, found: bytes, after: bytes, table: np.ndarray) -> l
         *(float(np.mean(kinds == k)) for k in range(4)),
         float(-(p * np.log2(p)).sum()),
         float(np.mean(kinds[1:] != kinds[:-1])) if n > 1 else 0.0,
-        float(table[raw[:-1], raw[1:]].mean()) if n > 1 else 0.0,
-        sum(covered) / n,
+        float(model.table[raw[:-1], raw[1:]].mean()) if n > 1 else 0.0,
+        covered / n,
         float(low.count("/")),
         float("://" in stem or stem.endswith("/") or "\\" in stem or re.match(rb"\.[a-z]{2,4}\b", after) is not None),
         float(bool(re.search(r"[\"'`]$", left)) and after[:1] in (b'"', b"'", b"`")),
         float(bool(re.search(r"[=:]\s*[\"'`]?$", left)) or bool(re.search(r"=>\s*[\"'`]?$", left))),
-        float(any(w in FOR for w in near)),
-        float(any(w in AGAINST for w in near)),
+        float(sum(said)),
+        float(max(said, default=0.0)),
         float(min(reach, default=20)),
         float(re.fullmatch(r"[0-9a-f-]+", low) is not None),
         float(found.isdigit()),
@@ -140,14 +181,14 @@ def _candidates(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, in
 
 
 def _scan(batches: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]:
-    table = handle.value
+    model = handle.value
     for batch in batches:
         out = []
         for first, _, data, at in text_chunks(batch.column("text")):
             for row, a, b in _candidates(data, at):
                 lo, hi = max(at[row], a - AROUND), min(at[row + 1], b + AROUND)
                 found = data[a:b].tobytes()
-                out.append((batch.column("doc_id")[first + row].as_py(), a - at[row], b - at[row], hashlib.sha256(found).hexdigest(), _features(data[lo:a].tobytes(), found, data[b:hi].tobytes(), table)))
+                out.append((batch.column("doc_id")[first + row].as_py(), a - at[row], b - at[row], hashlib.sha256(found).hexdigest(), _features(data[lo:a].tobytes(), found, data[b:hi].tobytes(), model)))
         if out:
             doc, a, b, sha, features = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sha, pa.string()), *(pa.array([f[k] for f in features], pa.float64()) for k in range(len(NAMES)))], names=["doc_id", "start", "end", "sha256", *NAMES])
@@ -171,6 +212,49 @@ def transitions(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log2(counts / counts.sum(1, keepdims=True))
 
 
+_WORDS_SEEN = pa.schema([("word", pa.int64()), ("docs", pa.int64())])
+
+
+def _words_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, number of documents) of the words of each part of the texts."""
+    for batch in batches:
+        for _, _, data, at in text_chunks(batch.column("text")):
+            low = WORD_BYTES[data]
+            starts, ends, first = split_words(data, at, _LETTERS[data])
+            row = rows_of(first)
+            some = ends - starts >= WORD_LETTERS
+            words = word_hashes(low, starts[some], ends[some])
+            each = np.unique(np.stack([words, row[some].astype(np.uint64)]), axis=1)[0]
+            found, docs = np.unique(each, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(docs.astype(np.int64))], schema=_WORDS_SEEN)
+
+
+def dictionary_of(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """A bit for each word of the corpus' dictionary, by its hash, in bytes."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    seen = texts.mapInArrow(_words_seen, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    # Words of one in WORD_SHARE documents: at most WORD_SHARE times the mean number of distinct words of a document.
+    found = seen.where(F.col("docs") * WORD_SHARE >= texts.count()).select("word").toArrow()
+    bits = np.zeros(1 << WORD_BITS, bool)
+    bits[_bits(found["word"].to_numpy().astype(np.int64).view(np.uint64))] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def learn_neighbours(findings: list[tuple[str, str, str, int]]) -> dict[str, float]:
+    """For each word beside a finding the logarithm of its odds to stand beside a secret."""
+    beside = (Counter(), Counter())
+    for before, _, after, label in findings:
+        beside[label].update(set(neighbours(before.encode()[-AROUND:], after.encode()[:AROUND])[1]))
+    totals = [1 + sum(label == k for *_, label in findings) for k in (0, 1)]
+    odds = {w: float(np.log((beside[1][w] + 2) / totals[1]) - np.log((beside[0][w] + 2) / totals[0])) for w in beside[0] | beside[1]}
+    # Words of a few findings say nothing.
+    return {w: x for w, x in odds.items() if beside[0][w] + beside[1][w] >= 5}
+
+
+def learn_model(docs: DataFrame, findings: list[tuple[str, str, str, int]], text_col: str = "text") -> Model:
+    return Model(transitions(docs, text_col), dictionary_of(docs, text_col), learn_neighbours(findings))
+
+
 def labelled_findings(n: int = FINDINGS, seed: int = 0) -> list[tuple[str, str, str, int]]:
     """n findings (before, candidate, after, label), half of them secrets, and n // 4 more of assigned values in any alphabet and length."""
     rnd = random.Random(seed)
@@ -223,8 +307,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = 0) -> list[tuple[str, str,
     return out
 
 
-def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, int]], table: np.ndarray, seed: int = 7):
-    rows = [(*_features(b.encode()[-AROUND:], c.encode(), a.encode()[:AROUND], table), float(y)) for b, c, a, y in findings]
+def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, int]], model: Model, seed: int = 7):
+    rows = [(*_features(b.encode()[-AROUND:], c.encode(), a.encode()[:AROUND], model), float(y)) for b, c, a, y in findings]
     # One partition, so that the samples of the trees are the same on any cluster.
     frame = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in (*NAMES, "label"))).coalesce(1)
     vectors = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(frame).select("features", "label")
@@ -234,9 +318,10 @@ def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, int]],
 def scan_secrets(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """A row for each candidate: doc_id, start, end, sha256 (of the candidate, which is not shown), probability, is_secret."""
     spark = docs.sparkSession
-    table = transitions(docs, text_col)
-    forest = train_forest(spark, labelled_findings() if findings is None else findings, table)
-    handle = spark.sparkContext.broadcast(table)
+    findings = labelled_findings() if findings is None else findings
+    model = learn_model(docs, findings, text_col)
+    forest = train_forest(spark, findings, model)
+    handle = spark.sparkContext.broadcast(model)
     kind = "doc_id long, start long, end long, sha256 string, " + ", ".join(f"{c} double" for c in NAMES)
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda x: _scan(x, handle), kind)
     judged = forest.transform(VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(found))

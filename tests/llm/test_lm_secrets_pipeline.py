@@ -103,15 +103,24 @@ def test_candidates_equal_a_plain_scan(spark):
 
 def test_held_out_findings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    table = secrets.transitions(docs)
-    forest = secrets.train_forest(spark, secrets.labelled_findings(), table)
+    model = secrets.learn_model(docs, secrets.labelled_findings())
+    forest = secrets.train_forest(spark, secrets.labelled_findings(), model)
     held = secrets.labelled_findings(1500, seed=99)
-    rows = [(*secrets._features(b.encode()[-48:], c.encode(), a.encode()[:48], table), float(y)) for b, c, a, y in held if len(c) >= secrets.MIN_LENGTH]
+    rows = [(*secrets._features(b.encode()[-48:], c.encode(), a.encode()[:48], model), float(y)) for b, c, a, y in held if len(c) >= secrets.MIN_LENGTH]
     frame = secrets.VectorAssembler(inputCols=list(secrets.NAMES), outputCol="features").transform(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in (*secrets.NAMES, "label"))))
     got = forest.transform(frame).select("label", "prediction").collect()
     assert np.mean([r.label == r.prediction for r in got]) > 0.97
 
 
+def test_dictionary_is_of_common_words_of_the_corpus(spark):
+    rows = [(i, f"common Words stand here{'' if i % 2 else ' rarely'} abc {'once' if i == 7 else ''}") for i in range(4100)] + [(9000, None), (9001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.learn_model(docs, secrets.labelled_findings(400))
+    assert all(map(model.knows, ("common", "words", "stand", "here", "rarely"))) and not any(map(model.knows, ("once", "absent", "abc")))
+    odds = secrets.learn_neighbours(secrets.labelled_findings())
+    assert odds["token"] > 0.5 > 0 > odds["sha256"]
+
+
 def test_assigned_values_of_any_length_and_alphabet(spark):
     values = ["P@ssw0rd!2024", "qzkvjwxp", "TrQvbnZkLpWx", "a#7", "kvzq$wpx%é", "vqkzjxwpbnmtrgfdsqwz"]
     forms = ['password = "{}" x', "client_secret: '{}'", "x AUTH_TOKEN={} y", '{{"apiKey": "{}"}}', "userPassword => `{}`"]
