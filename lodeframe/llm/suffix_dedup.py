@@ -17,8 +17,12 @@ the text; two different strings would have to agree in 64 bits, among those of o
 Blocks recompute their arrays rather than store them; texts are shuffled once, and a shard answers with one byte for each entry. A block
 sends an entry once however often it has it, so a repeat in a third of all documents is one entry for each block.
 
+SuffixIndex (suffix_index.py) keeps the family in a folder between batches.
+
 Defined cases: null and empty texts have no bytes and no repeats; texts of under 100 bytes stay whole; a null doc_id counts as later than
-any other; rows with the same id are in order of their text, and a row that repeats another loses all of its strings.
+any other; rows with the same id are in order of their text, and a row that repeats another loses all of its strings; an empty table gives
+an empty result; a very long text is one block's, hashed in pieces; the result has columns of its own, so names of other columns don't
+matter. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -54,10 +58,16 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first start, last start, gram hash, segment hash) of each anchor, in order of place; no string crosses rows."""
+    p1, p2, grams, segments, _ = placed_anchors(data, at, length, gram)
+    return p1, p2, grams, segments
+
+
+def placed_anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """anchors(), and where each anchor's gram stands."""
     room = np.maximum(np.diff(at) - length + 1, 0)
     total = int(room.sum())
     if not total:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     sums = prefix_hash(data)
     m = len(data) - gram + 1
     hashes = mix((sums[gram:] - sums[:m]) * powers(len(sums))[1][:m] + np.uint64(gram))
@@ -76,7 +86,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     new[1:] = place[1:] != place[:-1]
     first = np.flatnonzero(new)
     p1, p2 = starts[first], starts[np.append(first[1:], total) - 1]
-    return p1, p2, hashes[place[first]], substring_hash(sums, p1, p2 + length)
+    return p1, p2, hashes[place[first]], substring_hash(sums, p1, p2 + length), place[first]
 
 
 class Family:
@@ -153,9 +163,13 @@ class Block:
         parts, first = [], 0
         while first < len(self.ids):
             last = max(first + 1, int(np.searchsorted(self.at, self.at[first] + CHUNK, "right")) - 1)
-            base = self.at[first]
-            p1, p2, gram, segment = anchors(self.data[base : self.at[last]], self.at[first : last + 1] - base)
-            parts.append((p1 + base, p2 + base, gram, mix(gram * np.uint64(0x9FB21C651E98DF25) + segment)))
+            # A row longer than a chunk is taken in pieces that share LENGTH - 1 bytes: each string is in one of them.
+            for base in range(int(self.at[first]), int(self.at[last]), CHUNK) if last == first + 1 else [int(self.at[first])]:
+                whole = last > first + 1
+                end = int(self.at[last]) if whole else min(int(self.at[last]), base + CHUNK + LENGTH - 1)
+                ends = self.at[first : last + 1] - base if whole else np.array([0, end - base])
+                p1, p2, gram, segment = anchors(self.data[base:end], ends)
+                parts.append((p1 + base, p2 + base, gram, mix(gram * np.uint64(0x9FB21C651E98DF25) + segment)))
             first = last
         self.p1, self.p2, self.grams, self.keys = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
         order = np.argsort(self.keys, kind="stable")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lodeframe.llm import suffix_dedup
+from lodeframe.llm import suffix_dedup, suffix_index
 from tests.llm import brute
 
 
@@ -65,3 +65,60 @@ def test_family_keeps_few_levels_and_first_owners():
         assert len(family.levels) <= 10
     for rank, ((keys, docs), states) in enumerate(zip(batches, family.states)):
         assert [s == suffix_dedup.REPEAT for s in states] == [first[k] != (d, rank) for k, d in zip(keys.tolist(), docs.tolist())]
+
+
+def test_batches_in_turn_give_the_result_of_one(spark, tmp_path):
+    """Levels are stored, sorted by text and few; a new batch is compared with all earlier ones."""
+    rnd = random.Random(11)
+    make = lambda n: "".join(rnd.choice("abcdefghij é€") for _ in range(n))
+    passages = [make(n) for n in (99, 100, 130, 400)]
+    rows = []
+    for i in range(120):
+        text = make(rnd.randint(0, 300))
+        for _ in range(rnd.randint(0, 3)):
+            p = rnd.choice(passages)
+            text += p[rnd.randint(0, len(p) // 3) :] + make(rnd.randint(0, 40))
+        rows.append((i, text))
+    rows[50:52] = [(50, None), (51, "")]
+    want = {r[0]: r for r in brute.repeats(rows)}
+    index = suffix_index.SuffixIndex(spark, str(tmp_path / "index"))
+    cuts = [0, 40, 55, 70, 71, 72, 100, 120]
+    for a, b in zip(cuts, cuts[1:]):
+        batch = spark.createDataFrame([(*r, 1) for r in rnd.sample(rows[a:b], b - a)], "doc_id long, text string, place int")
+        got = index.add(batch).collect()
+        assert sorted(r.doc_id for r in got) == list(range(a, b))
+        for r in got:
+            n_bytes, n_removed, n_spans, sha = want[r.doc_id][1:]
+            assert (r.n_bytes, sum(y - x for x, y in zip(r.removed_from, r.removed_to)), len(r.removed_from)) == (n_bytes, n_removed, n_spans)
+            assert suffix_dedup.hashlib.sha256(r.kept).hexdigest() == sha
+        number, levels = index.state()
+        sizes = [n for _, n in levels]
+        assert all(n * 2 <= m for m, n in zip(sizes, sizes[1:]))
+    assert number == 7 and index.level(*(n for n, _ in levels)).count() == sum(sizes)
+    assert index.add(batch.limit(0)).count() == 0
+    first = [bytes(r.suffix) for r in spark.read.parquet(f"{tmp_path}/index/{levels[0][0]}").orderBy(suffix_dedup.F.spark_partition_id()).collect()]
+    assert first == sorted(first)
+    # Ids that come again in a later batch: the earlier batch is earlier.
+    known = max((t for _, t in rows if t), key=len)
+    twice = index.add(spark.createDataFrame([(0, known)], "doc_id long, text string")).first()
+    assert twice.kept == b"" and twice.removed_to == [len(known.encode())]
+
+
+def test_rows_longer_than_a_chunk(spark, monkeypatch):
+    rnd = random.Random(12)
+    make = lambda n: "".join(rnd.choice("abcdefghij é€") for _ in range(n))
+    passage = make(150)
+    rows = [(1, make(900) + passage + make(2000) + passage), (2, make(50) + passage[10:] + make(1200)), (3, passage * 9)]
+    block = suffix_dedup.Block
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 256)
+    docs = suffix_dedup.pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    table = suffix_dedup._ask_segments((suffix_dedup.pa.scalar(0),), docs, 2)
+    assert table.num_rows and len(block(docs).p1)
+    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(block(docs).p1, block(docs).p2)])
+    at = block(docs).at
+    assert sorted(starts) == [k for a, b in zip(at, at[1:]) for k in range(a, b - 99)]
+    shards = 3
+    served = suffix_dedup._serve(suffix_dedup._ask_segments((suffix_dedup.pa.scalar(0),), docs, shards))
+    asked = suffix_dedup._ask_strings((suffix_dedup.pa.scalar(0),), docs, served, shards)
+    got = suffix_dedup._finish(docs, suffix_dedup._serve(asked), shards, True)
+    assert [tuple(r.values()) for r in got.to_pylist()] == brute.repeats(rows)
