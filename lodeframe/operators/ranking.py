@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.errors import bad_argument
+from lodeframe.tables import materialize
 
 DEFAULT_LIMIT, MOST = 50, 200
 
@@ -38,6 +42,21 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def within_budget(df: DataFrame, text_col: str, order: list, budget: int, part: list[str] | None = None) -> DataFrame:
-    """The leading rows whose bytes add up to the budget at most, with their running sum."""
-    at = Window.partitionBy(*(part or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("bytes", F.octet_length(text_col).cast("long")).withColumn("running", F.sum("bytes").over(at)).where(F.col("running") <= budget)
+    """The leading rows whose bytes add up to the budget at most, with their running sum.
+
+    No part is run through in one task: rows are dealt into ranges of (part, order), bytes are added up for each range, and only ranges
+    that begin within the budget are looked at row by row. Non-string texts and nulls count no bytes.
+    """
+    part = part or []
+    sized = df.withColumn("bytes", F.octet_length(text_col).cast("long"))
+    ranged = materialize(sized.repartitionByRange(*part, *order).withColumn("_range", F.spark_partition_id()), "budget")
+    sums = ranged.groupBy(*part, "_range").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("_sum"))
+    earlier = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum").where(F.col("_before") <= budget)
+    inside = Window.partitionBy(*part, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = F.col("_before") + F.sum("bytes").over(inside)
+    # A null part is a part.
+    starts = starts.toDF(*[f"_k{k}" for k in range(len(part) + 1)], "_before")
+    same = reduce(and_, [ranged[c].eqNullSafe(starts[f"_k{k}"]) for k, c in enumerate([*part, "_range"])])
+    found = ranged.join(starts, same).withColumn("running", running).where(F.col("running") <= budget)
+    return found.select(*sized.columns, "running")

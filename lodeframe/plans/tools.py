@@ -6,7 +6,7 @@ import inspect
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe import schema
@@ -51,6 +51,16 @@ def callee(parsed: tuple) -> Column:
     return out & (F.col("callee_ret") == rest) if rest else out
 
 
+def pasted(code: str) -> dict:
+    """Code to paste, and which of its brackets and quotes don't close."""
+    return {"snippet": code, "snippetProblems": snippets.check_balance(code)}
+
+
+def method_code(item: Row, strings: list[str]) -> dict:
+    params = re.findall(r"\[*(?:[VZBCSIJFD]|L[^;]+;)", item.paramsDescriptor)
+    return pasted(snippets.method_snippet(item.classDescriptor, item["name"], params, item.returnDescriptor, strings))
+
+
 def checked(name: str, value, parameter: inspect.Parameter):
     """The value as the parameter's annotation wants it: text that stands for a number or a truth value is read as one."""
     kind = str(parameter.annotation)
@@ -308,9 +318,9 @@ class Engine:
             methods = methods.where(F.col("return_descriptor") == ret)
         found = self.method_items(session, methods, 6).drop("method_key").orderBy("name", "paramCount", "smali").limit(50).collect()
         overloads = {r.method_key: r.overloads for r in match.with_overloads(own("methods").where(F.col("name") == name), ["class_descriptor", "name"], "overloads").collect()}
-        items = [r.asDict(recursive=True) | {"overloads": overloads[r.smali], "snippet": snippets.method_snippet(r.classDescriptor, r["name"], re.findall(r"\[*(?:[VZBCSIJFD]|L[^;]+;)", r.paramsDescriptor), r.returnDescriptor, r.referredStrings or [])} for r in found]
+        items = [r.asDict(recursive=True) | {"overloads": overloads[r.smali], **method_code(r, r.referredStrings or [])} for r in found]
         if args is None:
-            items += [r.asDict(recursive=True) | {"snippet": snippets.field_snippet(r.classDescriptor, r["name"], r.typeDescriptor)} for r in self.field_items(session, own("fields").where(F.col("name") == name)).collect()]
+            items += [r.asDict(recursive=True) | pasted(snippets.field_snippet(r.classDescriptor, r["name"], r.typeDescriptor)) for r in self.field_items(session, own("fields").where(F.col("name") == name)).collect()]
         if not items:
             raise EngineError("NOT_FOUND", f"{row.descriptor} has no member {member!r}", "list its members")
         return envelope.ok(items, session_id=session, **{"class": head})
@@ -468,7 +478,7 @@ class Engine:
         found = self.matching_methods(session, params, return_type, modifiers, referred_strings, accessed_fields, invoked_methods, name_pattern, scope, package_prefix, require_constructor)
         shown = self.method_items(session, found, 6).drop("method_key").orderBy(F.col("source").desc(), "classDescriptor", "name", "paramsDescriptor").limit(limit).collect()
         strings = as_texts(referred_strings)
-        items = [r.asDict(recursive=True) | {"snippet": snippets.method_snippet(r.classDescriptor, r["name"], re.findall(r"\[*(?:[VZBCSIJFD]|L[^;]+;)", r.paramsDescriptor), r.returnDescriptor, strings)} for r in shown]
+        items = [r.asDict(recursive=True) | {**method_code(r, strings)} for r in shown]
         return envelope.ok(items, found.count(), session)
 
     # -------------------------------------------------------------- comparison
@@ -504,11 +514,16 @@ class Engine:
         a, b, limit = self.index.session(session_a), self.index.session(session_b), ranking.clamp_limit(limit)
         renamed, removed, added, same = self.compare(a, b, scope, min_score, shape)
         keys = lambda s: self.features(s, scope).select("descriptor", "sigs", "package")
-        full = renamed.join(keys(a).toDF("key_a", "sigs_a", "package_a"), "key_a").join(keys(b).toDF("key_b", "sigs_b", "package_b"), "key_b").orderBy(F.col("score").desc(), "key_a")
+        full = renamed.join(keys(a).toDF("key_a", "sigs_a", "package_a"), "key_a").join(keys(b).toDF("key_b", "sigs_b", "package_b"), "key_b")
+        full = full.withColumns({"only_a": F.array_except("sigs_a", "sigs_b"), "only_b": F.array_except("sigs_b", "sigs_a")})
+        full = full.withColumns({"count_a": F.size("sigs_a"), "count_b": F.size("sigs_b"), "kept": F.size("sigs_a") - F.size("only_a")})
+        full = full.withColumns({c: F.slice(c, 1, 10) for c in ("only_a", "only_b")}).drop("sigs_a", "sigs_b")
         items = []
-        for r in full.limit(limit).collect():
-            only_a, only_b = [s for s in r.sigs_a if s not in r.sigs_b], [s for s in r.sigs_b if s not in r.sigs_a]
-            items.append({"change": "renamed", "score": r.score, "how": r.how, "from": snippets.java_name(r.key_a), "to": snippets.java_name(r.key_b), "fromDescriptor": r.key_a, "toDescriptor": r.key_b, "packageFrom": r.package_a.replace("/", "."), "packageTo": r.package_b.replace("/", "."), "methodsOnlyInA": only_a[:10], "methodsOnlyInB": only_b[:10], "methodCount": {"a": len(r.sigs_a), "b": len(r.sigs_b)}, "kept": len(r.sigs_a) - len(only_a)})
+        for r in full.orderBy(F.col("score").desc(), "key_a").limit(limit).collect():
+            names = {"from": snippets.java_name(r.key_a), "to": snippets.java_name(r.key_b), "fromDescriptor": r.key_a, "toDescriptor": r.key_b}
+            packages = {"packageFrom": r.package_a.replace("/", "."), "packageTo": r.package_b.replace("/", ".")}
+            members = {"methodsOnlyInA": r.only_a, "methodsOnlyInB": r.only_b, "methodCount": {"a": r.count_a, "b": r.count_b}, "kept": r.kept}
+            items.append({"change": "renamed", "score": r.score, "how": r.how, **names, **packages, **members})
         for change, df in (("removed", removed), ("added", added)):
             items += [{"change": change, "class": snippets.java_name(r.descriptor), "descriptor": r.descriptor, "superClass": r["super"], "source": r.source, "methodCount": len(r.sigs), "sampleMethods": r.sigs[:6], "sampleStrings": r.strings[:4]} for r in df.orderBy("descriptor").limit(limit).collect()]
         counts = {"renamed": renamed.count(), "removed": removed.count(), "added": added.count(), "unchanged": same.count()}

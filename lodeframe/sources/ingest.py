@@ -110,6 +110,11 @@ def builtin(file_ord: int, name: str, data: bytes, source: str, form: str = "aut
 BACKENDS: dict[str, Callable[[int, str, bytes, str, str], list[tuple]]] = {"builtin": builtin}
 
 
+def register(name: str, parser: Callable[[int, str, bytes, str, str], list[tuple]]) -> None:
+    """Another parser: from (file number, name, content, source, format) the rows (entity, file number, dex number, order, source, JSON)."""
+    BACKENDS[name] = parser
+
+
 def backend(name: str = "") -> Callable[[int, str, bytes, str, str], list[tuple]]:
     if (name or "builtin") not in BACKENDS:
         raise EngineError("BACKEND_UNAVAILABLE", f"no parser {name!r}", f"one of {', '.join(BACKENDS)}")
