@@ -54,7 +54,7 @@ def within_budget(df: DataFrame, text_col: str, order: list, budget: int, part:
     earlier = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum").where(F.col("_before") <= budget)
     inside = Window.partitionBy(*part, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = F.col("_before") + F.sum("bytes").over(inside)
+    running = F.col("_before") + F.sum(F.coalesce("bytes", F.lit(0))).over(inside)
     # A null part is a part.
     starts = starts.toDF(*[f"_k{k}" for k in range(len(part) + 1)], "_before")
     same = reduce(and_, [ranged[c].eqNullSafe(starts[f"_k{k}"]) for k, c in enumerate([*part, "_range"])])

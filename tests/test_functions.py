@@ -97,3 +97,38 @@ def test_rollup_and_broadcast_bound(spark):
     got = {r.k: (r.strong, r.vendors, r.findings, r.confidence) for r in rules.evidence_rollup(found, ["k"], F.col("kind") == "s").collect()}
     assert got == {1: (True, "u,v", 2, "high"), 2: (False, "v", 1, "medium"), 3: (False, "", 0, "none")}
     assert match.sized_broadcast(found, 1) is found
+
+
+def test_contained_in_equals_a_scan(spark):
+    hay = [(1, "one two  three four"), (2, "xone two three fourx"), (3, "a+b (c) [d]\tlast"), (4, None), (5, ""), (6, "two"), (7, "two three"), (8, "née é à la")]
+    needles = [(1, "two  three"), (2, "one two three four"), (3, "b (c) [d]"), (4, "two"), (5, ""), (6, None), (7, " two "), (8, "\tlast"), (9, "é à l"), (10, "(c)")]
+    got = match.contained_in(spark.createDataFrame(needles, "n int, needle string"), spark.createDataFrame(hay, "h int, text string"), "needle", "text")
+    want = sorted((h, n) for h, t in hay for n, x in needles if t and x and x in t)
+    assert sorted((r.h, r.n) for r in got.collect()) == want
+    assert got.columns == ["h", "text", "n", "needle"]
+    few = match.contained_in(spark.createDataFrame([(1, "a b c")], "n int, needle string"), spark.createDataFrame([(1, "x a b c y")], "h int, text string"), "needle", "text")
+    assert few.count() == 1
+
+
+def test_rules_in_the_plan_equal_joined_ones(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "abc"), (2, "xyz"), (3, None), (4, "ab")], "k int, t string")
+    dictionary = spark.createDataFrame([(f"p{k}", p, "v", k) for k, p in enumerate(("^a", "z$", "b", "q", "b"))], "rule string, pattern string, vendor string, rank int")
+    inline = sorted(tuple(r) for r in rules.scan_rules(rows, "t", dictionary).collect())
+    monkeypatch.setattr(rules, "INLINE_RULES", 2)
+    joined = rules.scan_rules(rows, "t", dictionary)
+    assert inline == sorted(tuple(r) for r in joined.collect()) and len(inline) == 7
+    assert rules.scan_rules(rows, "t", dictionary.limit(0)).count() == 0
+
+
+def test_budget_of_each_part_null_parts_too(spark):
+    rows = [(p, k, "x" * (k % 4)) for p in ("a", None, "b") for k in range(60)] + [("b", 99, None)]
+    got = ranking.within_budget(spark.createDataFrame(rows, "p string, k int, t string"), "t", ["k"], 20, ["p"])
+    want = []
+    for p in ("a", None, "b"):
+        total = 0
+        for q, k, t in rows:
+            if q == p:
+                total += len(t or "")
+                if total <= 20:
+                    want.append((p or "", k, total))
+    assert sorted((r.p or "", r.k, r.running) for r in got.collect()) == sorted(want)
