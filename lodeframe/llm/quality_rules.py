@@ -86,11 +86,17 @@ def least_labelled(strata: int, alpha: float = ALPHA, delta: float = DELTA, rule
 def threshold_report(good: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA, grid: dict = GRID) -> DataFrame:
     """good: the stratum and base counts of good documents. A row (stratum, rule, n, strata, cut, rejected) for each stratum with documents
     and each rule; cut and rejected (how many of the n good documents it rejects) are null if no cutoff holds."""
-    counts = good.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(RATES[r]) > c).alias(f"{r}_{i}") for r, cuts in grid.items() for i, c in enumerate(cuts)])
-    each = [F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cut"), F.col(f"{r}_{i}").alias("k")) for r, cuts in grid.items() for i, c in enumerate(cuts)]
-    # A row for each stratum: the window over all of them only counts strata, before each becomes a row for each cutoff.
-    counts = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
-    tests = counts.select(stratum, "n", "strata", F.explode(F.array(*each)).alias("t")).select(stratum, "n", "strata", "t.*")
+    # A row for each document and rule says how many of the rule's cutoffs it is above. Cutoffs fall, so those are the last ones.
+    each = [F.struct(F.lit(r).alias("rule"), F.expr(RATES[r]).alias("rate"), F.array(*map(F.lit, cuts)).alias("cuts")) for r, cuts in grid.items()]
+    rates = good.select(stratum, F.inline(F.array(*each)))
+    above = F.size(F.filter("cuts", lambda c: F.col("rate") > c))
+    found = rates.groupBy(stratum, "rule", "cuts", above.alias("above")).agg(F.count(F.lit(1)).alias("docs"))
+    told = found.groupBy(stratum, "rule", "cuts").agg(F.sum("docs").alias("n"), F.collect_list(F.struct("above", "docs")).alias("found"))
+    # A row for each stratum and rule: the window over all of them only counts strata.
+    told = told.withColumn("strata", F.size(F.collect_set(F.coalesce(F.concat(F.lit("s"), F.col(stratum)), F.lit("n"))).over(Window.partitionBy())))
+    steps = told.select(stratum, "rule", "n", "strata", "found", F.size("cuts").alias("all"), F.posexplode("cuts").alias("step", "cut"))
+    rejected = F.aggregate(F.filter("found", lambda x: x["above"] >= F.col("all") - F.col("step")), F.lit(0).cast("long"), lambda s, x: s + x["docs"])
+    tests = steps.select(stratum, "rule", "n", "strata", "step", "cut", rejected.alias("k"))
     level = F.lit(float(delta)) / (F.col("strata") * len(grid))
     holds = F.when(F.col("k") < F.col("n") * F.lit(alpha), binomial_tail(F.col("n"), F.col("k"), alpha) <= level).otherwise(F.lit(False))
     tried = tests.withColumn("holds", holds)
