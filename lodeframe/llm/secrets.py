@@ -40,7 +40,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import WORD_BYTES, load, prefix_hash, rows_of, split_words, substring_hash, text_chunks, word_hashes
+from lodeframe.llm.common import WORD_BYTES, load, mix, prefix_hash, rows_of, split_words, substring_hash, text_chunks, word_hashes
 
 MIN_LENGTH = 12
 MIXED_LENGTH = 20
@@ -194,50 +194,46 @@ def _scan(batches: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sha, pa.string()), *(pa.array([f[k] for f in features], pa.float64()) for k in range(len(NAMES)))], names=["doc_id", "start", "end", "sha256", *NAMES])
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        for _, _, data, at in text_chunks(batch.column("text")):
-            pairs = (data[:-1].astype(np.int64) << 8) | data[1:]
-            sums += np.bincount(pairs[np.setdiff1d(np.arange(len(pairs)), at - 1)] if len(at) > 2 else pairs, minlength=1 << 16)
-    some = np.flatnonzero(sums)
-    yield pa.record_batch({"pair": pa.array(some.astype(np.int32)), "n": pa.array(sums[some])})
+PAIRS, WORDS = 0, 1
+_COUNTED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
 
-def transitions(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """log2 of the share of each byte pair among the pairs with the same first byte, over all texts; 256 x 256."""
-    counts = np.ones((256, 256))
-    for r in docs.select(F.col(text_col).alias("text")).mapInArrow(_pair_counts, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        counts[r.pair >> 8, r.pair & 255] += r.n
-    return np.log2(counts / counts.sum(1, keepdims=True))
+def _counted(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], schema=_COUNTED)
 
 
-_WORDS_SEEN = pa.schema([("word", pa.int64()), ("docs", pa.int64())])
-
-
-def _words_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, number of documents) of the words of each part of the texts."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Byte pairs of the texts, and for each word the number of documents, by part of the texts."""
+    sums = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for _, _, data, at in text_chunks(batch.column("text")):
-            low = WORD_BYTES[data]
+            inside = np.ones(max(len(data) - 1, 0), bool)
+            inside[at[(at > 0) & (at < len(data))] - 1] = False
+            sums += np.bincount((data[:-1].astype(np.int32) * 256 + data[1:])[inside], minlength=1 << 16)
             starts, ends, first = split_words(data, at, _LETTERS[data])
-            row = rows_of(first)
             some = ends - starts >= WORD_LETTERS
-            words = word_hashes(low, starts[some], ends[some])
-            each = np.unique(np.stack([words, row[some].astype(np.uint64)]), axis=1)[0]
-            found, docs = np.unique(each, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(docs.astype(np.int64))], schema=_WORDS_SEEN)
+            words, row = word_hashes(WORD_BYTES[data], starts[some], ends[some]), rows_of(first)[some]
+            _, once = np.unique(mix(words + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+            found, docs = np.unique(words[once], return_counts=True)
+            yield _counted(WORDS, found.view(np.int64), docs)
+    some = np.flatnonzero(sums)
+    yield _counted(PAIRS, some, sums[some])
 
 
-def dictionary_of(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """A bit for each word of the corpus' dictionary, by its hash, in bytes."""
+def corpus_tables(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(log2 of the share of each byte pair among the pairs with the same first byte, 256 x 256; a bit for each word of the corpus'
+    dictionary, by its hash, in bytes), in one pass over all texts."""
     texts = docs.select(F.col(text_col).alias("text"))
-    seen = texts.mapInArrow(_words_seen, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    seen = texts.mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     # Words of one in WORD_SHARE documents: at most WORD_SHARE times the mean number of distinct words of a document.
-    found = seen.where(F.col("docs") * WORD_SHARE >= texts.count()).select("word").toArrow()
+    told = seen.where((F.col("kind") == PAIRS) | (F.col("n") * WORD_SHARE >= texts.count())).toArrow()
+    kind, key, n = (told[c].to_numpy() for c in ("kind", "key", "n"))
+    counts = np.ones(1 << 16)
+    counts[key[kind == PAIRS]] += n[kind == PAIRS]
+    counts = counts.reshape(256, 256)
     bits = np.zeros(1 << WORD_BITS, bool)
-    bits[_bits(found["word"].to_numpy().astype(np.int64).view(np.uint64))] = True
-    return np.packbits(bits, bitorder="little")
+    bits[_bits(key[kind == WORDS].astype(np.int64).view(np.uint64))] = True
+    return np.log2(counts / counts.sum(1, keepdims=True)), np.packbits(bits, bitorder="little")
 
 
 def learn_neighbours(findings: list[tuple[str, str, str, int]]) -> dict[str, float]:
@@ -252,7 +248,7 @@ def learn_neighbours(findings: list[tuple[str, str, str, int]]) -> dict[str, flo
 
 
 def learn_model(docs: DataFrame, findings: list[tuple[str, str, str, int]], text_col: str = "text") -> Model:
-    return Model(transitions(docs, text_col), dictionary_of(docs, text_col), learn_neighbours(findings))
+    return Model(*corpus_tables(docs, text_col), learn_neighbours(findings))
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = 0) -> list[tuple[str, str, str, int]]:
