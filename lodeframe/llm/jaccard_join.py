@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import LOWER, SPACES, join_heavy, load, materialize, mix, named, release, releasing, rows_of, shuffle_parts, split_words, text_chunks, windows, word_hashes
+from lodeframe.llm.common import LOWER, SPACES, load, materialize, mix, named, release, releasing, rows_of, shuffle_parts, split_words, text_chunks, windows, word_hashes
 from lodeframe.llm.components import components
 from lodeframe.tables import discard
 
@@ -251,17 +251,17 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     """A row (doc_id, n_shingles, h1, h2, component_id) for each row of docs; (h1, h2) is the same for equal sets only."""
     spark = docs.sparkSession
     texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    shards = max(4 * shuffle_parts(spark), -(-size[0] // SHARD_BYTES))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(4 * shuffle_parts(spark), -(-size // SHARD_BYTES))
     told = materialize(_exchange(texts.mapInArrow(lambda x: _requests_of_texts(x, shards, ngram), _REQUEST), percent, True).select("id", "n", "h1", "h2", "live", "grams"), "jaccard-documents")
 
     # Classes of equal sets. The number is given once, as the table is written.
-    groups = told.where("live").groupBy("h1", "h2").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("grams").alias("grams"))
+    groups = told.where("live").groupBy("h1", "h2").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("grams").alias("grams"))
     numbered = materialize(groups.withColumn("class", F.monotonically_increasing_id()), "jaccard-numbered")
     whole, told = told, materialize(told.select("id", "n", "h1", "h2"), "jaccard-rows")
     discard(whole)
     live = materialize(_exchange(numbered.select("class", "n", "grams").mapInArrow(lambda x: _requests_of_classes(x, shards), _REQUEST), percent, False).select(F.col("id").alias("class"), "n", "grams", "dfs"), "jaccard-live")
-    classes = materialize(numbered.select("class", "h1", "h2", "least_id", "copies"), "jaccard-classes")
+    classes = materialize(numbered.select("class", "h1", "h2", "least_id"), "jaccard-classes")
     discard(numbered)
 
     pivots = live.mapInArrow(_keys, "key long").agg(F.percentile_approx("key", [k / fragments for k in range(1, fragments)])).first()[0]
@@ -289,12 +289,9 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     more = materialize(_verify(rest, pieces, sizes, percent), "jaccard-rest")
     every = components(links.select("a", "b").union(more.select("a", "b")), "jaccard") if more.take(1) else labels
 
-    # A component with many classes, and a class with many copies, are one key each: they are joined where they stand.
-    told_of = classes.join(every.select(F.col("node").alias("class"), "label"), "class", "left")
-    told_of = materialize(told_of.withColumn("label", F.coalesce("label", "class")).select("h1", "h2", "least_id", "copies", "label"), "jaccard-named")
-    least = told_of.groupBy("label").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    with_id = join_heavy(told_of, least, "label", told_of.count(), "members").select("h1", "h2", "copies", "component_id")
-    out = join_heavy(told, with_id, ["h1", "h2"], size[1], "copies", "left")
+    labelled = classes.select("class", "h1", "h2", "least_id").join(every.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    out = told.select("id", "n", "h1", "h2").join(labelled.join(least, "label").select("h1", "h2", "component_id"), ["h1", "h2"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "h1", "h2", F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
