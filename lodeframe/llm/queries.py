@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeframe.llm import decontaminate, jaccard_join, lm_scoring, mixing, prefix_trie, quality_rules, secrets, sharding, suffix_dedup, toxicity, url_rules
+from lodeframe.llm import decontaminate, jaccard_join, lm_scoring, mixing, prefix_trie, quality_rules, secrets, sharding, suffix_dedup, token_alignment, toxicity, url_rules
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 

@@ -109,3 +109,71 @@ def quality_base(text):
 
 def crc(text):
     return zlib.crc32(text.encode())
+
+
+def alignment(docs, pair):
+    """Rows doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; each text is encoded whole."""
+    found, seen = [], Counter()
+    for doc_id, text in docs:
+        links, groups, a, b = [], [], [], []
+        if text:
+            a, b = pair.a.encode(" " + text, add_special_tokens=False).ids, pair.b.encode(text)
+            if not b"".join(pair.bytes_a[x] for x in a) == (" " + text).encode() == b"".join(pair.bytes_b[x] for x in b):
+                a, b = [], []
+        i = j = 0
+        own, other = [], []
+        left_a = left_b = 0
+        while i < len(a) or j < len(b) or left_a or left_b:
+            if not left_a:
+                left_a = len(pair.bytes_a[a[i]])
+                own.append(a[i])
+                i += 1
+            if not left_b:
+                left_b = len(pair.bytes_b[b[j]])
+                other.append(b[j])
+                j += 1
+            links.append((own[-1], other[-1]))
+            both = min(left_a, left_b)
+            left_a, left_b = left_a - both, left_b - both
+            if not left_a and not left_b:
+                groups.append(",".join(map(str, own)) + "|" + ",".join(map(str, other)))
+                own, other = [], []
+        found.append((doc_id, len(a), len(b), len(groups), links, groups))
+        seen.update(set(links))
+    best = Counter()
+    for (x, _), n in seen.items():
+        best[x] = max(best[x], n)
+    digest = lambda groups: hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+    return [(d, na, nb, len(g), len(ls), sum(seen[x] == best[x[0]] for x in ls), sum(seen[x] for x in ls), digest(g)) for d, na, nb, _, ls, g in found]
+
+
+def trie(turns):
+    """turns: (conv_id, turn, role, text). Rows conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    original = defaultdict(list)
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            original[conv].append((turn is not None, turn or 0, (role or "").encode(), (text or "").encode()))
+    original = {c: [x[2:] for x in sorted(t)] for c, t in original.items()}
+    rebuilt = {}
+    for c, own in original.items():
+        h = crc(str(c)) % 4
+        base = c - (abs(c) % FAMILY) * (1 if c >= 0 else -1)
+        rebuilt[c] = original.get(base, [])[:h] + own[h:]
+    members = defaultdict(list)
+    for c in sorted(rebuilt):
+        for d in range(len(rebuilt[c]) + 1):
+            members[tuple(rebuilt[c][:d])].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        words = len(WORD.findall(node[-1][1].decode())) if node else 0
+        leaves[node] = sum(leaves[x] for x in children[node]) if children[node] else 1
+        saved[node] = sum(saved[x] for x in children[node]) + (len(members[node]) - 1) * words
+    ends = {n: hashlib.sha256(",".join(str(c) for c in m if len(rebuilt[c]) == len(n)).encode()).hexdigest() for n, m in members.items()}
+    return [(m[0], len(n), members[n[:-1]][0] if n else None, len(m), len(children[n]), leaves[n], saved[n], ends[n]) for n, m in members.items()]
+
+
+FAMILY = 20
