@@ -5,7 +5,8 @@ both end at one byte, the text is cut; what lies between two cuts is a group. A
 overlap.
 
 1. Encoding. A text is split before each space that follows a word (no entry of either vocabulary crosses such a place, which is
-   checked as the files are loaded, so pieces are encoded as the text would be); the distinct pieces of a batch are encoded once.
+   checked as the files are loaded, so pieces are encoded as the text would be); the distinct pieces of a batch are encoded once. A text
+   is given back byte by byte if all its pieces are.
 2. Alignment. The tokens of a whole Arrow batch stand end to end, with the byte offsets of its documents. One bincount of A's ends and
    one of B's give the cuts, where both are positive. Each run of bytes between two ends of either is one link, since two ranges overlap
    in one run; running counts of the ends give the tokens of each link, and their differences at the document offsets the numbers of
@@ -19,7 +20,7 @@ overlap.
 Defined cases: texts that are null, empty, or that a tokenizer doesn't give back byte by byte have no tokens: zeros and an empty digest;
 the strings of special tokens are plain text; repeated rows count as documents of their own; ids may be null or repeated; of equal
 counts all are the highest of their A token; an empty table gives an empty result; a very long text is aligned in slices of whole pieces
-(a piece, a word of any length, is the least that is held at once, with about 60 bytes for each of its own); columns of docs that are
+(a piece, a word of any length, is the least that is held at once); columns of docs that are
 not kept take no part, and kept ones that are named like a result are left out.
 """
 
@@ -42,8 +43,10 @@ TOKENIZERS = "/opt/tokenizers"
 #: Most pairs that are broadcast.
 BROADCAST_PAIRS = 1 << 20
 #: Bytes of text aligned at once, and pieces whose tokens a worker remembers.
-SLICE = 1 << 20
+SLICE = 1 << 19
 REMEMBERED = 60_000
+#: Pieces encoded in one call.
+ENCODED = 4096
 #: Distinct pairs that a task holds before it sends them on.
 HELD_PAIRS = 1 << 21
 #: Counts from here on share a bucket with others of nearly their size in the histogram that finds the frequent pairs.
@@ -95,22 +98,22 @@ class Pair:
         tokenizer adds by itself."""
         new = [p for p in pieces if p not in self.memory]
         if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
-            new = pieces
-        if new:
-            texts = [p.decode() for p in new]
-            ids_a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-            ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-            good = [b"".join(map(self.bytes_a.__getitem__, x)) == p == b"".join(map(self.bytes_b.__getitem__, y)) for p, x, y in zip(new, ids_a, ids_b, strict=True)]
+            self.memory = {p: self.memory[p] for p in pieces if p in self.memory}
+        for i in range(0, len(new), ENCODED):
+            own = new[i : i + ENCODED]
+            texts = [p.decode() for p in own]
+            ids_a = [np.array(x.ids, np.int32) for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            ids_b = [np.array(x, np.int32) for x in self.b.encode([t[1:] for t in texts], num_threads=1)]
+            good = [b"".join(map(self.bytes_a.__getitem__, x)) == p == b"".join(map(self.bytes_b.__getitem__, y)) for p, x, y in zip(own, ids_a, ids_b, strict=True)]
             groups = iter(self.group_texts([x for x, g in zip(ids_a, good, strict=True) if g], [y for y, g in zip(ids_b, good, strict=True) if g]))
-            self.memory.update((p, (x, y, g, next(groups) if g else "")) for p, x, y, g in zip(new, ids_a, ids_b, good, strict=True))
+            self.memory.update((p, (x, y, g, next(groups) if g else "")) for p, x, y, g in zip(own, ids_a, ids_b, good, strict=True))
         return [self.memory[p] for p in pieces]
 
-    def group_texts(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> list[str]:
+    def group_texts(self, ids_a: list[np.ndarray], ids_b: list[np.ndarray]) -> list[str]:
         """`a1,a2|b1;a3|b2` of each piece, from the cuts of all of them end to end."""
         if not ids_a:
             return []
-        a, b = (np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (ids_a, ids_b))
+        a, b = (np.concatenate(x) for x in (ids_a, ids_b))
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         cuts = common_ends(ends_a, ends_b)[2]
         group = np.concatenate([np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)])
@@ -162,9 +165,26 @@ class Rows:
 
     def __init__(self, n: int):
         self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(n, np.int64) for _ in range(4))
+        self.spoilt = np.zeros(n, bool)
         self.digest: list = [None] * n
         self.pairs: list[list] = [[] for _ in range(n)]
 
+    def spoil(self, row: int) -> None:
+        """The row has no tokens, whatever was found of it."""
+        self.spoilt[row], self.digest[row], self.pairs[row] = True, None, []
+        for numbers in (self.n_a, self.n_b, self.n_groups, self.n_links):
+            numbers[row] = 0
+
+    def write(self, rows: np.ndarray, parts: np.ndarray, own: np.ndarray, texts: list[str]) -> None:
+        """Add the groups of pieces own[parts[k] : parts[k + 1]] to the digest of rows[k]."""
+        indices, parts = own.tolist(), parts.tolist()
+        for row, (p, q) in zip(rows.tolist(), itertools.pairwise(parts), strict=True):
+            if self.digest[row] is None:
+                self.digest[row] = hashlib.sha256()
+            else:
+                self.digest[row].update(b";")
+            self.digest[row].update(";".join([texts[x] for x in indices[p:q]]).encode())
+
 
 def spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows with a space before each that isn't empty."""
@@ -177,52 +197,40 @@ def spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, out_at
 
 
-def align_rows(pair: Pair, data: np.ndarray, at: np.ndarray, into: Rows, first: int = 0, split: bool = True) -> None:
-    """Align rows of text (each with its space) and add what is found to `into`, from its row `first` on."""
-    starts = piece_starts(data, at, split and pair.splits)
-    if not len(starts):
-        return
-    offsets = np.append(starts, len(data))
-    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-    which = array.indices.to_numpy()
-    known = pair.encode(array.dictionary.to_pylist())
-    good = np.array([g for _, _, g, _ in known], bool)
-    row = np.searchsorted(at, starts, "right") - 1
-    bad = np.unique(row[~good[which]])
-    if len(bad):
-        for r in bad if split else []:  # the whole text decides
-            align_rows(pair, data[at[r] : at[r + 1]], np.array([0, at[r + 1] - at[r]]), into, first + int(r), split=False)
-        kept = ~np.isin(row, bad)
-        which, row, sizes = which[kept], row[kept], np.diff(offsets)[kept]
-    else:
-        sizes = np.diff(offsets)
-    lengths, flat = [], []
-    for side in range(2):
-        n = np.array([len(x[side]) for x in known], np.int64)
-        lengths.append(n)
-        flat.append((np.fromiter(itertools.chain.from_iterable(x[side] for x in known), np.int64, n.sum()), np.cumsum(n) - n))
-    texts = [x[3] for x in known]
-    at_bytes = np.concatenate([[0], np.cumsum(sizes)])
+def align_rows(pair: Pair, data: np.ndarray, at: np.ndarray, into: Rows) -> None:
+    """Align rows of text (each with its space) into `into`, in slices of whole pieces. A piece that isn't given back spoils its row."""
+    starts = piece_starts(data, at, pair.splits)
+    ends = np.append(starts[1:], len(data))
+    rows = np.searchsorted(at, starts, "right") - 1
     i = 0
-    while i < len(which):
-        j = max(i + 1, int(np.searchsorted(at_bytes, at_bytes[i] + SLICE, "right")) - 1)
-        own, r = which[i:j], row[i:j]
-        new = np.append(True, r[1:] != r[:-1])
-        edges = np.append(at_bytes[i:j][new], at_bytes[j]) - at_bytes[i]
-        _align_slice(pair, own, r[new] + first, edges, lengths, flat, into)
-        parts = np.append(np.flatnonzero(new), len(own)).tolist()
-        indices = own.tolist()
-        for k, (p, q) in zip((r[new] + first).tolist(), itertools.pairwise(parts), strict=True):
-            if into.digest[k] is None:
-                into.digest[k] = hashlib.sha256()
-            else:
-                into.digest[k].update(b";")
-            into.digest[k].update(";".join([texts[x] for x in indices[p:q]]).encode())
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
+        offsets = np.append(starts[i:j], ends[j - 1]) - starts[i]
+        text = np.ascontiguousarray(data[starts[i] : ends[j - 1]])
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(text)]).dictionary_encode()
+        which, row, sizes = pieces.indices.to_numpy(), rows[i:j], np.diff(offsets)
+        known = pair.encode(pieces.dictionary.to_pylist())
+        good = np.array([k[2] for k in known], bool)
+        for r in np.unique(row[~good[which]]).tolist():
+            into.spoil(r)
+        kept = ~into.spoilt[row]
+        which, row, sizes = which[kept], row[kept], sizes[kept]
+        if len(which):
+            _align_slice(pair, known, which, row, sizes, into)
         i = j
 
 
-def _align_slice(pair: Pair, own: np.ndarray, rows: np.ndarray, edges: np.ndarray, lengths: list, flat: list, into: Rows) -> None:
-    """own: pieces in order; rows and edges: the rows that they are of, and the byte offsets between those."""
+def _align_slice(pair: Pair, known: list[tuple], own: np.ndarray, row: np.ndarray, sizes: np.ndarray, into: Rows) -> None:
+    """own: the piece (of `known`) at each place, row and sizes: its row and its bytes."""
+    new = np.append(True, row[1:] != row[:-1])
+    rows, at_bytes = row[new], np.concatenate([[0], np.cumsum(sizes)])
+    edges = np.append(at_bytes[:-1][new], at_bytes[-1])
+    lengths, flat = [], []
+    for side in range(2):
+        n = np.array([len(k[side]) for k in known], np.int64)
+        lengths.append(n)
+        flat.append((np.concatenate([k[side] for k in known]).astype(np.int64), np.cumsum(n) - n))
+    into.write(rows, np.append(np.flatnonzero(new), len(own)), own, [k[3] for k in known])
     a, b = (gather(ids, starts[own], n[own]) for (ids, starts), n in zip(flat, lengths, strict=True))
     ends_a, ends_b = np.cumsum(pair.len_a[a]), np.cumsum(pair.len_b[b])
     in_a, in_b, _ = common_ends(ends_a, ends_b)
