@@ -44,7 +44,9 @@ TOKENIZERS = "/opt/tokenizers"
 BROADCAST_PAIRS = 1 << 20
 #: Bytes of text aligned at once, and pieces whose tokens a worker remembers.
 SLICE = 1 << 19
-REMEMBERED = 60_000
+REMEMBERED = 50_000
+#: What B's tokenizer writes for a space.
+SPACE_MARK = "▁".encode()
 #: Pieces encoded in one call.
 ENCODED = 4096
 #: Distinct pairs that a task holds before it sends them on.
@@ -81,8 +83,8 @@ class Pair:
         self.bytes_b = [self._piece(k) for k in range(self.b.get_piece_size())]
         self.len_a, self.len_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.text_a, self.text_b = ([str(k) for k in range(len(v))] for v in (self.bytes_a, self.bytes_b))
-        #: No entry has a space after anything else, so none crosses a place before a space that follows a word.
-        self.splits = not any(b" " in x.lstrip(b" ") for v in (self.bytes_a, self.bytes_b) for x in v)
+        #: No entry crosses a place where piece_starts() cuts.
+        self.splits = not any(x[k] == 0x20 and ends_word(x[:k]) for v in (self.bytes_a, self.bytes_b) for x in v for k in range(1, len(x)))
         self.width = len(self.bytes_b)
         self.code = np.uint32 if len(self.bytes_a) * self.width < 1 << 32 else np.uint64
         self.memory: dict[bytes, tuple] = {}
@@ -91,29 +93,49 @@ class Pair:
         if self.b.is_control(k) or self.b.is_unknown(k):
             return b""
         piece = self.b.id_to_piece(k)
-        return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode()
+        return bytes([int(piece[1:-1], 16)]) if self.b.is_byte(k) else piece.encode().replace(SPACE_MARK, b" ")
 
     def encode(self, pieces: list[bytes]) -> list[tuple]:
-        """(A ids, B ids, whether both give the piece back, text of its groups) of each piece. A piece starts with a space, which B's
-        tokenizer adds by itself."""
+        """(A ids and B ids as bytes of int32, whether both give the piece back, text of its groups) of each piece. A piece starts with a
+        space, which B's tokenizer adds by itself."""
         new = [p for p in pieces if p not in self.memory]
         if len(self.memory) + len(new) > REMEMBERED:
             self.memory = {p: self.memory[p] for p in pieces if p in self.memory}
-        for i in range(0, len(new), ENCODED):
-            own = new[i : i + ENCODED]
-            texts = [p.decode() for p in own]
-            ids_a = [np.array(x.ids, np.int32) for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-            ids_b = [np.array(x, np.int32) for x in self.b.encode([t[1:] for t in texts], num_threads=1)]
-            good = [b"".join(map(self.bytes_a.__getitem__, x)) == p == b"".join(map(self.bytes_b.__getitem__, y)) for p, x, y in zip(own, ids_a, ids_b, strict=True)]
-            groups = iter(self.group_texts([x for x, g in zip(ids_a, good, strict=True) if g], [y for y, g in zip(ids_b, good, strict=True) if g]))
-            self.memory.update((p, (x, y, g, next(groups) if g else "")) for p, x, y, g in zip(own, ids_a, ids_b, good, strict=True))
+        joined = [p for p in new if self.splits and ends_word(p) and SPACE_MARK not in p]
+        for i in range(0, len(joined), ENCODED):
+            self._encode_joined(joined[i : i + ENCODED])
+        for p in new:
+            if p not in self.memory:
+                self._remember([p], [self._ids(p)])
         return [self.memory[p] for p in pieces]
 
-    def group_texts(self, ids_a: list[np.ndarray], ids_b: list[np.ndarray]) -> list[str]:
+    def _ids(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        text = text.decode()
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int32), np.array(self.b.encode(text[1:]), np.int32)
+
+    def _encode_joined(self, pieces: list[bytes]) -> None:
+        """Encode pieces that end with a word as one text, and remember each if the whole is given back."""
+        a, b = self._ids(b"".join(pieces))
+        ends = np.cumsum([len(p) for p in pieces])
+        at = []
+        for ids, sizes, known in ((a, self.len_a, self.bytes_a), (b, self.len_b, self.bytes_b)):
+            upto = np.cumsum(sizes[ids])
+            cut = np.searchsorted(upto, ends) + 1
+            if upto[-1] != ends[-1] or (upto[cut - 1] != ends).any() or b"".join([known[k] for k in ids.tolist()]) != b"".join(pieces):
+                return
+            at.append([0, *cut.tolist()])
+        self._remember(pieces, [(a[i:j], b[k:m]) for (i, j), (k, m) in zip(itertools.pairwise(at[0]), itertools.pairwise(at[1]), strict=True)])
+
+    def _remember(self, pieces: list[bytes], ids: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        good = [b"".join([self.bytes_a[k] for k in x.tolist()]) == p == b"".join([self.bytes_b[k] for k in y.tolist()]) for p, (x, y) in zip(pieces, ids, strict=True)] if len(pieces) == 1 else [True] * len(pieces)
+        groups = iter(self.group_texts([x for x, g in zip(ids, good, strict=True) if g]))
+        self.memory.update((p, (x.tobytes(), y.tobytes(), g, next(groups) if g else "")) for p, (x, y), g in zip(pieces, ids, good, strict=True))
+
+    def group_texts(self, ids: list[tuple[np.ndarray, np.ndarray]]) -> list[str]:
         """`a1,a2|b1;a3|b2` of each piece, from the cuts of all of them end to end."""
-        if not ids_a:
+        if not ids:
             return []
-        a, b = (np.concatenate(x) for x in (ids_a, ids_b))
+        a, b = (np.concatenate(x) for x in zip(*ids, strict=True))
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         cuts = common_ends(ends_a, ends_b)[2]
         group = np.concatenate([np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)])
@@ -123,7 +145,7 @@ class Pair:
         after = np.where(group[1:] != group[:-1], ";", np.where(side[1:] != side[:-1], "|", ",")).tolist()
         words = [*map(self.text_a.__getitem__, a.tolist()), *map(self.text_b.__getitem__, b.tolist())]
         flat = [words[k] + s for k, s in zip(order.tolist(), [*after, ";"], strict=True)]
-        sizes = np.cumsum([len(x) + len(y) for x, y in zip(ids_a, ids_b, strict=True)])
+        sizes = np.cumsum([len(x) + len(y) for x, y in ids])
         return ["".join(flat[i:j])[:-1] for i, j in zip([0, *sizes[:-1].tolist()], sizes.tolist(), strict=True)]
 
 
@@ -142,15 +164,23 @@ def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
     return in_a, in_b, np.flatnonzero(in_a & in_b)
 
 
+def ends_word(piece: bytes) -> bool:
+    """Whether a piece may start after these bytes: see piece_starts(). Of a character of two bytes, the first may be missing."""
+    return 0x20 < piece[-1] < 0x7F or (piece[-1] >= 0x80 and (len(piece) == 1 or 0xC3 <= piece[-2] <= 0xDF))
+
+
 def piece_starts(data: np.ndarray, at: np.ndarray, split: bool) -> np.ndarray:
     """Offsets in data (rows that start with a space each) where a piece starts: each row's start, and each space after a word's last
-    character (a printable ASCII one, or one of two bytes that can't be white space)."""
+    character (a printable ASCII one, or one of two bytes that can't be white space) but the last of a row, as B's tokenizer gives no token
+    for an empty text."""
     new = np.zeros(len(data), bool)
     if split and len(data) > 2:
         last, before = data[1:-1], data[:-2]
         wordy = ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & (before >= 0xC3) & (before <= 0xDF))
         new[2:] = (data[2:] == 0x20) & wordy
-    new[at[:-1][np.diff(at) > 0]] = True
+    full = np.diff(at) > 0
+    new[at[1:][full] - 1] = False
+    new[at[:-1][full]] = True
     return np.flatnonzero(new)
 
 
@@ -227,9 +257,9 @@ def _align_slice(pair: Pair, known: list[tuple], own: np.ndarray, row: np.ndarra
     edges = np.append(at_bytes[:-1][new], at_bytes[-1])
     lengths, flat = [], []
     for side in range(2):
-        n = np.array([len(k[side]) for k in known], np.int64)
+        n = np.array([len(k[side]) for k in known], np.int64) // 4
         lengths.append(n)
-        flat.append((np.concatenate([k[side] for k in known]).astype(np.int64), np.cumsum(n) - n))
+        flat.append((np.frombuffer(b"".join([k[side] for k in known]), np.int32).astype(np.int64), np.cumsum(n) - n))
     into.write(rows, np.append(np.flatnonzero(new), len(own)), own, [k[3] for k in known])
     a, b = (gather(ids, starts[own], n[own]) for (ids, starts), n in zip(flat, lengths, strict=True))
     ends_a, ends_b = np.cumsum(pair.len_a[a]), np.cumsum(pair.len_b[b])
