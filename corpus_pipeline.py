@@ -55,17 +55,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select(*plain.columns).toDF(*docs.columns)
 
 
+#: Spark names the files of a table by the task that wrote them and, where a task starts a file after a number of rows, by the file's number
+#: in the task.
+WRITTEN = r"^part-(\d+)-.*-c(\d+)(?:\.|$)"
+
+
 def training_order(docs: DataFrame) -> tuple[Column, int] | None:
-    """The place of a row in the files that docs was read from (number of the file, number of its part, row), and how many bits of it tell
-    rows of one bucket apart; None if docs doesn't come from files."""
+    """The place of a row in the table that docs was read from (task, file of the task, row of the file), and how many bits of it tell rows
+    of one bucket apart. None if docs doesn't come from files. Files with other names than Spark's hold no training order: they come
+    after the others, by a hash of their name. Room for 2**20 tasks, 2**14 files of each and 2**28 rows in a file."""
     try:
         docs.select("_metadata.row_index", "_metadata.file_name")
     except AnalysisException:
         return None
-    name = F.col("_metadata.file_name")
-    number = lambda pattern: F.coalesce(F.expr(f"try_cast(regexp_extract(_metadata.file_name, '{pattern}', 1) AS BIGINT)"), F.xxhash64(name) % 128 + 128)
-    place = F.shiftleft(number("part-([0-9]{1,6})"), 43) + F.shiftleft(number("-c([0-9]{1,2})"), 35) + F.col("_metadata.row_index")
-    return place, 11
+    number = [F.regexp_extract("_metadata.file_name", WRITTEN, k).try_cast("long") for k in (1, 2)]
+    place = F.shiftleft(number[0], 42) + F.shiftleft(number[1], 28) + F.col("_metadata.row_index")
+    other = F.shiftleft(F.pmod(F.xxhash64("_metadata.file_name"), F.lit(1 << 20)) + (1 << 20), 42) + F.col("_metadata.row_index")
+    return F.when(number[1].isNotNull(), place).otherwise(other), 11
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
