@@ -96,15 +96,15 @@ def running_sum(df: DataFrame, part: list[str], order: str, weight: str, out: st
 
 
 def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], dict[str, pa.Array]]) -> DataFrame:
-    """df with columns that fn computes from each Arrow batch. Columns of df that have the name of a new one are replaced."""
-    new = {f.name for f in fields}
-    schema = T.StructType([f for f in df.schema if f.name not in new] + fields)
+    """df with columns that fn computes from each Arrow batch. Columns of df that have the name of a new one, in any case, are replaced."""
+    new = {f.name.lower() for f in fields}
+    schema = T.StructType([f for f in df.schema if f.name.lower() not in new] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 made = fn(batch)
-                kept = [n for n in batch.schema.names if n not in new]
+                kept = [n for n in batch.schema.names if n.lower() not in new]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + [made[f.name] for f in fields], names=kept + [f.name for f in fields])
                 del batch, made
                 release()

@@ -7,8 +7,8 @@ pass over the sources). Weights and schedules repeat over the sources in code-po
 Inside a source the documents stand in order of a hash of their id and text, which depends on nothing else. A target of r times the
 source is floor(r) passes over all of it and a last pass that ends where the target is reached. Documents are copied whole: the plan
 counts the document at that end in part, so that planned words add up to the rounded target, and the mix has it once more if at least
-half of it is planned. Words that the mix takes so miss a target by at most half of that one document; `taken` of the mix counts the
-copies that are really in it.
+half of it is planned. Words that the mix takes so miss a target by at most half of that one document; `taken` of the mix counts
+what is really in it.
 
 A word's place in this sequence, divided by the target, is the source's cumulative demand; the integral of the source's weight
 schedule over training time is inverted at that demand, which gives the training position, and documents are range-sorted by it.
@@ -131,31 +131,55 @@ def plan_mix(docs: DataFrame, source_col: str = "source", text_col: str = "text"
     return planned.select(*unpacked(docs.columns, ("mix",)), "mix")
 
 
+def _position(copy: Column, schedules) -> Column:
+    """Where copy number `copy` of a planned document stands in training time."""
+    m = F.col("mix")
+    at = copy * m["source_size"] + m["start"] + F.when(copy < m["passes"], m["size"]).otherwise(m["extra"]) / 2
+    demand = F.least(F.lit(1.0), F.when(m["target"] > 0, at / m["target"]).otherwise(F.lit(0.0)))
+    place = F.lit(None).cast("double")
+    for k, knots in enumerate(schedules):
+        place = F.when(m["rank"] % len(schedules) == k, invert_demand(knots, demand)).otherwise(place)
+    return place
+
+
+def _times() -> Column:
+    """How often the mix has a planned document: the one at the end of a source's last pass if at least half of it is planned."""
+    m = F.col("mix")
+    return m["passes"] + F.when(m["open"] & (m["extra"] * 2 >= m["size"]), 1).otherwise(0)
+
+
 def mix_documents(docs: DataFrame, schedules=SCHEDULES, parts: int | None = None, rest: bool = False, keep: list[str] | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The documents of the mix in training order, as often as they are taken, with their `position` in training time (0 to 1), the number
-    of the `copy` (from 0) and `mix` of the plan, where `taken` is added up from the copies. The one document at the end of a source's last
+    of the `copy` (from 0) and `mix` of the plan, where `taken` is the words of this copy. The one document at the end of a source's last
     pass is there if at least half of it is planned. Partitions are ranges of positions, sorted. rest: documents that the mix doesn't take
     are there too, with null copy and position, before the others. keep: the columns of docs that are returned, all if not given."""
     keep = docs.columns if keep is None else keep
     planned = _planned(docs, keep, source_col, text_col, id_col, weights, share, cap)
-    m = F.col("mix")
-    times = m["passes"] + F.when(m["open"] & (m["extra"] * 2 >= m["size"]), 1).otherwise(0)
     explode = F.explode_outer if rest else F.explode
-    copies = planned.withColumn("copy", explode(F.when(times > 0, F.sequence(F.lit(0), times - 1))))
-    at = F.col("copy") * m["source_size"] + m["start"] + F.when(F.col("copy") < m["passes"], m["size"]).otherwise(m["extra"]) / 2
-    demand = F.least(F.lit(1.0), F.when(m["target"] > 0, at / m["target"]).otherwise(F.lit(0.0)))
-    place = F.lit(None).cast("double")
-    for k, knots in enumerate(schedules):
-        place = F.when(m["rank"] % len(schedules) == k, invert_demand(knots, demand)).otherwise(place)
-    placed = copies.withColumn("position", F.when(F.col("copy").isNotNull(), place)).withColumn("mix", m.withField("taken", times * m["size"]))
+    copies = planned.withColumn("copy", explode(F.when(_times() > 0, F.sequence(F.lit(0), _times() - 1))))
+    taken = F.when(F.col("copy").isNotNull(), F.col("mix.size")).otherwise(F.lit(0))
+    placed = copies.withColumn("position", F.when(F.col("copy").isNotNull(), _position(F.col("copy"), schedules))).withColumn("mix", F.col("mix").withField("taken", taken))
     order = ["position", "mix.rank", "mix.start", "_order"]
     ranged = placed.repartitionByRange(parts or shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
     return ranged.select(*unpacked(keep, NEW), "mix", "copy", "position")
 
 
+def mix_schedule(docs: DataFrame, schedules=SCHEDULES, parts: int | None = None, keep: list[str] | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """A row for each document, taken or not, with `mix` of the plan, where `taken` is the words of all its copies, and the `positions` of
+    those copies in training time (none: an empty array). Partitions are ranges of the first position, sorted, null first. An input
+    column named `positions` is left out, as `mix` is."""
+    keep = docs.columns if keep is None else keep
+    planned = _planned(docs, keep, source_col, text_col, id_col, weights, share, cap)
+    copies = F.when(_times() > 0, F.sequence(F.lit(0), _times() - 1)).otherwise(F.array().cast("array<int>"))
+    placed = planned.withColumn("positions", F.transform(copies, lambda copy: _position(copy, schedules)))
+    placed = placed.withColumn("mix", F.col("mix").withField("taken", _times() * F.col("mix.size"))).withColumn("_first", F.get("positions", F.lit(0)))
+    order = ["_first", "mix.rank", "mix.start", "_order"]
+    ranged = placed.repartitionByRange(parts or shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return ranged.select(*unpacked(keep, ("mix", "positions")), "mix", "positions")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix in training order, a row for each copy, and a row with null copy and position for each document that it doesn't take.
-    taken: words of all copies of the document's row."""
+    """A row for each document in order of its first position, with the words that the mix takes of it in all and where its copies stand."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mix_documents(docs, rest=True, keep=["doc_id"])
-    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "copy", "position")
+    mixed = mix_schedule(docs, keep=["doc_id"])
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "positions")

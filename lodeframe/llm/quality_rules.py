@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import load, materialize
+from lodeframe.llm.common import load, materialize, named, packed, unpacked
 
 ALPHA = 0.005
 DELTA = 0.05
@@ -117,12 +117,12 @@ def fit_thresholds(good: DataFrame, stratum: str, alpha: float = ALPHA, delta: f
 def judge_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", stratum_col: str = "lang", text_col: str = "text", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA, grid: dict = GRID) -> DataFrame:
     """The columns of `keep` (the id if not given), the base counts, base_failed, kept and failed_rules of each document."""
     keep = [id_col] if keep is None else keep
-    source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.concat(F.lit("s"), F.col(stratum_col).cast("string")), F.lit("n")).alias("_stratum"), *[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(text_col).alias("_text"))
-    own = ["_id", "_stratum", *[f"_keep_{c}" for c in keep]]
+    source = docs.select(named(id_col).alias("_id"), F.coalesce(F.concat(F.lit("s"), named(stratum_col).cast("string")), F.lit("n")).alias("_stratum"), packed(docs, keep), named(text_col).alias("_text"))
+    own = ["_id", "_stratum", "_doc"]
     counts = materialize(measure(source, own, "_text"), "quality-counts")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     counts = counts.withColumn("base_failed", failed)
-    good_ids = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
+    good_ids = labels.where(named(label_col) == 1).select(named(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
     good = counts.where("NOT base_failed").join(good_ids, "_id", "left_semi")
     cuts = materialize(fit_thresholds(good, "_stratum", alpha, delta, grid), "quality-cuts")
     judged = counts.join(cuts, "_stratum", "left")
@@ -130,7 +130,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = N
     judged = judged.withColumn("failed_rules", broken)
     kept = (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept")
     labelled = F.coalesce("n", F.lit(0)).cast("long").alias("n_labelled")
-    return judged.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], *BASE, "base_failed", kept, "failed_rules", labelled)
+    return judged.select(*unpacked(keep, (*BASE, "base_failed", "kept", "failed_rules", "n_labelled")), *BASE, "base_failed", kept, "failed_rules", labelled)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import WORD_BYTES, load, mix, prefix_hash, rows_of, split_words, substring_hash, text_chunks, word_hashes
+from lodeframe.llm.common import WORD_BYTES, load, mix, named, prefix_hash, rows_of, split_words, substring_hash, text_chunks, word_hashes
 
 MIN_LENGTH = 12
 MIXED_LENGTH = 20
@@ -191,7 +191,7 @@ def _scan(batches: Iterator[pa.RecordBatch], handle) -> Iterator[pa.RecordBatch]
                 out.append((batch.column("doc_id")[first + row].as_py(), a - at[row], b - at[row], hashlib.sha256(found).hexdigest(), _features(data[lo:a].tobytes(), found, data[b:hi].tobytes(), model)))
         if out:
             doc, a, b, sha, features = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sha, pa.string()), *(pa.array([f[k] for f in features], pa.float64()) for k in range(len(NAMES)))], names=["doc_id", "start", "end", "sha256", *NAMES])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field("doc_id").type), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sha, pa.string()), *(pa.array([f[k] for f in features], pa.float64()) for k in range(len(NAMES)))], names=["doc_id", "start", "end", "sha256", *NAMES])
 
 
 PAIRS, WORDS = 0, 1
@@ -318,8 +318,8 @@ def scan_secrets(docs: DataFrame, findings: list[tuple[str, str, str, int]] | No
     model = learn_model(docs, findings, text_col)
     forest = train_forest(spark, findings, model)
     handle = spark.sparkContext.broadcast(model)
-    kind = "doc_id long, start long, end long, sha256 string, " + ", ".join(f"{c} double" for c in NAMES)
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda x: _scan(x, handle), kind)
+    kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, start long, end long, sha256 string, " + ", ".join(f"{c} double" for c in NAMES)
+    found = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).mapInArrow(lambda x: _scan(x, handle), kind)
     judged = forest.transform(VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(found))
     return judged.select("doc_id", "start", "end", "sha256", vector_to_array("probability")[1].alias("probability")).withColumn("is_secret", F.col("probability") >= least)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import load, mix, powers, prefix_hash, releasing, shuffle_parts, spans, substring_hash
+from lodeframe.llm.common import load, mix, named, powers, prefix_hash, releasing, shuffle_parts, spans, substring_hash
 
 LENGTH = 100
 GRAM = 32
@@ -295,10 +295,10 @@ _SPANS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed_f
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row of docs its doc_id, n_bytes and either the removed runs [removed_from, removed_to) with the kept bytes, or (digest)
     their counts and a digest of the kept bytes."""
-    text = F.col(text_col)
+    text = named(text_col)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks, shards = max(1, math.ceil(total / block_bytes)), 4 * shuffle_parts(docs.sparkSession)
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(id_col, F.substring(text, 1, 200), F.octet_length(text)), F.lit(blocks)).alias("block"))
+    dealt = docs.select(named(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(named(id_col), F.substring(text, 1, 200), F.octet_length(text)), F.lit(blocks)).alias("block"))
     grouped = dealt.groupBy("block")
     segments = grouped.applyInArrow(releasing(lambda key, table: _ask_segments(key, table, shards), 2), _REQUEST).groupBy("shard").applyInArrow(releasing(_serve, 1), _ANSWER)
     strings = grouped.cogroup(segments.groupBy("block")).applyInArrow(releasing(lambda key, table, answers: _ask_strings(key, table, answers, shards), 3), _REQUEST).groupBy("shard").applyInArrow(releasing(_serve, 1), _ANSWER)

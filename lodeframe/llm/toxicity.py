@@ -12,7 +12,7 @@ Defined cases: a null or empty text has no features and gets the score of the bi
 documents, are passed over; a document with both labels is learnt under both; a labelled doc_id of several rows is one example, the
 text of the least hash; without a toxic row to learn from every score is near 0; a null doc_id is not held out and has no label;
 repeated rows are scored alike; examples of equal hash are learnt in order of label and features; an empty table gives an empty result;
-a very long text is hashed piece by piece; columns of docs named like a result (held_out, score, predicted) are replaced by
+a very long text is hashed piece by piece; columns of docs named like a result (held_out, score, predicted), in any case, are replaced by
 score_toxicity and kept by drop_toxic.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeframe.llm.common import WORD_BYTES, add_columns, aliased, load, mix, rows_of, split_words, text_chunks, word_hashes
+from lodeframe.llm.common import WORD_BYTES, add_columns, aliased, load, mix, named, rows_of, split_words, text_chunks, word_hashes
 
 BITS = 20
 PER_CLASS = 6000
@@ -102,8 +102,8 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, folds: int = FOLDS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) that are not zero; coordinate 2**bits is the bias."""
-    seen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), folds)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).distinct()
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    seen = labels.select(named(id_col).alias("_id"), named(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id"), folds)).distinct()
+    known = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
     order = F.xxhash64(F.lit(3), "_id")
     sample = seen.where("label = 1").orderBy(order, "_id").limit(per_class).unionByName(seen.where("label = 0").orderBy(order, "_id").limit(per_class))
     # At most 2 * per_class rows: small enough to broadcast.
@@ -142,7 +142,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = fit_model(docs, labels, id_col, text_col, bits=bits, **options)
     handle = docs.sparkSession.sparkContext.broadcast(model)
     scored = add_columns(docs.drop("held_out", "predicted"), [T.StructField("score", T.DoubleType())], lambda b: _score(b, text_col, handle, bits))
-    return scored.withColumn("held_out", held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.withColumn("held_out", held_out(named(id_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

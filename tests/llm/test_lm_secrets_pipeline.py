@@ -6,11 +6,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodeframe.llm import lm_scoring, secrets
+from lodeframe.llm import lm_scoring, quality_rules, secrets, toxicity
 from lodeframe.llm.decontaminate import find_contamination
 from tests.llm import brute
 
@@ -193,10 +195,12 @@ def test_stages_take_odd_rows(spark, tmp_path):
     assert find_contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 6
 
 
-def test_slots_are_in_training_order(spark, tmp_path):
-    """The order of the mix, through files, into the slots of a shard."""
+@pytest.mark.parametrize("rows_a_file", [0, 7])
+def test_slots_are_in_training_order(spark, tmp_path, rows_a_file):
+    """The order of the mix, through files, into the slots of a shard; however many files a task writes."""
     docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 9), f"s{i % 4}") for i in range(800)], "doc_id long, text string, source string")
-    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    corpus_pipeline.mix_sources(spark, docs, "").write.option("maxRecordsPerFile", rows_a_file).parquet(str(tmp_path / "mixed"))
+    assert len(list((tmp_path / "mixed").glob("part-*-c001*"))) == (8 if rows_a_file else 0)
     mixed = spark.read.parquet(str(tmp_path / "mixed"))
     place, _ = corpus_pipeline.training_order(mixed)
     order = [r.doc_id for r in mixed.select("doc_id", place.alias("p")).orderBy("p").collect()]
@@ -215,3 +219,28 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert Counter((r.doc_id, r.text) for r in got if r.text) == {(None, a): 1, (7, b): 1, (7, c): 1}
     assert sum(not r.text for r in got) == 3
+
+
+def test_other_files_come_by_name_and_row(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    for k, name in enumerate(("some-c12ab.parquet", "part-1.parquet")):
+        pq.write_table(pa.table({"doc_id": [2 * k, 2 * k + 1], "text": ["a", "b"], "source": ["s", "s"]}), str(tmp_path / "docs" / name))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    place, _ = corpus_pipeline.training_order(docs)
+    at = {r.doc_id: r.p for r in docs.select("doc_id", place.alias("p")).collect()}
+    assert at[1] == at[0] + 1 and at[3] == at[2] + 1 and min(at.values()) >= 1 << 62
+    assert corpus_pipeline.deal_shards(spark, docs, "").count() == 4
+
+
+def test_columns_of_other_cases_and_dotted_ids(spark):
+    rows_ = [(f"d{k}", "token = \"a81f0c2de94b7a6655d3c1f0a9b8e7d6c5f4a3b2\" and more words of text", "en", 1, 2, 3, 4) for k in range(4)]
+    docs = spark.createDataFrame(rows_, ["doc.id", "text", "lang", "Score", "N_Hit", "Kept", "Held_Out"])
+    labels = spark.createDataFrame([("d1", 1, 1), ("d2", 0, 0)], ["doc.id", "toxic", "quality"])
+    scored = toxicity.score_toxicity(docs, labels, id_col="doc.id")
+    assert len({c.lower() for c in scored.columns}) == len(scored.columns) and scored.count() == 4 and "score" in scored.columns
+    assert toxicity.drop_toxic(docs, labels, id_col="doc.id").columns == docs.columns
+    found = find_contamination(docs, spark.createDataFrame([(1, "and more words of text")], "item_id long, text string"))
+    assert [r.n_hit for r in found.collect()] == [5] * 4 and "N_Hit" not in found.columns
+    judged = quality_rules.judge_quality(docs, labels, keep=["doc.id", "Kept", "lang"], id_col="doc.id")
+    assert judged.columns[:2] == ["doc.id", "lang"] and judged.columns.count("kept") == 1 and judged.count() == 4
+    assert {r.doc_id for r in secrets.scan_secrets(docs, id_col="doc.id").collect()} == {"d0", "d1", "d2", "d3"}

@@ -141,14 +141,29 @@ def test_op4_is_the_mix_itself(spark, tmp_path, monkeypatch):
     rows_ = [(i, f"s{i % 3}", "w " * 10) for i in range(300)] + [(1000, "s1", "w " * 900), (1001, "s2", "w " * 901), (None, None, None)]
     spark.createDataFrame(rows_, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = mixing.op4_mixing(spark, str(tmp_path)).collect()
-    held = [r for r in got if r.position is not None]
-    assert [r.position for r in held] == sorted(r.position for r in held) and all(0 <= r.position <= 1 for r in held)
-    assert Counter(r.doc_id for r in held) == Counter(r.doc_id for r in mixing.mix_documents(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect())
-    assert {r.doc_id for r in got} == {d for d, *_ in rows_} and all((r.copy is None) == (r.position is None) for r in got)
-    copies = Counter(r.doc_id for r in held)
-    assert all(r.taken == copies[r.doc_id] * r["size"] for r in got)
-    monkeypatch.setattr(mixing.mix_documents, "__defaults__", ((((0.0, 1.0), (1.0, 1.0)),), *mixing.mix_documents.__defaults__[1:]))
-    assert [r.position for r in mixing.op4_mixing(spark, str(tmp_path)).collect()] != [r.position for r in got]
+    assert sorted((r.doc_id for r in got), key=repr) == sorted((d for d, *_ in rows_), key=repr)
+    first = [r.positions[0] for r in got if r.positions]
+    assert first == sorted(first) and all(0 <= x <= 1 and list(r.positions) == sorted(r.positions) for r in got for x in r.positions)
+    mixed = mixing.mix_documents(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
+    assert sorted((r.doc_id, x) for r in got for x in r.positions) == sorted((r.doc_id, r.position) for r in mixed)
+    assert all(r.taken == len(r.positions) * r["size"] for r in got) and all(r.mix.taken == r.mix.size for r in mixed)
+    monkeypatch.setattr(mixing.mix_schedule, "__defaults__", ((((0.0, 1.0), (1.0, 1.0)),), *mixing.mix_schedule.__defaults__[1:]))
+    assert [r.positions for r in mixing.op4_mixing(spark, str(tmp_path)).collect()] != [r.positions for r in got]
+
+
+def test_op4_adds_up_over_its_own_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows_ = docs.select("doc_id", "source").join(mixing.op4_mixing(spark, "/root/testdata/sf0.01"), "doc_id").collect()
+    assert len(rows_) == docs.count()
+    sizes, taken, most, target = Counter(), Counter(), Counter(), {}
+    for r in rows_:
+        sizes[r.source] += r["size"]
+        taken[r.source] += r.taken
+        most[r.source] = max(most[r.source], r["size"])
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r["size"]
+    want = brute.targets(dict(sizes))
+    assert all(target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= most[s] / 2 + 1 for s in want)
 
 
 def plain_shards(sizes, shards):
