@@ -13,7 +13,7 @@ from lodeframe import schema
 from lodeframe.errors import EngineError, bad_argument
 from lodeframe.functions import descriptors as d
 from lodeframe.functions.text import keywords
-from lodeframe.operators import diff, filters, graph, match, ranking
+from lodeframe.operators import diff, filters, graph, match, pairing, ranking
 from lodeframe.plans import envelope, packers, snippets
 from lodeframe.plans.index import Index
 from lodeframe.sources import containers
@@ -496,25 +496,28 @@ class Engine:
         return out.withColumn("sig_hash", F.substring(F.sha1(digest.cast("binary")), 1, 16))
 
     def compare(self, a: str, b: str, scope: str = "app", min_score: float = 0.45, shape: str = "named") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """(renamed pairs, features of what is only in a, of what is only in b, descriptors in both)."""
+        """(renamed pairs, features of a and of b, stored, descriptors in both)."""
         fa, fb = materialize(self.features(a, scope), "features"), materialize(self.features(b, scope), "features")
         same = diff.unchanged(fa, fb, ["descriptor"])
-        fa, fb = fa.join(same, "descriptor", "left_anti"), fb.join(same, "descriptor", "left_anti")
-        exact = materialize(diff.exact_pairs(fa, fb, "descriptor", "sig_hash").select("key_a", "key_b", F.lit(1.0).alias("score"), F.lit("exact-structure").alias("how")), "exact")
-        gone = lambda df, key: df.join(exact.select(F.col(key).alias("descriptor")), "descriptor", "left_anti")
-        pairs = diff.candidates(gone(fa, "key_a"), gone(fb, "key_b"), "descriptor", "super", diff.class_score(shape), float(min_score))
-        fuzzy = diff.one_to_one(pairs.select(F.col("descriptor_a").alias("key_a"), F.col("descriptor_b").alias("key_b"), "score")).withColumn("how", F.lit("fuzzy"))
-        renamed = materialize(exact.unionByName(fuzzy), "renamed")
-        left = lambda df, key: df.join(renamed.select(F.col(key).alias("descriptor")), "descriptor", "left_anti")
-        return renamed, left(fa, "key_a"), left(fb, "key_b"), same
+        own_a, own_b = fa.join(same, "descriptor", "left_anti"), fb.join(same, "descriptor", "left_anti")
+        exact = materialize(diff.exact_pairs(own_a, own_b, "descriptor", "sig_hash").select("key_a", "key_b", F.lit(1.0).alias("score"), F.lit("exact-structure").alias("how")), "exact")
+        gone = lambda df, key: df.join(exact.select(F.col(key).alias("descriptor")), "descriptor", "left_anti").withColumn("n_interfaces", F.size("interfaces"))
+        sets = {"sigs" if shape == "named" else "shapes": "shape", "strings": "strings", "field_names": "fields", "method_names": "names"}
+        weights = {column: diff.WEIGHTS[part] for column, part in sets.items()}
+        fuzzy = pairing.pair_by_sets(gone(own_a, "key_a"), gone(own_b, "key_b"), "descriptor", "super", weights, ["n_interfaces", "kind"], float(min_score), diff.WEIGHTS["interfaces"], diff.OTHER_INTERFACES)
+        return materialize(exact.unionByName(fuzzy.withColumn("how", F.lit("fuzzy"))), "renamed"), fa, fb, same
 
     def diff_sessions(self, session_a: str = "", session_b: str = "", limit: int = 50, min_score: float = 0.45, scope: str = "app", shape: str = "named") -> dict:
         if shape not in ("named", "structural"):
             raise bad_argument(f"unknown shape {shape!r}", "named or structural")
         a, b, limit = self.index.session(session_a), self.index.session(session_b), ranking.clamp_limit(limit)
-        renamed, removed, added, same = self.compare(a, b, scope, min_score, shape)
-        keys = lambda s: self.features(s, scope).select("descriptor", "sigs", "package")
-        full = renamed.join(keys(a).toDF("key_a", "sigs_a", "package_a"), "key_a").join(keys(b).toDF("key_b", "sigs_b", "package_b"), "key_b")
+        renamed, fa, fb, same = self.compare(a, b, scope, min_score, shape)
+        # Rows of either side alone: what is neither in both nor renamed.
+        both = same.select("descriptor")
+        alone = lambda df, key: df.join(both.union(renamed.select(key)), "descriptor", "left_anti")
+        removed, added = materialize(alone(fa, "key_a"), "removed"), materialize(alone(fb, "key_b"), "added")
+        keys = lambda df: df.select("descriptor", "sigs", "package")
+        full = renamed.join(keys(fa).toDF("key_a", "sigs_a", "package_a"), "key_a").join(keys(fb).toDF("key_b", "sigs_b", "package_b"), "key_b")
         full = full.withColumns({"only_a": F.array_except("sigs_a", "sigs_b"), "only_b": F.array_except("sigs_b", "sigs_a")})
         full = full.withColumns({"count_a": F.size("sigs_a"), "count_b": F.size("sigs_b"), "kept": F.size("sigs_a") - F.size("only_a")})
         full = full.withColumns({c: F.slice(c, 1, 10) for c in ("only_a", "only_b")}).drop("sigs_a", "sigs_b")
@@ -526,7 +529,8 @@ class Engine:
             items.append({"change": "renamed", "score": r.score, "how": r.how, **names, **packages, **members})
         for change, df in (("removed", removed), ("added", added)):
             items += [{"change": change, "class": snippets.java_name(r.descriptor), "descriptor": r.descriptor, "superClass": r["super"], "source": r.source, "methodCount": len(r.sigs), "sampleMethods": r.sigs[:6], "sampleStrings": r.strings[:4]} for r in df.orderBy("descriptor").limit(limit).collect()]
-        counts = {"renamed": renamed.count(), "removed": removed.count(), "added": added.count(), "unchanged": same.count()}
+        tables = {"renamed": renamed, "removed": removed, "added": added, "unchanged": same}
+        counts = {r["name"]: r.n for r in match.table_counts(tables).collect()}
         return envelope.ok(items, counts["renamed"] + counts["removed"] + counts["added"], a, summary=counts, sessionB=b)
 
     # -------------------------------------------------------------- manifest and resources
