@@ -23,7 +23,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.operators.ranking import first_wins
 from lodeframe.tables import materialize
 
 #: Least scores at which pairs are formed, before the caller's own.
@@ -91,29 +90,21 @@ def candidate_pairs(a: DataFrame, b: DataFrame, profiles: tuple[DataFrame, DataF
     return met.join(sides[0], "pa").join(sides[1], "pb").select("pa", "pb", score_of(weights, same_weight, other).alias("score")).where(F.col("score") >= least)
 
 
-def _take(pairs: DataFrame, left: list[DataFrame]) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Greedy rounds over all pairs. left: (_profile, _left, _used) of both sides. Returns
-    tables (pa, pb, score, from_a, from_b, n), one for each round, and what is left."""
-    pairs = materialize(pairs.withColumn("_order", F.md5(F.concat_ws("|", "pa", "pb"))), "pairing-pairs")
-    taken = []
-    while pairs.take(1):
-        best = [first_wins(pairs, [f"p{s}"], [F.col("score").desc(), "_order", "pa", "pb"]) for s in "ab"]
-        now = best[0].join(best[1].select("pa", "pb"), ["pa", "pb"], "left_semi").select("pa", "pb", "score")
-        for df, s in zip(left, "ab", strict=True):
-            now = now.join(df.select(F.col("_profile").alias(f"p{s}"), F.col("_left").alias(f"left_{s}"), F.col("_used").alias(f"from_{s}")), f"p{s}")
-        now = materialize(now.select("pa", "pb", "score", "from_a", "from_b", F.least("left_a", "left_b").alias("n")), "pairing-taken")
-        taken.append(now)
-        after = []
-        for df, s in zip(left, "ab", strict=True):
-            more = F.coalesce("n", F.lit(0))
-            joined = df.join(now.select(F.col(f"p{s}").alias("_profile"), "n"), "_profile", "left")
-            after.append(materialize(joined.select("_profile", (F.col("_left") - more).alias("_left"), (F.col("_used") + more).alias("_used")), "pairing-left"))
-        left = after
-        pairs = pairs.join(now.select("pa", "pb"), ["pa", "pb"], "left_anti")
-        for df, s in zip(left, "ab", strict=True):
-            pairs = pairs.join(df.where("_left > 0").select(F.col("_profile").alias(f"p{s}")), f"p{s}", "left_semi")
-        pairs = materialize(pairs, "pairing-pairs")
-    return taken, left
+def _take(pairs: DataFrame) -> list[DataFrame]:
+    """Greedy rounds over all pairs: (pa, pb, score) with the rows that each side has left (left_a, left_b) and has used (from_a, from_b).
+    Returns tables (pa, pb, score, from_a, from_b, n), one for each round. A round is one plan: its pairs carry what it changes."""
+    pairs, taken = pairs.withColumn("_order", F.md5(F.concat_ws("|", "pa", "pb"))), []
+    while True:
+        best = [F.row_number().over(Window.partitionBy(f"p{s}").orderBy(F.desc("score"), "_order", "pa", "pb")) for s in "ab"]
+        now = pairs.withColumns({"_a": best[0], "_b": best[1]}).withColumn("n", F.when((F.col("_a") == 1) & (F.col("_b") == 1), F.least("left_a", "left_b")))
+        used = {s: F.coalesce(F.max("n").over(Window.partitionBy(f"p{s}")), F.lit(0)) for s in "ab"}
+        now = now.withColumns({f"used_{s}": u for s, u in used.items()})
+        stored = materialize(now.drop("_a", "_b"), "pairing-round")
+        taken.append(stored.where("n IS NOT NULL").select("pa", "pb", "score", "from_a", "from_b", "n"))
+        rest = stored.where("n IS NULL AND left_a > used_a AND left_b > used_b")
+        if not rest.take(1):
+            return taken
+        pairs = rest.select("pa", "pb", "score", "_order", *[e for s in "ab" for e in ((F.col(f"left_{s}") - F.col(f"used_{s}")).alias(f"left_{s}"), (F.col(f"from_{s}") + F.col(f"used_{s}")).alias(f"from_{s}"))])
 
 
 def pair_by_sets(a: DataFrame, b: DataFrame, key: str, bucket: str, sets: dict[str, float], same: list[str], least: float, same_weight: float = 0.0, other: float = 0.0, levels: Iterable[float] = LEVELS) -> DataFrame:
@@ -134,15 +125,18 @@ def pair_by_sets(a: DataFrame, b: DataFrame, key: str, bucket: str, sets: dict[s
     counts = own[0].select(*at).union(own[1].select(*at)).groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
     bounded = [materialize(_ordered(x, counts), "pairing-bounds") for x in own]
     left = [p.select("_profile", F.col("_left").cast("long").alias("_left"), F.lit(0).cast("long").alias("_used")) for p in profiles]
-    taken = []
+    taken: list[DataFrame] = []
     for level in [*(x for x in levels if x > least), least]:
-        open_ = [df.where("_left > 0").select("_profile") for df in left]
+        open_ = [df.where("_left > 0") for df in left]
         pairs = candidate_pairs(*[x.join(o, "_profile", "left_semi") for x, o in zip(bounded, open_, strict=True)], tuple(profiles), weights, same_weight, other, level)
-        found, left = _take(pairs, left)
-        taken += found
-    if not taken:
-        kind = a.schema[key].dataType.simpleString()
-        return a.sparkSession.createDataFrame([], f"key_a {kind}, key_b {kind}, score double")
+        for o, s in zip(open_, "ab", strict=True):
+            pairs = pairs.join(o.select(F.col("_profile").alias(f"p{s}"), F.col("_left").alias(f"left_{s}"), F.col("_used").alias(f"from_{s}")), f"p{s}")
+        now = _take(pairs)
+        taken += now
+        if level > least:
+            sums = materialize(reduce(DataFrame.union, now).select("pa", "pb", "n"), "pairing-used")
+            more = [sums.groupBy(F.col(f"p{s}").alias("_profile")).agg(F.sum("n").alias("_n")) for s in "ab"]
+            left = [df.join(m, "_profile", "left").select("_profile", (F.col("_left") - F.coalesce("_n", F.lit(0))).alias("_left"), (F.col("_used") + F.coalesce("_n", F.lit(0))).alias("_used")) for df, m in zip(left, more, strict=True)]
     runs = reduce(DataFrame.union, taken)
     each = runs.select("pa", "pb", "score", "from_a", "from_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_i"))
     for m, s in zip(members, "ab", strict=True):

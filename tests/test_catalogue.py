@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodeframe.plans import catalogue, code_queries
+from lodeframe.plans import catalogue, code_queries, version_queries
 
-ALL = catalogue.QUERIES | code_queries.QUERIES
-SQL = catalogue.ORACLE_SQL | code_queries.ORACLE_SQL
+ALL = catalogue.QUERIES | code_queries.QUERIES | version_queries.QUERIES
+SQL = catalogue.ORACLE_SQL | code_queries.ORACLE_SQL | version_queries.ORACLE_SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
