@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -10,18 +11,21 @@ from pyspark.sql import functions as F
 from lodeframe.tables import materialize
 
 
-def walk(edges: DataFrame, seeds: DataFrame, depth: int, source: str = "src", target: str = "dst") -> DataFrame:
+def walk(edges: DataFrame, seeds: DataFrame, depth: int, source: str = "src", target: str = "dst", probe: Callable[[DataFrame, DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Edges met in up to `depth` hops from the seeds (a column named like source), each once, with the first hop that meets it.
 
-    A hop is one join and two anti-joins; no frontier is cut, so nothing is lost on the way. For callers, swap source and target.
+    A hop is one join and two anti-joins; no frontier is cut, so nothing is lost on the way. For callers, swap source and target. probe:
+    how edges of a frontier's nodes are found (edges, frontier, column), if not by a join; each hop is then written before the next.
     """
     frontier = seeds.select(F.col(source)).distinct()
     seen_nodes, out = frontier, None
     for hop in range(1, depth + 1):
-        met = edges.select(source, target).join(frontier, source, "left_semi").distinct()
+        own = edges.select(source, target)
+        met = (own.join(frontier, source, "left_semi") if probe is None else probe(own, frontier, source)).distinct()
         if out is not None:
             met = met.join(out.select(source, target), [source, target], "left_anti")
         met = met.withColumn("hop", F.lit(hop))
+        met = met if probe is None else materialize(met, "walk")
         out = met if out is None else out.unionByName(met)
         frontier = met.select(F.col(target).alias(source)).distinct().join(seen_nodes, source, "left_anti")
         seen_nodes = seen_nodes.unionByName(frontier)

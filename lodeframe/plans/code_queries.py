@@ -17,6 +17,7 @@ from lodeframe.functions.text import combined_sha
 from lodeframe.operators import match, ranking
 from lodeframe.plans import packers
 from lodeframe.plans.tools import Engine
+from lodeframe.sources import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,6 +58,8 @@ class Mapped:
             for k in sorted(known, key=len, reverse=True):
                 text = _rename(text, k)
             self.tables[name] = spark.sql(text, **{f"t_{k}": v for k, v in known.items()})
+        own = ingest.probed(*[self.tables[n].withColumn("session_id", F.lit("s")) for n in ("string_refs", "xref_edges")])
+        self.tables |= {name: df.drop("session_id") for name, df in own.items()}
 
     def table(self, name: str, session_id: str | None = None) -> DataFrame:
         return self.tables[name].withColumn("session_id", F.lit("s"))

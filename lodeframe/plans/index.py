@@ -6,6 +6,7 @@ import os
 import re
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from py4j.protocol import Py4JJavaError
@@ -23,6 +24,7 @@ from lodeframe.tables import materialize
 SESSIONS = "session_id string, sha256 string, kind string, label string, pkg string, version_name string, version_code long, created_at timestamp, schema_version int, sources array<string>"
 OWNERS = "session_id string, owner string, created_at timestamp"
 MOST_BYTES = 200 << 20
+WRITERS = 6
 
 
 class Index:
@@ -81,17 +83,27 @@ class Index:
 
     def table(self, name: str, session_id: str | None = None) -> DataFrame:
         """A table, or its part for one session: Spark then lists and reads that partition alone."""
-        kind = f"{schema.COLUMNS[name]}, session_id string"
+        kind = f"{schema.COLUMNS[name]}, session_id string" + (f", {schema.PARTED[name]} int" if name in schema.PARTED else "")
         df = self.spark.read.schema(kind).parquet(f"{self.root}/{name}") if self.exists(name) else self.spark.createDataFrame([], kind)
         return df if session_id is None else df.where(F.col("session_id") == session_id)
 
-    def write(self, tables: dict[str, DataFrame]) -> None:
-        for name, df in tables.items():
+    def write(self, tables: dict[str, DataFrame], **options) -> None:
+        """Write sessions' parts of tables, WRITERS at a time: most of the time of a small session is the start of jobs."""
+
+        def one(name: str, df: DataFrame) -> None:
             columns = self.spark.createDataFrame([], schema.COLUMNS[name]).schema
-            df = df.select(*[F.col(f.name).cast(f.dataType) for f in columns], "session_id")
-            key = [c for c in schema.TABLES[name]] or ["session_id"]
+            folders = ["session_id", *[schema.PARTED[n] for n in (name,) if n in schema.PARTED]]
+            df = df.select(*[F.col(f.name).cast(f.dataType) for f in columns], *folders)
+            order = [*folders, *schema.TABLES[name]]
             # A large session is spread over its natural key; AQE puts small ones together again.
-            df.repartition("session_id", *key).sortWithinPartitions("session_id", *schema.TABLES[name]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{self.root}/{name}")
+            dealt = df.repartitionByRange(*order) if name in schema.CLUSTERED else df.repartition(*(order if schema.TABLES[name] else folders))
+            blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in schema.BLOOM.get(name, ())}
+            writer = dealt.sortWithinPartitions(*order).write.mode("overwrite").options(partitionOverwriteMode="dynamic", **blooms, **options)
+            writer.partitionBy(*folders).parquet(f"{self.root}/{name}")
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            for done in [pool.submit(one, name, df) for name, df in tables.items()]:
+                done.result()
 
     # -------------------------------------------------------------- catalogue
 
@@ -208,7 +220,7 @@ class Index:
         if into:
             # A class that the session has already keeps its own members: those of the new one go.
             had = materialize(self.table("classes", into).select(F.col("descriptor").alias("_class")), "classes")
-            for name, owner_col in (("methods", "class_descriptor"), ("fields", "class_descriptor"), ("annotations", "class_descriptor"), ("string_refs", "method_key"), ("xref_edges", "caller_key")):
+            for name, owner_col in (("methods", "class_descriptor"), ("fields", "class_descriptor"), ("annotations", "class_descriptor"), ("string_refs", "method_key"), ("refs_by_string", "method_key"), ("xref_edges", "caller_key"), ("edges_by_callee", "caller_key")):
                 tables[name] = tables[name].join(had, F.substring_index(owner_col, "->", 1) == F.col("_class"), "left_anti")
             self.write({name: self._added(name, into, df) for name, df in tables.items()})
             return into, False

@@ -13,11 +13,12 @@ from lodeframe import schema
 from lodeframe.errors import EngineError, bad_argument
 from lodeframe.functions import descriptors as d
 from lodeframe.functions.text import keywords
-from lodeframe.operators import diff, filters, graph, match, pairing, ranking
+from lodeframe.operators import diff, filters, grams, graph, match, pairing, ranking
 from lodeframe.plans import envelope, packers, snippets
 from lodeframe.plans.index import Index
 from lodeframe.sources import containers
 from lodeframe.sources.dex import KINDS
+from lodeframe.sources.ingest import string_id
 from lodeframe.tables import materialize
 
 INVOKES = tuple(range(1, 9))
@@ -325,12 +326,23 @@ class Engine:
             raise EngineError("NOT_FOUND", f"{row.descriptor} has no member {member!r}", "list its members")
         return envelope.ok(items, session_id=session, **{"class": head})
 
+    def pool(self, session: str, want: grams.Wanted, text: str | None = None) -> DataFrame:
+        """Strings of the session: the given one, or those with the grams of one of the alternatives, or all if nothing is wanted."""
+        strings = self.index.table("strings", session)
+        if text is not None:
+            return strings.where(F.col("id") == string_id(F.lit(text)))
+        return strings if want is None else grams.probe(strings, grams.candidates(self.index.table("string_grams", session), want), "id")
+
     def string_hits(self, session: str, text: str, how: str, scope: str, method_limit: int, min_len: int) -> tuple[DataFrame, DataFrame]:
         """(a row for each string that a method in scope refers to, all strings of the pool that fit)."""
-        pool = filters.text_filter(self.index.table("strings", session), "value", text, how, min_len, "lc")
+        want = grams.wanted(text, how)
+        pool = filters.text_filter(self.pool(session, want, text if how == "exact" else None), "value", text, how, min_len, "lc")
+        refs = self.index.table("refs_by_string", session)
+        if want is not None or how == "exact":
+            refs = grams.probe(refs, pool.select("id"), "id")
         methods = self.index.table("methods", session).select("method_key", F.col("class_descriptor").alias("descriptor"))
         sides = [(pool.select("value", "len"), "value"), (methods, "method_key"), (self.scoped(session, scope).select("descriptor"), "descriptor")]
-        refs = match.probe(self.index.table("string_refs", session).select("method_key", "value"), sides)
+        refs = match.probe(refs.select("method_key", "value"), sides)
         top = match.reverse_top_k(refs, "value", "method_key", ["len"], method_limit)
         return top.groupBy("value", "len", "method_count").agg(F.sort_array(F.collect_list(F.struct("rn", "method_key")))["method_key"].alias("methods")), pool
 
@@ -373,15 +385,16 @@ class Engine:
         shown = self.class_items(session, found).join(self.sample_members(session), "descriptor", "left")
         return envelope.ok(rows(shown.orderBy(F.col("source").desc(), "descriptor"), limit), found.count(), session)
 
-    def invocations(self, session: str) -> DataFrame:
-        edges = self.index.table("xref_edges", session).where(F.col("kind").isin(*INVOKES))
-        return edges.select("caller_key", "callee_descriptor", "kind", "hits")
+    def invocations(self, session: str, by: str = "caller_key") -> DataFrame:
+        """Calls, from the copy that is clustered by callers or by callees."""
+        edges = self.index.table("edges_by_callee" if by == "callee_descriptor" else "xref_edges", session)
+        return edges.where(F.col("kind").isin(*INVOKES)).select("caller_key", "callee_descriptor", "kind", "hits")
 
     def edges_met(self, session: str, seeds: DataFrame, direction: str, depth: int, scope: str = "all") -> DataFrame:
         """(depth, kind, hits, caller_key, callee_descriptor) of the calls met from the methods (method_key) in seeds."""
-        edges = self.invocations(session)
         source, target = ("callee_descriptor", "caller_key") if direction == "callers" else ("caller_key", "callee_descriptor")
-        met = materialize(graph.walk(edges, seeds.select(F.col("method_key").alias(source)), depth, source, target), "xref")
+        edges = self.invocations(session, source)
+        met = graph.walk(edges, seeds.select(F.col("method_key").alias(source)), depth, source, target, grams.probe)
         full = met.join(edges, ["caller_key", "callee_descriptor"])
         if scope != "all":
             kept = self.scoped(session, scope).select(F.col("descriptor").alias("_class"))
@@ -390,7 +403,7 @@ class Engine:
 
     def method_seeds(self, session: str, method: str, clazz: str = "") -> DataFrame:
         """(method_key) of the methods that a reference, or a class, stands for."""
-        known, edges = self.index.table("methods", session), self.invocations(session)
+        known, edges = self.index.table("methods", session), self.invocations(session, "callee_descriptor")
         if not method:
             return known.where(F.col("class_descriptor") == self.one_class(session, clazz).descriptor).select("method_key")
         owner, name, args, ret = d.parse_method_ref(method)
@@ -587,8 +600,11 @@ class Engine:
         name = resource.rpartition(".")[2]
         kind = resource_type or (resource.split(".")[-2] if resource.count(".") >= 1 and resource.split(".")[-2] != "R" else "")
         spellings = [name, *([f"{kind}.{name}", f"R.{kind}.{name}"] if kind else [f"R.{name}"])]
-        hits = self.index.table("strings", session).where(filters.any_of([F.col("value").contains(s) for s in spellings])).select("value")
-        found = self.index.table("string_refs", session).join(hits, "value").select("method_key", "value", F.lit("string").alias("via"))
+        want = grams.either(*[grams.of_lowered(s) for s in spellings])
+        hits = self.pool(session, want).where(filters.any_of([F.col("value").contains(s) for s in spellings]))
+        refs = self.index.table("refs_by_string", session)
+        refs = refs if want is None else grams.probe(refs, hits, "id")
+        found = refs.drop("id").join(hits.select("value"), "value").select("method_key", "value", F.lit("string").alias("via"))
         if not found.limit(1).count():
             tail = f"/R${kind};" if kind else "/R$"
             by_class = F.col("callee_owner").endswith(tail) if kind else F.col("callee_owner").contains(tail)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 _REFS = "refs array<array<string>>"
 CLASS = f"descriptor string, access_flags int, super_descriptor string, interfaces array<string>, source_file string, fields array<struct<name:string,type_descriptor:string,access_flags:int,is_static:boolean>>, methods array<struct<name:string,params_descriptor:string,return_descriptor:string,access_flags:int,shorty:string,partial:boolean,regs:int,ins:int,units:int,strings:array<string>,refs:array<array<string>>>>, annotations array<struct<descriptor:string,visibility:int,args:string,method:string>>"
@@ -22,9 +22,12 @@ TABLES = {
     "classes": ("descriptor",),
     "methods": ("method_key",),
     "fields": ("class_descriptor", "name"),
-    "strings": ("value",),
+    "strings": ("id",),
+    "string_grams": ("gram", "id"),
     "string_refs": ("method_key", "value"),
+    "refs_by_string": ("id", "method_key"),
     "xref_edges": ("caller_key", "kind", "callee_descriptor"),
+    "edges_by_callee": ("callee_descriptor", "caller_key", "kind"),
     "annotations": ("class_descriptor", "method_key", "descriptor"),
     "manifest": (),
     "components": ("type", "name"),
@@ -39,9 +42,12 @@ COLUMNS = {
     "classes": "dex_idx int, descriptor string, simple_name string, package string, access_flags int, super_descriptor string, interfaces array<string>, source string, origin_file string, kind string, source_file string",
     "methods": "class_descriptor string, name string, params_descriptor string, return_descriptor string, method_key string, access_flags int, is_static boolean, is_constructor boolean, has_refs boolean, partial boolean, param_count int, shorty string, regs int, ins_size int, unit_count int",
     "fields": "class_descriptor string, name string, type_descriptor string, access_flags int, is_static boolean",
-    "strings": "value string, lc string, len int",
+    "strings": "id long, value string, lc string, len int",
+    "string_grams": "gram string, id long",
     "string_refs": "method_key string, value string",
+    "refs_by_string": "id long, value string, method_key string",
     "xref_edges": "caller_key string, kind int, callee_descriptor string, callee_owner string, callee_name string, callee_params string, callee_ret string, hits long",
+    "edges_by_callee": "caller_key string, kind int, callee_descriptor string, callee_owner string, callee_name string, callee_params string, callee_ret string, hits long",
     "annotations": "class_descriptor string, method_key string, descriptor string, visibility int, args string",
     "manifest": "package string, version_name string, version_code long, min_sdk int, target_sdk int, application string, uses_permissions array<string>, permissions array<string>, features array<string>, meta_data map<string,string>",
     "components": "type string, name string, exported boolean, permission string, process string, enabled boolean",
@@ -49,3 +55,9 @@ COLUMNS = {
     "resource_entries": RESOURCE,
     "facts": FACTS,
 }
+
+#: Tables that are clustered by their key over all files of a session, for probes by it, and the columns that get Bloom filters.
+CLUSTERED = ("strings", "string_grams", "refs_by_string", "edges_by_callee")
+BLOOM = {"classes": ("simple_name",), "methods": ("name",), "refs_by_string": ("id",), "edges_by_callee": ("callee_descriptor", "callee_name")}
+#: A second level of folders below a session's.
+PARTED = {"string_grams": "part"}

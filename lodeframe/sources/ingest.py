@@ -9,17 +9,19 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe import schema
 from lodeframe.errors import EngineError
 from lodeframe.functions import descriptors as d
+from lodeframe.operators import grams
 from lodeframe.operators.ranking import first_wins
 from lodeframe.sources import containers
 from lodeframe.sources.classfile import ClassError, parse_class
 from lodeframe.sources.dex import Dex, DexError
 from lodeframe.sources.resources import ChunkError, parse_arsc, read_manifest
+from lodeframe.tables import materialize
 
 DEX_PER_FILE = 1000
 _BROKEN = (ClassError, DexError, ChunkError, IndexError, KeyError, TypeError, ValueError, struct.error, zipfile.BadZipFile)
@@ -153,10 +155,10 @@ def normalise(parsed: DataFrame) -> dict[str, DataFrame]:
     # A dex image that stands twice in a session counts once.
     dex = first_wins(dex, ["session_id", F.coalesce("sha", F.concat("origin", F.lit("/"), "name"))], ["dex_idx"])
     classes = of("class").select(*base, "p.*").join(dex.select("session_id", "dex_idx", F.col("origin").alias("origin_file")), ["session_id", "dex_idx"])
-    classes = first_wins(classes, ["session_id", "descriptor"], ["dex_idx", "ord"])
+    classes = materialize(first_wins(classes, ["session_id", "descriptor"], ["dex_idx", "ord"]), "classes")
     own = classes.select("session_id", "dex_idx", F.col("descriptor").alias("class_descriptor"), "source", F.posexplode("methods").alias("ord", "m")).select("session_id", "dex_idx", "class_descriptor", "source", "ord", "m.*")
     key = d.smali_method(F.col("class_descriptor"), F.col("name"), F.col("params_descriptor"), F.col("return_descriptor"))
-    own = first_wins(own.withColumn("method_key", key), ["session_id", "method_key"], ["ord"])
+    own = materialize(first_wins(own.withColumn("method_key", key), ["session_id", "method_key"], ["ord"]), "own")
     methods = own.select(
         "session_id", "class_descriptor", "name", "params_descriptor", "return_descriptor", "method_key", "access_flags", F.col("access_flags").bitwiseAND(8).cast("boolean").alias("is_static"), (F.col("name") == "<init>").alias("is_constructor"),
         ((F.size("strings") > 0) | (F.size("refs") > 0)).alias("has_refs"), "partial", F.size(d.split_params(F.col("params_descriptor"))).alias("param_count"), "shorty", "regs", F.col("ins").alias("ins_size"), F.col("units").alias("unit_count"),
@@ -168,12 +170,11 @@ def normalise(parsed: DataFrame) -> dict[str, DataFrame]:
     edges = edges.select("session_id", "caller_key", part(0).cast("int").alias("kind"), F.concat(part(1), F.when(part(2) != "", F.concat(F.lit("->"), part(2), F.when(part(3) == "", F.lit(":")).otherwise(part(3)), part(4))).otherwise("")).alias("callee_descriptor"), part(1).alias("callee_owner"), part(2).alias("callee_name"), part(3).alias("callee_params"), part(4).alias("callee_ret"), part(5).cast("int").alias("hits"))
     notes = classes.select("session_id", F.col("descriptor").alias("class_descriptor"), F.explode("annotations").alias("a")).select("session_id", "class_descriptor", F.col("a.method").alias("method_key"), "a.descriptor", "a.visibility", "a.args").distinct()
     manifest = first_wins(of("manifest").select(*base, "p.*"), ["session_id"], ["file_ord"])
-    return {
+    tables = {
         "dex": dex.select("session_id", "dex_idx", "name", "origin", "size", "version", "source", "counts"),
         "classes": classes.select("session_id", "dex_idx", "descriptor", d.simple_name(F.col("descriptor")).alias("simple_name"), d.package_of(F.col("descriptor")).alias("package"), "access_flags", "super_descriptor", "interfaces", "source", "origin_file", d.class_kind(F.col("access_flags")).alias("kind"), "source_file"),
         "methods": methods,
         "fields": first_wins(fields, ["session_id", "class_descriptor", "name"], ["ord"]).drop("ord"),
-        "strings": string_refs.select("session_id", "value").distinct().select("session_id", "value", F.lower("value").alias("lc"), F.length("value").alias("len")),
         "string_refs": string_refs,
         "xref_edges": edges.groupBy(*[c for c in edges.columns if c != "hits"]).agg(F.sum("hits").alias("hits")),
         "annotations": notes,
@@ -183,3 +184,16 @@ def normalise(parsed: DataFrame) -> dict[str, DataFrame]:
         "resource_entries": first_wins(of("resource").select(*base, "p.*"), ["session_id", "id"], ["file_ord", "ord"]).select("session_id", "pkg", "type", "name", "type_id", "entry_id", "id"),
         "facts": of("facts").select("session_id", "p.*"),
     }
+    return tables | probed(string_refs, tables["xref_edges"])
+
+
+def string_id(value: Column) -> Column:
+    return F.xxhash64(value)
+
+
+def probed(string_refs: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """The pool of strings with its grams, and second copies of references and edges for probes from the other side."""
+    pool = string_refs.select("session_id", "value").distinct()
+    strings = pool.select("session_id", string_id(F.col("value")).alias("id"), "value", F.lower("value").alias("lc"), F.length("value").alias("len"))
+    refs = string_refs.select("session_id", string_id(F.col("value")).alias("id"), "value", "method_key")
+    return {"strings": strings, "string_grams": grams.postings(strings, ["session_id"], "id", "lc"), "refs_by_string": refs, "edges_by_callee": edges}
