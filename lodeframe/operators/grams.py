@@ -86,16 +86,20 @@ def _literals(tree) -> list[list[str]]:
     return alternatives
 
 
-def of_pattern(pattern: str) -> Wanted:
-    """For lower-cased texts whose original has a match of the pattern. Only plain syntax is taken apart."""
+def literals_of(pattern: str) -> list[list[str]] | None:
+    """Alternatives of literals that every match of the pattern contains; None if the pattern isn't taken apart. Only plain syntax is."""
     if not _PLAIN.fullmatch(pattern):
         return None
     try:
-        alternatives = _literals(re._parser.parse(pattern))
+        return _literals(re._parser.parse(pattern))
     except (re.error, RecursionError, OverflowError):
         return None
-    found = [frozenset().union(*[grams_of(x) for run in own for x in _ascii(run.lower())], frozenset()) for own in alternatives]
-    return found if all(found) else None
+
+
+def of_pattern(pattern: str) -> Wanted:
+    """For lower-cased texts whose original has a match of the pattern."""
+    found = [frozenset().union(*[grams_of(x) for run in own for x in _ascii(run.lower())], frozenset()) for own in literals_of(pattern) or []]
+    return found if found and all(found) else None
 
 
 def wanted(text: str, how: str) -> Wanted:

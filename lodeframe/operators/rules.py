@@ -2,29 +2,112 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import math
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
-from lodeframe.operators.match import sized_broadcast
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodeframe.operators import grams
 
-#: Up to so many rules become parts of one expression; a larger dictionary is joined.
+#: Up to so many rules become parts of one expression; a larger dictionary goes through an automaton.
 INLINE_RULES = 256
+#: Bytes of patterns in one automaton; a dictionary of more is looked for in several passes.
+AUTOMATON_BYTES = 8 << 20
+
+
+def literal_of(pattern: str, kind: str) -> list[str] | None:
+    """Lower-cased literals of which a text that the rule fits holds one; None if none is known."""
+    if kind == "prefix":
+        own = max(grams._ascii(pattern.lower()), key=len, default="")
+        return [own] if len(own) >= grams.SIZE else None
+    alternatives = grams.literals_of(pattern)
+    longest = [max((x for run in own for x in grams._ascii(run.lower())), key=len, default="") for own in alternatives or []]
+    return longest if longest and all(len(x) >= grams.SIZE for x in longest) else None
+
+
+@lru_cache(maxsize=4)
+def _automaton(handle):
+    """The automaton of all literals; each has the numbers of its rules. Built once in a worker."""
+    import ahocorasick
+
+    found: dict[str, list[int]] = {}
+    for literal, rule in handle.value:
+        found.setdefault(literal, []).append(rule)
+    out = ahocorasick.Automaton()
+    for literal, own in found.items():
+        out.add_word(literal, own)
+    out.make_automaton()
+    return out
+
+
+def _matcher(column: str, handle):
+    """Adds _rules, the numbers of the rules that may fit, and leaves out rows without any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = _automaton(handle).iter
+        for batch in batches:
+            found = [sorted({r for _, own in look(text.lower()) for r in own}) if text else [] for text in batch.column(column).to_pylist()]
+            some = pa.array([k for k, own in enumerate(found) if own], pa.int32())
+            kept = batch.take(some)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([own for own in found if own], pa.list_(pa.int32()))], names=[*kept.schema.names, "_rules"])
+
+    return run
+
+
+def _inline(df: DataFrame, fits, few: list[Row], schema: T.StructType) -> DataFrame:
+    rule = lambda r: F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in schema])
+    found = F.filter(F.array(*[F.when(fits(F.lit(r["pattern"])), rule(r)) for r in few]), lambda r: r.isNotNull())
+    return df.select(*df.columns, F.inline(found))
+
+
+def _none(df: DataFrame, schema: T.StructType) -> DataFrame:
+    return df.where(F.lit(False)).select(*df.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def _pass(df: DataFrame, col: str, known: list[Row], schema: T.StructType, kind: str) -> list[DataFrame]:
+    """What the rules of one block find: those with a literal by an automaton, the others as parts of an expression."""
+    spark = df.sparkSession
+    fits = lambda pattern: F.rlike(F.col(col), pattern) if kind == "regex" else F.col(col).startswith(pattern)
+    literals = [(r, literal_of(r["pattern"], kind)) for r in known if r["pattern"] is not None]
+    others = [r for r, own in literals if not own]
+    out = [_inline(df, fits, others[k : k + INLINE_RULES], schema) for k in range(0, len(others), INLINE_RULES)]
+    told = [(r, own) for r, own in literals if own]
+    if told:
+        handle = spark.sparkContext.broadcast([(x, n) for n, (_, own) in enumerate(told) for x in own])
+        met = df.mapInArrow(_matcher(col, handle), T.StructType([*df.schema.fields, T.StructField("_rules", T.ArrayType(T.IntegerType()))]))
+        rules = spark.createDataFrame([(n, *r) for n, (r, _) in enumerate(told)], T.StructType([T.StructField("_rule", T.IntegerType()), *schema.fields]))
+        met = met.withColumn("_rule", F.explode("_rules")).drop("_rules").join(F.broadcast(rules), "_rule").drop("_rule")
+        out.append(met.where(fits(F.col("pattern"))).select(*df.columns, *schema.names))
+    return out
+
+
+def scan_many(df: DataFrame, col: str, rules: DataFrame, kind: str, bytes_: int) -> DataFrame:
+    """As scan_rules, for any number of rules (of so many bytes): a text runs through one automaton of the longest literal of each rule, and
+    the rules whose literal it holds are then tried. Dictionaries of more than AUTOMATON_BYTES are dealt into blocks, a pass over df for
+    each, so what the driver and a worker hold has a bound. Rules without a literal take INLINE_RULES in a pass."""
+    blocks = max(1, math.ceil(bytes_ / AUTOMATON_BYTES))
+    out = []
+    for k in range(blocks):
+        own = rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k)
+        out += _pass(df, col, own.collect(), rules.schema, kind)
+    return reduce(DataFrame.unionByName, out) if out else _none(df, rules.schema)
 
 
 def scan_rules(df: DataFrame, col: str, rules: DataFrame, kind: str = "regex") -> DataFrame:
     """Rows of df with each rule (columns pattern and vendor, among others) that fits; kind regex or prefix.
 
-    A dictionary of a few rules is written into the plan, so each pattern is compiled once and a row is looked at once; a larger one is
-    joined, and sent out after a size check.
+    A dictionary of a few rules is written into the plan, so each pattern is compiled once and a row is looked at once; a larger one goes
+    through an automaton (scan_many).
     """
     fits = lambda pattern: F.rlike(F.col(col), pattern) if kind == "regex" else F.col(col).startswith(pattern)
-    few = rules.limit(INLINE_RULES + 1).collect()
-    if not few or len(few) > INLINE_RULES:
-        return df.join(sized_broadcast(rules), fits(F.col("pattern")))
-    rule = lambda r: F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rules.schema])
-    found = F.filter(F.array(*[F.when(fits(F.lit(r["pattern"])), rule(r)) for r in few]), lambda r: r.isNotNull())
-    return df.select(*df.columns, F.inline(found))
+    known = rules.limit(INLINE_RULES + 1).collect()
+    if len(known) > INLINE_RULES:
+        return scan_many(df, col, rules, kind, rules.agg(F.sum(F.coalesce(F.octet_length("pattern"), F.lit(0)) + 32)).first()[0])
+    return _inline(df, fits, known, rules.schema) if known else _none(df, rules.schema)
 
 
 def evidence_rollup(evidence: DataFrame, key: list[str], strong: Column, vendor: str = "vendor") -> DataFrame:

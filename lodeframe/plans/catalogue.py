@@ -220,6 +220,15 @@ def rule_scan(t):
     return _rule_hits(t).select("doc_id", "rule", "vendor")
 
 
+@query("SELECT l_orderkey, l_linenumber, 'o' || CAST(o_orderkey AS STRING) AS rule FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 10 = 7")
+def rule_scan_many(t):
+    """A rule for each order, thousands of them, over the texts of all line items."""
+    texts = t("lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("order="), F.col("l_orderkey").cast("string"), F.lit(";part="), F.col("l_partkey").cast("string"), F.lit(";")).alias("text"))
+    key = F.col("o_orderkey").cast("string")
+    many = t("orders").select(F.concat(F.lit("o"), key).alias("rule"), F.concat(F.lit("order="), key, F.lit(";part=[0-9]*7;")).alias("pattern"))
+    return rules.scan_rules(texts, "text", many).select("l_orderkey", "l_linenumber", "rule")
+
+
 @query(f"SELECT source, bool_or(rule = 'token') AS strong, string_agg(DISTINCT vendor, ',' ORDER BY vendor) AS vendors, count(vendor) AS findings, CASE WHEN bool_or(rule = 'token') THEN 'high' ELSE 'medium' END AS confidence FROM documents JOIN {_RULES_SQL} ON regexp_matches(text, pattern) GROUP BY source")
 def evidence_confidence(t):
     return rules.evidence_rollup(_rule_hits(t), ["source"], F.col("rule") == "token")

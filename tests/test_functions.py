@@ -117,6 +117,17 @@ def test_rules_in_the_plan_equal_joined_ones(spark, monkeypatch):
     monkeypatch.setattr(rules, "INLINE_RULES", 2)
     joined = rules.scan_rules(rows, "t", dictionary)
     assert inline == sorted(tuple(r) for r in joined.collect()) and len(inline) == 7
+    rows = spark.createDataFrame([(1, "an Apache License"), (2, "token = 12 and key=abc;"), (3, None), (4, ""), (5, "ÄPFEL key=zz; TOKEN"), (6, "tokens")], "k int, t string")
+    patterns = ["(MIT|Apache) License", "token = [0-9]+", "key=[a-z]+;", "(?i)token", "^toke", "äpfel", "ÄPFEL", "a|token", "[a-z]{6}", "token", "(", None][:10]
+    dictionary = spark.createDataFrame([(f"p{k}", p, "v", k) for k, p in enumerate(patterns)], "rule string, pattern string, vendor string, rank int")
+    for kind, names in (("regex", ("p0", "p1", "p2")), ("prefix", ())):
+        monkeypatch.setattr(rules, "INLINE_RULES", 256)
+        want = sorted(tuple(r) for r in rules.scan_rules(rows, "t", dictionary, kind).collect())
+        monkeypatch.setattr(rules, "INLINE_RULES", 3)
+        for most in (8 << 20, 100):
+            monkeypatch.setattr(rules, "AUTOMATON_BYTES", most)
+            assert sorted(tuple(r) for r in rules.scan_rules(rows, "t", dictionary, kind).collect()) == want
+        assert set(names) <= {w[2] for w in want} and want
     assert rules.scan_rules(rows, "t", dictionary.limit(0)).count() == 0
 
 
