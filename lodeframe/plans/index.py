@@ -23,6 +23,7 @@ from lodeframe.tables import materialize
 
 SESSIONS = "session_id string, sha256 string, kind string, label string, pkg string, version_name string, version_code long, created_at timestamp, schema_version int, sources array<string>"
 OWNERS = "session_id string, owner string, created_at timestamp"
+DEAD_LETTERS = "path string, sha256 string, code string, message string, suggestion string, seen_at timestamp"
 MOST_BYTES = 200 << 20
 WRITERS = 6
 
@@ -119,6 +120,15 @@ class Index:
         change = self.spark.createDataFrame([row], kind).withColumn("seq", F.lit(time.time_ns())).withColumn("gone", F.lit(gone))
         change.coalesce(1).write.parquet(f"{self.root}/{name}/entry={uuid.uuid4().hex}")
 
+    def append_rows(self, name: str, kind: str, rows: DataFrame, entry: str) -> None:
+        """Many rows of a log at once, under a name: written again under that name, they replace what was there."""
+        columns = [F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], kind).schema]
+        rows.select(*columns, F.lit(time.time_ns()).alias("seq"), F.lit(False).alias("gone")).write.mode("overwrite").parquet(f"{self.root}/{name}/entry={entry}")
+
+    def dead_letters(self) -> DataFrame:
+        """Files of a stream that no parser could read, each once, and why."""
+        return self._log("dead_letters", DEAD_LETTERS, ["path", "sha256"])
+
     def sessions(self) -> DataFrame:
         return self._log("sessions", SESSIONS, ["session_id"])
 
