@@ -46,3 +46,18 @@ def closure(edges: DataFrame, roots: DataFrame, child: str = "child", parent: st
         # The union of all rounds is read again in each: folded into one table from time to time, its plan stays short.
         out = out.unionByName(frontier) if level % 16 else keep(out.unionByName(frontier))
     return out.where("depth > 0")
+
+
+def closure_in_one_plan(edges: DataFrame, roots: DataFrame, levels: int = 64, child: str = "child", parent: str = "parent") -> DataFrame:
+    """As closure(), for hierarchies of at most `levels` levels: one recursive query, no round is written. A deeper hierarchy, or one of
+    more rows than the session lets a recursion have, is closure()'s."""
+    spark = edges.sparkSession
+    return spark.sql(
+        f"""WITH RECURSIVE below(node, depth) MAX RECURSION LEVEL {levels + 2} AS (
+            SELECT DISTINCT node, 0 FROM {{roots}}
+            UNION ALL
+            SELECT e.child, depth + 1 FROM {{edges}} e JOIN below ON e.parent = below.node WHERE depth < {levels}
+        ) SELECT node, min(depth) AS depth FROM below GROUP BY node HAVING min(depth) > 0""",
+        roots=roots.select(F.col(parent).alias("node")),
+        edges=edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")),
+    )

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from lodeframe.operators.ranking import top_k
+from lodeframe.tables import materialize
 
 
 def semi_all(base: DataFrame, evidences: list[DataFrame], on: list[str]) -> DataFrame:
@@ -28,9 +30,11 @@ def orphans(left: DataFrame, right: DataFrame, on: list[str], left_kind: str, ri
 
 
 def reverse_top_k(refs: DataFrame, string_col: str, method_col: str, order: list[str], k: int, least: int = 1) -> DataFrame:
-    """For each string the number of methods that refer to it and the first k of them. refs: one row for each reference."""
-    pairs = refs.select(string_col, method_col, *[c for c in order if c not in (string_col, method_col)]).distinct()
-    counts = pairs.groupBy(string_col).agg(F.countDistinct(method_col).alias("method_count")).where(F.col("method_count") >= least)
+    """For each string the number of methods that refer to it and the first k of them. refs: one row for each reference. Pairs are made
+    once, so they are counted by rows and their shuffle serves both the counts and the ranks."""
+    more = [c for c in dict.fromkeys(order) if c not in (string_col, method_col)]
+    pairs = refs.groupBy(string_col, method_col).agg(*[F.min(c).alias(c) for c in more]) if more else refs.select(string_col, method_col).distinct()
+    counts = pairs.groupBy(string_col).agg(F.count(method_col).alias("method_count")).where(F.col("method_count") >= least)
     return top_k(pairs, [string_col], [*order, method_col], k).join(counts, string_col)
 
 
@@ -50,21 +54,26 @@ SPACE = r"\s+"
 def contained_in(needles: DataFrame, hay: DataFrame, needle_col: str, hay_col: str) -> DataFrame:
     """Pairs of which the needle's text stands in the hay's.
 
-    What stands between the first and the last space of a needle are whole words of any text that holds it. Each needle is put under the
-    longest of them (an inverted index), a text looks up its own words, and found pairs are compared. Needles without an inner word are
-    compared with each text; they must be few, and their size is checked before they are sent out.
+    What stands between the first and the last space of a needle are whole words of any text that holds it. Only numbers of texts meet
+    words: each needle is looked up by the one of its inner words that the fewest texts have, and the texts are joined back for the
+    comparison. Needles without an inner word are compared with each text; they must be few, and their size is checked before they are
+    sent out.
     """
     words = F.split(F.col(needle_col), SPACE)
-    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    told = needles.where(F.length(needle_col) > 0).withColumn("_word", longest)
-    own = F.explode(F.array_distinct(F.split(F.col(hay_col), SPACE))).alias("_word")
-    index = told.where("_word IS NOT NULL")
-    by_word = hay.select(*hay.columns, own).join(index, "_word").where(F.col(hay_col).contains(F.col(needle_col))).drop("_word")
-    short = told.where("_word IS NULL").drop("_word")
+    inner = F.array_distinct(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""))
+    told = materialize(needles.where(F.length(needle_col) > 0).withColumns({"_needle": F.monotonically_increasing_id(), "_words": inner}), "needles")
+    texts = materialize(hay.where(F.length(hay_col) > 0).withColumn("_row", F.monotonically_increasing_id()), "hay")
+    index = told.where(F.size("_words") > 0).select("_needle", F.explode("_words").alias("_word"))
+    own = texts.select("_row", F.explode(F.array_distinct(F.split(F.col(hay_col), SPACE))).alias("_word"))
+    met = materialize(own.join(sized_broadcast(index.select("_word").distinct()), "_word"), "contained-words")
+    rarest = index.join(count_by(met, ["_word"], "_n"), "_word").groupBy("_needle").agg(F.min(F.struct("_n", "_word"))["_word"].alias("_word"))
+    pairs = met.join(rarest, "_word").select("_row", "_needle")
+    fits = F.col(hay_col).contains(F.col(needle_col))
+    found = texts.join(pairs, "_row").join(told.drop("_words"), "_needle").where(fits).select(*hay.columns, *needles.columns)
+    short = told.where(F.size("_words") == 0).select(*needles.columns)
     if not short.take(1):
-        return by_word
-    return by_word.unionByName(hay.join(sized_broadcast(short), F.col(hay_col).contains(F.col(needle_col))))
+        return found
+    return found.unionByName(texts.select(*hay.columns).join(sized_broadcast(short), fits))
 
 
 #: Bytes of rows up to which a side is sent to every executor.
@@ -95,8 +104,11 @@ def with_counts(base: DataFrame, key: list[str], tables: dict[str, DataFrame]) -
 
 
 def with_overloads(df: DataFrame, key: list[str], out: str) -> DataFrame:
-    """df with the number of its rows that share a row's key."""
-    return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    """df with the number of its rows that share a row's key; null is a key. Counted before anything is joined, so no key's rows meet in
+    one task."""
+    counts = count_by(df, [F.col(c).alias(f"_k{n}") for n, c in enumerate(key)], out)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(key)])
+    return df.join(counts, same, "left").select(*df.columns, out)
 
 
 def probe(refs: DataFrame, sides: list[tuple[DataFrame, str]]) -> DataFrame:

@@ -165,6 +165,12 @@ def hierarchy_closure(t):
     return graph.closure(edges, edges.where("parent = 3").select("parent"))
 
 
+@query("WITH RECURSIVE d AS (SELECT p_partkey AS node, 1 AS depth FROM part WHERE p_partkey // 2 = 3 UNION ALL SELECT p_partkey, depth + 1 FROM part JOIN d ON p_partkey // 2 = node) SELECT node, depth FROM d")
+def hierarchy_closure_in_one_plan(t):
+    edges = t("part").select(F.col("p_partkey").alias("child"), F.expr("p_partkey DIV 2").alias("parent")).where("child <> parent")
+    return graph.closure_in_one_plan(edges, edges.where("parent = 3").select("parent"))
+
+
 @query("SELECT l_orderkey, sha256(string_agg(s, '|' ORDER BY s)) AS sig_hash FROM (SELECT l_orderkey, l_linenumber || ':' || l_returnflag || ':' || l_linestatus AS s FROM lineitem) GROUP BY l_orderkey")
 def feature_hash(t):
     return diff.feature_hash(t("lineitem"), ["l_orderkey"], F.concat_ws(":", "l_linenumber", "l_returnflag", "l_linestatus"))

@@ -175,7 +175,7 @@ def class_kinds(e):
     return e.index.table("classes").select(desc, d.class_kind(F.col("access_flags")).alias("kind"), d.simple_name(desc).alias("simple_name"), d.package_of(desc).alias("package"))
 
 
-@query("SELECT name AS library, CASE WHEN name LIKE 'libjiagu%' THEN replace(name, '.so', '') ELSE replace(name, '.so', '') END AS plain FROM native_libs")
+@query("SELECT name AS library, regexp_replace(name, '[.]so$', '') AS plain FROM native_libs")
 def library_names(e):
     full = F.concat(F.lit("lib/"), "abi", F.lit("/"), "name")
     return e.index.table("native_libs").select(F.col("name").alias("library"), packers.library_name(full).alias("plain"))
@@ -309,7 +309,7 @@ def match_modifiers_name_package(e):
     return _keys(e.matching_methods("s", modifiers=["public", "static"], name_pattern="^m[3-5]$", package_prefix="com.large"))
 
 
-@query(_MATCH.format("m.name = '<init>' AND EXISTS (SELECT 1 FROM string_refs r WHERE r.method_key = m.method_key AND r.value LIKE 'Key\\_%3/O' ESCAPE '\\' AND r.value = 'Key_3/O')"))
+@query(_MATCH.format("m.name = '<init>' AND EXISTS (SELECT 1 FROM string_refs r WHERE r.method_key = m.method_key AND r.value = 'Key_3/O')"))
 def match_constructor_with_string(e):
     return _keys(e.matching_methods("s", referred_strings=["Key_3/O"], require_constructor=True))
 
@@ -412,13 +412,13 @@ def resource_uses(e):
     return e.resource_uses("s", "Key_7/F")[0]
 
 
-@query("SELECT name AS detail, '360' AS vendor_is FROM native_libs WHERE name LIKE 'libjiagu%'")
+@query("SELECT name AS detail, 'native' AS type, '360 加固 (jiagu)' AS vendor, 'com.stub.StubApp' AS \"entryClassHint\" FROM native_libs WHERE name LIKE 'libjiagu%'")
 def packer_native_evidence(e):
     none = e.spark.createDataFrame([], "session_id string, name string")
     apps = e.spark.createDataFrame([], "session_id string, application string")
     libs = e.index.table("native_libs").select("session_id", "name")
     found = packers.evidence(e.index.table("classes").select("session_id", "descriptor"), libs, none, apps)
-    return found.where("type = 'native'").select("detail", F.lit("360").alias("vendor_is"))
+    return found.select("detail", "type", "vendor", "entryClassHint")
 
 
 # ---------------------------------------------------------------- comparison

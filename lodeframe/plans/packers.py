@@ -26,6 +26,8 @@ CLASSES = (
 #: Payload names, and the limits of the structural heuristics.
 PAYLOAD = r"(?i)(^assets/(?:\(?\d|libexec|dexj|ijiami|sec\.|shell|data\.|lic|tup|nags))|(^assets/.{0,16}\.(ajm|yag|kk|tup|nags|dat|bin)$)"
 PAYLOAD_VENDOR = "加密 payload 候选"
+#: What the structural heuristics call a session.
+FEW_HINT, ODD_HINT = "主 dex 类数极少", "字符串熵异常高"
 BIG_DEX, FEW_CLASSES, HIGH_ENTROPY, SOME_CLASSES, PACKED_CLASSES = 1_500_000, 200, 6.9, 2000, 400
 
 
@@ -53,11 +55,11 @@ def verdict(found: DataFrame, shape: DataFrame) -> DataFrame:
     """shape: session_id, classes, dex_bytes, entropy. A row for each session."""
     few = (F.col("dex_bytes") > BIG_DEX) & (F.col("classes") < FEW_CLASSES)
     odd = (F.col("entropy") > HIGH_ENTROPY) & (F.col("classes") < SOME_CLASSES)
-    hint = F.when(few, "主 dex 类数极少").when(odd, "字符串熵异常高")
+    hint = F.when(few, FEW_HINT).when(odd, ODD_HINT)
     heuristic = shape.where(few | odd).select("session_id", F.lit("heuristic").alias("type"), hint.alias("vendor"), F.concat(F.lit("classes="), "classes").alias("detail"), F.lit(None).cast("string").alias("entryClassHint"))
     all_found = found.unionByName(heuristic)
     rolled = evidence_rollup(shape.select("session_id", "classes", "entropy").join(all_found, "session_id", "left"), ["session_id", "classes", "entropy"], F.col("type").isin("native", "entryClass", "applicationClass"))
-    shown = all_found.groupBy("session_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("type", "vendor", "detail", "entryClassHint"))), 1, 40).alias("evidence"), F.bool_or(F.col("type") == "heuristic").alias("heuristic"))
+    shown = all_found.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("type", "vendor", "detail", "entryClassHint"))).alias("evidence"), F.bool_or(F.col("type") == "heuristic").alias("heuristic"))
     out = rolled.join(shown, "session_id", "left")
     packed = F.col("strong") | (F.coalesce("heuristic", F.lit(False)) & (F.col("classes") < PACKED_CLASSES))
     return out.select("session_id", packed.alias("packed"), F.filter(F.split("vendors", ","), lambda v: v != "").alias("vendors"), F.round("entropy", 3).alias("stringEntropy"), "evidence", "confidence")

@@ -65,27 +65,29 @@ class Reader:
             shift += 7
 
 
-#: What an annotation may hold before it is summed up (bytes of JSON, characters of a text, elements, levels).
-JSON_BYTES, TEXT_CHARS, ELEMENTS, LEVELS = 4096, 200, 64, 4
+#: What an annotation may hold before it is summed up (characters of JSON, of a text and of a name, elements, names, levels).
+JSON_CHARS, TEXT_CHARS, NAME_CHARS, ELEMENTS, NAMES, LEVELS = 4096, 200, 64, 64, 32, 4
+#: Control characters but tab, line feed and carriage return.
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_DEEP = '{"_depth": true}'
 
 
 def _digest(text: str) -> dict | None:
-    """What stands for a text that is too long, or of which a third or more of the first characters are control characters."""
+    """What stands for a text that is too long, or of whose first characters more than a third are control characters."""
     head = text[:64]
-    binary = bool(head) and 3 * len(re.findall(r"[\x00-\x1f]", head)) >= len(head)
-    if len(text) <= TEXT_CHARS and not binary:
+    if len(text) <= TEXT_CHARS and 3 * len(_CONTROL.findall(head)) <= len(head):
         return None
-    return {"_blob": len(text), "_sha1": hashlib.sha1(text.encode("utf-8", "replace")).hexdigest()[:16]}
+    return {"_blob": len(text), "_sha1": hashlib.sha1(text.encode("utf-8", "replace")).hexdigest()[:12]}
 
 
 def _spelled(value, level: int):
     """The JSON of an annotation value, token by token."""
     if isinstance(value, (list, dict)) and level == LEVELS:
-        yield '"..."'
+        yield _DEEP
     elif isinstance(value, dict):
         comma = "{"
-        for key, inner in islice(sorted(value.items(), key=lambda kv: str(kv[0])), ELEMENTS):
-            yield f"{comma}{json.dumps(clean(str(key)), ensure_ascii=False)}: "
+        for key, inner in islice(value.items(), ELEMENTS):
+            yield f"{comma}{json.dumps(clean(str(key)[:NAME_CHARS]), ensure_ascii=False)}: "
             yield from _spelled(inner, level + 1)
             comma = ", "
         yield "}" if comma != "{" else "{}"
@@ -101,13 +103,15 @@ def _spelled(value, level: int):
 
 
 def args_json(args: dict) -> str:
-    """The values of an annotation within JSON_BYTES, which are spent while they are spelled; beyond them only the names are kept."""
-    left, out = JSON_BYTES, []
+    """The values of an annotation, if they take JSON_CHARS at most; else how long they are, and some names. Tokens beyond are counted, not
+    kept."""
+    size, out = 0, []
     for token in _spelled(args, 0):
-        left -= len(token.encode("utf-8", "replace"))
-        if left < 0:
-            return json.dumps({"_clipped": True, "keys": sorted(map(str, args))[:ELEMENTS]})
-        out.append(token)
+        size += len(token)
+        if size <= JSON_CHARS:
+            out.append(token)
+    if size > JSON_CHARS:
+        return json.dumps({"_truncated": size, "keys": [str(k)[:NAME_CHARS] for k in islice(args, NAMES)]}, ensure_ascii=False)
     return "".join(out)
 
 

@@ -23,7 +23,8 @@ from lodeframe.sources.dex import Dex, DexError
 from lodeframe.sources.resources import ChunkError, parse_arsc, read_manifest
 from lodeframe.tables import materialize
 
-DEX_PER_FILE = 1000
+#: Numbers of dex images that belong to one file.
+DEX_PER_FILE = 1 << 16
 _BROKEN = (ClassError, DexError, ChunkError, IndexError, KeyError, TypeError, ValueError, struct.error, zipfile.BadZipFile)
 
 
@@ -103,7 +104,7 @@ def builtin(file_ord: int, name: str, data: bytes, source: str, form: str = "aut
             out.dex(f"{name}#{k}", image)
     else:
         raise EngineError("UNSUPPORTED_FORMAT", f"{name} is none of apk, aar, jar, dex, odex, vdex", "check the file")
-    facts["notes"] = out.notes[:200]
+    facts["notes"] = out.notes
     out.add("facts", facts)
     return out.rows
 
