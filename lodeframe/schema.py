@@ -14,7 +14,7 @@ RESOURCE = "pkg string, type string, name string, type_id int, entry_id int, id
 FACTS = "origin string, services int, versions int, kotlin_modules int, signing_files int, coroutines boolean, resource_table boolean, assets array<string>, r_count int, r_sample array<string>, keep array<string>, headers int, notes array<string>"
 
 #: What a parser row can be, and the shape of its payload.
-PAYLOADS = {"class": CLASS, "dex": DEX, "manifest": MANIFEST, "lib": LIB, "resource": RESOURCE, "facts": FACTS}
+PAYLOADS = {"class": CLASS, "dex": DEX, "manifest": MANIFEST, "lib": LIB, "resource": RESOURCE, "facts": FACTS, "notes": "notes array<string>"}
 PARSED = "entity string, file_ord int, dex_idx int, ord int, source string, payload string"
 
 TABLES = {

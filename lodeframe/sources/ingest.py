@@ -1,4 +1,4 @@
-"""Artifacts to tables: binary files are parsed in Arrow batches on the executors, then exploded and de-duplicated in the JVM."""
+"""Artifacts to tables: files are opened and their images parsed in Arrow batches on the executors, then exploded and de-duplicated in the JVM."""
 
 from __future__ import annotations
 
@@ -25,10 +25,14 @@ from lodeframe.tables import materialize
 
 #: Numbers of dex images that belong to one file.
 DEX_PER_FILE = 1 << 16
+#: A row of the first step that the second parses.
+IMAGE = "image"
 _BROKEN = (ClassError, DexError, ChunkError, IndexError, KeyError, TypeError, ValueError, struct.error, zipfile.BadZipFile)
 
 
 class _Out:
+    """Rows of one file. Dex images are not parsed here: each is a row with its bytes, for a task of its own."""
+
     def __init__(self, file_ord: int, origin: str, source: str):
         self.rows: list[tuple] = []
         self.file_ord, self.origin, self.source, self.dex_idx = file_ord, origin, source, file_ord * DEX_PER_FILE
@@ -38,11 +42,9 @@ class _Out:
         self.rows.append((entity, self.file_ord, self.dex_idx, order, source or self.source, json.dumps(payload, ensure_ascii=False)))
 
     def dex(self, name: str, data: bytes) -> None:
-        image = Dex(data)
-        self.add("dex", {"name": name, "origin": self.origin, "size": len(data), "version": image.version, "sha": hashlib.sha256(data).hexdigest(), "counts": image.counts()})
-        for k, c in enumerate(image.classes()):
-            self.add("class", c, k)
-        self.notes += image.notes
+        if self.dex_idx - self.file_ord * DEX_PER_FILE >= DEX_PER_FILE - 1:
+            raise EngineError("UNSUPPORTED_FORMAT", f"{self.origin} holds more than {DEX_PER_FILE - 1} images", "load its parts one by one")
+        self.rows.append((IMAGE, self.file_ord, self.dex_idx, 0, self.source, json.dumps({"name": name, "origin": self.origin}), data))
         self.dex_idx += 1
 
     def jar(self, name: str, archive: zipfile.ZipFile, source: str) -> None:
@@ -57,6 +59,15 @@ class _Out:
             self.dex_idx += 1
 
 
+def parse_image(file_ord: int, dex_idx: int, source: str, name: str, origin: str, data: bytes) -> list[tuple]:
+    """All rows of one dex image."""
+    image = Dex(data)
+    row = lambda entity, payload, order=0: (entity, file_ord, dex_idx, order, source, json.dumps(payload, ensure_ascii=False))
+    head = {"name": name, "origin": origin, "size": len(data), "version": image.version, "sha": hashlib.sha256(data).hexdigest(), "counts": image.counts()}
+    rows = [row("dex", head), *(row("class", c, k) for k, c in enumerate(image.classes()))]
+    return [*rows, row("notes", {"notes": image.notes})] if image.notes else rows
+
+
 def builtin(file_ord: int, name: str, data: bytes, source: str, form: str = "auto") -> list[tuple]:
     """All rows of one file. form: what the caller says that it is; auto looks at its start, name and members."""
     out, facts = _Out(file_ord, name, source), {"origin": name}
@@ -125,24 +136,52 @@ def backend(name: str = "") -> Callable[[int, str, bytes, str, str], list[tuple]
 
 
 def parse_files(files: DataFrame, parser: str = "", form: str = "auto") -> DataFrame:
-    """files: session_id, file_ord, name, source, content. A row (session_id, PARSED) for each thing found; a file that can't be read is
-    a row of entity error. One file is parsed in one task; files spread over the cluster."""
-    parse = backend(parser)
+    """files: session_id, file_ord, name, source, content. A row (session_id, PARSED) for each thing found; a file, or an image in it, that
+    can't be read is a row of entity error.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["session_id", "entity", "file_ord", "dex_idx", "ord", "source", "payload"]
+    Files are opened where they are read: archives are listed, odex and vdex files carved, and all but dex images is parsed. The images
+    then go to tasks by their number, so those of one package are parsed side by side.
+    """
+    parse = backend(parser)
+    columns = ["session_id", *[f.split()[0] for f in schema.PARSED.split(", ")]]
+
+    def tried(name: str, order: int, dex_idx: int, source: str, rows: Callable[[], list[tuple]]) -> list[tuple]:
+        try:
+            return rows()
+        except EngineError as e:
+            told = {"code": e.code, "message": e.message, "suggestion": e.suggestion}
+        except _BROKEN as e:
+            told = {"code": "PARSE_FAILED", "message": f"{name}: {e}", "suggestion": "check that the file is whole"}
+        return [("error", order, dex_idx, 0, source, json.dumps(told))]
+
+    def frames(session: str, rows: list[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+        for a in range(0, len(rows), 2000):
+            yield pd.DataFrame([(session, *r, *[None] * (len(names) - 1 - len(r))) for r in rows[a : a + 2000]], columns=names)
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for session, order, name, source, content in batch[["session_id", "file_ord", "name", "source", "content"]].itertuples(index=False):
-                try:
-                    rows = parse(int(order), name, bytes(content), source, form)
-                except EngineError as e:
-                    rows = [("error", int(order), 0, 0, source, json.dumps({"code": e.code, "message": e.message, "suggestion": e.suggestion}))]
-                except _BROKEN as e:
-                    rows = [("error", int(order), 0, 0, source, json.dumps({"code": "PARSE_FAILED", "message": f"{name}: {e}", "suggestion": "check that the file is whole"}))]
-                for a in range(0, len(rows), 2000):
-                    yield pd.DataFrame([(session, *r) for r in rows[a : a + 2000]], columns=columns)
+                rows = tried(name, int(order), 0, source, lambda o=int(order), n=name, c=content, s=source: parse(o, n, bytes(c), s, form))
+                yield from frames(session, [r for r in rows if r[0] != IMAGE], [*columns, "content"])
+                for r in rows:
+                    if r[0] == IMAGE:
+                        yield from frames(session, [r], [*columns, "content"])
+
+    def images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            image = batch["entity"] == IMAGE
+            if not image.all():
+                yield batch.loc[~image, columns]
+            for session, order, k, source, payload, content in batch.loc[image, ["session_id", "file_ord", "dex_idx", "source", "payload", "content"]].itertuples(index=False):
+                told = json.loads(payload)
+                rows = tried(f"{told['origin']}: {told['name']}", int(order), int(k), source, lambda o=int(order), k=int(k), s=source, t=told, c=content: parse_image(o, k, s, t["name"], t["origin"], bytes(c)))
+                yield from frames(session, rows, columns)
 
-    return files.mapInPandas(run, f"session_id string, {schema.PARSED}")
+    kind = f"session_id string, {schema.PARSED}"
+    found = files.mapInPandas(opened, f"{kind}, content binary")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.pmod(F.hash("session_id", "file_ord") % parts + F.col("dex_idx") % DEX_PER_FILE, F.lit(parts)).cast("int")
+    return found.repartitionById(parts, place).mapInPandas(images, kind)
 
 
 def normalise(parsed: DataFrame) -> dict[str, DataFrame]:
@@ -183,11 +222,18 @@ def normalise(parsed: DataFrame) -> dict[str, DataFrame]:
         "components": manifest.select("session_id", F.inline("components")),
         "native_libs": of("lib").select("session_id", "p.*").distinct(),
         "resource_entries": first_wins(of("resource").select(*base, "p.*"), ["session_id", "id"], ["file_ord", "ord"]).select("session_id", "pkg", "type", "name", "type_id", "entry_id", "id"),
-        "facts": of("facts").select("session_id", "p.*"),
+        "facts": with_notes(of("facts").select("session_id", "file_ord", "p.*"), of("notes")),
     }
     return tables | probed(string_refs, tables["xref_edges"])
 
 
+def with_notes(facts: DataFrame, notes: DataFrame) -> DataFrame:
+    """facts, with what the parsers of a file's images have noted after its own notes."""
+    own = notes.groupBy("session_id", "file_ord").agg(F.flatten(F.sort_array(F.collect_list(F.struct("dex_idx", "p.notes")))["notes"]).alias("_more"))
+    more = F.coalesce("_more", F.array().cast("array<string>"))
+    return facts.join(own, ["session_id", "file_ord"], "left").withColumn("notes", F.concat("notes", more)).drop("file_ord", "_more")
+
+
 def string_id(value: Column) -> Column:
     return F.xxhash64(value)
 
