@@ -35,11 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import load, mix, named, powers, prefix_hash, releasing, shuffle_parts, spans, substring_hash
+from lodeframe.llm.common import load, mix, named, powers, prefix_hash, releasing, spans, substring_hash
 
 LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 6 << 20
+#: Bytes of text for each shard: a task holds the entries of one, about 3 % of its bytes in number.
+SHARD_BYTES = 4 << 20
+LEAST_SHARDS = 32
 CHUNK = 1 << 20
 LAST = np.iinfo(np.int64).max
 #: What a shard says about an entry.
@@ -297,7 +300,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their counts and a digest of the kept bytes."""
     text = named(text_col)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks, shards = max(1, math.ceil(total / block_bytes)), 4 * shuffle_parts(docs.sparkSession)
+    blocks, shards = max(1, math.ceil(total / block_bytes)), max(LEAST_SHARDS, math.ceil(total / SHARD_BYTES))
     dealt = docs.select(named(id_col).cast("long").alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(named(id_col), F.substring(text, 1, 200), F.octet_length(text)), F.lit(blocks)).alias("block"))
     grouped = dealt.groupBy("block")
     segments = grouped.applyInArrow(releasing(lambda key, table: _ask_segments(key, table, shards), 2), _REQUEST).groupBy("shard").applyInArrow(releasing(_serve, 1), _ANSWER)
