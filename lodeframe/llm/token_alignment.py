@@ -44,7 +44,7 @@ TOKENIZERS = "/opt/tokenizers"
 BROADCAST_PAIRS = 1 << 20
 #: Bytes of text aligned at once, and pieces whose tokens a worker remembers.
 SLICE = 1 << 19
-REMEMBERED = 50_000
+REMEMBERED = 200_000
 #: What B's tokenizer writes for a space.
 SPACE_MARK = "▁".encode()
 #: Pieces encoded in one call.
