@@ -98,18 +98,22 @@ def running_sum(df: DataFrame, part: list[str], order: str, weight: str, out: st
 def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], dict[str, pa.Array]]) -> DataFrame:
     """df with columns that fn computes from each Arrow batch. Columns of df that have the name of a new one, in any case, are replaced."""
     new = {f.name.lower() for f in fields}
-    schema = T.StructType([f for f in df.schema if f.name.lower() not in new] + fields)
+    names = df.columns
+    # Spark hands columns to Arrow by unquoted names, so dots and backticks in them are kept from it.
+    plain = aliased(df)[0] if any(set(n) & {".", "`"} for n in names) else df
+    kept = [k for k, n in enumerate(names) if n.lower() not in new]
+    schema = T.StructType([plain.schema[k] for k in kept] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = fn(batch)
-                kept = [n for n in batch.schema.names if n.lower() not in new]
-                yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + [made[f.name] for f in fields], names=kept + [f.name for f in fields])
+                made = fn(pa.RecordBatch.from_arrays(batch.columns, names=names))
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + [made[f.name] for f in fields], names=schema.names)
                 del batch, made
                 release()
 
-    return df.mapInArrow(run, schema)
+    out = plain.mapInArrow(run, schema)
+    return out if plain is df else out.toDF(*[names[k] for k in kept], *[f.name for f in fields])
 
 
 # ---------------------------------------------------------------- memory of Python workers
