@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import time
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
@@ -17,13 +15,15 @@ from pyspark.sql import functions as F
 from lodeframe import schema
 from lodeframe.errors import EngineError, bad_argument
 from lodeframe.functions.text import combined_sha
-from lodeframe.operators.ranking import first_wins, latest
+from lodeframe.operators.ranking import first_wins
+from lodeframe.plans.changes import Changes
 from lodeframe.sources import ingest
 from lodeframe.tables import materialize
 
 SESSIONS = "session_id string, sha256 string, kind string, label string, pkg string, version_name string, version_code long, created_at timestamp, schema_version int, sources array<string>"
 OWNERS = "session_id string, owner string, created_at timestamp"
 DEAD_LETTERS = "path string, sha256 string, code string, message string, suggestion string, seen_at timestamp"
+CATALOGUE = {"sessions": (SESSIONS, ["session_id"]), "owners": (OWNERS, ["session_id", "owner"]), "dead_letters": (DEAD_LETTERS, ["path", "sha256"])}
 MOST_BYTES = 200 << 20
 WRITERS = 6
 
@@ -34,6 +34,7 @@ class Index:
     def __init__(self, spark: SparkSession, root: str, allowed: list[str] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.allowed = [self._qualified(a) for a in allowed] if allowed else None
+        self.log = Changes(spark, f"{self.root}/catalogue", CATALOGUE, self._hadoop)
 
     # -------------------------------------------------------------- files
 
@@ -58,8 +59,9 @@ class Index:
     # -------------------------------------------------------------- tables
 
     def exists(self, name: str) -> bool:
+        """Whether a folder of tables has a file. Folders of released sessions stay, empty."""
         fs, path = self._hadoop(f"{self.root}/{name}")
-        return fs.exists(path)
+        return fs.exists(path) and fs.listFiles(path, True).hasNext()
 
     def delete(self, name: str) -> None:
         fs, path = self._hadoop(f"{self.root}/{name}")
@@ -108,55 +110,66 @@ class Index:
 
     # -------------------------------------------------------------- catalogue
 
-    # Catalogue tables are logs: each change is one row in a folder of its own, and the newest row of a key counts. Nothing is written
-    # over, so loaders that run at the same time keep each other's sessions.
-
-    def _log(self, name: str, kind: str, key: list[str]) -> DataFrame:
-        kind = f"{kind}, seq long, gone boolean, entry string"
-        log = self.spark.read.schema(kind).parquet(f"{self.root}/{name}") if self.exists(name) else self.spark.createDataFrame([], kind)
-        return latest(log, key, ["seq", "entry"]).where("NOT gone").drop("seq", "gone", "entry")
-
-    def _append(self, name: str, kind: str, row: tuple, gone: bool = False) -> None:
-        change = self.spark.createDataFrame([row], kind).withColumn("seq", F.lit(time.time_ns())).withColumn("gone", F.lit(gone))
-        change.coalesce(1).write.parquet(f"{self.root}/{name}/entry={uuid.uuid4().hex}")
-
-    def append_rows(self, name: str, kind: str, rows: DataFrame, entry: str) -> None:
-        """Many rows of a log at once, under a name: written again under that name, they replace what was there."""
-        columns = [F.col(f.name).cast(f.dataType) for f in self.spark.createDataFrame([], kind).schema]
-        rows.select(*columns, F.lit(time.time_ns()).alias("seq"), F.lit(False).alias("gone")).write.mode("overwrite").parquet(f"{self.root}/{name}/entry={entry}")
-
     def dead_letters(self) -> DataFrame:
         """Files of a stream that no parser could read, each once, and why."""
-        return self._log("dead_letters", DEAD_LETTERS, ["path", "sha256"])
+        return self.log.table("dead_letters")
 
     def sessions(self) -> DataFrame:
-        return self._log("sessions", SESSIONS, ["session_id"])
+        return self.log.table("sessions")
 
     def owners(self) -> DataFrame:
-        return self._log("owners", OWNERS, ["session_id", "owner"])
+        return self.log.table("owners")
+
+    def append_rows(self, tables: dict[str, DataFrame]) -> None:
+        """Many rows of catalogue tables in one change. Rows replace those of their keys."""
+        folders = {name: self.log.store(name, rows) for name, rows in tables.items()}
+        self.log.commit(lambda _: {"folders": folders})
 
-    def upsert(self, row: tuple, owner: str) -> None:
-        """row: as SESSIONS, with the time of now. A session that is there keeps its time."""
+    def upsert(self, row: tuple, owner: str, since: int | None = None) -> bool:
+        """row: as SESSIONS, with the time of now. A session that is there keeps its time. since: the change after which the session's
+        tables were written; if it has been taken away after that, nothing is changed and the answer is no."""
         names = [f.split()[0] for f in SESSIONS.split(", ")]
         at = names.index("created_at")
-        old = self.sessions().where(F.col("session_id") == row[0]).first()
-        kept = row if old is None else (*row[:at], old.created_at, *row[at + 1 :])
-        if old is None or tuple(old[n] for n in names) != kept:
-            self._append("sessions", SESSIONS, kept)
-        if not self.owners().where((F.col("session_id") == row[0]) & (F.col("owner") == owner)).take(1):
-            self._append("owners", OWNERS, (row[0], owner, row[at]))
+        done = True
+
+        def decide(number: int) -> dict | None:
+            nonlocal done
+            done = since is None or not self.log.released_since(since, row[0])
+            if not done:
+                return None
+            old = self.log.table("sessions", number).where(F.col("session_id") == row[0]).first()
+            kept = row if old is None else (*row[:at], old.created_at, *row[at + 1 :])
+            rows = {}
+            if old is None or tuple(old[n] for n in names) != kept:
+                rows["sessions"] = [(*kept, False)]
+            if self.log.table("owners", number).where((F.col("session_id") == row[0]) & (F.col("owner") == owner)).isEmpty():
+                rows["owners"] = [(row[0], owner, row[at], False)]
+            return {"rows": rows} if rows else None
+
+        self.log.commit(decide)
+        return done
 
     def release(self, session_id: str, owner: str, keep_files: bool = False) -> int:
-        """Owners left. With the last one the session's tables go."""
-        now = datetime.now()
-        self._append("owners", OWNERS, (session_id, owner, now), gone=True)
-        left = self.owners().where(F.col("session_id") == session_id).count()
+        """Owners left. With the last one the session goes, and the files that its tables had before that change: those of a loader that
+        comes after it have other names."""
+        now, left, files = datetime.now(), 0, []
+
+        def decide(number: int) -> dict:
+            nonlocal left, files
+            left = self.log.table("owners", number).where((F.col("session_id") == session_id) & (F.col("owner") != owner)).count()
+            rows = {"owners": [(session_id, owner, now, True)]}
+            if left:
+                return {"rows": rows}
+            parts = [f"{name}/session_id={session_id}" for name in schema.TABLES]
+            files = [] if keep_files else [f for part in parts if self.exists(part) for f in self._list(f"{self.root}/{part}", True)]
+            rows["sessions"] = [(session_id, *[None] * (len(SESSIONS.split(", ")) - 1), True)]
+            return {"rows": rows, "released": [session_id]}
+
+        self.log.commit(decide)
         if not left:
-            empty = [None] * (len(SESSIONS.split(", ")) - 1)
-            self._append("sessions", SESSIONS, (session_id, *empty), gone=True)
-            if not keep_files:
-                for name in schema.TABLES:
-                    self.delete(f"{name}/session_id={session_id}")
+            for path in files:
+                fs, found = self._hadoop(path)
+                fs.delete(found, False)
         return left
 
     # -------------------------------------------------------------- loading
@@ -216,12 +229,13 @@ class Index:
         if into:
             files = files.withColumn("session_id", F.lit(into))
         elif not force:
-            known = self.sessions().where(F.col("session_id") == session).first()
+            read = self.log.head()
+            known = self.log.table("sessions", read).where(F.col("session_id") == session).first()
             if known is not None:
                 if known.schema_version != schema.SCHEMA_VERSION:
                     raise EngineError("INDEX_STALE", f"{session} has schema {known.schema_version}", "load it again with force")
-                self.upsert(tuple(known), owner)
-                return session, True
+                if self.upsert(tuple(known), owner, since=read):
+                    return session, True
         parsed = materialize(ingest.parse_files(files, parser, form), "parsed")
         error = parsed.where("entity = 'error'").select(F.from_json("payload", "code string, message string, suggestion string").alias("e")).select("e.*").first()
         if error is not None:
@@ -234,14 +248,18 @@ class Index:
                 tables[name] = tables[name].join(had, F.substring_index(owner_col, "->", 1) == F.col("_class"), "left_anti")
             self.write({name: self._added(name, into, df) for name, df in tables.items()})
             return into, False
-        self.write(tables)
-        for name in schema.TABLES:
-            if force and tables[name].limit(1).count() == 0:
-                self.delete(f"{name}/session_id={session}")
         m = tables["manifest"].first()
         told = (m["package"], m["version_name"], m["version_code"]) if m else (None, None, None)
-        self.upsert((session, digest, kind, paths[0].rpartition("/")[2], *told, datetime.now(), schema.SCHEMA_VERSION, paths), owner)
-        return session, False
+        row = (session, digest, kind, paths[0].rpartition("/")[2], *told, datetime.now(), schema.SCHEMA_VERSION, paths)
+        while True:
+            began = self.log.head()
+            self.write(tables)
+            for name in schema.TABLES:
+                if force and tables[name].limit(1).count() == 0:
+                    self.delete(f"{name}/session_id={session}")
+            # An owner who gave the session up while it was written may have taken these files with it.
+            if self.upsert(row, owner, since=began):
+                return session, False
 
     def _added(self, name: str, session: str, new: DataFrame) -> DataFrame:
         """The session's rows and those new ones whose keys it does not have."""

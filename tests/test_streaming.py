@@ -46,9 +46,9 @@ def test_a_batch_that_stopped_half_way_is_finished(spark, tmp_path, monkeypatch)
     with monkeypatch.context() as stop:
         stop.setattr(Index, "append_rows", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
         with pytest.raises(RuntimeError):
-            append.append_batch(index, files(), entry="b-0")
+            append.append_batch(index, files())
     assert index.table("classes").count() == 9 and not index.sessions().count()
-    append.append_batch(index, files(), entry="b-0")
+    append.append_batch(index, files())
     assert index.table("classes").count() == 9 and index.sessions().count() == 1 and index.owners().count() == 1
 
 
