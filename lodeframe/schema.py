@@ -5,7 +5,7 @@ from __future__ import annotations
 SCHEMA_VERSION = 2
 
 _REFS = "refs array<array<string>>"
-CLASS = f"descriptor string, access_flags int, super_descriptor string, interfaces array<string>, source_file string, fields array<struct<name:string,type_descriptor:string,access_flags:int,is_static:boolean>>, methods array<struct<name:string,params_descriptor:string,return_descriptor:string,access_flags:int,shorty:string,partial:boolean,regs:int,ins:int,units:int,strings:array<string>,refs:array<array<string>>>>, annotations array<struct<descriptor:string,visibility:int,args:string,method:string>>"
+CLASS = f"descriptor string, access_flags int, super_descriptor string, interfaces array<string>, source_file string, fields array<struct<name:string,type_descriptor:string,access_flags:int,is_static:boolean>>, methods array<struct<name:string,params_descriptor:string,return_descriptor:string,access_flags:int,shorty:string,partial:boolean,regs:int,ins:int,units:int,strings:array<string>,refs:array<array<string>>>>, annotations array<struct<descriptor:string,visibility:int,args:string,method:string>>, constants array<string>"
 DEX = "name string, origin string, size long, version string, sha string, counts map<string,long>"
 COMPONENT = "struct<type:string,name:string,exported:boolean,permission:string,process:string,enabled:boolean>"
 MANIFEST = f"package string, version_name string, version_code long, min_sdk int, target_sdk int, application string, uses_permissions array<string>, permissions array<string>, features array<string>, meta_data map<string,string>, components array<{COMPONENT}>"

@@ -71,6 +71,7 @@ def parse_class(data: bytes) -> dict:
     at += 8 + 2 * n
     desc = _desc(named(own))
     out = {"descriptor": desc, "access_flags": flags & ~0x20, "super_descriptor": _desc(named(parent)) if parent else None, "interfaces": interfaces, "source_file": None, "fields": [], "methods": [], "annotations": []}
+    out["constants"] = list(dict.fromkeys(text(entry[1]) for entry in pool if entry and entry[0] == 8))
 
     def member(ref: int) -> tuple[str, str, str]:
         owner, nt = pool[ref][1:]

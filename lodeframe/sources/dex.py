@@ -228,6 +228,20 @@ class Dex:
                     self.notes.append(f"annotation: {e}")
         return out
 
+    def constants(self, at: int) -> list[str]:
+        """Strings that static fields begin with, each once."""
+        out: list[str] = []
+        if at:
+            try:
+                r = Reader(self.data, at)
+                for _ in range(r.uleb()):
+                    kind, value = self.data[r.at] & 0x1F, self.value(r)
+                    if kind == 0x17:
+                        out.append(value)
+            except (DexError, IndexError, struct.error, ValueError) as e:
+                self.notes.append(f"static values: {e}")
+        return list(dict.fromkeys(out))
+
     # -------------------------------------------------------------- code
 
     def code(self, at: int) -> dict:
@@ -271,14 +285,14 @@ class Dex:
 
     def classes(self):
         for i in range(self.n_classes):
-            kind, flags, parent, interfaces, source, notes, data, _ = struct.unpack_from("<8I", self.data, self.classes_at + 32 * i)
+            kind, flags, parent, interfaces, source, notes, data, values = struct.unpack_from("<8I", self.data, self.classes_at + 32 * i)
             try:
-                yield self._class(self.type(kind), flags, parent, interfaces, source, notes, data)
+                yield self._class(self.type(kind), flags, parent, interfaces, source, notes, data, values)
             except (DexError, IndexError, struct.error, ValueError) as e:
                 self.notes.append(f"class {i}: {e}")
 
-    def _class(self, desc: str, flags: int, parent: int, interfaces: int, source: int, notes_at: int, data_at: int) -> dict:
-        out = {"descriptor": desc, "access_flags": flags, "super_descriptor": None if parent == NO_INDEX else self.type(parent), "interfaces": self.type_list(interfaces), "source_file": None if source == NO_INDEX else self.string(source), "fields": [], "methods": [], "annotations": []}
+    def _class(self, desc: str, flags: int, parent: int, interfaces: int, source: int, notes_at: int, data_at: int, values_at: int) -> dict:
+        out = {"descriptor": desc, "access_flags": flags, "super_descriptor": None if parent == NO_INDEX else self.type(parent), "interfaces": self.type_list(interfaces), "source_file": None if source == NO_INDEX else self.string(source), "fields": [], "methods": [], "annotations": [], "constants": self.constants(values_at)}
         if data_at:
             r = Reader(self.data, data_at)
             sizes = [r.uleb() for _ in range(4)]

@@ -224,7 +224,7 @@ def normalise(parsed: DataFrame) -> dict[str, DataFrame]:
         "resource_entries": first_wins(of("resource").select(*base, "p.*"), ["session_id", "id"], ["file_ord", "ord"]).select("session_id", "pkg", "type", "name", "type_id", "entry_id", "id"),
         "facts": with_notes(of("facts").select("session_id", "file_ord", "p.*"), of("notes")),
     }
-    return tables | probed(string_refs, tables["xref_edges"])
+    return tables | probed(string_refs, tables["xref_edges"], classes.select("session_id", F.explode("constants").alias("value")))
 
 
 def with_notes(facts: DataFrame, notes: DataFrame) -> DataFrame:
@@ -238,9 +238,11 @@ def string_id(value: Column) -> Column:
     return F.xxhash64(value)
 
 
-def probed(string_refs: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    """The pool of strings with its grams, and second copies of references and edges for probes from the other side."""
-    pool = string_refs.select("session_id", "value").distinct()
+def probed(string_refs: DataFrame, edges: DataFrame, constants: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The pool of strings with its grams, and second copies of references and edges for probes from the other side. constants: strings that
+    are in the pool though no code refers to them."""
+    pool = string_refs.select("session_id", "value")
+    pool = (pool if constants is None else pool.unionByName(constants)).distinct()
     strings = pool.select("session_id", string_id(F.col("value")).alias("id"), "value", F.lower("value").alias("lc"), F.length("value").alias("len"))
     refs = string_refs.select("session_id", string_id(F.col("value")).alias("id"), "value", "method_key")
     return {"strings": strings, "string_grams": grams.postings(strings, ["session_id"], "id", "lc"), "refs_by_string": refs, "edges_by_callee": edges}

@@ -26,9 +26,10 @@ def types_of(params: str) -> list[str]:
     return re.findall(r"\[*(?:[VZBCSIJFD]|L[^;]+;)", params)
 
 
-def cls(desc, *, flags=1, parent=OBJ, faces=(), fields=(), methods=(), notes=()):
-    """fields: (name, type, flags); methods: (name, params, ret, flags, ops or None); notes: (type, visibility, {name: text})."""
-    return {"desc": desc, "flags": flags, "parent": parent, "faces": list(faces), "fields": list(fields), "methods": list(methods), "notes": list(notes)}
+def cls(desc, *, flags=1, parent=OBJ, faces=(), fields=(), methods=(), notes=(), constants=()):
+    """fields: (name, type, flags); methods: (name, params, ret, flags, ops or None); notes: (type, visibility, {name: text}); constants: what
+    static fields begin with, in order."""
+    return {"desc": desc, "flags": flags, "parent": parent, "faces": list(faces), "fields": list(fields), "methods": list(methods), "notes": list(notes), "constants": list(constants)}
 
 
 def dex(classes: list[dict], source: str = "A.java", tail: bytes = b"") -> bytes:
@@ -72,6 +73,7 @@ def dex(classes: list[dict], source: str = "A.java", tail: bytes = b"") -> bytes
                     add_field(*op[1:])
                 elif op[0] in ("new", "const", "cast"):
                     add_type(op[1])
+        strings.update(c["constants"])
         for kind, _, values in c["notes"]:
             add_type(kind)
             for k, v in values.items():
@@ -144,7 +146,8 @@ def dex(classes: list[dict], source: str = "A.java", tail: bytes = b"") -> bytes
                 items.append(place(body, 1))
             own = place(struct.pack(f"<I{len(items)}I", len(items), *items))
             notes = place(struct.pack("<4I", own, 0, 0, 0))
-        defs += struct.pack("<8I", t_at[c["desc"]], c["flags"], t_at[c["parent"]] if c["parent"] else 0xFFFFFFFF, type_list(c["faces"]), s_at[source], notes, class_data, 0)
+        values = place(uleb(len(c["constants"])) + b"".join(bytes([0x17 | 3 << 5]) + struct.pack("<I", s_at[s]) for s in c["constants"]), 1) if c["constants"] else 0
+        defs += struct.pack("<8I", t_at[c["desc"]], c["flags"], t_at[c["parent"]] if c["parent"] else 0xFFFFFFFF, type_list(c["faces"]), s_at[source], notes, class_data, values)
     text_at = [place(uleb(len(s)) + s.encode("utf-8", "surrogatepass").replace(b"\0", b"\xc0\x80") + b"\0", 1) for s in s_list]
     at = 0x70
     tables = []
@@ -230,9 +233,9 @@ def archive(members: dict[str, bytes]) -> bytes:
 # ---------------------------------------------------------------- class files
 
 
-def java_class(name: str, *, parent="java/lang/Object", faces=(), methods=(), flags=0x21) -> bytes:
-    """methods: (name, descriptor, flags, ops or None); ops: ("str", text), ("const", class), ("get" | "put" | "sget" | "sput", owner,
-    name, type), ("call", kind, owner, name, descriptor)."""
+def java_class(name: str, *, parent="java/lang/Object", faces=(), methods=(), flags=0x21, constants=()) -> bytes:
+    """methods: (name, descriptor, flags, ops or None); ops: ("str", text), ("const", class), ("get" | "put" | "sget" | "sput", owner, name,
+    type), ("call", kind, owner, name, descriptor). constants: strings of the pool."""
     entries: list[bytes] = []
 
     def add(blob: bytes) -> int:
@@ -244,6 +247,8 @@ def java_class(name: str, *, parent="java/lang/Object", faces=(), methods=(), fl
     kind = lambda s: add(b"\x07" + struct.pack(">H", utf(s)))
     pair = lambda n, t: add(b"\x0c" + struct.pack(">HH", utf(n), utf(t)))
     ref = lambda tag, o, n, t: add(bytes([tag]) + struct.pack(">HH", kind(o), pair(n, t)))
+    for text in constants:
+        add(b"\x08" + struct.pack(">H", utf(text)))
     body = b""
     for n, t, f, ops in methods:
         attrs = b""

@@ -169,6 +169,28 @@ def test_strings(engine, v1):
     assert names(of(text="^adapter", match="regex", minLen=8), "string") == ["adapter-bind"]
 
 
+def test_strings_that_no_code_refers_to(engine, tmp_path_factory):
+    """Constants of static fields and of a class file's pool are found in the pool, and belong to no method; those of a losing class go."""
+    top = tmp_path_factory.mktemp("constants")
+    engine.index.allowed = [*engine.index.allowed, engine.index._qualified(str(top))]
+    field = [("KEY", b.STR, 0x19)]
+    say = [("say", "()", b.STR, 9, [("str", "said")])]
+    image = b.dex([b.cls("Lk/A;", fields=field, methods=say, constants=["only-a-constant", "said"]), b.cls("Lk/B;", fields=field, constants=["other \u00e9 constant"])])
+    twice = b.dex([b.cls("Lk/B;", fields=field, constants=["of a class that loses"])])
+    (top / "k.apk").write_bytes(b.package([image, twice], b.manifest("k", 1, "1")))
+    (top / "k.jar").write_bytes(b.archive({"k/C.class": b.java_class("k/C", methods=[("say", "()V", 9, [("str", "said")])], constants=["pool-constant", "said"])}))
+    for tool, path, found, lost in (("loadApk", "k.apk", ["only-a-constant", "other \u00e9 constant"], "of a class that loses"), ("loadDex", "k.jar", ["pool-constant"], "none")):
+        loaded = engine.call(tool, path=str(top / path))
+        of = lambda text, s=loaded["sessionId"], **a: {k: v for k, v in engine.call("searchByString", sessionId=s, text=text, **a).items() if k in ("total", "poolMatches")}
+        assert loaded["items"][0]["counts"]["strings"] == len(found) + 1
+        for text in found:
+            assert of(text, match="exact") == {"total": 0, "poolMatches": 1}
+        assert of("constant") == {"total": 0, "poolMatches": len(found)} and of("said", match="exact") == {"total": 1, "poolMatches": 1}
+        assert of(lost, match="exact") == {"total": 0, "poolMatches": 0}
+    cut = Dex(image)
+    assert cut.constants(0) == [] and not cut.notes and cut.constants(len(image)) == [] and cut.notes
+
+
 def test_hierarchy(engine, v1):
     of = lambda **a: engine.call("findImplementations", sessionId=v1, **a)
     assert names(of(interface="com.example.demo.Greeter")) == ["com.example.demo.JavaGreeter", "com.example.demo.MainActivity$$ExternalSyntheticLambda0", "com.example.demo.UserAdapter"]
