@@ -131,6 +131,20 @@ def test_rules_in_the_plan_equal_joined_ones(spark, monkeypatch):
     assert rules.scan_rules(rows, "t", dictionary.limit(0)).count() == 0
 
 
+def test_a_dictionary_like_a_table_is_joined_in_one_pass(spark, monkeypatch):
+    n, lengths = 3000, (0, 1, 3, 9, 40)
+    texts = spark.range(n).select("id", F.concat(F.lit("Ä;order="), F.col("id").cast("string"), F.lit(";PART="), (F.col("id") % 10).cast("string"), F.lit(";K")).alias("t"))
+    own = [(f"o{k}", f"order={k};PART=[0-9]*7;") for k in range(0, n, 2)] + [(f"x{k}", f"order={k};|none{k}|PART=[37]") for k in range(n, n + 300)]
+    own += [(f"y{k}", "z" * k + "Kelvin" * (k > 3)) for k in lengths[1:]] + [("both", "order=17;|PART=7;"), ("kelvin", "\u212a+"), ("three", "er="), ("null", None), ("any", ".K$")]
+    dictionary = spark.createDataFrame(own, "rule string, pattern string")
+    monkeypatch.setattr(rules, "AUTOMATON_BYTES", 1000)
+    monkeypatch.setattr(rules, "_pass", None)
+    got = sorted((r.id, r.rule) for r in rules.scan_rules(texts, "t", dictionary).collect())
+    want = [(k, f"o{k}") for k in range(0, n, 2) if k % 10 == 7] + [(k, f"x{x}") for k in range(n) if k % 10 in (3, 7) for x in range(n, n + 300)]
+    want += [(k, "both") for k in range(n) if k % 10 == 7 or k == 17] + [(k, r) for k in range(n) for r in ("three", "any")]
+    assert got == sorted(want)
+
+
 def test_budget_of_each_part_null_parts_too(spark):
     rows = [(p, k, "x" * (k % 4)) for p in ("a", None, "b") for k in range(60)] + [("b", 99, None)]
     got = ranking.within_budget(spark.createDataFrame(rows, "p string, k int, t string"), "t", ["k"], 20, ["p"])
