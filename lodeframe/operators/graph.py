@@ -32,17 +32,41 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, source: str = "src", ta
     return out
 
 
+def walk_rows(edges: DataFrame, seeds: DataFrame, depth: int, source: str, target: str, probe: Callable[[DataFrame, DataFrame, str], DataFrame]) -> DataFrame:
+    """As walk(), but all rows of edges with all their columns. A row is met in the hop whose frontier has its source, and no node is in two
+    frontiers, so the rows of a hop are those of its probe: they need no comparison with earlier hops and are read once."""
+    edges = edges.where(F.col(source).isNotNull() & F.col(target).isNotNull())
+    frontier = seen = materialize(seeds.select(source).distinct(), "walk-frontier")
+    out = None
+    for hop in range(1, depth + 1):
+        met = probe(edges, frontier, source).withColumn("hop", F.lit(hop))
+        met = materialize(met, "walk") if hop < depth else met
+        out = met if out is None else out.unionByName(met)
+        if hop < depth:
+            frontier = materialize(met.select(F.col(target).alias(source)).distinct().join(seen, source, "left_anti"), "walk-frontier")
+            seen = seen.unionByName(frontier)
+    return out
+
+
+#: Rows of a frontier up to which a round of a closure sends it to all executors; a larger one is joined by a shuffle.
+FRONTIER_ROWS = 10_000
+
+
 def closure(edges: DataFrame, roots: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """Everything below the roots, with its least depth. Ends on cycles: what has been met is not followed again. Each round's
-    frontier is written to the shared folder, so plans stay short however deep the hierarchy is."""
+    frontier is written to the shared folder, so plans stay short however deep the hierarchy is. So are the edges, as every round reads
+    them. Only small frontiers go through the driver, so what it sees doesn't grow with the hierarchy."""
     keep = lambda df: materialize(df, "closure")
+    edges = keep(edges.select(child, parent))
     frontier = keep(roots.select(F.col(parent).alias("node")).distinct().withColumn("depth", F.lit(0)))
     out = frontier
     for level in count(1):
-        below = edges.join(frontier.select(F.col("node").alias(parent)), parent).select(F.col(child).alias("node")).distinct()
-        frontier = keep(below.join(out.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
-        if not frontier.take(1):
+        few = frontier.count()
+        if not few:
             break
+        near = frontier.select(F.col("node").alias(parent))
+        below = edges.join(F.broadcast(near) if few <= FRONTIER_ROWS else near.hint("merge"), parent).select(F.col(child).alias("node")).distinct()
+        frontier = keep(below.join(out.select("node").hint("merge"), "node", "left_anti").withColumn("depth", F.lit(level)))
         # The union of all rounds is read again in each: folded into one table from time to time, its plan stays short.
         out = out.unionByName(frontier) if level % 16 else keep(out.unionByName(frontier))
     return out.where("depth > 0")
