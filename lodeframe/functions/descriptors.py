@@ -38,11 +38,18 @@ def normalize_desc(spelling: Column) -> Column:
     return F.when(s.startswith("["), F.translate(s, ".", "/")).otherwise(F.concat(F.repeat(F.lit("["), dims), plain))
 
 
+def _plain_name(core: Column) -> Column:
+    """The binary name of what isn't an array. Patterns cost much in a row, so what is spelled as usual goes without them."""
+    usual = core.startswith("L") & core.endswith(";")
+    named = F.replace(F.when(usual, F.substr(core, F.lit(2), F.length(core) - 2)).otherwise(F.regexp_replace(core, "^L|;$", "")), F.lit("/"), F.lit("."))
+    return F.when(usual, named).otherwise(_choose(core, PRIMITIVES, named))
+
+
 def binary_name(desc: Column) -> Column:
     """La/b/C; -> a.b.C, [[I -> int[][]."""
-    core = F.regexp_replace(desc, r"^\[+", "")
-    named = F.translate(F.regexp_replace(core, "^L|;$", ""), "/", ".")
-    return F.concat(_choose(core, PRIMITIVES, named), F.repeat(F.lit("[]"), _dims(desc)))
+    core = F.ltrim(desc, F.lit("["))
+    array = F.concat(_plain_name(core), F.repeat(F.lit("[]"), F.length(desc) - F.length(core)))
+    return F.when(desc.startswith("["), array).otherwise(_plain_name(desc))
 
 
 def internal_name(desc: Column) -> Column:
@@ -56,7 +63,8 @@ def java_type(desc: Column, simple: bool = False) -> Column:
 
 
 def split_params(params: Column) -> Column:
-    return F.regexp_extract_all(params, F.lit(r"\[*(?:[VZBCSIJFD]|L[^;]+;)"), 0)
+    found = F.regexp_extract_all(params, F.lit(r"\[*(?:[VZBCSIJFD]|L[^;]+;)"), 0)
+    return F.when(params == "()", F.array().cast("array<string>")).otherwise(found)
 
 
 def join_params(types: Column) -> Column:
@@ -85,7 +93,7 @@ def reflector_field(owner: Column, name: Column, kind: Column) -> Column:
 
 
 def _visible(flags: Column, table: dict) -> Column:
-    return F.array_join(F.filter(flag_names(flags, table), lambda w: w.isin("public", "protected", "private", "static", "final")), " ")
+    return F.concat_ws(" ", *[F.when(flags.bitwiseAND(bit) != 0, F.lit(word)) for bit, word in table.items() if word in ("public", "protected", "private", "static", "final")])
 
 
 def java_method(owner: Column, name: Column, params: Column, ret: Column, flags: Column, simple: bool = False) -> Column:

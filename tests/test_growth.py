@@ -31,3 +31,13 @@ def test_closure_reads_its_edges_once_and_sends_small_frontiers_alone(spark, mon
         got = {r.node: r.depth for r in graph.closure(edges, roots).collect()}
         assert got == {str(k): k.bit_length() - 1 for k in range(2, 255)}
         assert seen.value - before == 254
+
+
+def test_names_of_usual_descriptors_need_no_patterns(spark):
+    spelled = ["La/b/C;", "[[La/b/C;", "I", "[J", "", "[", "L;", "L", "Long", "a;", "[La/b", "V;", "La;\n", None]
+    df = spark.createDataFrame([(s,) for s in spelled], "s string")
+    plan = df.select(d.binary_name(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 32
+    got = {r.s: r.b for r in df.select("s", d.binary_name(F.col("s")).alias("b")).collect()}
+    want = {"La/b/C;": "a.b.C", "[[La/b/C;": "a.b.C[][]", "I": "int", "[J": "long[]", "": "", "[": "[]", "L;": "", "L": "", "Long": "ong", "a;": "a", "[La/b": "a.b[]", "V;": "V", "La;\n": "a\n", None: None}
+    assert got == want
