@@ -23,8 +23,15 @@ def having_all(facts: DataFrame, key: list[str], value: str, wanted: list) -> Da
     return facts.where(F.col(value).isin(*wanted)).groupBy(*key).agg(F.countDistinct(value).alias("_n")).where(F.col("_n") == len(set(wanted))).select(*key)
 
 
+#: Rows of both sides in one task of orphans().
+ORPHAN_ROWS = 1 << 20
+
+
 def orphans(left: DataFrame, right: DataFrame, on: list[str], left_kind: str, right_kind: str) -> DataFrame:
-    """Keys that only one side has, with the side's kind."""
+    """Keys that only one side has, with the side's kind. Both sides are dealt once into tasks of so many rows, which Spark doesn't put
+    together again and no side is sent to all, so a task's memory doesn't grow with the tables."""
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), (left.count() + right.count()) // ORPHAN_ROWS + 1)
+    left, right = (df.select(*on).repartition(parts, *on).hint("merge") for df in (left, right))
     one = left.join(right.select(*on), on, "left_anti").select(*on, F.lit(left_kind).alias("kind"))
     return one.unionByName(right.join(left.select(*on), on, "left_anti").select(*on, F.lit(right_kind).alias("kind")))
 

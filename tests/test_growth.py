@@ -41,3 +41,12 @@ def test_names_of_usual_descriptors_need_no_patterns(spark):
     got = {r.s: r.b for r in df.select("s", d.binary_name(F.col("s")).alias("b")).collect()}
     want = {"La/b/C;": "a.b.C", "[[La/b/C;": "a.b.C[][]", "I": "int", "[J": "long[]", "": "", "[": "[]", "L;": "", "L": "", "Long": "ong", "a;": "a", "[La/b": "a.b[]", "V;": "V", "La;\n": "a\n", None: None}
     assert got == want
+
+
+def test_orphans_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(match, "ORPHAN_ROWS", 100, raising=False)
+    left, right = spark.range(3000).select((F.col("id") % 2000).alias("k")), spark.range(1000, 3000).select(F.col("id").alias("k")).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    found = match.orphans(left, right, ["k"], "l", "r")
+    got = Counter((r.k, r.kind) for r in found.collect())
+    assert got == Counter({**{(k, "l"): 2 for k in range(1000)}, **{(k, "r"): 1 for k in range(2000, 3000)}, (None, "r"): 1})
+    assert found.rdd.getNumPartitions() == 5001 // 100 + 1 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
