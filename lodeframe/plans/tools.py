@@ -393,9 +393,7 @@ class Engine:
     def edges_met(self, session: str, seeds: DataFrame, direction: str, depth: int, scope: str = "all") -> DataFrame:
         """(depth, kind, hits, caller_key, callee_descriptor) of the calls met from the methods (method_key) in seeds."""
         source, target = ("callee_descriptor", "caller_key") if direction == "callers" else ("caller_key", "callee_descriptor")
-        edges = self.invocations(session, source)
-        met = graph.walk(edges, seeds.select(F.col("method_key").alias(source)), depth, source, target, grams.probe)
-        full = met.join(edges, ["caller_key", "callee_descriptor"])
+        full = graph.walk_rows(self.invocations(session, source), seeds.select(F.col("method_key").alias(source)), depth, source, target, grams.probe)
         if scope != "all":
             kept = self.scoped(session, scope).select(F.col("descriptor").alias("_class"))
             full = full.join(kept, F.substring_index("caller_key", "->", 1) == F.col("_class"), "left_semi")

@@ -50,3 +50,31 @@ def test_orphans_are_dealt_by_rows(spark, monkeypatch):
     got = Counter((r.k, r.kind) for r in found.collect())
     assert got == Counter({**{(k, "l"): 2 for k in range(1000)}, **{(k, "r"): 1 for k in range(2000, 3000)}, (None, "r"): 1})
     assert found.rdd.getNumPartitions() == 5001 // 100 + 1 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+class Tables:
+    """An index of a few tables."""
+
+    def __init__(self, **tables):
+        self.tables = tables
+
+    def table(self, name, session_id=None):
+        return self.tables[name]
+
+    def session(self, name, owner=None):
+        return name
+
+
+def test_walks_read_edges_once_a_hop(spark):
+    n = 60
+    rows = [(f"m{k}", f"m{(k * 7 + j) % n}", kind, k + j) for k in range(n) for j in range(3) for kind in (1, 2, 10)]
+    edges, seen = counted(spark.createDataFrame(rows, "caller_key string, callee_descriptor string, kind int, hits int"), "caller_key")
+    e = Engine(spark, index=Tables(xref_edges=edges, edges_by_callee=edges))
+    seeds = spark.createDataFrame([("m1",), ("m2",)], "method_key string")
+    for direction, (s, t) in (("callees", (0, 1)), ("callers", (1, 0))):
+        before = seen.value
+        got = [(r.depth, r.caller_key, r.callee_descriptor, r.hits) for r in e.edges_met("s", seeds, direction, 2).collect()]
+        first = {"m1", "m2"}
+        second = {r[t] for r in rows if r[2] < 9 and r[s] in first} - first
+        assert sorted(got) == sorted((h, r[0], r[1], r[3]) for h, own in ((1, first), (2, second)) for r in rows if r[2] < 9 and r[s] in own)
+        assert seen.value - before <= 2 * len(rows)
