@@ -250,15 +250,15 @@ def field_items(e):
 
 @query("SELECT m.method_key, array_to_string(list_slice(list_sort(list(DISTINCT r.value), 'ASC'), 1, 1000), ',') AS strings FROM methods m JOIN (SELECT method_key, value, row_number() OVER (PARTITION BY method_key ORDER BY length(value) DESC, value) AS rn FROM string_refs) r ON r.method_key = m.method_key WHERE r.rn <= 6 GROUP BY m.method_key")
 def method_evidence_strings(e):
-    items = e.method_items("s", e.index.table("methods"), 6)
+    items = e.method_items("s", e.index.table("methods"), 6, ("strings",))
     return items.select("method_key", F.array_join(F.sort_array("referredStrings"), ",").alias("strings"))
 
 
 @query("SELECT method_key, CASE WHEN k <= 9 THEN 'call' ELSE 'field' END AS what, array_to_string(list_slice(list(callee ORDER BY callee), 1, 6), ' ') AS members FROM (SELECT DISTINCT caller_key AS method_key, CASE WHEN kind <= 8 THEN 1 ELSE 10 END AS k, callee_descriptor AS callee FROM xref_edges WHERE kind <> 9) GROUP BY method_key, k")
 def method_evidence_members(e):
-    items = e.method_items("s", e.index.table("methods"), 6)
-    one = lambda col, what: items.where(F.col(col).isNotNull()).select("method_key", F.lit(what).alias("what"), F.array_join(col, " ").alias("members"))
-    return one("invokedMethods", "call").unionByName(one("accessedFields", "field"))
+    items = e.method_items("s", e.index.table("methods"), 6, ("members",))
+    both = F.array(*[F.struct(F.lit(what).alias("what"), F.col(c).alias("own")) for what, c in (("call", "invokedMethods"), ("field", "accessedFields"))])
+    return items.select("method_key", F.inline(both)).where("own IS NOT NULL").select("method_key", "what", F.array_join("own", " ").alias("members"))
 
 
 # ---------------------------------------------------------------- strings

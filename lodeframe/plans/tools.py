@@ -202,8 +202,13 @@ class Engine:
             F.transform("interfaces", d.binary_name).alias("interfaces"), F.col("origin_file").alias("originFile"), F.col("dex_idx").alias("dexIdx"), d.internal_name(k).alias("reflector"), d.class_for_name(k).alias("classForName"), "methods", "fields",
         )
 
-    def method_items(self, session: str, methods: DataFrame, evidence: int = 0) -> DataFrame:
-        """methods joined with their classes, in the shape of a method item; evidence: so many strings, calls and fields of each."""
+    def method_items(self, session: str, methods: DataFrame, evidence: int = 0, parts: tuple[str, ...] = ("strings", "members")) -> DataFrame:
+        """methods joined with their classes, in the shape of a method item; evidence: so many strings, calls and fields of each. parts:
+        which of them, strings or members (calls and fields). The methods are written once for all that is looked up by them."""
+        methods = materialize(methods, "methods") if evidence else methods
+        # What few methods need is looked up; for many, the last join leaves out what others have.
+        few = bool(evidence) and methods.count() <= graph.FRONTIER_ROWS
+        looked_up = lambda df, key: df.join(F.broadcast(methods.select(F.col("method_key").alias(key))), key, "left_semi") if few else df
         classes = self.index.table("classes", session).select(F.col("descriptor").alias("class_descriptor"), "source", "dex_idx")
         m = methods.join(classes, "class_descriptor")
         owner, name, params, ret = (F.col(c) for c in ("class_descriptor", "name", "params_descriptor", "return_descriptor"))
@@ -215,11 +220,18 @@ class Engine:
         )
         if not evidence:
             return out
-        refs = self.index.table("string_refs", session).join(methods.select("method_key"), "method_key", "left_semi")
-        top = ranking.top_k(refs, ["method_key"], [F.length("value").desc(), "value"], evidence).groupBy("method_key").agg(F.sort_array(F.collect_list(F.struct("rn", "value")))["value"].alias("referredStrings"))
-        edges = self.index.table("xref_edges", session).join(methods.select(F.col("method_key").alias("caller_key")), "caller_key", "left_semi")
-        shown = lambda kinds, label: edges.where(F.col("kind").isin(*kinds)).groupBy(F.col("caller_key").alias("method_key")).agg(F.slice(F.sort_array(F.collect_set("callee_descriptor")), 1, evidence).alias(label))
-        return reduce(lambda a, b: a.join(b, "method_key", "left"), [top, shown(INVOKES, "invokedMethods"), shown(FIELD_KINDS, "accessedFields")], out)
+        if "strings" in parts:
+            refs = looked_up(self.index.table("string_refs", session), "method_key")
+            top = ranking.top_k(refs, ["method_key"], [F.length("value").desc(), "value"], evidence).groupBy("method_key").agg(F.sort_array(F.collect_list(F.struct("rn", "value")))["value"].alias("referredStrings"))
+            out = out.join(top if few else top.hint("merge"), "method_key", "left")
+        if "members" in parts:
+            edges = looked_up(self.index.table("xref_edges", session).where(F.col("kind").isin(*INVOKES, *FIELD_KINDS)), "caller_key")
+            own = lambda kinds: F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("callee_descriptor")))
+            first = lambda label: F.when(F.size(label) > 0, F.slice(F.sort_array(label), 1, evidence)).alias(label)
+            both = edges.groupBy(F.col("caller_key").alias("method_key")).agg(own(INVOKES).alias("invokedMethods"), own(FIELD_KINDS).alias("accessedFields"))
+            both = both.select("method_key", first("invokedMethods"), first("accessedFields"))
+            out = out.join(both if few else both.hint("merge"), "method_key", "left")
+        return out
 
     def field_items(self, session: str, fields: DataFrame) -> DataFrame:
         classes = self.index.table("classes", session).select(F.col("descriptor").alias("class_descriptor"), "source", "dex_idx")

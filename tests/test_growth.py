@@ -78,3 +78,20 @@ def test_walks_read_edges_once_a_hop(spark):
         second = {r[t] for r in rows if r[2] < 9 and r[s] in first} - first
         assert sorted(got) == sorted((h, r[0], r[1], r[3]) for h, own in ((1, first), (2, second)) for r in rows if r[2] < 9 and r[s] in own)
         assert seen.value - before <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_evidence_reads_methods_and_edges_once(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "FRONTIER_ROWS", most, raising=False)
+    methods, seen = counted(spark.createDataFrame([("LA;", f"k{k}", "f", "()", "V", 1, False, False, 0, "V") for k in range(9)], "class_descriptor string, method_key string, name string, params_descriptor string, return_descriptor string, access_flags int, is_static boolean, is_constructor boolean, param_count int, shorty string"), "method_key")
+    rows = [(f"k{k}", f"c{j}", kind) for k in range(12) for j in range(k) for kind in (1, 3, 9, 11)]
+    edges, met = counted(spark.createDataFrame(rows, "caller_key string, callee_descriptor string, kind int"), "callee_descriptor")
+    refs = spark.createDataFrame([(f"k{k}", "x" * j) for k in range(12) for j in range(k)], "method_key string, value string")
+    classes = spark.createDataFrame([("LA;", "app", 0)], "descriptor string, source string, dex_idx int")
+    e = Engine(spark, index=Tables(classes=classes, string_refs=refs, xref_edges=edges))
+    got = {r.method_key: r for r in e.method_items("s", methods, 3).collect()}
+    assert set(got) == {f"k{k}" for k in range(9)} and seen.value == 9 and met.value <= len(rows)
+    for k in range(9):
+        names = sorted(f"c{j}" for j in range(k))[:3] or None
+        assert got[f"k{k}"].invokedMethods == got[f"k{k}"].accessedFields == names
+        assert got[f"k{k}"].referredStrings == (["x" * j for j in range(k)][::-1][:3] or None)
