@@ -82,12 +82,21 @@ def score_of(weights: list[float], same_weight: float, other: float) -> Column:
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame, profiles: tuple[DataFrame, DataFrame], weights: list[float], same_weight: float, other: float, least: float) -> DataFrame:
-    """(pa, pb, score) of all pairs of profiles with a score of at least `least`. a, b: the bounded elements of both sides."""
+    """(pa, pb, score) of all pairs of profiles with a score of at least `least`. a, b: the bounded elements of both sides.
+
+    Sets go with the elements, and a pair is scored where it is formed, under the least element that both sides can be met by. So what is
+    shuffled grows with the elements, and of the pairs only those that reach the least score leave their task."""
     need = least - same_weight - SLACK
-    left, right = (x.where(F.col("_rest") >= need).select("_bucket", "_part", "_element", F.col("_profile").alias(name)) for x, name in ((a, "pa"), (b, "pb")))
-    met = left.join(right, ["_bucket", "_part", "_element"]).select("pa", "pb").distinct()
-    sides = [p.select(F.col("_profile").alias(f"p{s}"), *[F.col(c).alias(f"{c}_{s}") for c in p.columns if c not in ("_profile", "_bucket", "_left", "_like")]) for p, s in zip(profiles, "ab", strict=True)]
-    return met.join(sides[0], "pa").join(sides[1], "pb").select("pa", "pb", score_of(weights, same_weight, other).alias("score")).where(F.col("score") >= least)
+    tag = F.concat(F.col("_part").cast("string"), F.lit(":"), F.col("_element"))
+    rows = []
+    for x, p, s in zip((a, b), profiles, "ab", strict=True):
+        own = x.where(F.col("_rest") >= need).select("_bucket", "_part", "_element", F.col("_profile").alias(f"p{s}"))
+        under = own.groupBy(f"p{s}").agg(F.collect_list(tag).alias(f"under_{s}"))
+        side = p.select(F.col("_profile").alias(f"p{s}"), *[F.col(c).alias(f"{c}_{s}") for c in p.columns if c not in ("_profile", "_bucket", "_left", "_like")])
+        rows.append(own.join(under, f"p{s}").join(side, f"p{s}"))
+    once = F.array_min(F.array_intersect("under_a", "under_b")) == tag
+    met = rows[0].join(rows[1], ["_bucket", "_part", "_element"]).where(once)
+    return met.select("pa", "pb", score_of(weights, same_weight, other).alias("score")).where(F.col("score") >= least)
 
 
 def _take(pairs: DataFrame) -> list[DataFrame]:

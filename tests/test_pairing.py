@@ -84,3 +84,16 @@ def test_twenty_thousand_rows_of_one_bucket(spark):
     best = {r.key_a: r.key_b for r in got if r.score == 1.0}
     assert len(best) == n // 2 and all((int(x[1:]) - int(y[1:])) % n == 2 for x, y in best.items())
     assert time.time() - start < 240
+
+
+def test_pairs_are_scored_where_they_are_formed(spark):
+    """300 x 300 pairs meet under a common element and few reach the score: only these may be shuffled or written."""
+    side = lambda name: spark.range(300).select(F.concat(F.lit(name), "id").alias("_profile"), F.lit("=").alias("_bucket"), F.array(F.lit("e")).alias("k0"), F.lit(1).alias("n0"), F.array((F.col("id") % 60).cast("string")).alias("k1"), F.lit(1).alias("n1"), F.lit("{}").alias("_same"))
+    bounds = lambda p: p.select("_bucket", F.lit(0).alias("_part"), F.lit("e").alias("_element"), "_profile", F.lit(0.9).alias("_rest"))
+    a, b = side("a"), side("b")
+    pairs = pairing.candidate_pairs(bounds(a), bounds(b), (a, b), [0.5, 0.4], 0.1, 0.3, 0.95)
+    assert len({(r.pa, r.pb) for r in pairs.collect()}) == pairs.count() == 300 * 5
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    # The last join is the one that forms the pairs: what it gives is scored in place.
+    first = plan.index("Join Inner")
+    assert "Aggregate" not in plan[:first] and "array_min" in plan[first : plan.index("Join Inner", first + 1)]
