@@ -127,8 +127,14 @@ def candidates(index: DataFrame, want: list[frozenset[str]]) -> DataFrame:
 PROBE_KEYS = 1000
 
 
+def few_keys(keys: DataFrame, column: str, most: int = PROBE_KEYS) -> list | None:
+    """The keys, or None if there are more than `most`."""
+    few = [r[0] for r in keys.select(column).limit(most + 1).collect()]
+    return few if len(few) <= most else None
+
+
 def probe(df: DataFrame, keys: DataFrame, column: str, most: int = PROBE_KEYS) -> DataFrame:
     """Rows of df whose column is one of the keys (one column of that name). A few keys become a filter of the scan, so that a table that is
     clustered by the column, or has Bloom filters of it, is read where they are alone."""
-    few = [r[0] for r in keys.select(column).limit(most + 1).collect()]
-    return df.where(F.col(column).isin(*few)) if len(few) <= most else df.join(keys.select(column), column, "left_semi")
+    few = few_keys(keys, column, most)
+    return df.join(keys.select(column), column, "left_semi") if few is None else df.where(F.col(column).isin(*few))

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions import descriptors as d
 from lodeframe.functions.text import combined_sha
-from lodeframe.operators import match, ranking
+from lodeframe.operators import grams, match, ranking
 from lodeframe.plans import packers
 from lodeframe.plans.tools import Engine
 from lodeframe.sources import ingest
+from lodeframe.tables import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,7 +51,7 @@ class Mapped:
     """What an engine needs of an index, over the driver's tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.tables = spark, {}
+        self.spark, self.tables, self.pooled = spark, {}, False
         source = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("part", "lineitem", "supplier", "nation", "customer")}
         for name, sql in MAPPING.items():
             known = {k: v for k, v in {**source, **self.tables}.items() if k in sql}
@@ -62,6 +63,11 @@ class Mapped:
         self.tables |= {name: df.drop("session_id") for name, df in own.items()}
 
     def table(self, name: str, session_id: str | None = None) -> DataFrame:
+        if name in ("strings", "string_grams") and not self.pooled:
+            # The pool is small beside the references that it is made of, and searches read it more than once.
+            self.tables["strings"] = materialize(self.tables["strings"], "strings")
+            self.tables["string_grams"] = grams.postings(self.tables["strings"], [], "id", "lc")
+            self.pooled = True
         return self.tables[name].withColumn("session_id", F.lit("s"))
 
     def exists(self, name: str) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import inspect
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -338,23 +339,35 @@ class Engine:
             raise EngineError("NOT_FOUND", f"{row.descriptor} has no member {member!r}", "list its members")
         return envelope.ok(items, session_id=session, **{"class": head})
 
-    def pool(self, session: str, want: grams.Wanted, text: str | None = None) -> DataFrame:
-        """Strings of the session: the given one, or those with the grams of one of the alternatives, or all if nothing is wanted."""
+    def pool(self, session: str, want: grams.Wanted, fits: Callable[[DataFrame], DataFrame], text: str | None = None) -> tuple[DataFrame, bool]:
+        """(strings of the session that fit, or the given one; whether many may). Few that have the grams of one of the alternatives are
+        looked up. If many have them, all strings are compared once, and those that fit are written for all that is looked up by them."""
         strings = self.index.table("strings", session)
         if text is not None:
-            return strings.where(F.col("id") == string_id(F.lit(text)))
-        return strings if want is None else grams.probe(strings, grams.candidates(self.index.table("string_grams", session), want), "id")
+            return fits(strings.where(F.col("id") == string_id(F.lit(text)))), False
+        if want is None:
+            return fits(strings), True
+        few = grams.few_keys(grams.candidates(self.index.table("string_grams", session), want), "id")
+        return (materialize(fits(strings), "pool"), True) if few is None else (fits(strings.where(F.col("id").isin(*few))), False)
 
     def string_hits(self, session: str, text: str, how: str, scope: str, method_limit: int, min_len: int) -> tuple[DataFrame, DataFrame]:
         """(a row for each string that a method in scope refers to, all strings of the pool that fit)."""
         want = grams.wanted(text, how)
-        pool = filters.text_filter(self.pool(session, want, text if how == "exact" else None), "value", text, how, min_len, "lc")
+        pool, many = self.pool(session, want, lambda df: filters.text_filter(df, "value", text, how, min_len, "lc"), text if how == "exact" else None)
         refs = self.index.table("refs_by_string", session)
+        if how in ("contains", "prefix"):
+            # Spark tries this where references come from, before it deals them out. A pattern is tried on distinct strings alone.
+            refs = filters.text_filter(refs, "value", text, how, min_len)
         if want is not None or how == "exact":
             refs = grams.probe(refs, pool.select("id"), "id")
-        methods = self.index.table("methods", session).select("method_key", F.col("class_descriptor").alias("descriptor"))
-        sides = [(pool.select("value", "len"), "value"), (methods, "method_key"), (self.scoped(session, scope).select("descriptor"), "descriptor")]
-        refs = match.probe(refs.select("method_key", "value"), sides)
+        # The class of a method stands before the first ";->" of its key (a class name has no semicolon), so of methods the keys alone are
+        # dealt out. They are compared with a table of what is found, the smaller side, and need no sort.
+        classed = refs.select("method_key", "value", F.concat(F.substring_index("method_key", ";->", 1), F.lit(";")).alias("descriptor"))
+        found = match.probe(classed, [(pool.select("value", "len"), "value"), (self.scoped(session, scope).select("descriptor"), "descriptor")])
+        known = self.index.table("methods", session).select("method_key").distinct()
+        refs = match.probe(found.select("value", "len", "method_key").hint("shuffle_hash"), [(known, "method_key")])
+        # Counts and ranks both read them; Spark would join the methods for each.
+        refs = materialize(refs, "hits") if many else refs
         top = match.reverse_top_k(refs, "value", "method_key", ["len"], method_limit)
         return top.groupBy("value", "len", "method_count").agg(F.sort_array(F.collect_list(F.struct("rn", "method_key")))["method_key"].alias("methods")), pool
 
@@ -611,7 +624,7 @@ class Engine:
         kind = resource_type or (resource.split(".")[-2] if resource.count(".") >= 1 and resource.split(".")[-2] != "R" else "")
         spellings = [name, *([f"{kind}.{name}", f"R.{kind}.{name}"] if kind else [f"R.{name}"])]
         want = grams.either(*[grams.of_lowered(s) for s in spellings])
-        hits = self.pool(session, want).where(filters.any_of([F.col("value").contains(s) for s in spellings]))
+        hits, _ = self.pool(session, want, lambda df: df.where(filters.any_of([F.col("value").contains(s) for s in spellings])))
         refs = self.index.table("refs_by_string", session)
         refs = refs if want is None else grams.probe(refs, hits, "id")
         found = refs.drop("id").join(hits.select("value"), "value").select("method_key", "value", F.lit("string").alias("via"))

@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType
 from lodeframe.functions import descriptors as d
 from lodeframe.operators import graph, match
 from lodeframe.plans.tools import Engine
+from lodeframe.sources import ingest
 
 
 def counted(df, column):
@@ -95,3 +96,28 @@ def test_evidence_reads_methods_and_edges_once(spark, monkeypatch, most):
         names = sorted(f"c{j}" for j in range(k))[:3] or None
         assert got[f"k{k}"].invokedMethods == got[f"k{k}"].accessedFields == names
         assert got[f"k{k}"].referredStrings == (["x" * j for j in range(k)][::-1][:3] or None)
+
+
+def test_a_search_of_many_strings_reads_each_table_once(spark):
+    # Class names may hold "->"; some methods and classes of references are not in their tables, and a constant has no reference.
+    owners = {"LA;": "app", "Lb->c;": "app", "Ld/E;": "library"}
+    values = [f"Key_{k}/{'ab'[k % 2]}" for k in range(1200)] + ["other", "A key of no method"]
+    rows = [(f"{c};->m{k % 7}{j}()V", v) for k, v in enumerate(values[:-1]) for j, c in enumerate(("LA", "Lb->c", "Ld/E", "Lno/Class"))]
+    named = sorted({m for m, _ in rows if not m.endswith("m33()V")} - {"LA;->m50()V"})
+    pool = ingest.probed(spark.createDataFrame([("s", *r) for r in rows], "session_id string, method_key string, value string"), None, spark.createDataFrame([("s", values[-1])], "session_id string, value string"))
+    strings, seen = counted(pool["strings"], "value")
+    refs, met = counted(pool["refs_by_string"], "value")
+    methods, known = counted(spark.createDataFrame([(m, m.split(";")[0] + ";") for m in named], "method_key string, class_descriptor string"), "method_key")
+    classes = spark.createDataFrame(list(owners.items()), "descriptor string, source string")
+    e = Engine(spark, index=Tables(strings=strings, string_grams=pool["string_grams"], refs_by_string=refs, methods=methods, classes=classes))
+    for text, how, scope, fits in (("KEY", "contains", "all", lambda v: "key" in v.lower()), ("Key_", "prefix", "app", lambda v: v.startswith("Key_")), ("Key_[0-9]+", "regex", "all", lambda v: v.startswith("Key_"))):
+        before = [a.value for a in (seen, met, known)]
+        hits, found = e.string_hits("s", text, how, scope, 2, 0)
+        got = {r["value"]: (r["len"], r["method_count"], r["methods"]) for r in hits.collect()}
+        assert [a.value - b <= n for a, b, n in zip((seen, met, known), before, (len(values), len(rows), len(named)))] == [True] * 3, how
+        assert sorted(r["value"] for r in found.collect()) == sorted(v for v in values if fits(v))
+        want = {}
+        for m, v in rows:
+            if fits(v) and m in named and owners.get(m.split(";")[0] + ";") in (("app",) if scope == "app" else ("app", "library")):
+                want.setdefault(v, []).append(m)
+        assert got == {v: (len(v), len(own), sorted(own)[:2]) for v, own in want.items()}
