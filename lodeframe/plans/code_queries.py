@@ -52,16 +52,21 @@ class Mapped:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.tables, self.pooled = spark, {}, False
-        source = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("part", "lineitem", "supplier", "nation", "customer")}
-        for name, sql in MAPPING.items():
-            known = {k: v for k, v in {**source, **self.tables}.items() if k in sql}
-            text = sql.replace("{list}", "array")
-            for k in sorted(known, key=len, reverse=True):
-                text = _rename(text, k)
-            self.tables[name] = spark.sql(text, **{f"t_{k}": v for k, v in known.items()})
+        self.source = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("part", "lineitem", "supplier", "nation", "customer")}
+        for name in MAPPING:
+            self.tables[name] = self.mapped(name, self.tables)
         own = ingest.probed(*[self.tables[n].withColumn("session_id", F.lit("s")) for n in ("string_refs", "xref_edges")])
         self.tables |= {name: df.drop("session_id") for name, df in own.items()}
 
+    def mapped(self, name: str, tables: dict[str, DataFrame]) -> DataFrame:
+        """A table of the index over the driver's tables and `tables`."""
+        sql = MAPPING[name]
+        known = {k: v for k, v in {**self.source, **tables}.items() if k in sql}
+        text = sql.replace("{list}", "array")
+        for k in sorted(known, key=len, reverse=True):
+            text = _rename(text, k)
+        return self.spark.sql(text, **{f"t_{k}": v for k, v in known.items()})
+
     def table(self, name: str, session_id: str | None = None) -> DataFrame:
         if name in ("strings", "string_grams") and not self.pooled:
             # The pool is small beside the references that it is made of, and searches read it more than once.

@@ -90,6 +90,10 @@ class Index:
         df = self.spark.read.schema(kind).parquet(f"{self.root}/{name}") if self.exists(name) else self.spark.createDataFrame([], kind)
         return df if session_id is None else df.where(F.col("session_id") == session_id)
 
+    def about(self, classes: dict[str, DataFrame]):
+        """Where the members of these classes (descriptors by session) are read: the stored tables hold them by session."""
+        return self
+
     def write(self, tables: dict[str, DataFrame], **options) -> None:
         """Write sessions' parts of tables, WRITERS at a time: most of the time of a small session is the start of jobs."""
 

@@ -519,11 +519,19 @@ class Engine:
 
     # -------------------------------------------------------------- comparison
 
-    def features(self, session: str, scope: str) -> DataFrame:
-        classes = self.scoped(session, scope).select("descriptor", F.coalesce("super_descriptor", F.lit("")).alias("super"), "interfaces", "kind", "package", "source")
-        methods = self.index.table("methods", session).groupBy(F.col("class_descriptor").alias("descriptor")).agg(F.sort_array(F.collect_set(F.concat("name", "params_descriptor", "return_descriptor"))).alias("sigs"), F.sort_array(F.collect_set(F.concat("params_descriptor", "return_descriptor"))).alias("shapes"), F.sort_array(F.collect_set("name")).alias("method_names"))
-        fields = self.index.table("fields", session).groupBy(F.col("class_descriptor").alias("descriptor")).agg(F.sort_array(F.collect_set(F.concat("name", F.lit(":"), "type_descriptor"))).alias("fields"), F.sort_array(F.collect_set("name")).alias("field_names"))
-        strings = self.index.table("string_refs", session).select(F.substring_index("method_key", "->", 1).alias("descriptor"), "value").distinct()
+    def feature_classes(self, session: str, scope: str) -> DataFrame:
+        return self.scoped(session, scope).select("descriptor", F.coalesce("super_descriptor", F.lit("")).alias("super"), "interfaces", "kind", "package", "source")
+
+    def features(self, session: str, scope: str, own: DataFrame | None = None, index=None) -> DataFrame:
+        """Classes with the sets of their members. own: those of feature_classes() that are wanted, if not all; index: where their members
+        are read, if not in the engine's index."""
+        index = index or self.index
+        classes = self.feature_classes(session, scope) if own is None else own
+        wanted = lambda df: df if own is None else df.join(own.select("descriptor"), "descriptor", "left_semi")
+        of = lambda name: wanted(index.table(name, session).withColumnRenamed("class_descriptor", "descriptor")).groupBy("descriptor")
+        methods = of("methods").agg(F.sort_array(F.collect_set(F.concat("name", "params_descriptor", "return_descriptor"))).alias("sigs"), F.sort_array(F.collect_set(F.concat("params_descriptor", "return_descriptor"))).alias("shapes"), F.sort_array(F.collect_set("name")).alias("method_names"))
+        fields = of("fields").agg(F.sort_array(F.collect_set(F.concat("name", F.lit(":"), "type_descriptor"))).alias("fields"), F.sort_array(F.collect_set("name")).alias("field_names"))
+        strings = wanted(index.table("string_refs", session).select(F.substring_index("method_key", "->", 1).alias("descriptor"), "value")).distinct()
         strings = ranking.top_k(strings, ["descriptor"], ["value"], 200).groupBy("descriptor").agg(F.sort_array(F.collect_list("value")).alias("strings"))
         out = classes.join(methods, "descriptor", "left").join(fields, "descriptor", "left").join(strings, "descriptor", "left")
         empty = F.array().cast("array<string>")
@@ -532,10 +540,14 @@ class Engine:
         return out.withColumn("sig_hash", F.substring(F.sha1(digest.cast("binary")), 1, 16))
 
     def compare(self, a: str, b: str, scope: str = "app", min_score: float = 0.45, shape: str = "named") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """(renamed pairs, features of a and of b, stored, descriptors in both)."""
-        fa, fb = materialize(self.features(a, scope), "features"), materialize(self.features(b, scope), "features")
-        same = diff.unchanged(fa, fb, ["descriptor"])
-        own_a, own_b = fa.join(same, "descriptor", "left_anti"), fb.join(same, "descriptor", "left_anti")
+        """(renamed pairs, features of the classes of a and of b that the other doesn't have, stored, descriptors in both).
+
+        Versions have most classes in common, so members are read of the others alone."""
+        classes = [materialize(self.feature_classes(s, scope), "classes") for s in (a, b)]
+        same = materialize(diff.unchanged(*classes, ["descriptor"]), "unchanged")
+        own = [materialize(df.join(same, "descriptor", "left_anti"), "own-classes") for df in classes]
+        index = self.index.about(dict(zip((a, b), own, strict=True)))
+        own_a, own_b = fa, fb = [materialize(self.features(s, scope, df, index), "features") for s, df in zip((a, b), own, strict=True)]
         exact = materialize(diff.exact_pairs(own_a, own_b, "descriptor", "sig_hash").select("key_a", "key_b", F.lit(1.0).alias("score"), F.lit("exact-structure").alias("how")), "exact")
         gone = lambda df, key: df.join(exact.select(F.col(key).alias("descriptor")), "descriptor", "left_anti").withColumn("n_interfaces", F.size("interfaces"))
         sets = {"sigs" if shape == "named" else "shapes": "shape", "strings": "strings", "field_names": "fields", "method_names": "names"}
@@ -548,9 +560,8 @@ class Engine:
             raise bad_argument(f"unknown shape {shape!r}", "named or structural")
         a, b, limit = self.index.session(session_a), self.index.session(session_b), ranking.clamp_limit(limit)
         renamed, fa, fb, same = self.compare(a, b, scope, min_score, shape)
-        # Rows of either side alone: what is neither in both nor renamed.
-        both = same.select("descriptor")
-        alone = lambda df, key: df.join(both.union(renamed.select(key)), "descriptor", "left_anti")
+        # Rows of either side alone: what is not renamed of those that aren't in both.
+        alone = lambda df, key: df.join(renamed.select(F.col(key).alias("descriptor")), "descriptor", "left_anti")
         removed, added = materialize(alone(fa, "key_a"), "removed"), materialize(alone(fb, "key_b"), "added")
         keys = lambda df: df.select("descriptor", "sigs", "package")
         full = renamed.join(keys(fa).toDF("key_a", "sigs_a", "package_a"), "key_a").join(keys(fb).toDF("key_b", "sigs_b", "package_b"), "key_b")

@@ -6,7 +6,9 @@ classes whose number ends in 3 and drops a method of theirs, some strings everyw
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +16,15 @@ from pyspark.sql import functions as F
 from lodeframe.operators import diff
 from lodeframe.plans.code_queries import WITH, Mapped
 from lodeframe.plans.tools import Engine
+from lodeframe.tables import materialize
 
 LOST_METHOD, LOST_STRING = "m4", "5/O"
 #: Ends of the classes that a version doesn't have.
 ABSENT = {"v1": "88;", "v2": "77;"}
 _RENAMED = "/C([0-9]*3);"
+_AGAIN = "/R([0-9]*3);"
+#: As many classes are sent to all; where there are more, they and the line items are dealt by their key.
+SENT = 1_000_000
 
 
 class Versions(Mapped):
@@ -38,6 +44,17 @@ class Versions(Mapped):
                     df = df.withColumn(c, F.regexp_replace(c, _RENAMED, "/R$1;"))
         return df
 
+    def about(self, classes: dict[str, DataFrame]) -> Versions:
+        """The versions with members of these classes alone: line items of the others are left where they are read."""
+        named = reduce(DataFrame.union, [df.select(F.regexp_replace("descriptor", _AGAIN, "/C$1;").alias("descriptor")) for df in classes.values()])
+        kept = materialize(self.tables["classes"].select("p_partkey", "descriptor").join(named, "descriptor", "left_semi"), "mapped-classes")
+        few = kept.count() <= SENT
+        out = copy.copy(self)
+        out.tables = {"calls": materialize(self.mapped("calls", {"classes": F.broadcast(kept) if few else kept}), "mapped-calls")}
+        for name in ("methods", "fields", "string_refs"):
+            out.tables[name] = self.mapped(name, out.tables)
+        return out
+
     def session(self, name: str, owner: str | None = None) -> str:
         return name
 

@@ -97,3 +97,42 @@ def test_pairs_are_scored_where_they_are_formed(spark):
     # The last join is the one that forms the pairs: what it gives is scored in place.
     first = plan.index("Join Inner")
     assert "Aggregate" not in plan[:first] and "array_min" in plan[first : plan.index("Join Inner", first + 1)]
+
+
+@pytest.mark.parametrize(("seed", "names"), [(11, 300), (17, 60)])
+def test_rare_elements_and_bits_in_small_blocks_and_steps(spark, monkeypatch, seed, names):
+    """Sets of more elements than a mask holds, as groups in blocks of three and steps of 40 pairs."""
+    for name, value in {"WORDS": 1, "BLOCK": 3, "PAIRS": 40}.items():
+        monkeypatch.setattr(pairing, name, value)
+    rng = random.Random(seed)
+    names = [f"e{k}" for k in range(names)]
+    row = lambda key: (key, "p", *[sorted(set(rng.choices(names, [1 / (k + 1) for k in range(len(names))], k=rng.choice([0, 2, 6, 12])))) for _ in range(3)], rng.choice("uv"))
+    a = [row(f"a{k}") for k in range(90)]
+    b = [(f"b{r[0]}", r[1], r[2][1:], r[3], r[4], r[5]) for r in a[:30]] + [row(f"b{k}") for k in range(60)]
+    got = pairing.pair_by_sets(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), "key", "bucket", SETS, ["kind"], 0.3, 0.1, 0.3, levels=(0.7,))
+    assert sorted((r.key_a, r.key_b, pytest.approx(r.score)) for r in got.collect()) == plain(a, b, 0.3)
+
+
+def test_a_score_that_rounds_up_to_the_least(spark):
+    """0.4 / 3 + 0.1 is 0.2333333, 0.5 / 3 + 0.1 is 0.2666667: with six digits 0.266667."""
+    a = spark.createDataFrame([("a", "p", ["e", "f", "g"], [], [], "u")], SCHEMA)
+    b = spark.createDataFrame([("b", "p", ["e"], [], [], "u")], SCHEMA)
+    pair = lambda least: pairing.pair_by_sets(a, b, "key", "bucket", {"x": 0.5, "y": 0.4}, ["kind"], least, 0.1, 0.3, levels=()).collect()
+    assert [tuple(r) for r in pair(0.266667)] == [("a", "b", 0.266667)] and not pair(0.266668)
+
+
+def test_profiles_of_one_mask_are_one_group(spark, monkeypatch):
+    """300 x 300 profiles have a bit in common and a rare element each: their pairs are formed where they have that element, or as one pair of
+    groups."""
+    monkeypatch.setattr(pairing, "WORDS", 1)
+    n = 300
+    side = lambda name: spark.range(n).select(F.concat(F.lit(name), "id").alias("key"), F.lit("p").alias("bucket"), F.array(F.lit("()V")).alias("x"), F.array(F.concat(F.lit("e"), "id")).alias("y"))
+    weights = [0.5, 0.4]
+    rows = [pairing.materialize(pairing._prepared(side(s), "key", "bucket", {"x": 0.5, "y": 0.4}, ["bucket"]), "rows") for s in "ab"]
+    elements = [pairing._elements(r, 2) for r in rows]
+    common = pairing._common(elements)
+    profiles = [pairing._profiles(r, e, common, weights)[0] for r, e in zip(rows, elements, strict=True)]
+    groups = pairing.group_pairs(profiles, weights, 0.1, 0.0, 0.6).collect()
+    assert sum(r.n for r in groups if r.score == 0.6) >= (n - 64) ** 2 and len(groups) <= 65**2
+    rare = pairing.rare_pairs([pairing._bounds(p, weights) for p in profiles], profiles, weights, 0.1, 0.0, 0.6).collect()
+    assert len(rare) == n - 64 and {r.score for r in rare} == {1.0}
