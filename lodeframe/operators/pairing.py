@@ -34,13 +34,13 @@ from lodeframe.operators.ranking import top_k
 from lodeframe.tables import materialize
 
 #: Least scores at which pairs are formed, before the caller's own.
-LEVELS = (0.95, 0.85, 0.7, 0.55)
+LEVELS = (0.85, 0.65)
 #: Scores are rounded to six digits.
 SLACK = 1e-6
 #: Words of 64 bits in the mask of a set column.
 WORDS = 2
 #: Pairs by masks alone that a step makes, but for those of one STEP of the score.
-PAIRS = 4_000_000
+PAIRS = 16_000_000
 STEP = 0.005
 #: Groups of a side in a block.
 BLOCK = 2_000
@@ -116,17 +116,24 @@ def _bounds(profiles: DataFrame, weights: list[float]) -> DataFrame:
 
 
 def _sum_of(weights: list[float], same_weight: float, other: float, common: list[Column]) -> Column:
-    """The score of sides a and b with so many elements in common."""
+    """The score of sides a and b with so many elements in common, before it is rounded: that takes longer than all the rest."""
     out = F.lit(0.0)
     for k, (w, c) in enumerate(zip(weights, common, strict=True)):
         union = F.col(f"n{k}_a") + F.col(f"n{k}_b") - c
         out = out + F.lit(w) * F.when(union > 0, c / union).otherwise(F.lit(0.0))
-    return F.round(out + F.lit(same_weight) * F.when(F.col("_same_a") == F.col("_same_b"), 1.0).otherwise(F.lit(other)), 6)
+    return out + F.lit(same_weight) * F.when(F.col("_same_a") == F.col("_same_b"), 1.0).otherwise(F.lit(other))
+
+
+def _counted(pairs: DataFrame, common: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """Pairs with these numbers, each made once, and their columns. Spark makes them anew wherever a filter or a sum names them, in methods too
+    large to be compiled, but not behind an explode."""
+    pairs = pairs.withColumn("_c", F.explode(F.array(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(common)]))))
+    return pairs, [F.col(f"_c.c{k}") for k in range(len(common))]
 
 
 def score_of(weights: list[float], same_weight: float, other: float) -> Column:
     """The score of profiles with whole sets k0, k1, ... in columns ending in _a and _b."""
-    return _sum_of(weights, same_weight, other, [F.size(F.array_intersect(f"k{k}_a", f"k{k}_b")) for k in range(len(weights))])
+    return F.round(_sum_of(weights, same_weight, other, [F.size(F.array_intersect(f"k{k}_a", f"k{k}_b")) for k in range(len(weights))]), 6)
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame, profiles: tuple[DataFrame, DataFrame], weights: list[float], same_weight: float, other: float, least: float) -> DataFrame:
@@ -163,12 +170,12 @@ def rare_pairs(bounds: list[DataFrame], profiles: list[DataFrame], weights: list
         own = x.where(F.col("_rest") >= least - same_weight - SLACK).select("_e", F.col("_p").alias(f"p{s}"))
         sides.append(own.join(_ends(p, s, slim), f"p{s}"))
     bits = [_bits(k, "_a", "_b") for k in range(n)]
-    at_most = _sum_of(weights, same_weight, other, [b + F.least(f"r{k}_a", f"r{k}_b") for k, b in enumerate(bits)])
-    met = sides[0].join(sides[1], "_e").where(at_most >= least - SLACK).select("pa", "pb").distinct()
+    met, most = _counted(sides[0].join(sides[1], "_e"), [b + F.least(f"r{k}_a", f"r{k}_b") for k, b in enumerate(bits)])
+    met = met.where(_sum_of(weights, same_weight, other, most) >= least - SLACK).select("pa", "pb").distinct()
     for p, s in zip(profiles, "ab", strict=True):
         met = met.join(_ends(p, s, ["_same", *[f"{c}{k}" for k in range(n) for c in "nt"], *_masks(n)]), f"p{s}")
-    common = [b + F.size(F.array_intersect(f"t{k}_a", f"t{k}_b")) for k, b in enumerate(bits)]
-    return met.select("pa", "pb", _sum_of(weights, same_weight, other, common).alias("score")).where(F.col("score") >= least)
+    met, common = _counted(met, [b + F.size(F.array_intersect(f"t{k}_a", f"t{k}_b")) for k, b in enumerate(bits)])
+    return met.select("pa", "pb", F.round(_sum_of(weights, same_weight, other, common), 6).alias("score")).where(F.col("score") >= least)
 
 
 def group_pairs(profiles: list[DataFrame], weights: list[float], same_weight: float, other: float, least: float) -> DataFrame:
@@ -183,8 +190,9 @@ def group_pairs(profiles: list[DataFrame], weights: list[float], same_weight: fl
         placed = g.join(grid, "_bucket").withColumn(f"_block_{s}", F.pmod(F.xxhash64("_g"), F.col(f"_blocks_{s}")).cast("int"))
         placed = placed.withColumn(f"_block_{o}", F.explode(F.sequence(F.lit(0), F.col(f"_blocks_{o}") - 1)))
         sides.append(placed.select("_bucket", "_block_a", "_block_b", F.col("_g").alias(f"g{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("_n", *columns[1:])]))
-    score = _sum_of(weights, same_weight, other, [_bits(k, "_a", "_b") for k in range(n)])
-    met = sides[0].join(sides[1], ["_bucket", "_block_a", "_block_b"]).withColumn("score", score).where(F.col("score") >= least)
+    met, common = _counted(sides[0].join(sides[1], ["_bucket", "_block_a", "_block_b"]), [_bits(k, "_a", "_b") for k in range(n)])
+    score = _sum_of(weights, same_weight, other, common)
+    met = met.where(score >= least - SLACK).withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
     return met.select("ga", "gb", "score", (F.col("_n_a") * F.col("_n_b")).alias("n"))
 
 

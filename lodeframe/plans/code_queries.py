@@ -58,9 +58,9 @@ class Mapped:
         own = ingest.probed(*[self.tables[n].withColumn("session_id", F.lit("s")) for n in ("string_refs", "xref_edges")])
         self.tables |= {name: df.drop("session_id") for name, df in own.items()}
 
-    def mapped(self, name: str, tables: dict[str, DataFrame]) -> DataFrame:
-        """A table of the index over the driver's tables and `tables`."""
-        sql = MAPPING[name]
+    def mapped(self, name: str, tables: dict[str, DataFrame], distinct: bool = True) -> DataFrame:
+        """A table of the index over the driver's tables and `tables`; if not distinct, with the rows that SELECT DISTINCT would drop."""
+        sql = MAPPING[name] if distinct else MAPPING[name].replace("SELECT DISTINCT", "SELECT")
         known = {k: v for k, v in {**self.source, **tables}.items() if k in sql}
         text = sql.replace("{list}", "array")
         for k in sorted(known, key=len, reverse=True):

@@ -523,16 +523,22 @@ class Engine:
         return self.scoped(session, scope).select("descriptor", F.coalesce("super_descriptor", F.lit("")).alias("super"), "interfaces", "kind", "package", "source")
 
     def features(self, session: str, scope: str, own: DataFrame | None = None, index=None) -> DataFrame:
-        """Classes with the sets of their members. own: those of feature_classes() that are wanted, if not all; index: where their members
-        are read, if not in the engine's index."""
-        index = index or self.index
+        """Classes with the sets of their members. own: those of feature_classes() that are wanted, if not all; index: an index with few
+        members of other classes, where there is one."""
+        whole, index = index is None or index is self.index, index or self.index
         classes = self.feature_classes(session, scope) if own is None else own
-        wanted = lambda df: df if own is None else df.join(own.select("descriptor"), "descriptor", "left_semi")
-        of = lambda name: wanted(index.table(name, session).withColumnRenamed("class_descriptor", "descriptor")).groupBy("descriptor")
-        methods = of("methods").agg(F.sort_array(F.collect_set(F.concat("name", "params_descriptor", "return_descriptor"))).alias("sigs"), F.sort_array(F.collect_set(F.concat("params_descriptor", "return_descriptor"))).alias("shapes"), F.sort_array(F.collect_set("name")).alias("method_names"))
-        fields = of("fields").agg(F.sort_array(F.collect_set(F.concat("name", F.lit(":"), "type_descriptor"))).alias("fields"), F.sort_array(F.collect_set("name")).alias("field_names"))
-        strings = wanted(index.table("string_refs", session).select(F.substring_index("method_key", "->", 1).alias("descriptor"), "value")).distinct()
-        strings = ranking.top_k(strings, ["descriptor"], ["value"], 200).groupBy("descriptor").agg(F.sort_array(F.collect_list("value")).alias("strings"))
+        wanted = lambda df: df.join(own.select("descriptor"), "descriptor", "left_semi") if whole and own is not None else df
+        # All rows of a class are in one task before its sets are made: nothing is gained by sets of what each task has read of it.
+        of = lambda df: wanted(df).repartition("descriptor").groupBy("descriptor")
+        table = lambda name, *columns: index.table(name, session).select(F.col("class_descriptor").alias("descriptor"), *columns)
+        each = lambda column, *parts: F.sort_array(F.array_distinct(F.array_compact(F.transform(column, lambda x: F.concat(*[p if isinstance(p, Column) else x[p] for p in parts])))))
+        member = lambda *columns: F.collect_list(F.struct(*columns)).alias("_all")
+        method = ("name", "params_descriptor", "return_descriptor")
+        methods = of(table("methods", *method)).agg(member(*method)).select("descriptor", each("_all", *method).alias("sigs"), each("_all", *method[1:]).alias("shapes"), each("_all", "name").alias("method_names"))
+        field = ("name", "type_descriptor")
+        fields = of(table("fields", *field)).agg(member(*field)).select("descriptor", each("_all", "name", F.lit(":"), "type_descriptor").alias("fields"), each("_all", "name").alias("field_names"))
+        strings = index.table("string_refs", session).select(F.substring_index("method_key", "->", 1).alias("descriptor"), "value")
+        strings = of(strings).agg(F.slice(F.sort_array(F.collect_set("value")), 1, 200).alias("strings"))
         out = classes.join(methods, "descriptor", "left").join(fields, "descriptor", "left").join(strings, "descriptor", "left")
         empty = F.array().cast("array<string>")
         out = out.select("descriptor", "super", "interfaces", "kind", "package", "source", *[F.coalesce(c, empty).alias(c) for c in ("sigs", "shapes", "method_names", "fields", "field_names", "strings")])
@@ -543,7 +549,7 @@ class Engine:
         """(renamed pairs, features of the classes of a and of b that the other doesn't have, stored, descriptors in both).
 
         Versions have most classes in common, so members are read of the others alone."""
-        classes = [materialize(self.feature_classes(s, scope), "classes") for s in (a, b)]
+        classes = [self.feature_classes(s, scope) for s in (a, b)]
         same = materialize(diff.unchanged(*classes, ["descriptor"]), "unchanged")
         own = [materialize(df.join(same, "descriptor", "left_anti"), "own-classes") for df in classes]
         index = self.index.about(dict(zip((a, b), own, strict=True)))

@@ -30,6 +30,11 @@ SENT = 1_000_000
 class Versions(Mapped):
     """Sessions v1 and v2."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(spark, sf_dir)
+        # Both versions' classes are made of this.
+        self.tables["classes"] = materialize(self.tables["classes"].drop("super_descriptor"), "mapped-classes")
+
     def table(self, name: str, session_id: str | None = None) -> DataFrame:
         df = super().table(name).withColumn("session_id", F.lit(session_id))
         if name == "classes":
@@ -45,14 +50,15 @@ class Versions(Mapped):
         return df
 
     def about(self, classes: dict[str, DataFrame]) -> Versions:
-        """The versions with members of these classes alone: line items of the others are left where they are read."""
+        """The versions with members of these classes alone, each as often as line items have it: sets are made of them. Line items of the
+        others are left where they are read."""
         named = reduce(DataFrame.union, [df.select(F.regexp_replace("descriptor", _AGAIN, "/C$1;").alias("descriptor")) for df in classes.values()])
-        kept = materialize(self.tables["classes"].select("p_partkey", "descriptor").join(named, "descriptor", "left_semi"), "mapped-classes")
+        kept = materialize(self.tables["classes"].select("p_partkey", "descriptor").join(named, "descriptor", "left_semi"), "own-mapped-classes")
         few = kept.count() <= SENT
         out = copy.copy(self)
         out.tables = {"calls": materialize(self.mapped("calls", {"classes": F.broadcast(kept) if few else kept}), "mapped-calls")}
-        for name in ("methods", "fields", "string_refs"):
-            out.tables[name] = self.mapped(name, out.tables)
+        out.tables |= {"fields": self.mapped("fields", out.tables), "string_refs": self.mapped("string_refs", out.tables, distinct=False)}
+        out.tables["methods"] = out.tables["calls"].select(F.col("owner").alias("class_descriptor"), "name", F.col("params").alias("params_descriptor"), F.col("ret").alias("return_descriptor"))
         return out
 
     def session(self, name: str, owner: str | None = None) -> str:
